@@ -78,16 +78,19 @@ def static_entities(spark: SparkSession) -> DataFrame:
 
 
 def build_dictionary(spark: SparkSession, raw: DataFrame, top: dict | None = None) -> DataFrame:
-    """Full lookup dictionary (term, kind, priority): one row per term with its
+    """Full lookup dictionary (term, kind, priority, in_categories,
+    in_ingredients): one row per term with its
     highest-precedence kind (brands > categories > ingredients > allergens >
     sustainability > nutrition > countries)."""
     built = dictionary_topk(raw, top).select("term", "kind")
     every = (built.unionByName(always_include(spark, built).select("term", "kind"))
              .unionByName(static_entities(spark)))
     prio = F.array_position(F.array(*[F.lit(k) for k in ENTITY_KINDS]), F.col("kind")).cast("int")
-    best = every.select("term", prio.alias("priority")).groupBy("term").agg(F.min("priority").alias("priority"))
+    best = every.select("term", prio.alias("priority"), (F.col("kind") == "categories").alias("c"),
+                        (F.col("kind") == "ingredients").alias("i")).groupBy("term").agg(
+        F.min("priority").alias("priority"), F.max("c").alias("in_categories"), F.max("i").alias("in_ingredients"))
     kind = F.element_at(F.array(*[F.lit(k) for k in ENTITY_KINDS]), F.col("priority"))
-    return best.select("term", kind.alias("kind"), "priority")
+    return best.select("term", kind.alias("kind"), "priority", "in_categories", "in_ingredients")
 
 
 def facet_terms(docs: DataFrame, top: int = FACET_TOP) -> DataFrame:

@@ -128,4 +128,156 @@ def q_documents_text(spark, sf):
 def q_flag_frequency(spark, sf):
     from larder.operators.dictionary import coverage_metrics
     return coverage_metrics(docs(spark, sf))
-FLAGSHIP = "flags_all"
+
+
+# ----------------------------------------------------------------- phrase sets
+def phrase_set(spark, sf, exprs: list[str]) -> DataFrame:
+    """Distinct phrases from SQL expressions over ``part``; the phrase is its id."""
+    part = fx.table(spark, sf, "part")
+    out = None
+    for e in exprs:
+        d = part.selectExpr(f"{e} AS phrase")
+        out = d if out is None else out.unionAll(d)
+    return out.distinct().select(F.col("phrase").alias("query_id"), "phrase")
+
+
+def phrase_set_sql(exprs: list[str]) -> str:
+    body = " UNION ALL ".join(f"SELECT {e} AS phrase FROM part" for e in exprs)
+    return f"SELECT DISTINCT phrase AS query_id, phrase FROM ({body})"
+
+
+SEARCH_PHRASES = ["concat('organic ', p_name)", "concat('palm oil free ', p_name)",
+                  "concat(p_name, ' under 200 calories')", "concat('by brand ', lower(p_brand))"]
+ENTITY_PHRASES = ["concat(p_name, ' ', lower(p_type), ' ', p_name)",
+                  "concat('show me ', lower(p_type), ' products with ', p_name)",
+                  "concat('vegan ', p_name, ' from canada contains soya lecithin')"]
+NUMERIC_PHRASES = ["concat(p_name, ' under ', p_size * 10, ' calories')",
+                   "concat('at least ', p_size % 30, 'g protein ', p_name)",
+                   "concat('500 ml ', p_name, ' over ', p_size, ' g sugars')"]
+PALM_PHRASES = ["concat('palm oil free ', p_name)", "concat(p_name, ' with palm oil')",
+                "concat('no palm oil ', p_name, ' high protein')"]
+
+
+def dictionary_df(spark, sf):
+    from larder.operators.dictionary import build_dictionary
+    return build_dictionary(spark, raw(spark, sf))
+
+
+def annotations(spark, sf, phrases):
+    from larder.operators.annotate import annotate
+    return annotate(phrases, dictionary_df(spark, sf))
+
+
+def requests(spark, sf, phrases):
+    from larder.operators.filters import derive_requests
+    d = dictionary_df(spark, sf)
+    from larder.operators.annotate import annotate
+    return derive_requests(annotate(phrases, d), d)
+
+
+def search_tbl(spark, sf):
+    from larder.operators.enrich import search_table
+    return search_table(docs(spark, sf))
+
+
+def _join(arr_col, fmt=None):
+    return F.array_join(arr_col if fmt is None else F.transform(arr_col, fmt), "|")
+
+
+def flat_annotations(a: DataFrame) -> DataFrame:
+    """Scalar view of annotations for comparison."""
+    from larder.fixed_values import ENTITY_KINDS, FILTER_KEYS
+    cols = [
+        "query_id", "normalized_query", "text_term", "intent",
+        _join(F.col("modifiers")).alias("modifiers"),
+        _join(F.col("numeric_filters"), lambda x: F.concat_ws(":", x["nutrient"], x["operator"],
+                                                                x["value"].cast("string"), x["unit"])).alias("numeric"),
+        _join(F.col("recipe_quantities"), lambda x: F.concat_ws(":", x["raw"], x["value"].cast("string"),
+                                                                  x["unit"])).alias("recipe"),
+        _join(F.col("explanations"), lambda x: F.concat_ws(":", x["field"], x["explanation"])).alias("explanations"),
+    ]
+    cols += [F.col(f"filters.{k}").alias(f"f_{k}") for k in FILTER_KEYS]
+    cols += [_join(F.col(f"entities.{k}"), lambda e: e["value"]).alias(f"e_{k}") for k in ENTITY_KINDS]
+    return a.select(*cols)
+
+
+def flat_annotations_sql(ann: str) -> str:
+    from larder.fixed_values import ENTITY_KINDS, FILTER_KEYS
+    cols = ["query_id", "nq AS normalized_query", "cq AS text_term", "intent",
+            "array_to_string(modifiers, '|') AS modifiers",
+            "array_to_string(list_transform(numeric_filters, lambda x: concat_ws(':', x.nutrient, x.operator, "
+            "cast(x.value AS varchar), x.unit)), '|') AS numeric",
+            "array_to_string(list_transform(recipe_quantities, lambda x: concat_ws(':', x.raw, "
+            "cast(x.value AS varchar), x.unit)), '|') AS recipe",
+            "array_to_string(list_transform(expl, lambda x: concat_ws(':', x.field, x.explanation)), '|') "
+            "AS explanations"]
+    cols += [f"f_{k}" for k in FILTER_KEYS]
+    cols += [f"array_to_string({O.kind_values(k)}, '|') AS e_{k}" for k in ENTITY_KINDS]
+    return f"SELECT {', '.join(cols)} FROM ({ann})"
+
+
+_DICT_SQL = O.dictionary_sql()
+
+
+@register("dictionary_topk", O.dictionary_topk_sql())
+def q_dictionary_topk(spark, sf):
+    from larder.operators.dictionary import dictionary_topk
+    return dictionary_topk(raw(spark, sf))
+
+
+@register("dictionary_always_include", _DICT_SQL)
+def q_dictionary_always_include(spark, sf):
+    return dictionary_df(spark, sf)
+
+
+@register("annotate_full", flat_annotations_sql(O.annotate_sql(phrase_set_sql(SEARCH_PHRASES), _DICT_SQL)))
+def q_annotate_full(spark, sf):
+    return flat_annotations(annotations(spark, sf, phrase_set(spark, sf, SEARCH_PHRASES)))
+
+
+@register("entities_greedy", flat_annotations_sql(O.annotate_sql(phrase_set_sql(ENTITY_PHRASES), _DICT_SQL)))
+def q_entities_greedy(spark, sf):
+    return flat_annotations(annotations(spark, sf, phrase_set(spark, sf, ENTITY_PHRASES)))
+
+
+@register("numeric_constraints", flat_annotations_sql(O.annotate_sql(phrase_set_sql(NUMERIC_PHRASES), _DICT_SQL)))
+def q_numeric_constraints(spark, sf):
+    return flat_annotations(annotations(spark, sf, phrase_set(spark, sf, NUMERIC_PHRASES)))
+
+
+@register("dietary_filters", flat_annotations_sql(O.annotate_sql(phrase_set_sql(PALM_PHRASES), _DICT_SQL)))
+def q_dietary_filters(spark, sf):
+    return flat_annotations(annotations(spark, sf, phrase_set(spark, sf, PALM_PHRASES)))
+
+
+def _search_oracle(phrase_exprs, k=10, src_sql=None):
+    req = O.requests_sql(O.annotate_sql(phrase_set_sql(phrase_exprs), _DICT_SQL), _DICT_SQL)
+    return O.ranked_sql(O.scored_sql(req, O.search_docs_sql(src_sql)), k)
+
+
+def _search(spark, sf, phrase_exprs, k=10):
+    from larder.operators.retrieve import search
+    return search(requests(spark, sf, phrase_set(spark, sf, phrase_exprs)), search_tbl(spark, sf), k)
+
+
+@register("search_tiered", _search_oracle(SEARCH_PHRASES))
+def q_search_tiered(spark, sf):
+    return _search(spark, sf, SEARCH_PHRASES)
+
+
+@register("filter_numeric", _search_oracle(NUMERIC_PHRASES))
+def q_filter_numeric(spark, sf):
+    return _search(spark, sf, NUMERIC_PHRASES)
+
+
+@register("filter_palm_oil", _search_oracle(PALM_PHRASES))
+def q_filter_palm_oil(spark, sf):
+    return _search(spark, sf, PALM_PHRASES)
+
+
+@register("filter_flags", _search_oracle(ENTITY_PHRASES))
+def q_filter_flags(spark, sf):
+    return _search(spark, sf, ENTITY_PHRASES)
+
+
+FLAGSHIP = "search_tiered"

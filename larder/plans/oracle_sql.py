@@ -178,3 +178,293 @@ def normalize(x: str) -> str:
     keep = WS[1:-1]
     return strip(f"regexp_replace(regexp_replace(lower(coalesce({x}, '')), '[^\\p{{L}}\\p{{N}}_{keep}\\-]', '', 'g'), "
                  f"'{WS}+', ' ', 'g')")
+
+
+# ------------------------------------------------------------------ annotation
+from larder.fixed_values import (  # noqa: E402
+    ALLERGENS,
+    ALWAYS_INCLUDE_INGREDIENTS,
+    BRAND_INTENT_PATTERNS,
+    CATEGORY_INTENT_PATTERN,
+    COUNTRIES,
+    DICTIONARY_TOP,
+    DIETARY_PATTERNS,
+    ENTITY_KINDS,
+    EXPLICIT_BRAND_PATTERNS,
+    FILTER_KEYS,
+    INGREDIENT_INTENT_PATTERN,
+    MODIFIER_PATTERN,
+    NUMERIC_PATTERNS,
+    NUTRIENT_FIELD_MAP,
+    NUTRITION_TERMS,
+    RECIPE_QTY_PATTERN,
+    SUSTAINABILITY_LABELS,
+)
+
+
+def q(s: str) -> str:
+    return "'" + s.replace("'", "''") + "'"
+
+
+def sql_list(items) -> str:
+    return "[" + ", ".join(q(x) for x in items) + "]"
+
+
+def clean_piece(x: str) -> str:
+    s = f"lower({strip(x)})"
+    s = f"regexp_replace({s}, '{WS}*\\([^)]*\\)', '', 'g')"
+    s = f"regexp_replace({s}, '{WS}*en:[a-z0-9\\-]+', '', 'g')"
+    s = f"regexp_replace({s}, '[^a-z0-9{WS[1:-1]}\\-%&'']+', '', 'g')"
+    s = strip(f"regexp_replace({s}, '{WS}+', ' ', 'g')")
+    return (f"CASE WHEN {s} = '' OR length({s}) > 48 OR {s} IN ('null', 'none', 'nan') THEN NULL ELSE {s} END")
+
+
+def dictionary_topk_sql(raw_sql: str | None = None) -> str:
+    rp = raw_products_sql(raw_sql)
+    caps = " ".join(f"WHEN {q(k)} THEN {v}" for k, v in DICTIONARY_TOP.items())
+    return f"""
+    WITH rp AS ({rp}),
+    pieces AS (
+      SELECT 'brands' AS kind, unnest(string_split(brands, ',')) AS piece FROM rp
+      UNION ALL SELECT 'categories', unnest(string_split(categories, ',')) FROM rp
+      UNION ALL SELECT 'ingredients', unnest(string_split(ingredients_text, ',')) FROM rp),
+    cleaned AS (SELECT kind, {clean_piece('piece')} AS term FROM pieces),
+    counts AS (SELECT kind, term, count(*) AS n FROM cleaned WHERE term IS NOT NULL GROUP BY kind, term),
+    ranked AS (SELECT *, row_number() OVER (PARTITION BY kind ORDER BY n DESC, term) AS rank FROM counts)
+    SELECT kind, term, n, rank FROM ranked WHERE rank <= CASE kind {caps} END
+    """
+
+
+def dictionary_sql(raw_sql: str | None = None) -> str:
+    """(term, kind, priority, in_categories, in_ingredients)."""
+    static = []
+    for kind, words in (("allergens", ALLERGENS), ("sustainability_labels", SUSTAINABILITY_LABELS),
+                        ("nutrition", NUTRITION_TERMS), ("countries", COUNTRIES)):
+        static += [f"SELECT {q(w)} AS term, {q(kind)} AS kind" for w in words]
+    always = " UNION ALL ".join(f"SELECT {q(w)} AS term" for w in ALWAYS_INCLUDE_INGREDIENTS)
+    prio = " ".join(f"WHEN {q(k)} THEN {i + 1}" for i, k in enumerate(ENTITY_KINDS))
+    kinds = " ".join(f"WHEN {i + 1} THEN {q(k)}" for i, k in enumerate(ENTITY_KINDS))
+    return f"""
+    WITH built AS (SELECT term, kind FROM ({dictionary_topk_sql(raw_sql)})),
+    extra AS (SELECT term, 'ingredients' AS kind FROM ({always}) a
+              WHERE term NOT IN (SELECT term FROM built WHERE kind = 'ingredients')),
+    every AS (SELECT * FROM built UNION ALL SELECT * FROM extra UNION ALL {' UNION ALL '.join(static)}),
+    best AS (SELECT term, min(CASE kind {prio} END) AS priority, bool_or(kind = 'categories') AS in_categories,
+                    bool_or(kind = 'ingredients') AS in_ingredients FROM every GROUP BY term)
+    SELECT term, CASE priority {kinds} END AS kind, priority, in_categories, in_ingredients FROM best
+    """
+
+
+def _expl(field: str, text: str) -> str:
+    return f"{{'field': {q(field)}, 'explanation': {text}}}"
+
+
+def annotate_sql(phrases_sql: str, dict_sql: str) -> str:
+    """Full phrase annotation (Q-1 .. Q-19) as SQL; one row per query_id."""
+    ctes = [f"ph AS ({phrases_sql})",
+            f"dict AS ({dict_sql})",
+            f"n0 AS (SELECT query_id, phrase, {canon(normalize('phrase'))} AS nq FROM ph)"]
+    mod = f"regexp_extract_all(nq, {q(MODIFIER_PATTERN)}, 0)"
+    ctes.append(f"n1 AS (SELECT *, list_filter({mod}, lambda x, i: list_position({mod}, x) = i) AS modifiers FROM n0)")
+    ctes.append("n2 AS (SELECT *, nq AS t, list_transform(modifiers, lambda m: "
+                + _expl("modifiers", "'Extracted modifier ''' || m || ''''") + ") AS expl, "
+                "[]::STRUCT(nutrient VARCHAR, operator VARCHAR, value DOUBLE, unit VARCHAR, "
+                "comparison_basis VARCHAR)[] AS numeric_filters FROM n1)")
+    prev = "n2"
+    for i, (pat, op) in enumerate(NUMERIC_PATTERNS):
+        p = q(pat)
+        items = (f"list_transform(range(1, len(regexp_extract_all(t, {p}, 0)) + 1), lambda i: "
+                 f"{{'nutrient': coalesce(nullif(regexp_extract_all(t, {p}, 3)[i], ''), regexp_extract_all(t, {p}, 2)[i]), "
+                 f"'operator': {q(op)}, 'value': cast(regexp_extract_all(t, {p}, 1)[i] AS double), "
+                 f"'unit': regexp_extract_all(t, {p}, 2)[i], 'comparison_basis': 'per_100g'}})")
+        ctes.append(f"u{i}a AS (SELECT *, {items} AS items, regexp_extract_all(t, {p}, 0) AS ms FROM {prev})")
+        ctes.append(
+            f"u{i} AS (SELECT * EXCLUDE (items, ms, t, expl, numeric_filters), "
+            f"list_concat(numeric_filters, items) AS numeric_filters, "
+            f"list_concat(expl, list_transform(items, lambda x: "
+            + _expl("numeric", "'Numeric constraint: ' || x.nutrient || ' ' || x.operator || ' ' || "
+                               "cast(x.value AS varchar) || x.unit") + ")) AS expl, "
+            f"list_reduce(ms, lambda acc, m: trim(replace(acc, m, ' ')), t) AS t FROM u{i}a)")
+        prev = f"u{i}"
+    p = q(RECIPE_QTY_PATTERN)
+    val = ("CASE WHEN contains(z.v, '/') THEN CASE WHEN cast(split_part(z.v, '/', 2) AS double) <> 0 THEN "
+           "cast(split_part(z.v, '/', 1) AS double) / cast(split_part(z.v, '/', 2) AS double) ELSE 0.0 END "
+           "ELSE cast(z.v AS double) END")
+    ctes.append(
+        f"r0 AS (SELECT *, list_transform(range(1, len(regexp_extract_all(t, {p}, 0)) + 1), lambda i: "
+        f"{{'raw': regexp_extract_all(t, {p}, 0)[i], 'v': regexp_extract_all(t, {p}, 1)[i], "
+        f"'unit': regexp_extract_all(t, {p}, 2)[i]}}) AS rq0, regexp_extract_all(t, {p}, 0) AS ms FROM {prev})")
+    ctes.append(
+        "r1 AS (SELECT * EXCLUDE (rq0, ms, t, expl), list_transform(rq0, lambda z: {'raw': z.raw, 'value': "
+        + val + ", 'unit': z.unit}) AS recipe_quantities, "
+        "list_concat(expl, list_transform(rq0, lambda z: "
+        + _expl("recipe_quantity", "'Extracted recipe quantity: ' || z.raw || ' (separated from product "
+                                   "retrieval term)'") + ")) AS expl, "
+        "list_reduce(ms, lambda acc, m: trim(replace(acc, m, ' ')), t) AS t FROM r0)")
+    prev = "r1"
+    filt_init = ", ".join(f"NULL::BOOLEAN AS f_{k}" for k in FILTER_KEYS)
+    ctes.append(f"d0 AS (SELECT *, {filt_init} FROM {prev})")
+    prev = "d0"
+    for i, (pat, key, value, explanation) in enumerate(DIETARY_PATTERNS):
+        p = q(pat)
+        ctes.append(f"d{i + 1}h AS (SELECT *, (f_{key} IS NULL AND regexp_matches(t, {p})) AS h, "
+                    f"trim(regexp_replace(t, {p}, '', 'g')) AS red FROM {prev})")
+        ctes.append(
+            f"d{i + 1} AS (SELECT * EXCLUDE (h, red, f_{key}, t, expl), "
+            f"CASE WHEN h THEN {'true' if value else 'false'} ELSE f_{key} END AS f_{key}, "
+            f"CASE WHEN h AND red <> '' THEN red ELSE t END AS t, "
+            f"CASE WHEN h THEN list_append(expl, {_expl(key, q(explanation))}) ELSE expl END AS expl "
+            f"FROM d{i + 1}h)")
+        prev = f"d{i + 1}"
+    brand_any = " OR ".join(f"regexp_matches(cq, {q(p)})" for p in BRAND_INTENT_PATTERNS)
+    ctes.append(f"c0 AS (SELECT * EXCLUDE (t), regexp_replace(trim(t), ' +', ' ', 'g') AS cq FROM {prev})")
+    ctes.append(
+        f"c1 AS (SELECT *, CASE WHEN {brand_any} THEN 'brand_search' "
+        f"WHEN regexp_matches(cq, {q(CATEGORY_INTENT_PATTERN)}) THEN 'category_browse' "
+        f"WHEN regexp_matches(cq, {q(INGREDIENT_INTENT_PATTERN)}) THEN 'ingredient_search' "
+        f"ELSE 'generic_search' END AS intent, "
+        f"CASE WHEN cq = '' THEN []::VARCHAR[] ELSE string_split(cq, ' ') END AS toks FROM c0)")
+    eb = "CASE " + " ".join(
+        f"WHEN regexp_matches(cq, {q(p)}) THEN nullif(trim(regexp_extract(cq, {q(p)}, 1)), '')"
+        for p in EXPLICIT_BRAND_PATTERNS) + " END"
+    ctes.append(f"c2 AS (SELECT *, CASE WHEN intent = 'brand_search' THEN {eb} END AS explicit_brand FROM c1)")
+    ng = ("list_sort(flatten(list_transform(range(1, least(4, len(toks)) + 1), lambda n: "
+          "list_transform(range(0, len(toks) - n + 1), lambda i: "
+          "{'neg_len': -length(array_to_string(toks[i + 1:i + n], ' ')), 'n': n, 'pos': i, "
+          "'text': array_to_string(toks[i + 1:i + n], ' ')}))))")
+    ctes.append(f"g0 AS (SELECT query_id, toks, unnest({ng}) AS g, generate_subscripts({ng}, 1) AS idx FROM c2)")
+    ctes.append("g1 AS (SELECT g0.query_id, any_value(g0.toks) AS toks, list({'idx': idx, 'text': g.text, 'n': g.n, "
+                "'kind': dict.kind} ORDER BY idx) AS cands FROM g0 JOIN dict ON g.text = dict.term "
+                "GROUP BY g0.query_id)")
+    step = ("list_reduce(cands, lambda acc, c: CASE WHEN list_filter(range(0, len(toks) - c.n + 1), lambda i: "
+            "array_to_string(toks[i + 1:i + c.n], ' ') = c.text AND NOT list_has_any(acc.used, range(i, i + c.n)))[1] "
+            "IS NULL THEN acc ELSE {'used': list_concat(acc.used, range(list_filter(range(0, len(toks) - c.n + 1), "
+            "lambda i: array_to_string(toks[i + 1:i + c.n], ' ') = c.text AND NOT list_has_any(acc.used, "
+            "range(i, i + c.n)))[1], list_filter(range(0, len(toks) - c.n + 1), lambda i: "
+            "array_to_string(toks[i + 1:i + c.n], ' ') = c.text AND NOT list_has_any(acc.used, range(i, i + c.n)))[1] "
+            "+ c.n)), 'out': list_append(acc.out, {'kind': c.kind, 'value': c.text})} END, "
+            "{'used': []::BIGINT[], 'out': []::STRUCT(kind VARCHAR, value VARCHAR)[]})")
+    ctes.append(f"g2 AS (SELECT query_id, {step}.out AS matched FROM g1)")
+    ctes.append("a AS (SELECT c2.*, coalesce(g2.matched, []::STRUCT(kind VARCHAR, value VARCHAR)[]) AS matched "
+                "FROM c2 LEFT JOIN g2 USING (query_id))")
+    return "WITH " + ",\n".join(ctes) + "\nSELECT * FROM a"
+
+
+def kind_values(kind: str) -> str:
+    vals = f"list_transform(list_filter(matched, lambda m: m.kind = {q(kind)}), lambda m: m.value)"
+    if kind == "brands":
+        vals = (f"list_concat(CASE WHEN explicit_brand IS NOT NULL THEN [explicit_brand] ELSE []::VARCHAR[] END, "
+                f"{vals})")
+    return vals
+
+
+def requests_sql(ann: str, dict_sql: str) -> str:
+    """Filter derivation (D-2 .. D-11) over annotate_sql output."""
+    brands = kind_values("brands")
+    b0 = f"({brands})[1]"
+    stripped = (f"trim(regexp_replace(regexp_replace(' ' || text_term || ' ', "
+                f"'([^a-z0-9])' || regexp_escape({b0}) || '([^a-z0-9])', '\\1 \\2', 'g'), '\\s+', ' ', 'g'))")
+    flags = {"is_palm_oil_free": "NOT f_palm_oil"}
+    for k in FILTER_KEYS:
+        if k != "palm_oil":
+            flags[f"is_{k}"] = f"f_{k}"
+    flag_cols = ", ".join(f"{v} AS {k}" for k, v in flags.items())
+    return f"""
+    WITH ann AS ({ann}), dict2 AS ({dict_sql}),
+    b AS (SELECT ann.*, cq AS text_term, {b0} AS b0, {stripped} AS remaining,
+                 coalesce((SELECT in_categories OR in_ingredients FROM dict2 WHERE term = lower({b0})), false) AS amb
+          FROM ann),
+    r AS (SELECT *,
+      CASE WHEN intent = 'brand_search' THEN b0
+           WHEN b0 IS NOT NULL AND intent = 'generic_search' AND NOT amb AND text_term <> '' AND remaining <> ''
+           THEN b0 END AS brand_f,
+      (intent = 'generic_search' AND b0 IS NOT NULL AND NOT amb AND text_term <> '' AND remaining <> '') AS promoted
+      FROM b)
+    SELECT query_id, intent,
+      CASE WHEN intent IN ('brand_search', 'category_browse', 'ingredient_search') THEN ''
+           WHEN promoted THEN remaining ELSE text_term END AS text,
+      brand_f,
+      CASE WHEN intent = 'category_browse' THEN ({kind_values('categories')})[1] END AS category_f,
+      CASE WHEN intent = 'ingredient_search' THEN ({kind_values('ingredients')})[1] END AS ingredients_f,
+      {flag_cols}, numeric_filters, modifiers
+    FROM r
+    """
+
+
+def nutrient_key(x: str) -> str:
+    cases = " ".join(f"WHEN {q(k)} THEN {q(v)}" for k, v in NUTRIENT_FIELD_MAP.items())
+    return f"CASE {x} {cases} ELSE {x} END"
+
+
+def variants_sql(t: str) -> str:
+    parts = [t]
+    for a, b in SYNONYM_PAIRS:
+        parts.append(f"CASE WHEN {t} = {q(a)} THEN {q(b)} WHEN {t} = {q(b)} THEN {q(a)} END")
+    return "list_filter([" + ", ".join(parts) + "], lambda v: v IS NOT NULL)"
+
+
+def search_docs_sql(src_sql: str | None = None) -> str:
+    """Documents with lower / canonical fields, flags and a nutrient list."""
+    rp = raw_products_sql(src_sql)
+    nl = nutriments_long_sql("SELECT code, nutriments_raw FROM rp")
+    return f"""
+    WITH rp AS ({rp}), nl AS ({nl}),
+    nut AS (SELECT code, list({{'k': nutrient, 'p': per_100g, 'v': value}}) AS nuts FROM nl GROUP BY code),
+    d AS ({docs_sql(src_sql)})
+    SELECT d.*, coalesce(nut.nuts, []) AS nuts,
+      lower(coalesce(product_name, '')) AS name_l, lower(coalesce(brand, '')) AS brand_l,
+      lower(coalesce(category, '')) AS cat_l, lower(coalesce(ingredients, '')) AS ing_l,
+      lower(coalesce(search_text, '')) AS text_l,
+      {canon("lower(coalesce(product_name, ''))")} AS name_c, {canon("lower(coalesce(brand, ''))")} AS brand_c,
+      {canon("lower(coalesce(category, ''))")} AS cat_c, {canon("lower(coalesce(ingredients, ''))")} AS ing_c,
+      {canon("lower(coalesce(search_text, ''))")} AS text_c
+    FROM d LEFT JOIN nut ON nut.code = d.id
+    """
+
+
+def scored_sql(req_sql: str, docs: str) -> str:
+    """Reference tiered scoring of every (request, document) pair (the oracle
+    may enumerate pairs; the Spark plan never does)."""
+    from larder.fixed_values import FLAG_NAMES
+    toks = "list_filter(string_split(lower(text), ' '), lambda t: length(t) > 1)"
+    fields = ["name_l", "brand_l", "cat_l", "ing_l", "text_l"]
+    cand = (f"(text = '' OR len({toks}) = 0 OR list_bool_or(list_transform(flatten(list_transform({toks}, "
+            f"lambda t: {variants_sql('t')})), lambda v: " + " OR ".join(f"contains({f}, v)" for f in fields) + ")))")
+    flag_ok = " AND ".join(f"(r.{f} IS NULL OR d.{f} = r.{f})" for f in FLAG_NAMES)
+    num_ok = ("coalesce(list_bool_and(list_transform(numeric_filters, lambda nf: coalesce(CASE WHEN nf.operator = 'gte' THEN "
+              f"(list_filter(nuts, lambda e: e.k = {nutrient_key('nf.nutrient')})[1].p) >= nf.value "
+              "WHEN nf.operator = 'lte' THEN "
+              f"(list_filter(nuts, lambda e: e.k = {nutrient_key('nf.nutrient')})[1].p) <= nf.value "
+              "ELSE true END, false))), true)")
+    best = ("list_transform(" + toks + ", lambda t: greatest(CASE WHEN contains(name_c, t) THEN 3.0 ELSE 0.0 END, "
+            "CASE WHEN contains(brand_c, t) THEN 2.0 ELSE 0.0 END, CASE WHEN contains(cat_c, t) THEN 1.5 ELSE 0.0 END, "
+            "CASE WHEN contains(ing_c, t) THEN 1.2 ELSE 0.0 END, CASE WHEN contains(text_c, t) THEN 1.0 ELSE 0.0 END))")
+    phrase = ("CASE WHEN contains(name_c, lower(text)) THEN 30.0 WHEN contains(brand_c, lower(text)) THEN 20.0 "
+              "WHEN contains(cat_c, lower(text)) THEN 15.0 WHEN contains(text_c, lower(text)) THEN 10.0 ELSE 0.0 END")
+    return f"""
+    WITH req AS ({req_sql}), docs AS ({docs}),
+    p AS (SELECT r.query_id, r.text, r.modifiers, r.numeric_filters, d.*
+          FROM req r, docs d
+          WHERE (r.brand_f IS NULL OR contains(d.brand_l, lower(r.brand_f)))
+            AND (r.category_f IS NULL OR contains(d.cat_l, lower(r.category_f)))
+            AND (r.ingredients_f IS NULL OR contains(d.ing_l, lower(r.ingredients_f)))
+            AND {flag_ok}),
+    c AS (SELECT *, {best} AS best FROM p WHERE {cand} AND {num_ok}),
+    s0 AS (SELECT *, list_reduce(best, lambda acc, b: acc + b * 2.0, {phrase})
+                     + CASE WHEN len(best) > 0 AND len(list_filter(best, lambda b: b > 0)) = len(best) THEN 5.0
+                            ELSE 0.0 END AS s FROM c),
+    s1 AS (SELECT query_id, id AS doc_id, completeness,
+             list_reduce(modifiers, lambda acc, m: acc + CASE WHEN contains(name_c, lower(m)) THEN 5.0 ELSE 0.0 END,
+                         CASE WHEN text = '' THEN 1.0 ELSE s END) AS s
+           FROM s0 WHERE text = '' OR s > 0)
+    SELECT query_id, doc_id, round(s + completeness * 0.15, 6) AS score FROM s1
+    """
+
+
+def ranked_sql(scored: str, k: int) -> str:
+    return f"""
+    SELECT query_id, rank, doc_id, score, total FROM (
+      SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank,
+             count(*) OVER (PARTITION BY query_id) AS total FROM ({scored}))
+    WHERE rank <= {k}
+    """
