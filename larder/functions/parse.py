@@ -131,12 +131,9 @@ def _nutrient(value, per_100g, unit) -> Column:
                     unit.cast("string").alias("unit"))
 
 
-def _json_nutriments(text: Column) -> Column:
-    """C-12/C-13: JSON object branch, via VARIANT so numbers, strings and
-    booleans stay distinguishable."""
-    cleaned = F.regexp_replace(text, _NAN_LITERAL, "null")
-    obj = F.try_variant_get(F.try_parse_json(cleaned), "$", "map<string,variant>")
-
+def _json_entries(obj: Column) -> Column:
+    """C-12: map<string,variant> -> nutrition map (numbers, strings and
+    booleans stay distinguishable through the VARIANT type)."""
     def entry(_k, x):
         kind = F.schema_of_variant(x)
         is_obj = kind.startswith("OBJECT")
@@ -156,7 +153,13 @@ def _json_nutriments(text: Column) -> Column:
         ))
 
     parsed = F.map_filter(F.transform_values(obj, entry), lambda _k, v: v["keep"])
-    parsed = F.transform_values(parsed, lambda _k, v: _nutrient(v["value"], v["per_100g"], v["unit"]))
+    return F.transform_values(parsed, lambda _k, v: _nutrient(v["value"], v["per_100g"], v["unit"]))
+
+
+def _json_nutriments(text: Column) -> Column:
+    """C-12/C-13: JSON object branch."""
+    cleaned = F.regexp_replace(text, _NAN_LITERAL, "null")
+    parsed = _json_entries(F.try_variant_get(F.try_parse_json(cleaned), "$", "map<string,variant>"))
     energy = F.try_element_at(parsed, F.lit("energy"))
     with_alias = F.when(
         F.map_contains_key(parsed, "energy") & ~F.map_contains_key(parsed, "energy-kcal"),
@@ -171,21 +174,27 @@ def _list_number(b: Column, pattern: str) -> Column:
     return F.when(b.rlike(pattern), num)
 
 
-def _list_nutriments(text: Column) -> Column:
-    """C-14: list-of-blocks branch; a later duplicate name wins."""
-    blocks = F.regexp_extract_all(text, F.lit(_BLOCK), 1)
+def _list_records(blocks: Column) -> Column:
     recs = F.transform(blocks, lambda b: F.struct(
         F.when(b.rlike(_L_NAME), F.regexp_extract(b, _L_NAME, 1)).alias("name"),
         _list_number(b, _L_VALUE).alias("value"),
         _list_number(b, _L_100G).alias("per_100g"),
         F.when(b.rlike(_L_UNIT), F.regexp_extract(b, _L_UNIT, 1)).alias("unit"),
     ))
-    recs = F.filter(recs, lambda r: r["name"].isNotNull())
+    return F.filter(recs, lambda r: r["name"].isNotNull())
+
+
+def _list_map(recs: Column) -> Column:
     last = F.filter(recs, lambda r, i: F.size(F.filter(recs, lambda s, j: (j > i) & (s["name"] == r["name"]))) == 0)
     return F.map_from_entries(F.transform(last, lambda r: F.struct(
         r["name"].alias("key"), _nutrient(r["value"], r["per_100g"], r["unit"]).alias("value"))))
 
 
+def _list_nutriments(text: Column) -> Column:
+    """C-14: list-of-blocks branch; a later duplicate name wins."""
+    return _list_map(_list_records(F.regexp_extract_all(text, F.lit(_BLOCK), 1)))
+
+
 def parse_nutriments(raw) -> Column:
     """C-11: '' / '[]' -> {}, text starting with '{' -> JSON branch, else list branch."""
     raw = col_(raw)
@@ -207,3 +216,45 @@ def sanitize_nutrition(nutrition) -> Column:
     """S-18: NaN -> NULL inside the nutrition map."""
     return F.transform_values(col_(nutrition), lambda _k, v: _nutrient(
         null_nan(v["value"]), null_nan(v["per_100g"]), v["unit"]))
+
+
+# --- staged forms ---------------------------------------------------------------
+# Catalyst does not collapse a projection into the next one when that would
+# evaluate a non-trivial expression more than once, so materialising the
+# intermediate arrays / maps as columns makes each regex / JSON parse run once
+# per row.
+
+
+def with_multilingual(df, src: str, out: str):
+    """C-9/C-10 as two projections: entries once, then the pick."""
+    tmp = f"__{out}_entries"
+    df = df.withColumn(tmp, multilingual_entries(F.col(src)))
+    df = df.withColumn(f"__{out}_pick", pick_language(F.col(tmp)))
+    pick = F.col(f"__{out}_pick")
+    return df.withColumn(out, F.when(pick != "", pick).otherwise(py_strip(F.col(src)))).drop(tmp, f"__{out}_pick")
+
+
+def with_nutriments(df, src: str, out: str):
+    """C-11 .. C-14 as staged projections (same result as ``parse_nutriments``)."""
+    p = f"__{out}"
+    df = df.withColumn(f"{p}_s", F.coalesce(F.col(src), F.lit("")))
+    df = df.withColumn(f"{p}_t", py_strip(F.col(f"{p}_s")))
+    s, t = F.col(f"{p}_s"), F.col(f"{p}_t")
+    empty_c = (s == "") | (s == "[]")
+    is_json = ~empty_c & t.startswith("{")
+    is_list = ~empty_c & ~t.startswith("{")
+    df = df.withColumn(f"{p}_obj", F.when(is_json, F.try_variant_get(
+        F.try_parse_json(F.regexp_replace(t, _NAN_LITERAL, "null")), "$", "map<string,variant>")))
+    df = df.withColumn(f"{p}_blocks", F.when(is_list, F.regexp_extract_all(t, F.lit(_BLOCK), 1)))
+    df = df.withColumn(f"{p}_jm", _json_entries(F.col(f"{p}_obj")))
+    df = df.withColumn(f"{p}_recs", _list_records(F.col(f"{p}_blocks")))
+    df = df.withColumn(f"{p}_lm", _list_map(F.col(f"{p}_recs")))
+    jm = F.col(f"{p}_jm")
+    energy = F.try_element_at(jm, F.lit("energy"))
+    with_alias = F.when(F.map_contains_key(jm, "energy") & ~F.map_contains_key(jm, "energy-kcal"),
+                        F.map_concat(jm, F.create_map(F.lit("energy-kcal"), energy))).otherwise(jm)
+    empty = F.create_map().cast(NUTRITION_TYPE)
+    res = (F.when(empty_c, empty).when(is_json, F.coalesce(with_alias, empty))
+           .otherwise(F.coalesce(F.col(f"{p}_lm"), empty)))
+    df = df.withColumn(out, res)
+    return df.drop(*[f"{p}_{x}" for x in ("s", "t", "obj", "blocks", "jm", "recs", "lm")])

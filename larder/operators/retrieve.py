@@ -171,9 +171,15 @@ DOC_COLS = ["doc_id", "name_c", "brand_c", "cat_c", "ing_c", "text_c", "brand_l"
 
 
 def scored_hits(req: DataFrame, search_tbl: DataFrame, post: DataFrame | None = None,
-                vgrams: DataFrame | None = None) -> DataFrame:
-    """Every (query_id, doc_id, score) that the tiered scorer keeps."""
+                vgrams: DataFrame | None = None, materialize: bool = True) -> DataFrame:
+    """Every (query_id, doc_id, score) that the tiered scorer keeps.
+
+    The request table feeds three branches (postings keys, signature path,
+    scoring join); it is checkpointed once so annotation is not re-run per
+    branch (and a lost executor re-reads it instead of re-annotating)."""
     req = req.select(*REQUEST_COLS)
+    if materialize:
+        req = req.checkpoint(eager=True)
     post = post if post is not None else postings(search_tbl)
     vgrams = vgrams if vgrams is not None else vocabulary_grams(post)
     cands = postings_candidates(req, post, vgrams).unionByName(signature_candidates(req, search_tbl))

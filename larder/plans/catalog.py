@@ -158,9 +158,13 @@ PALM_PHRASES = ["concat('palm oil free ', p_name)", "concat(p_name, ' with palm
                 "concat('no palm oil ', p_name, ' high protein')"]
 
 
+def index(spark, sf):
+    from larder.plans.index import shared_index
+    return shared_index(spark, f"part:{sf}", lambda: fx.products_raw(spark, sf))
+
+
 def dictionary_df(spark, sf):
-    from larder.operators.dictionary import build_dictionary
-    return build_dictionary(spark, raw(spark, sf))
+    return index(spark, sf).dictionary
 
 
 def annotations(spark, sf, phrases):
@@ -168,16 +172,15 @@ def annotations(spark, sf, phrases):
     return annotate(phrases, dictionary_df(spark, sf))
 
 
-def requests(spark, sf, phrases):
+def requests(spark, sf, phrases, overrides=None):
+    from larder.operators.annotate import annotate
     from larder.operators.filters import derive_requests
     d = dictionary_df(spark, sf)
-    from larder.operators.annotate import annotate
-    return derive_requests(annotate(phrases, d), d)
+    return derive_requests(annotate(phrases, d), d, overrides)
 
 
 def search_tbl(spark, sf):
-    from larder.operators.enrich import search_table
-    return search_table(docs(spark, sf))
+    return index(spark, sf).search
 
 
 def _join(arr_col, fmt=None):
@@ -256,8 +259,10 @@ def _search_oracle(phrase_exprs, k=10, src_sql=None):
 
 
 def _search(spark, sf, phrase_exprs, k=10):
-    from larder.operators.retrieve import search
-    return search(requests(spark, sf, phrase_set(spark, sf, phrase_exprs)), search_tbl(spark, sf), k)
+    from larder.operators.retrieve import scored_hits, top_hits
+    ix = index(spark, sf)
+    req = requests(spark, sf, phrase_set(spark, sf, phrase_exprs))
+    return top_hits(scored_hits(req, ix.search, ix.postings, ix.vgrams), k)
 
 
 @register("search_tiered", _search_oracle(SEARCH_PHRASES))
@@ -281,3 +286,263 @@ def q_filter_flags(spark, sf):
 
 
 FLAGSHIP = "search_tiered"
+
+
+# ----------------------------------------------------------------- evaluation
+def classic_judgments(spark, sf) -> DataFrame:
+    """Classic judgments for the four search templates (one per phrase)."""
+    part = fx.table(spark, sf, "part")
+    names = part.select("p_name").distinct()
+    brands = part.select(F.lower("p_brand").alias("b")).distinct()
+    words = F.split("p_name", " ")
+    empty = F.array().cast("array<string>")
+    no_flags = F.create_map().cast("map<string,boolean>")
+    no_nut = F.lit(None).cast("struct<nutrient:string,operator:string,value:double>")
+
+    def row(q, typ, kws, dis, brand, flags, nut):
+        return [q.alias("query_id"), q.alias("query"), F.lit(typ).alias("type"), kws.alias("relevant_keywords"),
+                dis.alias("disallowed_keywords"), brand.cast("string").alias("relevant_brand"),
+                flags.alias("required_flags"), nut.alias("nutrition_constraint")]
+
+    a = names.select(*row(F.concat(F.lit("organic "), "p_name"), "dietary", words, empty, F.lit(None),
+                          F.create_map(F.lit("is_organic"), F.lit(True)), no_nut))
+    b = names.select(*row(F.concat(F.lit("palm oil free "), "p_name"), "dietary", words,
+                          F.array(F.lit("palm oil")), F.lit(None),
+                          F.create_map(F.lit("is_palm_oil_free"), F.lit(True)), no_nut))
+    c = names.select(*row(F.concat("p_name", F.lit(" under 200 calories")), "nutrition_numeric", words, empty,
+                          F.lit(None), no_flags,
+                          F.struct(F.lit("calories").alias("nutrient"), F.lit("lte").alias("operator"),
+                                   F.lit(200.0).alias("value"))))
+    d = brands.select(*row(F.concat(F.lit("by brand "), "b"), "brand", empty, empty, F.col("b"), no_flags, no_nut))
+    return a.unionByName(b).unionByName(c).unionByName(d)
+
+
+def structured_judgments(spark, sf) -> DataFrame:
+    j = classic_judgments(spark, sf)
+    rel = F.struct(
+        F.when(F.size("relevant_keywords") > 0, F.array("relevant_keywords")).otherwise(
+            F.array().cast("array<array<string>>")).alias("required_any"),
+        F.array().cast("array<string>").alias("required_all"),
+        F.array().cast("array<string>").alias("optional"),
+        F.transform("disallowed_keywords", lambda t: F.struct(t.alias("term"), F.lit("all").alias("scope"))).alias(
+            "excluded"),
+        F.lit("all").alias("excluded_scope"),
+        F.col("required_flags").alias("required_flags"),
+        F.col("nutrition_constraint").alias("nutrition"),
+        F.col("relevant_brand").alias("brand"),
+        F.lit("anywhere").alias("group_scope"))
+    return j.select("query_id", "query", "type", rel.alias("relevance"))
+
+
+_SPLIT = "string_split(p_name, ' ')"
+CLASSIC_JUDGMENTS_SQL = f"""
+SELECT 'organic ' || p_name AS query_id, 'dietary' AS type, {_SPLIT} AS kws, []::VARCHAR[] AS dis,
+       NULL::VARCHAR AS brand, [{{'k': 'is_organic', 'v': true}}] AS flags, NULL::VARCHAR AS nut_name,
+       NULL::VARCHAR AS nut_op, NULL::DOUBLE AS nut_val FROM (SELECT DISTINCT p_name FROM part)
+UNION ALL
+SELECT 'palm oil free ' || p_name, 'dietary', {_SPLIT}, ['palm oil'], NULL, [{{'k': 'is_palm_oil_free', 'v': true}}],
+       NULL, NULL, NULL FROM (SELECT DISTINCT p_name FROM part)
+UNION ALL
+SELECT p_name || ' under 200 calories', 'nutrition_numeric', {_SPLIT}, []::VARCHAR[], NULL,
+       []::STRUCT(k VARCHAR, v BOOLEAN)[], 'calories', 'lte', 200.0 FROM (SELECT DISTINCT p_name FROM part)
+UNION ALL
+SELECT 'by brand ' || b, 'brand', []::VARCHAR[], []::VARCHAR[], b, []::STRUCT(k VARCHAR, v BOOLEAN)[],
+       NULL, NULL, NULL FROM (SELECT DISTINCT lower(p_brand) AS b FROM part)
+"""
+
+
+def eval_hits(spark, sf, k=10):
+    """Top-k hits of the search phrases joined to the product fields."""
+    hits = _search(spark, sf, SEARCH_PHRASES, k)
+    d = docs(spark, sf).select(F.col("id").alias("doc_id"), "product_name", "brand", "search_text",
+                               F.col("attributes.flags").alias("flags"),
+                               F.col("attributes.nutrition").alias("nutrition"))
+    return hits.join(d, "doc_id")
+
+
+def graded_classic(spark, sf):
+    from larder.operators.evaluate import grade_classic
+    j = classic_judgments(spark, sf)
+    h = eval_hits(spark, sf).join(j.select("query_id", F.struct(*j.columns).alias("item")), "query_id")
+    return h.select("query_id", "rank", "doc_id", grade_classic(
+        F.col("product_name"), F.col("brand"), F.col("search_text"), F.col("flags"), F.col("item")).alias("grade"))
+
+
+def graded_structured(spark, sf):
+    from larder.operators.evaluate import grade_structured
+    j = structured_judgments(spark, sf)
+    h = eval_hits(spark, sf).join(j.select("query_id", "relevance"), "query_id")
+    return h.select("query_id", "rank", "doc_id", grade_structured(
+        F.col("product_name"), F.col("brand"), F.col("search_text"), F.col("flags"), F.col("nutrition"),
+        F.col("relevance")).alias("grade"))
+
+
+def _hits_docs_sql():
+    hits = _search_oracle(SEARCH_PHRASES)
+    return f"""
+    WITH h AS ({hits}), d AS ({O.search_docs_sql()})
+    SELECT h.query_id, h.rank, h.doc_id, lower(coalesce(d.product_name, '')) AS name,
+           lower(coalesce(d.brand, '')) AS brand, lower(coalesce(d.search_text, '')) AS text, d.*
+    EXCLUDE (product_name, brand, search_text)
+    FROM h JOIN d ON d.id = h.doc_id
+    """
+
+
+def _flag_of(key: str) -> str:
+    return "CASE " + " ".join(f"WHEN {key} = '{f}' THEN {f}" for f in FLAG_NAMES) + " END"
+
+
+GRADE_CLASSIC_SQL = f"""
+WITH hd AS ({_hits_docs_sql()}), j AS ({CLASSIC_JUDGMENTS_SQL})
+SELECT hd.query_id, rank, doc_id,
+  CASE WHEN list_bool_or(list_transform(j.dis, lambda x: contains(name, lower(x)) OR contains(text, lower(x)))) THEN 0
+       WHEN coalesce(list_bool_or(list_transform(j.flags, lambda f: NOT coalesce({_flag_of('f.k')} = f.v, false))),
+                     false) THEN 0
+       WHEN j.brand IS NOT NULL AND j.brand <> '' AND NOT contains(hd.brand, lower(j.brand))
+            AND NOT contains(name, lower(j.brand)) THEN 0
+       WHEN len(j.kws) = 0 THEN 3
+       WHEN len(list_filter(j.kws, lambda k: contains(name, lower(k)) OR contains(text, lower(k))
+            OR contains(hd.brand, lower(k)))) = len(j.kws)
+         THEN CASE WHEN list_bool_and(list_transform(j.kws, lambda k: contains(name, lower(k)))) THEN 3 ELSE 2 END
+       WHEN len(list_filter(j.kws, lambda k: contains(name, lower(k)) OR contains(text, lower(k))
+            OR contains(hd.brand, lower(k)))) / len(j.kws) >= 0.5 THEN 1
+       ELSE 0 END AS grade
+FROM hd JOIN j ON j.query_id = hd.query_id
+"""
+
+
+def _tp(hay: str, term: str) -> str:
+    """E-2 in RE2 (no look-behind): boundary groups instead."""
+    t = f"lower({term})"
+    alts = (f"array_to_string(list_sort(list_distinct(list_filter([regexp_escape({t}), "
+            f"CASE WHEN ends_with({t}, 'y') THEN regexp_escape(left({t}, length({t}) - 1) || 'ies') END, "
+            f"CASE WHEN NOT ends_with({t}, 's') THEN regexp_escape({t} || 's') END], lambda v: v IS NOT NULL))), '|')")
+    return (f"(coalesce({term}, '') <> '' AND regexp_matches({hay}, "
+            f"'(^|[^a-z0-9])(?:' || {alts} || ')([^a-z0-9]|$)'))")
+
+
+GRADE_STRUCTURED_SQL = f"""
+WITH hd AS ({_hits_docs_sql()}), j AS ({CLASSIC_JUDGMENTS_SQL}),
+g AS (
+  SELECT hd.query_id, rank, doc_id,
+    list_bool_or(list_transform(j.dis, lambda x: {_tp('name', 'x')} OR {_tp('text', 'x')})) AS excluded,
+    coalesce(list_bool_or(list_transform(j.flags, lambda f: NOT coalesce({_flag_of('f.k')} = f.v, false))), false)
+      AS flag_fail,
+    (j.brand IS NOT NULL AND j.brand <> '' AND NOT {_tp('hd.brand', 'j.brand')} AND NOT {_tp('name', 'j.brand')})
+      AS brand_fail,
+    len(j.kws) > 0 AS has_kw,
+    list_bool_and(list_transform(j.kws, lambda t: {_tp('name', 't')})) AS in_name,
+    list_bool_and(list_transform(j.kws, lambda t: {_tp('text', 't')})) AS anywhere,
+    list_bool_or(list_transform(j.kws, lambda t: {_tp('text', 't')})) AS partial,
+    CASE WHEN j.nut_name IS NULL THEN NULL
+         ELSE (SELECT CASE WHEN v IS NULL THEN false WHEN j.nut_op = 'gte' THEN v >= j.nut_val
+                           WHEN j.nut_op = 'lte' THEN v <= j.nut_val ELSE false END
+               FROM (SELECT coalesce(list_filter(hd.nuts, lambda e: e.k = {O.nutrient_key('j.nut_name')})[1].p,
+                                     list_filter(hd.nuts, lambda e: e.k = {O.nutrient_key('j.nut_name')})[1].v) AS v))
+    END AS nut_ok,
+    len(j.flags) > 0 AS has_flags
+  FROM hd JOIN j ON j.query_id = hd.query_id)
+SELECT query_id, rank, doc_id,
+  CASE WHEN excluded OR flag_fail OR brand_fail THEN 0
+       WHEN nut_ok = false THEN 0
+       WHEN has_kw THEN CASE WHEN in_name THEN 3 WHEN anywhere THEN 2 WHEN partial THEN 1 ELSE 0 END
+       ELSE 2 END AS grade
+FROM g
+"""
+
+
+def _metrics_sql(graded_sql: str, binary: bool, compat: bool) -> str:
+    gain = "CASE WHEN grade >= 2 THEN 1.0 ELSE 0.0 END" if binary else "(pow(2.0, grade) - 1)"
+    return f"""
+    WITH g0 AS ({graded_sql}),
+    g AS (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY rank) AS rank, grade
+          FROM g0 WHERE grade IS NOT NULL),
+    per AS (SELECT query_id,
+              sum(CASE WHEN rank <= 5 AND grade >= 2 THEN 1 ELSE 0 END) / 5.0 AS p5,
+              sum(CASE WHEN grade >= 2 THEN 1 ELSE 0 END) / 10.0 AS p10,
+              sum({gain} / log2(rank + 1)) AS dcg,
+              list_sort(list({gain}), 'DESC') AS gains,
+              min(CASE WHEN grade >= 2 THEN rank END) AS first_rel
+            FROM g WHERE rank <= 10 GROUP BY query_id),
+    m AS (SELECT query_id, p5, p10,
+            CASE WHEN list_sum(list_transform(gains, lambda x, i: x / log2(i + 1))) > 0
+                 THEN dcg / list_sum(list_transform(gains, lambda x, i: x / log2(i + 1))) ELSE 0.0 END AS ndcg,
+            CASE WHEN first_rel IS NULL THEN 0.0 ELSE 1.0 / (first_rel + {1 if compat else 0}) END AS mrr
+          FROM per),
+    j AS ({CLASSIC_JUDGMENTS_SQL})
+    SELECT j.query_id, j.type, round(coalesce(p5, 0.0), 6) AS p5, round(coalesce(p10, 0.0), 6) AS p10,
+           round(coalesce(ndcg, 0.0), 6) AS ndcg, round(coalesce(mrr, 0.0), 6) AS mrr
+    FROM j LEFT JOIN m ON m.query_id = j.query_id
+    """
+
+
+def _metrics(spark, sf, structured=False, binary=False, compat=False):
+    from larder.operators.evaluate import query_metrics
+    g = graded_structured(spark, sf) if structured else graded_classic(spark, sf)
+    m = query_metrics(g, classic_judgments(spark, sf), binary=binary, compat_mrr=compat)
+    return m.select("query_id", "type", *[r6(F.col(c)).alias(c) for c in ("p5", "p10", "ndcg", "mrr")])
+
+
+@register("grade_classic", GRADE_CLASSIC_SQL)
+def q_grade_classic(spark, sf):
+    return graded_classic(spark, sf)
+
+
+@register("grade_structured", GRADE_STRUCTURED_SQL)
+def q_grade_structured(spark, sf):
+    return graded_structured(spark, sf)
+
+
+@register("eval_metrics", _metrics_sql(GRADE_CLASSIC_SQL, False, False))
+def q_eval_metrics(spark, sf):
+    return _metrics(spark, sf)
+
+
+@register("precision_at_k", f"SELECT query_id, p5, p10 FROM ({_metrics_sql(GRADE_CLASSIC_SQL, False, False)})")
+def q_precision_at_k(spark, sf):
+    return _metrics(spark, sf).select("query_id", "p5", "p10")
+
+
+@register("ndcg_graded", f"SELECT query_id, ndcg FROM ({_metrics_sql(GRADE_CLASSIC_SQL, False, False)})")
+def q_ndcg_graded(spark, sf):
+    return _metrics(spark, sf).select("query_id", "ndcg")
+
+
+@register("mrr", f"SELECT query_id, mrr FROM ({_metrics_sql(GRADE_CLASSIC_SQL, False, False)})")
+def q_mrr(spark, sf):
+    return _metrics(spark, sf).select("query_id", "mrr")
+
+
+@register("ndcg_binary", f"SELECT query_id, ndcg FROM ({_metrics_sql(GRADE_STRUCTURED_SQL, True, True)})")
+def q_ndcg_binary(spark, sf):
+    return _metrics(spark, sf, structured=True, binary=True, compat=True).select("query_id", "ndcg")
+
+
+@register("mrr_compat", f"SELECT query_id, mrr FROM ({_metrics_sql(GRADE_STRUCTURED_SQL, True, True)})")
+def q_mrr_compat(spark, sf):
+    return _metrics(spark, sf, structured=True, binary=True, compat=True).select("query_id", "mrr")
+
+
+@register("metrics_by_type", f"""
+    SELECT type, count(*) AS n, floor(avg(p5) * 1000000 + 0.5) / 1000000 AS p5,
+           floor(avg(p10) * 1000000 + 0.5) / 1000000 AS p10, floor(avg(ndcg) * 1000000 + 0.5) / 1000000 AS ndcg,
+           floor(avg(mrr) * 1000000 + 0.5) / 1000000 AS mrr
+    FROM ({_metrics_sql(GRADE_CLASSIC_SQL, False, False)}) GROUP BY ROLLUP (type)""")
+def q_metrics_by_type(spark, sf):
+    from larder.operators.evaluate import metrics_by_type
+    m = metrics_by_type(_metrics(spark, sf))
+    return m.select("type", "n", *[(F.floor(F.col(c) * 1000000 + 0.5) / 1000000).alias(c)
+                                   for c in ("p5", "p10", "ndcg", "mrr")])
+
+
+@register("latency_percentiles", """
+    WITH s AS (SELECT event_type, value, row_number() OVER (PARTITION BY event_type ORDER BY value) - 1 AS idx,
+                      count(*) OVER (PARTITION BY event_type) AS n FROM events WHERE value IS NOT NULL)
+    SELECT event_type, any_value(n) AS n, max(CASE WHEN idx = floor(n * 0.5) THEN value END) AS p50,
+           max(CASE WHEN idx = floor(n * 0.95) THEN value END) AS p95, round(avg(value), 6) AS avg
+    FROM s GROUP BY event_type""")
+def q_latency_percentiles(spark, sf):
+    from larder.operators.evaluate import latency_percentiles
+    ev = fx.table(spark, sf, "events")
+    out = latency_percentiles(ev, "event_type", "value")
+    return out.select("event_type", "n", "p50", "p95", r6(F.col("avg")).alias("avg"))

@@ -62,27 +62,32 @@ def raw_products(df: DataFrame) -> DataFrame:
     """Cleansed raw products (RawProduct layout) from a drift-resolved frame."""
     r = resolve_columns(df)
     types = {f.name: f.dataType for f in r.schema.fields}
-    if isinstance(types["nutriments"], T.MapType):
-        nutriments = P.sanitize_nutrition(F.coalesce(F.col("nutriments"), F.create_map().cast(P.NUTRITION_TYPE)))
-    else:
-        nutriments = P.parse_nutriments(P.safe_str("nutriments", types["nutriments"]))
 
     def opt_str(c):
         return F.when(F.col(c).isNotNull(), P.safe_str(c, types[c]))
 
-    return r.select(
+    r = r.select(
         P.safe_str("code", types["code"]).alias("code"),
-        P.parse_multilingual_text(P.safe_str("product_name", types["product_name"])).alias("product_name"),
+        P.safe_str("product_name", types["product_name"]).alias("name_raw"),
         P.safe_strip("brands", types["brands"]).alias("brands"),
         P.safe_strip("categories", types["categories"]).alias("categories"),
-        P.parse_multilingual_text(P.safe_str("ingredients_text", types["ingredients_text"])).alias(
-            "ingredients_text"),
-        nutriments.alias("nutriments"),
+        P.safe_str("ingredients_text", types["ingredients_text"]).alias("ing_raw"),
+        (F.col("nutriments") if isinstance(types["nutriments"], T.MapType)
+         else P.safe_str("nutriments", types["nutriments"])).alias("nut_raw"),
         opt_str("nutriscore_grade").alias("nutriscore_grade"),
         P.safe_int("nova_group").alias("nova_group"),
         opt_str("ecoscore_grade").alias("ecoscore_grade"),
         P.safe_float("completeness").alias("completeness"),
     )
+    r = P.with_multilingual(r, "name_raw", "product_name")
+    r = P.with_multilingual(r, "ing_raw", "ingredients_text")
+    if isinstance(types["nutriments"], T.MapType):
+        r = r.withColumn("nutriments", P.sanitize_nutrition(
+            F.coalesce(F.col("nut_raw"), F.create_map().cast(P.NUTRITION_TYPE))))
+    else:
+        r = P.with_nutriments(r, "nut_raw", "nutriments")
+    return r.select("code", "product_name", "brands", "categories", "ingredients_text", "nutriments",
+                    "nutriscore_grade", "nova_group", "ecoscore_grade", "completeness")
 
 
 def read_parquet_products(spark: SparkSession, path: str) -> DataFrame:
