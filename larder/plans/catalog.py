@@ -524,15 +524,15 @@ def q_mrr_compat(spark, sf):
 
 
 @register("metrics_by_type", f"""
-    SELECT type, count(*) AS n, floor(avg(p5) * 1000000 + 0.5) / 1000000 AS p5,
-           floor(avg(p10) * 1000000 + 0.5) / 1000000 AS p10, floor(avg(ndcg) * 1000000 + 0.5) / 1000000 AS ndcg,
-           floor(avg(mrr) * 1000000 + 0.5) / 1000000 AS mrr
+    SELECT type, count(*) AS n,
+      floor(sum(cast(round(p5 * 1000000) AS bigint)) / count(*) + 0.5) / 1000000 AS p5,
+      floor(sum(cast(round(p10 * 1000000) AS bigint)) / count(*) + 0.5) / 1000000 AS p10,
+      floor(sum(cast(round(ndcg * 1000000) AS bigint)) / count(*) + 0.5) / 1000000 AS ndcg,
+      floor(sum(cast(round(mrr * 1000000) AS bigint)) / count(*) + 0.5) / 1000000 AS mrr
     FROM ({_metrics_sql(GRADE_CLASSIC_SQL, False, False)}) GROUP BY ROLLUP (type)""")
 def q_metrics_by_type(spark, sf):
     from larder.operators.evaluate import metrics_by_type
-    m = metrics_by_type(_metrics(spark, sf))
-    return m.select("type", "n", *[(F.floor(F.col(c) * 1000000 + 0.5) / 1000000).alias(c)
-                                   for c in ("p5", "p10", "ndcg", "mrr")])
+    return metrics_by_type(_metrics(spark, sf))
 
 
 @register("latency_percentiles", """
