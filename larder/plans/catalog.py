@@ -546,3 +546,148 @@ def q_latency_percentiles(spark, sf):
     ev = fx.table(spark, sf, "events")
     out = latency_percentiles(ev, "event_type", "value")
     return out.select("event_type", "n", "p50", "p95", r6(F.col("avg")).alias("avg"))
+
+
+# ----------------------------------------------------------------- look-ups
+_IDS_SQL = ("SELECT DISTINCT lpad(cast(l_partkey AS varchar), 13, '0') AS id FROM lineitem UNION "
+            "SELECT DISTINCT lpad(cast(l_suppkey * 1000 AS varchar), 13, '0') FROM lineitem")
+
+
+def _ids(spark, sf):
+    li = fx.table(spark, sf, "lineitem")
+    return (li.select(F.lpad(F.col("l_partkey").cast("string"), 13, "0").alias("id"))
+            .union(li.select(F.lpad((F.col("l_suppkey") * 1000).cast("string"), 13, "0").alias("id"))).distinct())
+
+
+@register("lookup_by_id", f"""SELECT i.id, d.product_name, d.brand FROM ({_IDS_SQL}) i
+    LEFT JOIN ({O.docs_sql()}) d ON d.id = i.id""")
+def q_lookup_by_id(spark, sf):
+    from larder.operators.lookup import lookup_by_id
+    return lookup_by_id(docs(spark, sf), _ids(spark, sf)).select("id", "product_name", "brand")
+
+
+@register("compare_ids", f"""SELECT l_orderkey AS request_id, l_linenumber AS pos, d.id, d.product_name
+    FROM lineitem JOIN ({O.docs_sql()}) d ON d.id = lpad(cast(l_partkey AS varchar), 13, '0')""")
+def q_compare_ids(spark, sf):
+    from larder.operators.lookup import compare_ids
+    req = fx.table(spark, sf, "lineitem").select(
+        F.col("l_orderkey").alias("request_id"), F.col("l_linenumber").alias("pos"),
+        F.lpad(F.col("l_partkey").cast("string"), 13, "0").alias("id"))
+    return compare_ids(docs(spark, sf), req).select("request_id", "pos", "id", "product_name")
+
+
+@register("browse_brand", O.ranked_sql(O.scored_sql(
+    "SELECT b AS query_id, '' AS text, b AS brand_f, NULL::VARCHAR AS category_f, NULL::VARCHAR AS ingredients_f, "
+    + ", ".join(f"NULL::BOOLEAN AS {f}" for f in FLAG_NAMES)
+    + ", []::STRUCT(nutrient VARCHAR, operator VARCHAR, value DOUBLE, unit VARCHAR, comparison_basis VARCHAR)[] "
+      "AS numeric_filters, []::VARCHAR[] AS modifiers FROM (SELECT DISTINCT lower(p_brand) AS b FROM part)",
+    O.search_docs_sql()), 20))
+def q_browse_brand(spark, sf):
+    from larder.operators.lookup import browse_requests
+    from larder.operators.retrieve import scored_hits, top_hits
+    ix = index(spark, sf)
+    vals = fx.table(spark, sf, "part").select(F.lower("p_brand").alias("value")).distinct().select(
+        F.col("value").alias("query_id"), "value")
+    return top_hits(scored_hits(browse_requests(vals, "brand", 20), ix.search, ix.postings, ix.vgrams), 20)
+
+
+_PREFIX_SQL = "SELECT DISTINCT left(p_name, 1 + cast(p_size % 6 AS integer)) AS q FROM part"
+
+
+@register("autocomplete_prefix", f"""
+    WITH q AS (SELECT q AS query_id, lower(regexp_replace(regexp_replace(q, '[^\\p{{L}}\\p{{N}}_\\s\\-\\.]', '', 'g'),
+                      '\\s+', ' ', 'g')) AS prefix FROM ({_PREFIX_SQL})),
+    n AS (SELECT DISTINCT product_name AS name FROM ({O.docs_sql()}) WHERE product_name <> ''),
+    h AS (SELECT query_id, name, row_number() OVER (PARTITION BY query_id ORDER BY name) AS rank
+          FROM q JOIN n ON starts_with(lower(n.name), trim(q.prefix)) WHERE trim(q.prefix) <> '')
+    SELECT query_id, rank, name FROM h WHERE rank <= 5""")
+def q_autocomplete_prefix(spark, sf):
+    from larder.operators.lookup import autocomplete_prefix
+    qs = fx.table(spark, sf, "part").select(
+        F.expr("left(p_name, 1 + cast(p_size % 6 AS int))").alias("query")).distinct().select(
+        F.col("query").alias("query_id"), "query")
+    return autocomplete_prefix(docs(spark, sf), qs)
+
+
+@register("doc_count", f"SELECT count(*) AS documents FROM ({O.docs_sql()})")
+def q_doc_count(spark, sf):
+    from larder.operators.lookup import doc_count
+    return doc_count(docs(spark, sf))
+
+
+# ----------------------------------------------------------------- text layer
+@register("normalize_phrases", f"SELECT conv_id, turn, {O.normalize('text')} AS normalized FROM conversations")
+def q_normalize_phrases(spark, sf):
+    from larder.functions.text import normalize_phrase
+    c = fx.table(spark, sf, "conversations")
+    return c.select("conv_id", "turn", normalize_phrase(F.col("text")).alias("normalized"))
+
+
+@register("canonicalize", f"SELECT doc_id, {O.canon('lower(text)')} AS canonical FROM documents")
+def q_canonicalize(spark, sf):
+    from larder.functions.text import canonicalize
+    d = fx.table(spark, sf, "documents")
+    return d.select("doc_id", canonicalize(F.lower("text")).alias("canonical"))
+
+
+@register("ngrams", f"""
+    WITH p AS (SELECT cast(item_id AS varchar) AS query_id, {O.normalize("array_to_string((regexp_split_to_array(trim(text), '\\s+'))[1:6], ' ')")} AS nq FROM benchmark),
+    t AS (SELECT query_id, CASE WHEN nq = '' THEN []::VARCHAR[] ELSE string_split(nq, ' ') END AS toks FROM p),
+    g AS (SELECT query_id, list_sort(flatten(list_transform(range(1, least(4, len(toks)) + 1), lambda n:
+            list_transform(range(0, len(toks) - n + 1), lambda i: {{'neg_len': -length(array_to_string(toks[i + 1:i + n], ' ')),
+            'n': n, 'pos': i, 'text': array_to_string(toks[i + 1:i + n], ' ')}})))) AS gs FROM t)
+    SELECT query_id, idx, g.text AS text, g.n AS n, g.pos AS pos
+    FROM (SELECT query_id, generate_subscripts(gs, 1) - 1 AS idx, unnest(gs) AS g FROM g)""")
+def q_ngrams(spark, sf):
+    from larder.functions.text import ngrams, normalize_phrase, tokenize
+    b = fx.benchmark_phrases(spark, sf)
+    g = b.select("query_id", F.posexplode(ngrams(tokenize(normalize_phrase(F.col("phrase"))))).alias("idx", "g"))
+    return g.select("query_id", "idx", F.col("g.text").alias("text"), F.col("g.n").alias("n"),
+                    F.col("g.pos").alias("pos"))
+
+
+@register("synonym_expand", f"""
+    WITH t AS (SELECT DISTINCT unnest(string_split({O.normalize('ingredients_text')}, ' ')) AS token
+               FROM ({O.raw_products_sql()}) WHERE ingredients_text <> '')
+    SELECT token, unnest({O.variants_sql('token')}) AS variant FROM t WHERE length(token) > 1""")
+def q_synonym_expand(spark, sf):
+    from larder.functions.text import normalize_phrase, synonym_variants, tokenize
+    r = raw(spark, sf).where(F.col("ingredients_text") != "")
+    toks = r.select(F.explode(tokenize(normalize_phrase(F.col("ingredients_text")))).alias("token")).distinct()
+    return toks.where(F.length("token") > 1).select("token", F.explode(synonym_variants(F.col("token"))).alias(
+        "variant"))
+
+
+@register("edge_ngrams", f"""
+    WITH w AS (SELECT DISTINCT unnest(regexp_split_to_array(lower(product_name), '[^\\p{{L}}\\p{{N}}_]+')) AS word
+               FROM ({O.docs_sql()}))
+    SELECT word, unnest(list_transform(range(2, least(20, length(word)) + 1), lambda i: left(word, i))) AS prefix
+    FROM w WHERE length(word) >= 2""")
+def q_edge_ngrams(spark, sf):
+    from larder.functions.text import analyzed_terms, edge_ngrams
+    w = docs(spark, sf).select(F.explode(analyzed_terms(F.col("product_name"))).alias("word")).distinct()
+    return w.where(F.length("word") >= 2).select("word", F.explode(edge_ngrams(F.col("word"))).alias("prefix"))
+
+
+_FIELDS = {"product_name": "product_name", "category": "category", "ingredients": "ingredients",
+           "search_text": "search_text"}
+
+
+@register("postings_tf", "WITH d AS (" + O.docs_sql() + ") " + " UNION ALL ".join(
+    f"""SELECT '{f}' AS field, term, id AS doc_id, count(*) AS tf FROM (
+          SELECT id, unnest(list_filter(regexp_split_to_array(lower(coalesce({c}, '')), '[^\\p{{L}}\\p{{N}}_]+'),
+                 lambda x: x <> '')) AS term FROM d) GROUP BY ALL""" for f, c in _FIELDS.items()))
+def q_postings_tf(spark, sf):
+    from larder.operators.bm25 import field_terms
+    return field_terms(docs(spark, sf), _FIELDS).groupBy("field", "term", "doc_id").agg(
+        F.count(F.lit(1)).alias("tf"))
+
+
+@register("term_df", "WITH d AS (" + O.docs_sql() + ") " + " UNION ALL ".join(
+    f"""SELECT '{f}' AS field, term, count(DISTINCT id) AS df FROM (
+          SELECT id, unnest(list_filter(regexp_split_to_array(lower(coalesce({c}, '')), '[^\\p{{L}}\\p{{N}}_]+'),
+                 lambda x: x <> '')) AS term FROM d) GROUP BY ALL""" for f, c in _FIELDS.items()))
+def q_term_df(spark, sf):
+    from larder.operators.bm25 import field_terms
+    return field_terms(docs(spark, sf), _FIELDS).groupBy("field", "term").agg(
+        F.countDistinct("doc_id").alias("df"))
