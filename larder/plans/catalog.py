@@ -691,3 +691,35 @@ def q_term_df(spark, sf):
     from larder.operators.bm25 import field_terms
     return field_terms(docs(spark, sf), _FIELDS).groupBy("field", "term").agg(
         F.countDistinct("doc_id").alias("df"))
+
+
+# ----------------------------------------------------------------- BM25 path
+def _bm25(spark, sf, phrase_exprs, clause=None, k=10):
+    from larder.operators.bm25 import bm25_search
+    ix = index(spark, sf)
+    req = requests(spark, sf, phrase_set(spark, sf, phrase_exprs)).checkpoint(eager=True)
+    return bm25_search(req, ix.docs, ix.search, k, clause)
+
+
+def _bm25_oracle(phrase_exprs, clause=None, k=10):
+    req = O.requests_sql(O.annotate_sql(phrase_set_sql(phrase_exprs), _DICT_SQL), _DICT_SQL)
+    return O.bm25_sql(req, O.search_docs_sql(), clause, k)
+
+
+BM25_PHRASES = ["concat('organic ', p_name)", "concat(p_name, ' ', lower(p_type))",
+                "concat(p_name, ' soya lecithin')", "concat(p_name, ' fresh')"]
+
+
+@register("search_bm25", _bm25_oracle(BM25_PHRASES))
+def q_search_bm25(spark, sf):
+    return _bm25(spark, sf, BM25_PHRASES)
+
+
+@register("search_phrase", _bm25_oracle(BM25_PHRASES, "phrase"))
+def q_search_phrase(spark, sf):
+    return _bm25(spark, sf, BM25_PHRASES, "phrase")
+
+
+@register("search_and", _bm25_oracle(BM25_PHRASES, "and"))
+def q_search_and(spark, sf):
+    return _bm25(spark, sf, BM25_PHRASES, "and")

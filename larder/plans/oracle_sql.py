@@ -182,6 +182,13 @@ def normalize(x: str) -> str:
 
 # ------------------------------------------------------------------ annotation
 from larder.fixed_values import (  # noqa: E402
+    AND_MATCH_BOOST as AND_BOOST_V,
+    BM25_B,
+    BM25_K1,
+    FUZZY_BOOST as FUZZY_BOOST_V,
+    MODIFIER_BOOST as MODIFIER_BOOST_V,
+    PALM_OIL_FREE_BOOST as PALM_BOOST_V,
+    PHRASE_BOOST as PHRASE_BOOST_V,
     ALLERGENS,
     ALWAYS_INCLUDE_INGREDIENTS,
     BRAND_INTENT_PATTERNS,
@@ -468,3 +475,73 @@ def ranked_sql(scored: str, k: int) -> str:
              count(*) OVER (PARTITION BY query_id) AS total FROM ({scored}))
     WHERE rank <= {k}
     """
+
+
+def _terms(x: str) -> str:
+    return f"list_filter(regexp_split_to_array(lower(coalesce({x}, '')), '[^\\p{{L}}\\p{{N}}_]+'), lambda t: t <> '')"
+
+
+def bm25_sql(req_sql: str, docs: str, clause: str | None = None, k: int = 10) -> str:
+    from larder.fixed_values import FIELD_BOOSTS, FLAG_NAMES
+    fields = {"product_name": ("product_name", True), "brand": ("brand", False), "category": ("category", True),
+              "ingredients": ("ingredients", True), "search_text": ("search_text", True)}
+    base = " UNION ALL ".join(
+        f"SELECT '{f}' AS field, id AS doc_id, unnest({_terms(c)}) AS term, "
+        f"generate_subscripts({_terms(c)}, 1) - 1 AS pos, {'true' if syn else 'false'} AS syn FROM d"
+        for f, (c, syn) in fields.items())
+    partner = "CASE " + " ".join(f"WHEN term = {q(a)} THEN {q(b)} WHEN term = {q(b)} THEN {q(a)}"
+                                 for a, b in SYNONYM_PAIRS) + " END"
+    dls = " UNION ALL ".join(f"SELECT '{f}' AS field, id AS doc_id, len({_terms(c)}) AS dl FROM d"
+                             for f, (c, _s) in fields.items())
+    boost = "CASE field " + " ".join(f"WHEN '{f}' THEN {v}" for f, v in FIELD_BOOSTS.items()) + " END"
+    keep = {"phrase": "AND phrase IS NOT NULL", "and": "AND all_terms IS NOT NULL"}.get(clause, "")
+    flag_ok = " AND ".join(f"(r.{f} IS NULL OR d.{f} = r.{f})" for f in FLAG_NAMES)
+    return f"""
+    WITH req AS ({req_sql}), d AS ({docs}),
+    b0 AS ({base}),
+    post AS (SELECT field, doc_id, term, pos FROM b0
+             UNION ALL SELECT field, doc_id, {partner} AS term, pos FROM b0 WHERE syn AND {partner} IS NOT NULL),
+    dl AS ({dls}),
+    stats AS (SELECT field, count(*) AS n_docs, avg(dl) AS avgdl FROM dl WHERE dl > 0 GROUP BY field),
+    dfs AS (SELECT field, term, count(DISTINCT doc_id) AS df FROM post GROUP BY field, term),
+    qt AS (SELECT query_id, unnest({_terms('text')}) AS term, generate_subscripts({_terms('text')}, 1) - 1 AS qpos
+           FROM req WHERE text <> ''),
+    nq AS (SELECT query_id, count(*) AS nq FROM qt GROUP BY query_id),
+    hits AS (SELECT qt.query_id, qt.qpos, post.* FROM qt JOIN post USING (term)),
+    tf AS (SELECT query_id, doc_id, field, term, qpos, count(*) AS tf FROM hits GROUP BY ALL),
+    sc AS (SELECT tf.*, ln(1 + (n_docs - df + 0.5) / (df + 0.5)) AS idf,
+                  {BM25_K1} * (1 - {BM25_B} + {BM25_B} * dl.dl / avgdl) AS norm
+           FROM tf JOIN stats USING (field) JOIN dfs USING (field, term) JOIN dl USING (field, doc_id)),
+    pfield AS (SELECT query_id, doc_id, field, sum(idf * tf / (tf + norm)) AS fs, count(DISTINCT qpos) AS matched,
+                      sum(idf) AS idf_sum, any_value(norm) AS norm FROM sc GROUP BY ALL),
+    ph AS (SELECT query_id, doc_id, field, count(*) AS pf FROM (
+             SELECT h.query_id, doc_id, field, pos - qpos AS start, count(DISTINCT qpos) AS c FROM hits h
+             GROUP BY ALL) x JOIN nq USING (query_id) WHERE c = nq GROUP BY ALL),
+    pf AS (SELECT p.*, nq.nq, ph.pf, {boost} AS boost FROM pfield p JOIN nq USING (query_id)
+           LEFT JOIN ph USING (query_id, doc_id, field)),
+    best AS (SELECT query_id, doc_id,
+               max(CASE WHEN pf IS NOT NULL THEN boost * idf_sum * pf / (pf + norm) END) AS phrase,
+               max(CASE WHEN matched = nq THEN boost * fs END) AS all_terms,
+               max(CASE WHEN matched >= CASE WHEN nq <= 1 THEN 1 WHEN nq = 2 THEN 2
+                                             ELSE greatest(2, nq // 2 + 1) END THEN boost * fs END) AS msm
+             FROM pf GROUP BY ALL),
+    hit AS (SELECT *, coalesce(phrase * {PHRASE_BOOST_V}, 0.0) + coalesce(all_terms * {AND_BOOST_V}, 0.0)
+                      + coalesce(msm * {FUZZY_BOOST_V}, 0.0) AS text_score
+            FROM best WHERE (phrase IS NOT NULL OR all_terms IS NOT NULL OR msm IS NOT NULL) {keep}),
+    s AS (SELECT r.query_id, d.id AS doc_id,
+            round(text_score
+              + list_reduce(r.modifiers, lambda acc, m: acc + CASE WHEN list_contains({_terms('d.name_l')}, lower(m))
+                            THEN {MODIFIER_BOOST_V} ELSE 0.0 END, 0.0)
+              + CASE WHEN r.is_palm_oil_free AND d.is_palm_oil_free THEN {PALM_BOOST_V} ELSE 0.0 END
+              + d.completeness * 0.15, 6) AS score
+          FROM hit JOIN req r USING (query_id) JOIN d ON d.id = hit.doc_id
+          WHERE (r.brand_f IS NULL OR contains(d.brand_l, lower(r.brand_f)))
+            AND (r.category_f IS NULL OR contains(d.cat_l, lower(r.category_f)))
+            AND (r.ingredients_f IS NULL OR contains(d.ing_l, lower(r.ingredients_f)))
+            AND {flag_ok}
+            AND coalesce(list_bool_and(list_transform(r.numeric_filters, lambda nf: coalesce(CASE
+                  WHEN nf.operator = 'gte' THEN (list_filter(d.nuts, lambda e: e.k = {nutrient_key('nf.nutrient')})[1].p) >= nf.value
+                  WHEN nf.operator = 'lte' THEN (list_filter(d.nuts, lambda e: e.k = {nutrient_key('nf.nutrient')})[1].p) <= nf.value
+                  ELSE true END, false))), true))
+    {ranked_sql('SELECT * FROM s', k).replace('SELECT query_id, rank', 'SELECT query_id, rank', 1)}
+    """
