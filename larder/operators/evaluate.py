@@ -197,3 +197,33 @@ def latency_percentiles(latencies: DataFrame, group: str = "kind", value: str =
     stats = exact_order_stats(latencies, group, value, {"p50": 0.5, "p95": 0.95})
     avgs = latencies.groupBy(group).agg(F.avg(value).alias("avg"))
     return stats.join(avgs, group)
+
+
+def verify_constraints(hits: DataFrame, docs: DataFrame, cases: DataFrame) -> DataFrame:
+    """E-16: every returned hit of a case satisfies its constraint (and, for
+    the category cases, mentions the case word).  ``cases(query_id,
+    check_kind, needle)``; hits are the top-k (query_id, doc_id, total)."""
+    d = docs.select(F.col("id").alias("doc_id"), "product_name", "category", "search_text",
+                    F.col("attributes.flags").alias("flags"), F.col("attributes.nutrition").alias("nut"))
+
+    def per100(key):
+        return F.try_element_at(F.col("nut"), F.lit(key))["per_100g"]
+
+    kind = F.col("check_kind")
+    constraint = (F.when(kind == "min_protein", F.coalesce(per100("proteins") >= 20.0, F.lit(False)))
+                  .when(kind == "max_calories", F.coalesce(F.coalesce(per100("energy-kcal"), per100("calories"))
+                                                           <= 200.0, F.lit(False)))
+                  .when(kind == "low_sugar", F.col("flags.is_low_sugar")
+                        | F.coalesce(per100("sugars").between(0.0, 5.0), F.lit(False)))
+                  .otherwise(F.col("flags.is_high_protein") | F.coalesce(per100("proteins") >= 10.0, F.lit(False))))
+    hay = F.lower(F.concat_ws(" ", "product_name", "category", "search_text"))
+    ok = F.when(kind.isin("low_sugar", "high_protein"), constraint & hay.contains(F.col("needle"))).otherwise(
+        constraint)
+    chk = hits.join(cases, "query_id").join(d, "doc_id").select("query_id", "total", ok.alias("ok"))
+    agg = chk.groupBy("query_id").agg(F.first("total").alias("total"), F.count(F.lit(1)).alias("sample_size"),
+                                      F.count_if("ok").alias("n_ok"), F.bool_and("ok").alias("passed"))
+    out = cases.select("query_id", "check_kind").join(agg, "query_id", "left")
+    return out.select("query_id", "check_kind", F.coalesce("total", F.lit(0)).cast("long").alias("total"),
+                      F.coalesce("sample_size", F.lit(0)).cast("long").alias("sample_size"),
+                      F.coalesce("n_ok", F.lit(0)).cast("long").alias("n_ok"),
+                      F.coalesce("passed", F.lit(True)).alias("passed"))

@@ -723,3 +723,133 @@ def q_search_phrase(spark, sf):
 @register("search_and", _bm25_oracle(BM25_PHRASES, "and"))
 def q_search_and(spark, sf):
     return _bm25(spark, sf, BM25_PHRASES, "and")
+
+
+# ----------------------------------------------------------------- incremental
+@register("upsert_latest", """
+    SELECT user_id, event_id, ts, event_type, value FROM (
+      SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS rn FROM events)
+    WHERE rn = 1""")
+def q_upsert_latest(spark, sf):
+    from larder.streaming.ingest import keep_latest
+    ev = fx.table(spark, sf, "events").select("user_id", "event_id", "ts", "event_type", "value")
+    return keep_latest(ev, "user_id", ["ts", "event_id"]).select("user_id", "event_id", "ts", "event_type", "value")
+
+
+_DOCS_AS_PRODUCTS = ("SELECT cast(doc_id AS varchar) AS code, CASE WHEN n_chars % 9 = 0 THEN '   ' ELSE text END "
+                     "AS product_name, source AS brands, lang AS categories, NULL AS ingredients_text, "
+                     "NULL AS nutriments, NULL AS nutriscore_grade, NULL AS nova_group, NULL AS ecoscore_grade, "
+                     "NULL AS completeness FROM documents")
+
+
+@register("rejects", f"""SELECT code AS _id, 'missing_name' AS error FROM ({O.raw_products_sql(_DOCS_AS_PRODUCTS)})
+    WHERE product_name = ''""")
+def q_rejects(spark, sf):
+    from larder.streaming.ingest import split_rejects
+    src = fx.table(spark, sf, "documents").selectExpr(
+        "cast(doc_id AS string) AS code", "CASE WHEN n_chars % 9 = 0 THEN '   ' ELSE text END AS product_name",
+        "source AS brands", "lang AS categories")
+    _good, bad = split_rejects(build_documents(raw_products(src)))
+    return bad
+
+
+# ----------------------------------------------------------------- more annotation views
+MOD_PHRASES = ["concat('fresh ', p_name, ' frozen')", "concat('wild salted ', p_name, ' fresh')"]
+RECIPE_PHRASES = ["concat(p_size, ' cups ', p_name)", "concat('1/2 tbsp ', p_name, ' ', p_size % 4, ' kg')",
+                  "concat(p_size, ' g ', p_name)"]
+INTENT_PHRASES = ["concat('category ', lower(p_type))", "concat(p_name, ' ingredients')",
+                  "concat('show me ', lower(p_brand), ' products')", "concat('products by ', p_name)",
+                  "concat(p_name, ' made of ', lower(p_type))"]
+PROMO_PHRASES = ["concat(replace(lower(p_brand), '#', ''), ' ', p_name)",
+                 "concat(p_name, ' ', replace(lower(p_brand), '#', ''))"]
+FILTER_ONLY_PHRASES = ["concat('category ', lower(p_type))", "concat('in category ', lower(p_type), ' vegan')"]
+
+for _name, _phr in (("modifiers", MOD_PHRASES), ("recipe_quantities", RECIPE_PHRASES), ("intent", INTENT_PHRASES)):
+    def _mk(phr):
+        def fn(spark, sf):
+            return flat_annotations(annotations(spark, sf, phrase_set(spark, sf, phr)))
+        return fn
+    register(_name, flat_annotations_sql(O.annotate_sql(phrase_set_sql(_phr), _DICT_SQL)))(_mk(_phr))
+
+
+@register("brand_promotion", f"""SELECT query_id, intent, text, brand_f, category_f, ingredients_f
+    FROM ({O.requests_sql(O.annotate_sql(phrase_set_sql(PROMO_PHRASES + INTENT_PHRASES), _DICT_SQL), _DICT_SQL)})""")
+def q_brand_promotion(spark, sf):
+    r = requests(spark, sf, phrase_set(spark, sf, PROMO_PHRASES + INTENT_PHRASES))
+    return r.select("query_id", "intent", "text", "brand_f", "category_f", "ingredients_f")
+
+
+@register("search_filter_only", _search_oracle(FILTER_ONLY_PHRASES, k=20))
+def q_search_filter_only(spark, sf):
+    return _search(spark, sf, FILTER_ONLY_PHRASES, k=20)
+
+
+@register("search_paged", f"SELECT * FROM ({_search_oracle(SEARCH_PHRASES, k=20)}) WHERE rank > 10")
+def q_search_paged(spark, sf):
+    from larder.operators.annotate import annotate
+    from larder.operators.filters import derive_requests
+    from larder.operators.retrieve import scored_hits, top_hits
+    ix = index(spark, sf)
+    req = derive_requests(annotate(phrase_set(spark, sf, SEARCH_PHRASES), ix.dictionary, size=10, from_=10),
+                          ix.dictionary)
+    return top_hits(scored_hits(req, ix.search, ix.postings, ix.vgrams), 20)
+
+
+def _facet_sql():
+    parts = []
+    for kind, col in (("brands", "brand"), ("categories", "category"), ("ingredients", "ingredients")):
+        parts.append(f"""SELECT '{kind}' AS kind, lower({O.strip('piece')}) AS term FROM (
+          SELECT unnest(string_split(value, ',')) AS piece FROM (
+            SELECT {col} AS value, count(*) AS n FROM d WHERE {col} IS NOT NULL AND length({col}) <= 256
+            GROUP BY {col} ORDER BY n DESC, value LIMIT 10000))""")
+    return f"WITH d AS ({O.docs_sql()}) SELECT DISTINCT kind, term FROM (" + " UNION ALL ".join(parts) + \
+        ") WHERE term <> ''"
+
+
+@register("facet_terms", _facet_sql())
+def q_facet_terms(spark, sf):
+    from larder.operators.dictionary import facet_terms
+    return facet_terms(docs(spark, sf))
+
+
+# ----------------------------------------------------------------- E-16
+VERIFY_CASES = [
+    ("min_protein", "concat(p_name, ' with at least 20g protein')"),
+    ("max_calories", "concat(p_name, ' under 200 calories')"),
+    ("low_sugar", "concat('low sugar ', p_name)"),
+    ("high_protein", "concat('high protein ', p_name)"),
+]
+
+
+@register("verify_constraints", f"""
+    WITH h AS ({_search_oracle([e for _c, e in VERIFY_CASES])}), d AS ({O.search_docs_sql()}),
+    cases AS ({' UNION ALL '.join(f"SELECT DISTINCT {e} AS query_id, '{c}' AS check_kind, "
+                                   f"string_split(p_name, ' ')[-1] AS needle FROM part" for c, e in VERIFY_CASES)}),
+    chk AS (
+      SELECT h.query_id, h.total, c.check_kind,
+        CASE c.check_kind
+          WHEN 'min_protein' THEN coalesce(list_filter(d.nuts, lambda e: e.k = 'proteins')[1].p >= 20.0, false)
+          WHEN 'max_calories' THEN coalesce(coalesce(list_filter(d.nuts, lambda e: e.k = 'energy-kcal')[1].p,
+                                                     list_filter(d.nuts, lambda e: e.k = 'calories')[1].p) <= 200.0, false)
+          WHEN 'low_sugar' THEN d.is_low_sugar OR coalesce(list_filter(d.nuts, lambda e: e.k = 'sugars')[1].p
+                                                           BETWEEN 0 AND 5.0, false)
+          ELSE d.is_high_protein OR coalesce(list_filter(d.nuts, lambda e: e.k = 'proteins')[1].p >= 10.0, false)
+        END AS constraint_ok,
+        contains(lower(concat_ws(' ', d.product_name, d.category, d.search_text)), c.needle) AS category_ok
+      FROM h JOIN cases c USING (query_id) JOIN d ON d.id = h.doc_id)
+    SELECT c.query_id, c.check_kind, coalesce(any_value(chk.total), 0) AS total, count(chk.query_id) AS sample_size,
+           count_if(CASE WHEN c.check_kind IN ('low_sugar', 'high_protein') THEN constraint_ok AND category_ok
+                         ELSE constraint_ok END) AS n_ok,
+           coalesce(bool_and(CASE WHEN c.check_kind IN ('low_sugar', 'high_protein') THEN constraint_ok AND category_ok
+                                  ELSE constraint_ok END), true) AS passed
+    FROM cases c LEFT JOIN chk USING (query_id) GROUP BY c.query_id, c.check_kind""")
+def q_verify_constraints(spark, sf):
+    from larder.operators.evaluate import verify_constraints
+    part = fx.table(spark, sf, "part")
+    cases = None
+    for kind, expr in VERIFY_CASES:
+        c = part.selectExpr(f"{expr} AS query_id", f"'{kind}' AS check_kind",
+                            "element_at(split(p_name, ' '), -1) AS needle").distinct()
+        cases = c if cases is None else cases.unionByName(c)
+    hits = _search(spark, sf, [e for _c, e in VERIFY_CASES])
+    return verify_constraints(hits, docs(spark, sf), cases)
