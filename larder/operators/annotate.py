@@ -29,6 +29,7 @@ from larder.fixed_values import (
 )
 from larder.functions.parse import collapse_ws
 from larder.functions.text import canonicalize, ngrams, normalize_phrase, tokenize
+from larder.operators.joins import broadcast_if_small
 
 U = "(?U)"
 EXPL_T = "array<struct<field:string,explanation:string>>"
@@ -167,9 +168,9 @@ def match_entities(df: DataFrame, dictionary: DataFrame, text_col: str = "cleane
     """Q-17 .. Q-19: dictionary n-gram matches with greedy longest-first span
     suppression.  Adds ``matched`` = array<struct<kind,value>> in match order."""
     grams = df.select("query_id", F.posexplode(ngrams(tokenize(F.col(text_col)), MAX_NGRAM)).alias("idx", "g"))
-    # The dictionary is capped by construction (top-N per kind + fixed sets),
-    # so broadcasting it is safe at any input size.
-    hits = grams.join(F.broadcast(dictionary.select(F.col("term"), F.col("kind"))),
+    # The dictionary is capped by construction (top-N per kind + fixed sets);
+    # the size is still checked before broadcasting (shuffle join beyond it).
+    hits = grams.join(broadcast_if_small(dictionary.select(F.col("term"), F.col("kind"))),
                       F.col("g.text") == F.col("term"))
     per_q = hits.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct(
         "idx", F.col("g.text").alias("text"), F.col("g.n").alias("n"), "kind"))).alias("cands"))

@@ -155,3 +155,95 @@ def bm25_search(req: DataFrame, docs: DataFrame, search_tbl: DataFrame, limit: i
                   F.lit(PALM_OIL_FREE_BOOST)).otherwise(F.lit(0.0))
     score = F.col("text_score") + mods + palm + F.col("completeness") * COMPLETENESS_WEIGHT
     return top_hits(rows.select("query_id", "doc_id", "size", "from_", F.round(score, 6).alias("score")), limit)
+
+
+# ------------------------------------------------------------------ R-13 fuzzy
+def auto_fuzziness(term) -> F.Column:
+    """R-13 AUTO: 0 edits for 1-2 characters, 1 for 3-5, 2 above."""
+    n = F.length(term)
+    return F.when(n <= 2, 0).when(n <= 5, 1).otherwise(2)
+
+
+def deletions(word, max_del: int = 2) -> F.Column:
+    """The word and every string obtained by deleting up to ``max_del``
+    characters (the delete neighbourhood); distinct."""
+    n = F.length(word)
+    one = F.transform(F.sequence(F.lit(1), F.greatest(n, F.lit(1))),
+                      lambda i: F.concat(F.substring(word, 1, i - 1), F.substring(word, i + 1, 1 << 20)))
+    one = F.when(n >= 1, one).otherwise(F.array().cast("array<string>"))
+    two = F.flatten(F.transform(one, lambda w: F.transform(
+        F.sequence(F.lit(1), F.greatest(F.length(w), F.lit(1))),
+        lambda i: F.concat(F.substring(w, 1, i - 1), F.substring(w, i + 1, 1 << 20)))))
+    parts = [F.array(word), one] + ([F.when(n >= 2, two).otherwise(F.array().cast("array<string>"))]
+                                    if max_del >= 2 else [])
+    return F.array_distinct(F.concat(*parts))
+
+
+def _swaps(word) -> F.Column:
+    """The word with one adjacent pair swapped, for every position."""
+    n = F.length(word)
+    return F.when(n >= 2, F.transform(F.sequence(F.lit(1), n - 1), lambda i: F.concat(
+        F.substring(word, 1, i - 1), F.substring(word, i + 1, 1), F.substring(word, i, 1),
+        F.substring(word, i + 2, 1 << 20)))).otherwise(F.array().cast("array<string>"))
+
+
+def osa_within(a, b, k) -> F.Column:
+    """Edit distance with adjacent transpositions counted as one edit, tested
+    against k <= 2: plain Levenshtein, or one / two swaps of ``a`` plus the
+    remaining Levenshtein budget."""
+    lev = F.levenshtein(a, b)
+    one = F.exists(_swaps(a), lambda s: F.levenshtein(s, b) + 1 <= k)
+    two = F.exists(_swaps(a), lambda s: F.exists(_swaps(s), lambda t: F.levenshtein(t, b) + 2 <= k))
+    return (lev <= k) | ((k >= 1) & one) | ((k >= 2) & two)
+
+
+def fuzzy_expansions(qterms: DataFrame, vocab: DataFrame) -> DataFrame:
+    """(term, vterm) pairs with OSA(term, vterm) <= AUTO(term): both sides
+    expand into their delete neighbourhoods and meet on an equi-join; every
+    pair is then verified exactly.  No cap on expansions."""
+    q = qterms.select("term").distinct().withColumn("k", auto_fuzziness(F.col("term")))
+    qd = q.select("term", "k", F.explode(deletions(F.col("term"))).alias("key"))
+    vd = vocab.select(F.col("term").alias("vterm")).distinct().select(
+        "vterm", F.explode(deletions(F.col("vterm"))).alias("key"))
+    pairs = qd.join(vd, "key").select("term", "k", "vterm").distinct()
+    return pairs.where((F.abs(F.length("term") - F.length("vterm")) <= F.col("k"))
+                       & osa_within(F.col("term"), F.col("vterm"), F.col("k"))).select("term", "vterm")
+
+
+def fuzzy_hits(req: DataFrame, docs: DataFrame, k1: float = BM25_K1, b: float = BM25_B) -> DataFrame:
+    """R-11 with R-13: (query_id, doc_id, fuzzy_score) for documents where at
+    least the tiered minimum of query terms match some field term within the
+    AUTO edit distance; per query position the best-scoring expansion counts,
+    best field x boost, times the fuzzy boost."""
+    post = positional_postings(docs)
+    stats = field_stats(docs)
+    dfs = term_stats(post)
+    dl = doc_lengths(docs)
+    q = req.where(F.col("text") != "").select(
+        "query_id", F.posexplode(analyzed_terms(F.col("text"))).alias("qpos", "term"))
+    nq = q.groupBy("query_id").agg(F.count(F.lit(1)).alias("nq"))
+    exp = fuzzy_expansions(q, post.select("term"))
+    hits = q.join(exp, "term").join(post.withColumnRenamed("term", "vterm"), "vterm")
+    tf = hits.groupBy("query_id", "doc_id", "field", "qpos", "vterm").agg(F.count(F.lit(1)).alias("tf"))
+    boosts = F.create_map(*[x for f, v in FIELD_BOOSTS.items() for x in (F.lit(f), F.lit(v))])
+    scored = (tf.join(F.broadcast(stats), "field")
+              .join(dfs.withColumnRenamed("term", "vterm"), ["field", "vterm"]).join(dl, ["field", "doc_id"])
+              .withColumn("s", F.log(1 + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
+                          * F.col("tf") / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))))
+    per_pos = scored.groupBy("query_id", "doc_id", "field", "qpos").agg(F.max("s").alias("s"))
+    per_field = per_pos.groupBy("query_id", "doc_id", "field").agg(
+        F.sum("s").alias("fs"), F.count(F.lit(1)).alias("matched")).join(nq, "query_id")
+    ok = per_field.where(F.col("matched") >= tiered_minimum_should_match(F.col("nq")))
+    best = ok.groupBy("query_id", "doc_id").agg(F.max(F.element_at(boosts, F.col("field")) * F.col("fs")).alias(
+        "fuzzy"))
+    return best.select("query_id", "doc_id", (F.col("fuzzy") * FUZZY_BOOST).alias("fuzzy_score"))
+
+
+def fuzzy_search(req: DataFrame, docs: DataFrame, search_tbl: DataFrame, limit: int = 10) -> DataFrame:
+    """Ranking by the fuzzy minimum-should-match clause alone (R-11/R-12/R-13),
+    with the same filters, modifier/palm-oil boosts and completeness."""
+    from larder.operators.retrieve import REQUEST_COLS, filters_ok, top_hits
+    req = req.select(*REQUEST_COLS)
+    rows = fuzzy_hits(req, docs).join(req, "query_id").join(search_tbl, "doc_id").where(filters_ok())
+    score = F.col("fuzzy_score") + F.col("completeness") * COMPLETENESS_WEIGHT
+    return top_hits(rows.select("query_id", "doc_id", "size", "from_", F.round(score, 6).alias("score")), limit)

@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from larder.fixed_values import CONSTRAINT_TO_FLAG, FLAG_NAMES
+from larder.operators.joins import broadcast_if_small
 
 OVERRIDE_MARK = "Manual override"
 ENTITY_T = "array<struct<value:string,explanation:string>>"
@@ -60,7 +61,7 @@ def derive_requests(ann: DataFrame, dictionary: DataFrame, overrides: DataFrame
     brands = F.col("entities.brands")
     first_brand = F.get(brands, 0)["value"]
     df = df.withColumn("_b0", F.lower(first_brand))
-    df = df.join(F.broadcast(ci), F.col("_b0") == F.col("_ci_term"), "left").drop("_ci_term")
+    df = df.join(broadcast_if_small(ci), F.col("_b0") == F.col("_ci_term"), "left").drop("_ci_term")
 
     def override(bucket):
         return F.exists(F.col(f"entities.{bucket}"), lambda e: e["explanation"].contains(OVERRIDE_MARK))

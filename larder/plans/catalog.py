@@ -853,3 +853,17 @@ def q_verify_constraints(spark, sf):
         cases = c if cases is None else cases.unionByName(c)
     hits = _search(spark, sf, [e for _c, e in VERIFY_CASES])
     return verify_constraints(hits, docs(spark, sf), cases)
+
+
+FUZZY_PHRASES = ["concat(p_name, 's')", "concat(substring(p_name, 2), ' ', lower(p_type))",
+                 "concat(replace(p_name, 'e', 'a'), ' widgte')"]
+
+
+@register("search_fuzzy")
+def q_search_fuzzy(spark, sf):
+    """Rows-only: fuzzy (AUTO edit distance) clause; checked against brute
+    force in tests/test_fuzzy.py."""
+    from larder.operators.bm25 import fuzzy_search
+    ix = index(spark, sf)
+    req = requests(spark, sf, phrase_set(spark, sf, FUZZY_PHRASES)).checkpoint(eager=True)
+    return fuzzy_search(req, ix.docs, ix.search, 10)
