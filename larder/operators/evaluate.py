@@ -229,3 +229,16 @@ def verify_constraints(hits: DataFrame, docs: DataFrame, cases: DataFrame) -> Da
                       F.coalesce("sample_size", F.lit(0)).cast("long").alias("sample_size"),
                       F.coalesce("n_ok", F.lit(0)).cast("long").alias("n_ok"),
                       F.coalesce("passed", F.lit(True)).alias("passed"))
+
+
+def evidence_records(annotations: DataFrame, graded: DataFrame, per_query: DataFrame) -> DataFrame:
+    """E-15: one nested record per phrase: annotation, hits (at most k per
+    phrase, so the collected list is bounded) with grades, and metrics."""
+    hits = graded.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct(
+        "rank", "doc_id", "grade"))).alias("hits"))
+    return (annotations.join(hits, "query_id", "left").join(per_query.drop("type"), "query_id", "left"))
+
+
+def write_evidence(records: DataFrame, path: str) -> None:
+    """S-16 evidence sink (JSON lines)."""
+    records.write.mode("overwrite").json(path)

@@ -867,3 +867,46 @@ def q_search_fuzzy(spark, sf):
     ix = index(spark, sf)
     req = requests(spark, sf, phrase_set(spark, sf, FUZZY_PHRASES)).checkpoint(eager=True)
     return fuzzy_search(req, ix.docs, ix.search, 10)
+
+
+# ----------------------------------------------------------------- L-5 overrides
+_OVERRIDES_SQL = ("SELECT p_name AS query_id, NULL::VARCHAR AS o_brand, lower(min(p_type)) AS o_category, "
+                  "NULL::VARCHAR AS o_ingredients, CASE WHEN min(p_size) % 3 = 0 THEN true END AS o_organic, "
+                  + ", ".join(f"NULL::BOOLEAN AS o_{k}" for k in ("vegan", "vegetarian", "palm_oil", "high_protein",
+                                                                 "low_sugar", "low_sodium", "gluten_free",
+                                                                 "lactose_free"))
+                  + " FROM part GROUP BY p_name")
+
+
+@register("search_overrides", O.ranked_sql(O.scored_sql(O.requests_sql(
+    O.annotate_sql("SELECT DISTINCT p_name AS query_id, p_name AS phrase FROM part", _DICT_SQL), _DICT_SQL,
+    _OVERRIDES_SQL), O.search_docs_sql()), 10))
+def q_search_overrides(spark, sf):
+    """L-5: phrases plus explicit filters (category, organic) per request."""
+    from larder.operators.retrieve import scored_hits, top_hits
+    ix = index(spark, sf)
+    part = fx.table(spark, sf, "part")
+    ph = part.select(F.col("p_name").alias("query_id"), F.col("p_name").alias("phrase")).distinct()
+    ov = part.groupBy("p_name").agg(F.lower(F.min("p_type")).alias("category"),
+                                    F.when(F.min("p_size") % 3 == 0, F.lit(True)).alias("organic")).select(
+        F.col("p_name").alias("query_id"), F.lit(None).cast("string").alias("brand"), "category",
+        F.lit(None).cast("string").alias("ingredients"), "organic")
+    req = requests(spark, sf, ph, ov)
+    return top_hits(scored_hits(req, ix.search, ix.postings, ix.vgrams), 10)
+
+
+@register("evidence", f"""
+    WITH a AS ({O.annotate_sql(phrase_set_sql(SEARCH_PHRASES), _DICT_SQL)}),
+    g AS ({GRADE_CLASSIC_SQL}),
+    h AS (SELECT query_id, string_agg(doc_id || ':' || grade, '|' ORDER BY rank) AS hits FROM g GROUP BY query_id),
+    m AS ({_metrics_sql(GRADE_CLASSIC_SQL, False, False)})
+    SELECT a.query_id, a.intent, a.cq AS text_term, coalesce(h.hits, '') AS hits, m.p5, m.ndcg, m.mrr
+    FROM a LEFT JOIN h USING (query_id) LEFT JOIN m USING (query_id)""")
+def q_evidence(spark, sf):
+    from larder.operators.evaluate import evidence_records
+    ann = annotations(spark, sf, phrase_set(spark, sf, SEARCH_PHRASES)).select("query_id", "intent", "text_term")
+    rec = evidence_records(ann, graded_classic(spark, sf), _metrics(spark, sf))
+    hits = F.array_join(F.transform(F.coalesce("hits", F.array().cast(
+        "array<struct<rank:int,doc_id:string,grade:int>>")), lambda h: F.concat(h["doc_id"], F.lit(":"),
+                                                                                 h["grade"].cast("string"))), "|")
+    return rec.select("query_id", "intent", "text_term", hits.alias("hits"), "p5", "ndcg", "mrr")

@@ -357,17 +357,28 @@ def annotate_sql(phrases_sql: str, dict_sql: str) -> str:
     return "WITH " + ",\n".join(ctes) + "\nSELECT * FROM a"
 
 
-def kind_values(kind: str) -> str:
+def kind_values(kind: str, override: str | None = None) -> str:
     vals = f"list_transform(list_filter(matched, lambda m: m.kind = {q(kind)}), lambda m: m.value)"
     if kind == "brands":
         vals = (f"list_concat(CASE WHEN explicit_brand IS NOT NULL THEN [explicit_brand] ELSE []::VARCHAR[] END, "
                 f"{vals})")
+    if override:
+        vals = f"list_concat({vals}, CASE WHEN {override} IS NOT NULL THEN [{override}] ELSE []::VARCHAR[] END)"
     return vals
 
 
-def requests_sql(ann: str, dict_sql: str) -> str:
-    """Filter derivation (D-2 .. D-11) over annotate_sql output."""
-    brands = kind_values("brands")
+def requests_sql(ann: str, dict_sql: str, overrides_sql: str | None = None) -> str:
+    """Filter derivation (D-1 .. D-11) over annotate_sql output; optional
+    overrides(query_id, brand, category, ingredients, <filter keys>)."""
+    if overrides_sql:
+        keys = ", ".join(f"coalesce(ov.o_{k}, a0.f_{k}) AS f_{k}" for k in FILTER_KEYS)
+        excl = ", ".join(f"f_{k}" for k in FILTER_KEYS)
+        ann = (f"SELECT a0.* EXCLUDE ({excl}), {keys}, ov.o_brand, ov.o_category, ov.o_ingredients "
+               f"FROM ({ann}) a0 LEFT JOIN ({overrides_sql}) ov USING (query_id)")
+        ob, oc, oi = "o_brand", "o_category", "o_ingredients"
+    else:
+        ob = oc = oi = None
+    brands = kind_values("brands", ob)
     b0 = f"({brands})[1]"
     stripped = (f"trim(regexp_replace(regexp_replace(' ' || text_term || ' ', "
                 f"'([^a-z0-9])' || regexp_escape({b0}) || '([^a-z0-9])', '\\1 \\2', 'g'), '\\s+', ' ', 'g'))")
@@ -382,17 +393,20 @@ def requests_sql(ann: str, dict_sql: str) -> str:
                  coalesce((SELECT in_categories OR in_ingredients FROM dict2 WHERE term = lower({b0})), false) AS amb
           FROM ann),
     r AS (SELECT *,
-      CASE WHEN intent = 'brand_search' THEN b0
+      CASE WHEN intent = 'brand_search' OR {ob or 'NULL'} IS NOT NULL THEN b0
            WHEN b0 IS NOT NULL AND intent = 'generic_search' AND NOT amb AND text_term <> '' AND remaining <> ''
            THEN b0 END AS brand_f,
-      (intent = 'generic_search' AND b0 IS NOT NULL AND NOT amb AND text_term <> '' AND remaining <> '') AS promoted
+      (intent = 'generic_search' AND {ob or 'NULL'} IS NULL AND b0 IS NOT NULL AND NOT amb AND text_term <> ''
+       AND remaining <> '') AS promoted
       FROM b)
     SELECT query_id, intent,
       CASE WHEN intent IN ('brand_search', 'category_browse', 'ingredient_search') THEN ''
            WHEN promoted THEN remaining ELSE text_term END AS text,
       brand_f,
-      CASE WHEN intent = 'category_browse' THEN ({kind_values('categories')})[1] END AS category_f,
-      CASE WHEN intent = 'ingredient_search' THEN ({kind_values('ingredients')})[1] END AS ingredients_f,
+      CASE WHEN intent = 'category_browse' OR {oc or 'NULL'} IS NOT NULL
+           THEN ({kind_values('categories', oc)})[1] END AS category_f,
+      CASE WHEN intent = 'ingredient_search' OR {oi or 'NULL'} IS NOT NULL
+           THEN ({kind_values('ingredients', oi)})[1] END AS ingredients_f,
       {flag_cols}, numeric_filters, modifiers
     FROM r
     """
