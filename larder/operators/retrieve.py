@@ -25,6 +25,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
+from pyspark import StorageLevel
 
 from larder.fixed_values import (
     ALL_TOKENS_BONUS,
@@ -80,12 +81,24 @@ def candidate_keys(req: DataFrame) -> DataFrame:
     return req.select("query_id", F.explode(keys).alias("key")).where(F.col("key").isNotNull()).distinct()
 
 
+# (query_id, word) matches above this many rows are joined by shuffle instead
+# of broadcast.
+MATCH_BROADCAST_ROWS = 2_000_000
+
+
 def postings_candidates(req: DataFrame, post: DataFrame, vgrams: DataFrame) -> DataFrame:
-    """(query_id, doc_id): documents holding some key as a substring of a word."""
+    """(query_id, doc_id): documents holding some key as a substring of a word.
+
+    The (query, word) match table is small next to the postings (phrases x
+    matching vocabulary words).  When its size check passes it is broadcast,
+    so the postings stay in their doc_id partitioning and the ``distinct``
+    below needs no exchange; otherwise both sides shuffle on the word."""
+    from larder.operators.joins import broadcast_if_small
     keys = candidate_keys(req).withColumn("gram", F.substring("key", 1, 3))
     words = (keys.join(vgrams, "gram").where(F.col("word").contains(F.col("key")))
              .select("query_id", "word").distinct())
-    return words.join(post, "word").select("query_id", "doc_id").distinct()
+    words = broadcast_if_small(words.checkpoint(eager=True), MATCH_BROADCAST_ROWS)
+    return post.join(words, "word").select("query_id", "doc_id").distinct()
 
 
 def _flag_bits(flags) -> F.Column:
@@ -143,25 +156,32 @@ def filters_ok() -> F.Column:
     return ok & numeric_ok(F.col("numeric_filters"), F.col("nutrition"))
 
 
-def tiered_score() -> F.Column:
+def with_tiered_score(df: DataFrame, out: str = "score") -> DataFrame:
     """R-2 .. R-7 in the same addition order as the sequential scorer; NULL
-    means "not a hit" (text present and nothing matched)."""
-    q = F.lower(F.col("text"))
-    phrase = (F.when(F.col("name_c").contains(q), TIER_PHRASE["product_name"])
-              .when(F.col("brand_c").contains(q), TIER_PHRASE["brand"])
-              .when(F.col("cat_c").contains(q), TIER_PHRASE["category"])
-              .when(F.col("text_c").contains(q), TIER_PHRASE["search_text"])
-              .otherwise(F.lit(0.0)))
-    toks = _tokens(q)
-    best = F.transform(toks, lambda t: F.coalesce(F.greatest(*[
-        F.when(F.col(c).contains(t), F.lit(w)) for c, w in TOKEN_WEIGHTS]), F.lit(0.0)))
-    s = F.aggregate(best, phrase, lambda acc, b: acc + b * TOKEN_MULTIPLIER)
-    matched = F.size(F.filter(best, lambda b: b > 0))
-    s = s + F.when((F.size(toks) > 0) & (matched == F.size(toks)), F.lit(ALL_TOKENS_BONUS)).otherwise(F.lit(0.0))
-    s = F.when(q == "", F.lit(1.0)).when(s > 0, s)
-    s = F.aggregate(F.col("modifiers"), s, lambda acc, m: acc + F.when(
+    means "not a hit" (text present and nothing matched).  Computed in staged
+    projections so the per-token array is evaluated once per row (Catalyst
+    keeps projections apart when merging would repeat a costly expression)."""
+    q = F.col("_q")
+    df = df.withColumn("_q", F.lower(F.col("text")))
+    df = df.withColumn("_toks", _tokens(q)).withColumn(
+        "_phrase", F.when(F.col("name_c").contains(q), TIER_PHRASE["product_name"])
+        .when(F.col("brand_c").contains(q), TIER_PHRASE["brand"])
+        .when(F.col("cat_c").contains(q), TIER_PHRASE["category"])
+        .when(F.col("text_c").contains(q), TIER_PHRASE["search_text"])
+        .otherwise(F.lit(0.0)))
+    df = df.withColumn("_best", F.transform("_toks", lambda t: F.coalesce(F.greatest(*[
+        F.when(F.col(c).contains(t), F.lit(w)) for c, w in TOKEN_WEIGHTS]), F.lit(0.0))))
+    best = F.col("_best")
+    n_tok = F.size("_toks")
+    df = df.withColumn("_s0", F.aggregate(best, F.col("_phrase"), lambda acc, b: acc + b * TOKEN_MULTIPLIER)
+                       + F.when((n_tok > 0) & (F.size(F.filter(best, lambda b: b > 0)) == n_tok),
+                                F.lit(ALL_TOKENS_BONUS)).otherwise(F.lit(0.0)))
+    s0 = F.col("_s0")
+    df = df.withColumn("_s1", F.when(q == "", F.lit(1.0)).when(s0 > 0, s0))
+    df = df.withColumn(out, F.aggregate(F.col("modifiers"), F.col("_s1"), lambda acc, m: acc + F.when(
         F.col("name_c").contains(F.lower(m)), F.lit(MODIFIER_NAME_BONUS)).otherwise(F.lit(0.0)))
-    return s + F.col("completeness") * COMPLETENESS_WEIGHT
+        + F.col("completeness") * COMPLETENESS_WEIGHT)
+    return df.drop("_q", "_toks", "_phrase", "_best", "_s0", "_s1")
 
 
 REQUEST_COLS = ["query_id", "text", "brand_f", "category_f", "ingredients_f", "flag_filters", "numeric_filters",
@@ -183,9 +203,11 @@ def scored_hits(req: DataFrame, search_tbl: DataFrame, post: DataFrame | None =
     post = post if post is not None else postings(search_tbl)
     vgrams = vgrams if vgrams is not None else vocabulary_grams(post)
     cands = postings_candidates(req, post, vgrams).unionByName(signature_candidates(req, search_tbl))
-    rows = cands.join(req, "query_id").join(search_tbl.select(*DOC_COLS), "doc_id")
-    scored = rows.where(filters_ok()).select("query_id", "doc_id", "size", "from_",
-                                             F.round(tiered_score(), 6).alias("score"))
+    rows = cands.join(req, "query_id").join(search_tbl.select(*DOC_COLS), "doc_id").where(filters_ok())
+    rows = rows.select("query_id", "doc_id", "size", "from_", "text", "modifiers", "completeness",
+                       "name_c", "brand_c", "cat_c", "ing_c", "text_c")
+    scored = with_tiered_score(rows, "_raw").select("query_id", "doc_id", "size", "from_",
+                                                    F.round("_raw", 6).alias("score"))
     return scored.where(F.col("score").isNotNull())
 
 
@@ -194,6 +216,9 @@ def top_hits(scored: DataFrame, limit: int) -> DataFrame:
     attach the total per phrase.  ``limit`` (a literal, the largest page end)
     lets the planner cut each task to ``limit`` rows per phrase before the
     exchange; the per-row page bounds are applied after."""
+    # top-k and totals both read the scored set: persist it so scoring runs
+    # once (a persisted block lost with an executor is recomputed)
+    scored = scored.persist(StorageLevel.MEMORY_AND_DISK)
     w = Window.partitionBy("query_id").orderBy(F.col("score").desc(), F.col("doc_id"))
     ranked = scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= limit)
     page = ranked.where((F.col("rank") > F.col("from_")) & (F.col("rank") <= F.col("from_") + F.col("size")))

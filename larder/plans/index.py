@@ -8,9 +8,12 @@ executor re-reads the checkpoint instead of re-parsing every product).
 
 from __future__ import annotations
 
+import os
+import uuid
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from larder.operators.dictionary import build_dictionary
 from larder.operators.enrich import build_documents, search_table
@@ -29,25 +32,47 @@ class CatalogIndex:
     dictionary: DataFrame
 
 
-def build_index(spark: SparkSession, products: DataFrame, materialize: bool = True) -> CatalogIndex:
-    """``products`` is any drift-named raw product frame (S-1)."""
+def build_index(spark: SparkSession, products: DataFrame, materialize: bool = True,
+                partitions: int | None = None) -> CatalogIndex:
+    """``products`` is any drift-named raw product frame (S-1).
+
+    The search table and the postings are bucketed by ``doc_id`` into the
+    same number of buckets, so the candidate ``distinct`` and the
+    candidate-to-document join of every later search run without an
+    exchange on the document side."""
+    n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     raw = raw_products(products)
     docs = build_documents(raw)
     st = search_table(docs)
-    dictionary = build_dictionary(spark, raw)
     if materialize:
         ensure_checkpoint_dir(spark)
         docs = docs.checkpoint(eager=True)
-        st = search_table(docs).checkpoint(eager=True)
-        dictionary = dictionary.checkpoint(eager=True)
+        st = bucketed_table(spark, search_table(docs), "doc_id", n, "search")
+    # the dictionary reads the materialised documents, not a second parse
+    dictionary = build_dictionary(spark, docs.select(
+        F.coalesce("brand", F.lit("")).alias("brands"), F.coalesce("category", F.lit("")).alias("categories"),
+        F.coalesce("ingredients", F.lit("")).alias("ingredients_text")))
     post = postings(st)
     vg = vocabulary_grams(post)
     if materialize:
-        post = post.checkpoint(eager=True)
+        dictionary = dictionary.checkpoint(eager=True)
+        post = bucketed_table(spark, post, "doc_id", n, "postings")
         vg = vg.checkpoint(eager=True)
     return CatalogIndex(raw, docs, st, post, vg, dictionary)
 
 
+def bucketed_table(spark: SparkSession, df: DataFrame, key: str, buckets: int, name: str) -> DataFrame:
+    """Write ``df`` as an external table bucketed and sorted by ``key`` under
+    the shared checkpoint folder and read it back.  Unlike a checkpoint, a
+    bucketed scan tells the planner its hash partitioning, so joins and
+    aggregates on ``key`` against another table bucketed the same way need no
+    exchange."""
+    table = f"larder_{name}_{uuid.uuid4().hex[:12]}"
+    path = os.path.join(ensure_checkpoint_dir(spark), "tables", table)
+    (df.write.mode("overwrite").bucketBy(buckets, key).sortBy(key).option("path", path).saveAsTable(table))
+    return spark.table(table)
+
+
 _CACHE: dict = {}
 
 

@@ -74,24 +74,40 @@ def rebuild_metrics(raw: DataFrame, written: DataFrame, seconds: float | None =
     return out
 
 
-def ingest_batch(batch: DataFrame, target_path: str, reject_path: str, batch_id: int | None = None) -> None:
-    """One micro-batch (or one batch job): parse, build, upsert, reject."""
+TARGET_BUCKETS = 64
+
+
+def bucket_of(key) -> F.Column:
+    return F.pmod(F.xxhash64(key), F.lit(TARGET_BUCKETS)).cast("int")
+
+
+def ingest_batch(batch: DataFrame, target_path: str, reject_path: str, batch_id: int | None = None,
+                 key: str = "id") -> None:
+    """One micro-batch (or one batch job): parse, build, upsert, reject.
+
+    The target is partitioned by a hash bucket of the id.  A batch reads only
+    the buckets its ids fall in (partition pruning), merges them, stages the
+    result and overwrites just those buckets (dynamic partition overwrite), so
+    the cost of a batch follows the batch, not the size of the table."""
     docs = build_documents(raw_products(batch))
     good, bad = split_rejects(docs)
+    good = good.withColumn("_bucket", bucket_of(F.col(key)))
     if batch_id is not None:
         good = good.withColumn("_version", F.lit(batch_id))
     spark = batch.sparkSession
+    # at most TARGET_BUCKETS small ints reach the driver
+    touched = [r[0] for r in good.select("_bucket").distinct().collect()]
     try:
-        current = spark.read.parquet(target_path)
+        current = spark.read.parquet(target_path).where(F.col("_bucket").isin(touched))
     except Exception:  # noqa: BLE001 - first batch, no target yet
         current = None
-    merged = upsert(current.drop("_version") if current is not None and "_version" in current.columns else current,
-                    good, "id")
-    # write to a fresh version folder, then point readers at it (no in-place overwrite of a table being read)
-    out = f"{target_path}.next"
-    merged.write.mode("overwrite").parquet(out)
-    merged_back = spark.read.parquet(out)
-    merged_back.write.mode("overwrite").parquet(target_path)
+    inc = good.drop("_bucket")
+    merged = upsert(current.drop("_bucket") if current is not None else None, inc, key)
+    merged = merged.withColumn("_bucket", bucket_of(F.col(key)))
+    staging = f"{target_path}_staging"
+    merged.write.mode("overwrite").partitionBy("_bucket").parquet(staging)
+    (spark.read.parquet(staging).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+     .partitionBy("_bucket").parquet(target_path))
     bad.write.mode("append").json(reject_path)
 
 
