@@ -13,8 +13,12 @@ from pyspark.sql import types as T
 from larder.fixed_values import MISSING_NUTRIENT
 
 # Python's str.isspace() set: Unicode White_Space plus the four separators
-# U+001C..U+001F.
-_WS_CLASS = r"[\s\x{1c}-\x{1f}]"
+# U+001C..U+001F.  As a literal character list (for btrim) and as an explicit
+# regex class (no (?U) needed, which keeps the matcher on its fast path).
+PY_WS_CHARS = ("\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680" + "".join(chr(c) for c in range(0x2000, 0x200B))
+               + "\u2028\u2029\u202f\u205f\u3000")
+_WS_CLASS = (r"[\t\n\x{0b}\x{0c}\r\x{1c}-\x{1f} \x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}"
+             r"\x{202f}\x{205f}\x{3000}]")
 
 NUTRIENT_STRUCT = T.StructType([
     T.StructField("value", T.DoubleType()),
@@ -35,13 +39,14 @@ def null_nan(c) -> Column:
 
 
 def py_strip(c) -> Column:
-    """Strip leading/trailing whitespace the way Python's str.strip() does."""
-    return F.regexp_replace(col_(c), rf"(?U)^{_WS_CLASS}+|{_WS_CLASS}+$", "")
+    """Strip leading/trailing whitespace the way Python's str.strip() does
+    (a character-set trim, no regex)."""
+    return F.btrim(col_(c), F.lit(PY_WS_CHARS))
 
 
 def collapse_ws(c) -> Column:
     """C-6: collapse whitespace runs into one space, then strip."""
-    return py_strip(F.regexp_replace(col_(c), rf"(?U){_WS_CLASS}+", " "))
+    return py_strip(F.regexp_replace(col_(c), rf"{_WS_CLASS}+", " "))
 
 
 def safe_str(c, dtype: T.DataType | None = None) -> Column:

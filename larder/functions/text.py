@@ -11,8 +11,8 @@ from larder.fixed_values import EDGE_NGRAM_MAX, EDGE_NGRAM_MIN, MAX_NGRAM, SYNON
 from larder.functions.parse import _WS_CLASS, col_, collapse_ws, py_strip
 
 # Python's \w on str patterns = alphanumerics of every script plus '_'.
-_NOT_WORD_SPACE_HYPHEN = rf"(?U)[^\p{{L}}\p{{N}}_{_WS_CLASS[1:-1]}\-]"
-_NOT_WORD_SPACE_HYPHEN_DOT = rf"(?U)[^\p{{L}}\p{{N}}_{_WS_CLASS[1:-1]}\-\.]"
+_NOT_WORD_SPACE_HYPHEN = rf"[^\p{{L}}\p{{N}}_{_WS_CLASS[1:-1]}\-]"
+_NOT_WORD_SPACE_HYPHEN_DOT = rf"[^\p{{L}}\p{{N}}_{_WS_CLASS[1:-1]}\-\.]"
 
 
 def normalize_phrase(c) -> Column:
@@ -31,7 +31,7 @@ def autocomplete_clean(c) -> Column:
 def tokenize(c) -> Column:
     """Q-3: whitespace tokens, '' -> []."""
     s = py_strip(col_(c))
-    return F.when(s == "", F.array().cast("array<string>")).otherwise(F.split(s, rf"(?U){_WS_CLASS}+"))
+    return F.when(s == "", F.array().cast("array<string>")).otherwise(F.split(s, rf"{_WS_CLASS}+"))
 
 
 def ngrams(tokens, max_n: int = MAX_NGRAM) -> Column:

@@ -32,10 +32,10 @@ DICTIONARY_SCHEMA = "term string, kind string, priority int"
 def clean_piece(c) -> F.Column:
     """A-1: dictionary piece clean-up; NULL when unusable."""
     s = F.lower(py_strip(col_(c)))
-    s = F.regexp_replace(s, rf"(?U){_WS_CLASS}*\([^)]*\)", "")
-    s = F.regexp_replace(s, rf"(?U){_WS_CLASS}*en:[a-z0-9\-]+", "")
-    s = F.regexp_replace(s, rf"(?U)[^a-z0-9{_WS_CLASS[1:-1]}\-%&']+", "")
-    s = py_strip(F.regexp_replace(s, rf"(?U){_WS_CLASS}+", " "))
+    s = F.regexp_replace(s, rf"{_WS_CLASS}*\([^)]*\)", "")
+    s = F.regexp_replace(s, rf"{_WS_CLASS}*en:[a-z0-9\-]+", "")
+    s = F.regexp_replace(s, rf"[^a-z0-9{_WS_CLASS[1:-1]}\-%&']+", "")
+    s = py_strip(F.regexp_replace(s, rf"{_WS_CLASS}+", " "))
     bad = (s == "") | (F.length(s) > DICTIONARY_PIECE_MAX_LEN) | s.isin(*DICTIONARY_NULL_WORDS)
     return F.when(~bad, s)
 

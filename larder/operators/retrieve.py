@@ -39,7 +39,7 @@ from larder.fixed_values import (
 from larder.functions.parse import _WS_CLASS
 from larder.functions.text import grams, synonym_variants
 
-WORD_SPLIT = rf"(?U){_WS_CLASS}+"
+WORD_SPLIT = rf"{_WS_CLASS}+"
 TOKEN_WEIGHTS = [("name_c", 3.0), ("brand_c", 2.0), ("cat_c", 1.5), ("ing_c", 1.2), ("text_c", 1.0)]
 
 
