@@ -263,3 +263,12 @@ def with_nutriments(df, src: str, out: str):
            .otherwise(F.coalesce(F.col(f"{p}_lm"), empty)))
     df = df.withColumn(out, res)
     return df.drop(*[f"{p}_{x}" for x in ("s", "t", "obj", "blocks", "jm", "recs", "lm")])
+
+
+def evaluate_once(df, name: str, expr: Column):
+    """Add column ``name`` = ``expr`` so that ``expr`` runs once per row even
+    when later filters test the column several times.  Without this, a filter
+    on a projected column is pushed below the projection with the expression
+    inlined into every test.  A one-element generator output is never
+    inlined."""
+    return df.withColumn(name, F.explode(F.array(expr)))

@@ -24,20 +24,31 @@ from larder.fixed_values import (
     NUTRITION_TERMS,
     SUSTAINABILITY_LABELS,
 )
-from larder.functions.parse import _WS_CLASS, col_, py_strip
+from larder.functions.parse import _WS_CLASS, col_, evaluate_once, py_strip
 
 DICTIONARY_SCHEMA = "term string, kind string, priority int"
 
 
-def clean_piece(c) -> F.Column:
-    """A-1: dictionary piece clean-up; NULL when unusable."""
+def clean_text(c) -> F.Column:
+    """A-1 text part: trim, lower-case, drop ' (...)' and 'en:tag', drop
+    characters outside [a-z0-9 whitespace - % & '], collapse whitespace."""
     s = F.lower(py_strip(col_(c)))
     s = F.regexp_replace(s, rf"{_WS_CLASS}*\([^)]*\)", "")
     s = F.regexp_replace(s, rf"{_WS_CLASS}*en:[a-z0-9\-]+", "")
     s = F.regexp_replace(s, rf"[^a-z0-9{_WS_CLASS[1:-1]}\-%&']+", "")
-    s = py_strip(F.regexp_replace(s, rf"{_WS_CLASS}+", " "))
-    bad = (s == "") | (F.length(s) > DICTIONARY_PIECE_MAX_LEN) | s.isin(*DICTIONARY_NULL_WORDS)
-    return F.when(~bad, s)
+    return py_strip(F.regexp_replace(s, rf"{_WS_CLASS}+", " "))
+
+
+def usable(s) -> F.Column:
+    """A-1 validity: not empty, at most 48 characters, not a null word."""
+    s = col_(s)
+    return ~((s == "") | (F.length(s) > DICTIONARY_PIECE_MAX_LEN) | s.isin(*DICTIONARY_NULL_WORDS))
+
+
+def clean_piece(c) -> F.Column:
+    """A-1: dictionary piece clean-up; NULL when unusable."""
+    s = clean_text(c)
+    return F.when(usable(s), s)
 
 
 def term_counts(raw: DataFrame) -> DataFrame:
@@ -47,8 +58,9 @@ def term_counts(raw: DataFrame) -> DataFrame:
         F.posexplode(F.array(F.col("brands"), F.col("categories"), F.col("ingredients_text"))).alias("k", "v"))
     kinds = F.element_at(F.array(*[F.lit(k) for k in ENTITY_KINDS[:3]]), F.col("k") + 1)
     pieces = src.select(kinds.alias("kind"), F.explode(F.split(F.coalesce("v", F.lit("")), ",")).alias("piece"))
-    return (pieces.select("kind", clean_piece("piece").alias("term")).where(F.col("term").isNotNull())
-            .groupBy("kind", "term").agg(F.count(F.lit(1)).alias("n")))
+    # cleaned once per piece, then tested (the test reads it three times)
+    cleaned = evaluate_once(pieces, "term", clean_text("piece")).select("kind", "term")
+    return (cleaned.where(usable("term")).groupBy("kind", "term").agg(F.count(F.lit(1)).alias("n")))
 
 
 def dictionary_topk(raw: DataFrame, top: dict | None = None) -> DataFrame:
@@ -83,8 +95,11 @@ def build_dictionary(spark: SparkSession, raw: DataFrame, top: dict | None = Non
     highest-precedence kind (brands > categories > ingredients > allergens >
     sustainability > nutrition > countries)."""
     built = dictionary_topk(raw, top).select("term", "kind")
-    every = (built.unionByName(always_include(spark, built).select("term", "kind"))
-             .unionByName(static_entities(spark)))
+    # A-3: the always-included ingredients are added unconditionally; a term
+    # already built as an ingredient collapses in the group-by below, which
+    # equals adding only the missing ones and reads the top-N table once.
+    extra = spark.createDataFrame([(t, "ingredients") for t in ALWAYS_INCLUDE_INGREDIENTS], "term string, kind string")
+    every = built.unionByName(extra).unionByName(static_entities(spark))
     prio = F.array_position(F.array(*[F.lit(k) for k in ENTITY_KINDS]), F.col("kind")).cast("int")
     best = every.select("term", prio.alias("priority"), (F.col("kind") == "categories").alias("c"),
                         (F.col("kind") == "ingredients").alias("i")).groupBy("term").agg(

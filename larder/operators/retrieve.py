@@ -36,7 +36,7 @@ from larder.fixed_values import (
     TIER_PHRASE,
     TOKEN_MULTIPLIER,
 )
-from larder.functions.parse import _WS_CLASS
+from larder.functions.parse import _WS_CLASS, evaluate_once
 from larder.functions.text import grams, synonym_variants
 
 WORD_SPLIT = rf"{_WS_CLASS}+"
@@ -206,8 +206,9 @@ def scored_hits(req: DataFrame, search_tbl: DataFrame, post: DataFrame | None =
     rows = cands.join(req, "query_id").join(search_tbl.select(*DOC_COLS), "doc_id").where(filters_ok())
     rows = rows.select("query_id", "doc_id", "size", "from_", "text", "modifiers", "completeness",
                        "name_c", "brand_c", "cat_c", "ing_c", "text_c")
-    scored = with_tiered_score(rows, "_raw").select("query_id", "doc_id", "size", "from_",
-                                                    F.round("_raw", 6).alias("score"))
+    scored = with_tiered_score(rows, "_raw")
+    scored = evaluate_once(scored, "score", F.round("_raw", 6)).select("query_id", "doc_id", "size", "from_",
+                                                                       "score")
     return scored.where(F.col("score").isNotNull())
 
 
