@@ -46,3 +46,20 @@ def test_entry_contract(spark):
     df = m.entry(spark)
     assert df.count() > 0
     assert set(m.oracle_sql()) <= set(m.queries())
+
+
+def test_synonym_file_and_judgments(spark, scratch_dir):
+    from larder.sources.judgments import canonical_map, read_judgments, read_synonym_pairs
+    p = os.path.join(scratch_dir, "syn.txt")
+    with open(p, "w", encoding="utf-8") as f:
+        f.write("# comment\n\nSoy, Soya\nyogurt , yoghurt\nbad line\na, b, c\n")
+    pairs = sorted(tuple(r) for r in read_synonym_pairs(spark, p).collect())
+    assert pairs == [("soy", "soya"), ("yogurt", "yoghurt")]
+    assert {r["term"]: r["canonical"] for r in canonical_map(read_synonym_pairs(spark, p)).collect()}["soya"] == "soy"
+    j = os.path.join(scratch_dir, "judg.json")
+    with open(j, "w", encoding="utf-8") as f:
+        f.write('[{"query": "peanut butter", "type": "product", "description": "d", '
+                '"relevant_keywords": ["peanut", "butter"], "disallowed_keywords": [], '
+                '"required_flags": {"is_vegan": true}}]')
+    r = read_judgments(spark, j).first()
+    assert r["query_id"] == "peanut butter" and r["required_flags"] == {"is_vegan": True}
