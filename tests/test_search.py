@@ -53,3 +53,12 @@ def test_plan_has_partial_topk_and_no_cartesian(spark):
     assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
     assert "WindowGroupLimit" in hits._jdf.queryExecution().optimizedPlan().toString() or "rank" in hits.columns
 
+
+
+def test_shuffle_fallback_equals_broadcast(spark, monkeypatch):
+    import larder.operators.retrieve as R
+    phrases = ["peanut butter", "spread", "butter under 10 g sugars", "low sugar peanut butter"]
+    want = sorted(tuple(r) for r in run(spark, phrases).collect())
+    monkeypatch.setattr(R, "MATCH_BROADCAST_ROWS", 0)  # force the shuffle join
+    got = sorted(tuple(r) for r in run(spark, phrases).collect())
+    assert got == want
