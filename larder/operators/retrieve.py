@@ -230,3 +230,15 @@ def top_hits(scored: DataFrame, limit: int) -> DataFrame:
 def search(req: DataFrame, search_tbl: DataFrame, limit: int = 20) -> DataFrame:
     """Requests x documents -> ranked hits (query_id, rank, doc_id, score, total)."""
     return top_hits(scored_hits(req, search_tbl), limit)
+
+
+def explain_records(ann: DataFrame, req: DataFrame, scored: DataFrame) -> DataFrame:
+    """R-20: one record per phrase with its parse, entities, constraints,
+    derived filters, paging and total hit count (phrases without hits get 0)."""
+    totals = scored.groupBy("query_id").agg(F.count(F.lit(1)).alias("total_results"))
+    r = req.select("query_id", F.col("text").alias("query_text"), "parsed_query", "brand_f", "category_f",
+                   "ingredients_f", "flag_filters", "size", "from_", "page")
+    out = ann.select("query_id", "original_query", "normalized_query", "intent", "entities", "filters",
+                     "numeric_filters", "modifiers", "recipe_quantities").join(r, "query_id")
+    return out.join(totals, "query_id", "left").withColumn(
+        "total_results", F.coalesce(F.col("total_results"), F.lit(0)).cast("long"))

@@ -910,3 +910,25 @@ def q_evidence(spark, sf):
         "array<struct<rank:int,doc_id:string,grade:int>>")), lambda h: F.concat(h["doc_id"], F.lit(":"),
                                                                                  h["grade"].cast("string"))), "|")
     return rec.select("query_id", "intent", "text_term", hits.alias("hits"), "p5", "ndcg", "mrr")
+
+
+@register("explain", f"""
+    WITH r AS ({O.requests_sql(O.annotate_sql(phrase_set_sql(SEARCH_PHRASES), _DICT_SQL), _DICT_SQL)}),
+    s AS ({O.scored_sql(O.requests_sql(O.annotate_sql(phrase_set_sql(SEARCH_PHRASES), _DICT_SQL), _DICT_SQL),
+                        O.search_docs_sql())}),
+    t AS (SELECT query_id, count(*) AS n FROM s GROUP BY query_id)
+    SELECT r.query_id, r.intent, r.text AS query_text, r.brand_f, r.category_f, len(r.numeric_filters) AS n_numeric,
+           len(r.modifiers) AS n_modifiers, 20 AS size, 1 AS page, coalesce(t.n, 0) AS total_results
+    FROM r LEFT JOIN t USING (query_id)""")
+def q_explain(spark, sf):
+    from larder.operators.annotate import annotate
+    from larder.operators.filters import derive_requests
+    from larder.operators.retrieve import explain_records, scored_hits
+    ix = index(spark, sf)
+    ann = annotate(phrase_set(spark, sf, SEARCH_PHRASES), ix.dictionary).checkpoint(eager=True)
+    req = derive_requests(ann, ix.dictionary).checkpoint(eager=True)
+    rec = explain_records(ann, req, scored_hits(req, ix.search, ix.postings, ix.vgrams))
+    return rec.select("query_id", "intent", "query_text", "brand_f", "category_f",
+                      F.size("numeric_filters").cast("long").alias("n_numeric"),
+                      F.size("modifiers").cast("long").alias("n_modifiers"),
+                      "size", "page", "total_results")
