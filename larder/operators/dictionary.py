@@ -73,7 +73,7 @@ def dictionary_topk(raw: DataFrame, top: dict | None = None) -> DataFrame:
     limit = max(top.values())
     ranked = counts.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= limit)
     cap = F.element_at(F.create_map(*[x for k, v in top.items() for x in (F.lit(k), F.lit(v))]), F.col("kind"))
-    return ranked.where(F.col("rank") <= cap).select("kind", "term", "n", "rank")
+    return ranked.where(F.col("rank") <= cap).select("kind", "term", "n", F.col("rank").cast("long").alias("rank"))
 
 
 def always_include(spark: SparkSession, built: DataFrame) -> DataFrame:

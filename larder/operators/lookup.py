@@ -63,7 +63,7 @@ def autocomplete_prefix(docs: DataFrame, queries: DataFrame, k: int = AUTOCOMPLE
     hits = q.join(name_prefixes(docs, max_len), "key").where(F.lower("name").startswith(F.col("prefix")))
     w = Window.partitionBy("query_id").orderBy("name")
     return hits.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select(
-        "query_id", "rank", "name")
+        "query_id", F.col("rank").cast("long").alias("rank"), "name")
 
 
 def doc_count(docs: DataFrame) -> DataFrame:

@@ -224,7 +224,8 @@ def top_hits(scored: DataFrame, limit: int) -> DataFrame:
     ranked = scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= limit)
     page = ranked.where((F.col("rank") > F.col("from_")) & (F.col("rank") <= F.col("from_") + F.col("size")))
     totals = scored.groupBy("query_id").agg(F.count(F.lit(1)).alias("total"))
-    return page.join(totals, "query_id").select("query_id", "rank", "doc_id", "score", "total")
+    return page.join(totals, "query_id").select("query_id", F.col("rank").cast("long").alias("rank"), "doc_id",
+                                                "score", "total")
 
 
 def search(req: DataFrame, search_tbl: DataFrame, limit: int = 20) -> DataFrame:

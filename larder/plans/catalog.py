@@ -642,8 +642,8 @@ def q_ngrams(spark, sf):
     from larder.functions.text import ngrams, normalize_phrase, tokenize
     b = fx.benchmark_phrases(spark, sf)
     g = b.select("query_id", F.posexplode(ngrams(tokenize(normalize_phrase(F.col("phrase"))))).alias("idx", "g"))
-    return g.select("query_id", "idx", F.col("g.text").alias("text"), F.col("g.n").alias("n"),
-                    F.col("g.pos").alias("pos"))
+    return g.select("query_id", F.col("idx").cast("long").alias("idx"), F.col("g.text").alias("text"),
+                    F.col("g.n").cast("long").alias("n"), F.col("g.pos").cast("long").alias("pos"))
 
 
 @register("synonym_expand", f"""
