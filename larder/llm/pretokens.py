@@ -13,15 +13,16 @@ from collections.abc import Callable
 
 #: A space between two white-space characters, or a space that ends a longer run at the end of the text.
 _CUT_RUN = re.compile(r"\s \s|\s \Z")
-MAX_PIECES, MAX_PIECE_CHARS, BATCH_CHARS = 400_000, 64, 1 << 20
+MAX_PIECES, MAX_PIECE_CHARS, BATCH_CHARS = 250_000, 64, 1 << 20
 
 
 class PieceCache:
-    """Remembers encoded pieces; ``encode`` maps a list of strings to their
+    """Remembers encoded pieces in two generations: when the new one is full it
+    becomes the old one, and pieces met again move up.  ``encode`` maps a list of strings to their
     encoded bytes, ``whole`` tells texts that have to be encoded whole."""
 
     def __init__(self, encode: Callable[[list[str]], list[bytes]], whole: Callable[[str], bool] = lambda text: False):
-        self.encode, self.whole, self.known = encode, whole, {}
+        self.encode, self.whole, self.known, self.old = encode, whole, {}, {}
 
     def texts(self, texts: list[str]) -> list[bytes]:
         out: list[bytes] = []
@@ -36,8 +37,8 @@ class PieceCache:
 
     def _batch(self, texts: list[str]) -> list[bytes]:
         if len(self.known) > MAX_PIECES:
-            self.known.clear()
-        known = self.known
+            self.known, self.old = {}, self.known
+        known, old = self.known, self.old
         rests: list[list[str] | None] = []
         plain: dict[str, bytes] = {}  # whole texts and first pieces, which have no space before them
         for text in texts:
@@ -48,7 +49,10 @@ class PieceCache:
                 head, *rest = text.split(" ")
                 rests.append(rest)
                 plain[head] = b""
-        new = list({p for rest in rests if rest for p in rest if p not in known})
+        new = {p for rest in rests if rest for p in rest if p not in known}
+        met = {p: old[p] for p in new if p in old}
+        known.update(met)
+        new = list(new.difference(met))
         first = list(plain)
         done = self.encode(first + [" " + p for p in new])
         plain.update(zip(first, done))

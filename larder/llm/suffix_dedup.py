@@ -38,6 +38,8 @@ from larder.llm.repeats import (BUCKET_BYTES, HOT_RUNS, RUN_KINDS, join_runs, pa
 
 LENGTH = 100
 Q = 32
+#: Bytes of run text refined at a time.
+BATCH_BYTES = 1 << 20
 RESULT = "doc_id long, n_bytes long, spans array<struct<start:int,end:int>>, kept binary"
 
 
@@ -129,17 +131,33 @@ def refine(text: np.ndarray, at: np.ndarray, length: int) -> tuple[np.ndarray, n
 
 
 def compare_reduce(table: pa.Table, length: int, q: int) -> pa.Table:
+    """Settles a bucket in batches of whole keys: only runs of one key can share suffixes."""
     seen = unpack(table, True, **RUN_KINDS)
     new = unpack(table, False, keys=np.uint8, counts=np.uint64, **RUN_KINDS)
-    if not len(new["did"]):
-        return runs_table(tuple(seen.values()))
-    text, key, n = new["keys"], new["counts"], new["n"].astype(np.int64)
+    out = [tuple(seen.values())]
+    if len(new["did"]):
+        size = new["n"].astype(np.int64) + length - 1
+        base = np.cumsum(size) - size
+        order = np.argsort(new["counts"], kind="stable")
+        key = new["counts"][order]
+        starts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+        before = np.r_[0, np.cumsum(size[order])][starts]
+        cuts = starts[np.flatnonzero(np.r_[True, before[1:] // BATCH_BYTES != before[:-1] // BATCH_BYTES])]
+        for i, j in zip(cuts, np.append(cuts[1:], len(order))):
+            k = order[i:j]
+            out += _settle(new["keys"][ranges(base[k], size[k])], key[i:j], *(new[c][k] for c in RUN_KINDS), length, q)
+    return runs_table(*out)
+
+
+def _settle(text, key, did, th, start, n, length, q):
+    """Removed runs among runs ``(did, th, start, n)`` whose bytes follow each other in ``text``."""
+    n = n.astype(np.int64)
     base = np.r_[0, np.cumsum(n + length - 1)]
     # runs whose whole text starts earlier are settled; a run that is then alone
     # under its key repeats nothing, unless its own q-gram recurs in it
     sums = prefix(BYTE_VALUES[text])
-    later = _earlier_known(fmix(key) + span_hash(sums, base[:-1], base[1:]), new["did"], new["th"], new["start"])
-    whole = tuple(v[later] for v in (new["did"], new["th"], new["start"], new["n"]))
+    later = _earlier_known(fmix(key) + span_hash(sums, base[:-1], base[1:]), did, th, start)
+    yield did[later], th[later], start[later], n[later]
     _, inverse = np.unique(key, return_inverse=True)
     alone = np.bincount(inverse[~later], minlength=len(key))[inverse] == 1
     own = np.zeros(len(text), np.int32)
@@ -148,16 +166,14 @@ def compare_reduce(table: pa.Table, length: int, q: int) -> pa.Table:
     recurs = np.add.reduceat(own, base[:-1]) > 1
     todo = np.flatnonzero(~later & (~alone | recurs))
     if not len(todo):
-        return runs_table(tuple(seen.values()), whole)
-    text = text[ranges(base[todo], n[todo] + length - 1)]
-    new, n = {k: new[k][todo] for k in RUN_KINDS}, n[todo]
-    base = np.r_[0, np.cumsum(n + length - 1)[:-1]]
+        return
+    text, did, th, start = text[ranges(base[todo], n[todo] + length - 1)], did[todo], th[todo], start[todo]
+    n = n[todo]
     run = np.repeat(np.arange(len(n)), n)
-    ids, many = refine(text, ranges(base, n), length)
-    pos = ranges(new["start"], n)[many]
-    ids, did, th = ids[many], new["did"][run][many], new["th"][run][many]
-    gone = _earlier_known(ids, did, th, pos)
-    return runs_table(tuple(seen.values()), whole, join_runs(did[gone], th[gone], pos[gone]))
+    ids, many = refine(text, ranges(np.cumsum(n + length - 1) - (n + length - 1), n), length)
+    pos, run = ranges(start, n)[many], run[many]
+    gone = _earlier_known(ids[many], did[run], th[run], pos)
+    yield join_runs(did[run][gone], th[run][gone], pos[gone])
 
 
 def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, q: int = Q,

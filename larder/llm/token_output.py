@@ -133,9 +133,8 @@ def _encoder(definition: str) -> PieceCache:
         own = Tokenizer.from_str(definition)
         special = [t.content for t in own.get_added_tokens_decoder().values()]
         _encoders.clear()
-        _encoders[key] = PieceCache(
-            lambda s: [np.array(e.ids, "<u4").tobytes() for e in own.encode_batch(s, add_special_tokens=False)],
-            lambda text: any(t in text for t in special))
+        _encoders[key] = PieceCache(lambda s: [struct.pack(f"<{len(e)}I", *e.ids) for e in own.encode_batch(s, add_special_tokens=False)],
+                                    lambda text: any(t in text for t in special))
     return _encoders[key]
 
 
