@@ -21,6 +21,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -98,7 +99,7 @@ def pack(bucket: np.ndarray, known: bool, n_entries: np.ndarray | None = None, *
 
 
 def unpack(table: pa.Table, known: bool, **kinds) -> dict[str, np.ndarray]:
-    rows = table.filter(pa.compute.equal(table["known"], known))
+    rows = table.filter(pc.equal(table["known"], known))
     return {k: np.frombuffer(b"".join(rows[k].to_pylist()), t) for k, t in kinds.items()}
 
 

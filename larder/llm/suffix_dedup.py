@@ -30,6 +30,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+import zstandard
 from pyspark.sql import DataFrame
 
 from larder.llm.common import BYTE_VALUES, NULL_ID, fmix, gram_hash, keyed, prefix, ranges, span_hash
@@ -86,9 +88,10 @@ def compare_map(data, sums, uoff, did, th, key, row, start, n, hot, buckets, len
     keep = keep[np.argsort(bucket, kind="stable")]
     bucket.sort()
     at = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]])
+    packer = zstandard.ZstdCompressor(level=1)
     for i, j in zip(at, np.append(at[1:], len(keep))):
         k = keep[i:j]
-        text = data[ranges(unit[k], n[k] + length - 1)].tobytes()
+        text = packer.compress(data[ranges(unit[k], n[k] + length - 1)].tobytes())
         part = pack(bucket[i:j], False, counts=np.where(heat[k], h[k], key[k]), did=rdid[k], th=rth[k], start=start[k].astype(np.int32), n=n[k].astype(np.int32))
         yield part.set_column(2, part.schema.field(2), pa.array([text], pa.binary()))
 
@@ -133,7 +136,9 @@ def refine(text: np.ndarray, at: np.ndarray, length: int) -> tuple[np.ndarray, n
 def compare_reduce(table: pa.Table, length: int, q: int) -> pa.Table:
     """Settles a bucket in batches of whole keys: only runs of one key can share suffixes."""
     seen = unpack(table, True, **RUN_KINDS)
-    new = unpack(table, False, keys=np.uint8, counts=np.uint64, **RUN_KINDS)
+    new = unpack(table, False, counts=np.uint64, **RUN_KINDS)
+    packed = table.filter(pc.invert(table["known"]))["keys"].to_pylist()
+    text = np.frombuffer(b"".join(map(zstandard.ZstdDecompressor().decompress, packed)), np.uint8)
     out = [tuple(seen.values())]
     if len(new["did"]):
         size = new["n"].astype(np.int64) + length - 1
@@ -145,7 +150,7 @@ def compare_reduce(table: pa.Table, length: int, q: int) -> pa.Table:
         cuts = starts[np.flatnonzero(np.r_[True, before[1:] // BATCH_BYTES != before[:-1] // BATCH_BYTES])]
         for i, j in zip(cuts, np.append(cuts[1:], len(order))):
             k = order[i:j]
-            out += _settle(new["keys"][ranges(base[k], size[k])], key[i:j], *(new[c][k] for c in RUN_KINDS), length, q)
+            out += _settle(text[ranges(base[k], size[k])], key[i:j], *(new[c][k] for c in RUN_KINDS), length, q)
     return runs_table(*out)
 
 
