@@ -39,32 +39,30 @@ class PieceCache:
         if len(self.known) > MAX_PIECES:
             self.known, self.old = {}, self.known
         known, old = self.known, self.old
-        rests: list[list[str] | None] = []
+        parts: list[list[bytes | None] | None] = []  # of the pieces after the first; None: a text encoded whole
         plain: dict[str, bytes] = {}  # whole texts and first pieces, which have no space before them
-        for text in texts:
+        heads: list[str] = []
+        missing: list[tuple[int, list[str]]] = []
+        for at, text in enumerate(texts):
             if _CUT_RUN.search(text) or self.whole(text):
-                rests.append(None)
-                plain[text] = b""
+                parts.append(None)
+                heads.append(text)
             else:
                 head, *rest = text.split(" ")
-                rests.append(rest)
-                plain[head] = b""
-        new = {p for rest in rests if rest for p in rest if p not in known}
-        met = {p: old[p] for p in new if p in old}
-        known.update(met)
-        new = list(new.difference(met))
+                found = list(map(known.get, rest))
+                if None in found:
+                    missing.append((at, rest))
+                parts.append(found)
+                heads.append(head)
+            plain[heads[-1]] = b""
+        new = {p for at, rest in missing for p, ids in zip(rest, parts[at]) if ids is None}
+        fresh = {p: old[p] for p in new if p in old}
+        todo = list(new.difference(fresh))
         first = list(plain)
-        done = self.encode(first + [" " + p for p in new])
+        done = self.encode(first + [" " + p for p in todo])
         plain.update(zip(first, done))
-        fresh = dict(zip(new, done[len(first):]))
+        fresh.update(zip(todo, done[len(first):]))
         known.update((p, ids) for p, ids in fresh.items() if len(p) <= MAX_PIECE_CHARS)
-        out = []
-        for text, rest in zip(texts, rests):
-            if rest is None:
-                out.append(plain[text])
-                continue
-            parts = [known.get(p) for p in rest]
-            if None in parts:
-                parts = [fresh[p] if ids is None else ids for p, ids in zip(rest, parts)]
-            out.append(plain[text.split(" ", 1)[0]] + b"".join(parts))
-        return out
+        for at, rest in missing:
+            parts[at] = [fresh[p] if ids is None else ids for p, ids in zip(rest, parts[at])]
+        return [plain[head] + b"".join(found or ()) for head, found in zip(heads, parts)]

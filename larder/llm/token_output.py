@@ -39,11 +39,11 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from larder.llm.common import NULL_ID, checkpoint_dir, column, keyed, text_bytes, utf8
+from larder.llm.common import NULL_ID, checkpoint_dir, column, cut, keyed, text_bytes, utf8
 from larder.llm.pretokens import PieceCache
 
 BLOCK = 1 << 16
-FILE_TEXT_BYTES = 16 << 20
+FILE_TEXT_BYTES, MAX_BROADCAST_FILES = 16 << 20, 100_000
 MAGIC = b"BPID"
 TRAILER = struct.Struct("<4sQQQ")  # magic, bytes of index, bytes of doc table, ids in the file
 
@@ -205,8 +205,10 @@ def read_ids(spark: SparkSession, path: str) -> DataFrame:
 
     files = spark.read.format("binaryFile").load(path).select("path", "content")
     order = Window.orderBy("first", "path").rowsBetween(Window.unboundedPreceding, -1)
-    before = (files.mapInArrow(totals, "path string, first long, total long")
-              .select("path", F.coalesce(F.sum("total").over(order), F.lit(0)).alias("before")))
+    before = cut(files.mapInArrow(totals, "path string, first long, total long")
+                 .select("path", F.coalesce(F.sum("total").over(order), F.lit(0)).alias("before")))
+    if before.count() <= MAX_BROADCAST_FILES:  # else the ids are shuffled by file
+        before = F.broadcast(before)
     return (files.mapInArrow(documents, "path string, did long, start long, ids binary").join(before, "path")
             .select(F.nullif("did", F.lit(NULL_ID)).alias("doc_id"), (F.col("before") + F.col("start")).alias("start"), "ids"))
 
