@@ -37,7 +37,7 @@ from larder.llm.common import (BYTE_VALUES, CHUNK_BYTES, NULL_ID, chunks, cut, f
 from larder.llm.components import components
 
 CHAIN, THRESHOLD = 3, 0.8
-PART_BYTES = 16 << 20
+PART_BYTES = 4 << 20
 
 # Frequent function words of English, French, German and Spanish.
 ANCHORS = """
