@@ -133,11 +133,12 @@ def document_vectors(data: np.ndarray, offs: np.ndarray, vectors: np.ndarray) ->
     out = np.zeros((len(n), vectors.shape[1] + 2), np.float32)
     rows = np.flatnonzero(n)
     if len(rows):
-        out[rows, :-2] = np.add.reduceat(vectors[token], toff[:-1][rows], axis=0) / n[rows, None]
-        row = np.repeat(np.arange(len(n)), n)
-        distinct = np.bincount(np.unique(row * VOCABULARY + token) // VOCABULARY, minlength=len(n))
+        # a token that a row repeats is weighted, not added again and again
+        pair, times = np.unique(np.repeat(np.arange(len(n)), n) * VOCABULARY + token, return_counts=True)
+        at = np.searchsorted(pair, rows * VOCABULARY)
+        out[rows, :-2] = np.add.reduceat(vectors[pair % VOCABULARY] * times[:, None].astype(np.float32), at, axis=0) / n[rows, None]
         out[rows, -2] = np.log1p(n[rows]) / 8
-        out[rows, -1] = distinct[rows] / n[rows]
+        out[rows, -1] = np.diff(np.append(at, len(pair))) / n[rows]
     return out
 
 
