@@ -63,8 +63,10 @@ def safe_strip(c, dtype: T.DataType | None = None) -> Column:
 
 
 def to_double(c) -> Column:
-    """C-5: number or numeric text -> double, anything else (and NaN) -> NULL."""
-    return null_nan(col_(c).try_cast("double"))
+    """C-5: number or numeric text -> double, anything else (and NaN) -> NULL.
+    The cast alone would also take the suffixes of typed literals ('5d', '1f')."""
+    c = col_(c)
+    return F.when(~F.coalesce(c.try_cast("string").rlike(r"[0-9.][dDfF]\s*$"), F.lit(False)), null_nan(c.try_cast("double")))
 
 
 def safe_float(c) -> Column:
@@ -161,10 +163,22 @@ def _json_entries(obj: Column) -> Column:
     return F.transform_values(parsed, lambda _k, v: _nutrient(v["value"], v["per_100g"], v["unit"]))
 
 
+def _json_object(text: Column) -> Column:
+    """Entries of a JSON object by key.  NaN is null, Infinity a number, the
+    last of repeated keys counts.  Where a value itself is not valid, its entry
+    alone is lost."""
+    clean = F.regexp_replace(F.regexp_replace(text, _NAN_LITERAL, "null"), r"(:\s*-?)Infinity\b", "$11e999")
+    typed = F.from_json(clean, "map<string,variant>")
+    loose = F.transform_values(F.from_json(clean, "map<string,string>"), lambda _k, v: F.try_parse_json(v))
+    entries = F.map_entries(F.coalesce(typed, loose))
+    keys = F.transform(entries, lambda e: e["key"])
+    return F.map_from_entries(F.filter(
+        entries, lambda e, i: F.array_position(F.slice(keys, i + 2, F.size(keys)), e["key"]) == 0))
+
+
 def _json_nutriments(text: Column) -> Column:
     """C-12/C-13: JSON object branch."""
-    cleaned = F.regexp_replace(text, _NAN_LITERAL, "null")
-    parsed = _json_entries(F.try_variant_get(F.try_parse_json(cleaned), "$", "map<string,variant>"))
+    parsed = _json_entries(_json_object(text))
     energy = F.try_element_at(parsed, F.lit("energy"))
     with_alias = F.when(
         F.map_contains_key(parsed, "energy") & ~F.map_contains_key(parsed, "energy-kcal"),
@@ -248,8 +262,7 @@ def with_nutriments(df, src: str, out: str):
     empty_c = (s == "") | (s == "[]")
     is_json = ~empty_c & t.startswith("{")
     is_list = ~empty_c & ~t.startswith("{")
-    df = df.withColumn(f"{p}_obj", F.when(is_json, F.try_variant_get(
-        F.try_parse_json(F.regexp_replace(t, _NAN_LITERAL, "null")), "$", "map<string,variant>")))
+    df = df.withColumn(f"{p}_obj", F.when(is_json, _json_object(t)))
     df = df.withColumn(f"{p}_blocks", F.when(is_list, F.regexp_extract_all(t, F.lit(_BLOCK), 1)))
     df = df.withColumn(f"{p}_jm", _json_entries(F.col(f"{p}_obj")))
     df = df.withColumn(f"{p}_recs", _list_records(F.col(f"{p}_blocks")))
