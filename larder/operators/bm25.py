@@ -101,8 +101,10 @@ def bm25_hits(req: DataFrame, docs: DataFrame, k1: float = BM25_K1, b: float = B
     dfs = term_stats(post)
     dl = doc_lengths(docs)
     q = req.where(F.col("text") != "").select(
-        "query_id", F.posexplode(analyzed_terms(F.col("text"))).alias("qpos", "term"))
-    nq = q.groupBy("query_id").agg(F.count(F.lit(1)).alias("nq"))
+        "query_id", F.size(F.split(F.trim("text"), r"\s+")).alias("nw"),
+        F.posexplode(analyzed_terms(F.col("text"))).alias("qpos", "term"))
+    # the minimum counts the words of the text, which may hold several terms
+    nq = q.groupBy("query_id").agg(F.count(F.lit(1)).alias("nq"), F.first("nw").alias("nw"))
     # per (query, doc, field, term): tf and positions
     hits = q.join(post, "term")
     tf = hits.groupBy("query_id", "doc_id", "field", "term", "qpos").agg(
@@ -125,7 +127,7 @@ def bm25_hits(req: DataFrame, docs: DataFrame, k1: float = BM25_K1, b: float = B
     phrase_s = F.when(F.col("pf").isNotNull(),
                       F.col("boost") * F.col("idf_sum") * F.col("pf") / (F.col("pf") + F.col("norm")))
     and_s = F.when(F.col("matched") == F.col("nq"), F.col("boost") * F.col("fs"))
-    msm_s = F.when(F.col("matched") >= tiered_minimum_should_match(F.col("nq")), F.col("boost") * F.col("fs"))
+    msm_s = F.when(F.col("matched") >= tiered_minimum_should_match(F.col("nw")), F.col("boost") * F.col("fs"))
     best = pf.groupBy("query_id", "doc_id").agg(
         F.max(phrase_s).alias("phrase"), F.max(and_s).alias("all_terms"), F.max(msm_s).alias("msm"))
     total = (F.coalesce(F.col("phrase") * PHRASE_BOOST, F.lit(0.0))
@@ -137,7 +139,7 @@ def bm25_hits(req: DataFrame, docs: DataFrame, k1: float = BM25_K1, b: float = B
                                       F.col("all_terms").isNotNull().alias("all_terms_match"))
 
 
-def bm25_search(req: DataFrame, docs: DataFrame, search_tbl: DataFrame, limit: int = 10,
+def bm25_search(req: DataFrame, docs: DataFrame, search_tbl: DataFrame, limit: int | None = None,
                 clause: str | None = None) -> DataFrame:
     """Filtered BM25 ranking of text requests; ``clause`` = 'phrase' or 'and'
     keeps only documents matching that clause."""
@@ -169,32 +171,46 @@ def deletions(word, max_del: int = 2) -> F.Column:
     characters (the delete neighbourhood); distinct."""
     n = F.length(word)
     one = F.transform(F.sequence(F.lit(1), F.greatest(n, F.lit(1))),
-                      lambda i: F.concat(F.substring(word, 1, i - 1), F.substring(word, i + 1, 1 << 20)))
+                      lambda i: F.concat(F.substring(word, 1, i - 1), F.substring(word, i + 1, n)))
     one = F.when(n >= 1, one).otherwise(F.array().cast("array<string>"))
     two = F.flatten(F.transform(one, lambda w: F.transform(
         F.sequence(F.lit(1), F.greatest(F.length(w), F.lit(1))),
-        lambda i: F.concat(F.substring(w, 1, i - 1), F.substring(w, i + 1, 1 << 20)))))
+        lambda i: F.concat(F.substring(w, 1, i - 1), F.substring(w, i + 1, n)))))
     parts = [F.array(word), one] + ([F.when(n >= 2, two).otherwise(F.array().cast("array<string>"))]
                                     if max_del >= 2 else [])
     return F.array_distinct(F.concat(*parts))
 
 
-def _swaps(word) -> F.Column:
-    """The word with one adjacent pair swapped, for every position."""
-    n = F.length(word)
-    return F.when(n >= 2, F.transform(F.sequence(F.lit(1), n - 1), lambda i: F.concat(
-        F.substring(word, 1, i - 1), F.substring(word, i + 1, 1), F.substring(word, i, 1),
-        F.substring(word, i + 2, 1 << 20)))).otherwise(F.array().cast("array<string>"))
+def osa_distance(a, b) -> F.Column:
+    """Edit distance in which swapping two neighbours is one edit and no part
+    is edited twice, by the row-wise recurrence: the fold keeps the last two
+    rows of the table and the character before."""
+    width = F.length(b)
+    chars = F.transform(F.sequence(F.lit(1), F.greatest(width, F.lit(1))), lambda j: F.substring(b, j, 1))
+    start = F.sequence(F.lit(0), width)
+
+    def row(state, i):
+        c = F.substring(a, i, 1)
+
+        def cell(done, j):
+            same = F.element_at(chars, j) == c
+            best = F.least(F.element_at(state["last"], j + 1) + 1, F.element_at(done, -1) + 1,
+                           F.element_at(state["last"], j) + F.when(same, 0).otherwise(1))
+            swapped = (i > 1) & (j > 1) & (F.try_element_at(chars, j - 1) == c) & (F.element_at(chars, j) == state["before"])
+            return F.concat(done, F.array(F.when(swapped, F.least(
+                best, F.try_element_at(state["older"], F.greatest(j - 1, F.lit(1))) + 1)).otherwise(best)))
+
+        cells = F.aggregate(F.sequence(F.lit(1), width), F.array(i), cell)
+        return F.struct(cells.alias("last"), state["last"].alias("older"), c.alias("before"))
+
+    first = F.struct(start.alias("last"), start.alias("older"), F.lit("").alias("before"))
+    full = F.aggregate(F.sequence(F.lit(1), F.length(a)), first, row, lambda s: F.element_at(s["last"], -1))
+    return F.when((F.length(a) > 0) & (width > 0), full).otherwise(F.greatest(F.length(a), width))
 
 
 def osa_within(a, b, k) -> F.Column:
-    """Edit distance with adjacent transpositions counted as one edit, tested
-    against k <= 2: plain Levenshtein, or one / two swaps of ``a`` plus the
-    remaining Levenshtein budget."""
-    lev = F.levenshtein(a, b)
-    one = F.exists(_swaps(a), lambda s: F.levenshtein(s, b) + 1 <= k)
-    two = F.exists(_swaps(a), lambda s: F.exists(_swaps(s), lambda t: F.levenshtein(t, b) + 2 <= k))
-    return (lev <= k) | ((k >= 1) & one) | ((k >= 2) & two)
+    """Whether the distance is at most ``k``."""
+    return osa_distance(a, b) <= k
 
 
 def fuzzy_expansions(qterms: DataFrame, vocab: DataFrame) -> DataFrame:
@@ -220,8 +236,9 @@ def fuzzy_hits(req: DataFrame, docs: DataFrame, k1: float = BM25_K1, b: float =
     dfs = term_stats(post)
     dl = doc_lengths(docs)
     q = req.where(F.col("text") != "").select(
-        "query_id", F.posexplode(analyzed_terms(F.col("text"))).alias("qpos", "term"))
-    nq = q.groupBy("query_id").agg(F.count(F.lit(1)).alias("nq"))
+        "query_id", F.size(F.split(F.trim("text"), r"\s+")).alias("nw"),
+        F.posexplode(analyzed_terms(F.col("text"))).alias("qpos", "term"))
+    nq = q.groupBy("query_id").agg(F.count(F.lit(1)).alias("nq"), F.first("nw").alias("nw"))
     exp = fuzzy_expansions(q, post.select("term"))
     hits = q.join(exp, "term").join(post.withColumnRenamed("term", "vterm"), "vterm")
     tf = hits.groupBy("query_id", "doc_id", "field", "qpos", "vterm").agg(F.count(F.lit(1)).alias("tf"))
@@ -233,15 +250,15 @@ def fuzzy_hits(req: DataFrame, docs: DataFrame, k1: float = BM25_K1, b: float =
     per_pos = scored.groupBy("query_id", "doc_id", "field", "qpos").agg(F.max("s").alias("s"))
     per_field = per_pos.groupBy("query_id", "doc_id", "field").agg(
         F.sum("s").alias("fs"), F.count(F.lit(1)).alias("matched")).join(nq, "query_id")
-    ok = per_field.where(F.col("matched") >= tiered_minimum_should_match(F.col("nq")))
+    ok = per_field.where(F.col("matched") >= tiered_minimum_should_match(F.col("nw")))
     best = ok.groupBy("query_id", "doc_id").agg(F.max(F.element_at(boosts, F.col("field")) * F.col("fs")).alias(
         "fuzzy"))
     return best.select("query_id", "doc_id", (F.col("fuzzy") * FUZZY_BOOST).alias("fuzzy_score"))
 
 
-def fuzzy_search(req: DataFrame, docs: DataFrame, search_tbl: DataFrame, limit: int = 10) -> DataFrame:
+def fuzzy_search(req: DataFrame, docs: DataFrame, search_tbl: DataFrame, limit: int | None = None) -> DataFrame:
     """Ranking by the fuzzy minimum-should-match clause alone (R-11/R-12/R-13),
-    with the same filters, modifier/palm-oil boosts and completeness."""
+    with the same filters and completeness."""
     from larder.operators.retrieve import REQUEST_COLS, filters_ok, top_hits
     req = req.select(*REQUEST_COLS)
     rows = fuzzy_hits(req, docs).join(req, "query_id").join(search_tbl, "doc_id").where(filters_ok())

@@ -518,9 +518,10 @@ def bm25_sql(req_sql: str, docs: str, clause: str | None = None, k: int = 10) ->
     dl AS ({dls}),
     stats AS (SELECT field, count(*) AS n_docs, avg(dl) AS avgdl FROM dl WHERE dl > 0 GROUP BY field),
     dfs AS (SELECT field, term, count(DISTINCT doc_id) AS df FROM post GROUP BY field, term),
-    qt AS (SELECT query_id, unnest({_terms('text')}) AS term, generate_subscripts({_terms('text')}, 1) - 1 AS qpos
+    qt AS (SELECT query_id, unnest({_terms('text')}) AS term, generate_subscripts({_terms('text')}, 1) - 1 AS qpos,
+                  len(regexp_split_to_array(trim(text), '\\s+')) AS nw
            FROM req WHERE text <> ''),
-    nq AS (SELECT query_id, count(*) AS nq FROM qt GROUP BY query_id),
+    nq AS (SELECT query_id, count(*) AS nq, any_value(nw) AS nw FROM qt GROUP BY query_id),
     hits AS (SELECT qt.query_id, qt.qpos, post.* FROM qt JOIN post USING (term)),
     tf AS (SELECT query_id, doc_id, field, term, qpos, count(*) AS tf FROM hits GROUP BY ALL),
     sc AS (SELECT tf.*, ln(1 + (n_docs - df + 0.5) / (df + 0.5)) AS idf,
@@ -531,13 +532,13 @@ def bm25_sql(req_sql: str, docs: str, clause: str | None = None, k: int = 10) ->
     ph AS (SELECT query_id, doc_id, field, count(*) AS pf FROM (
              SELECT h.query_id, doc_id, field, pos - qpos AS start, count(DISTINCT qpos) AS c FROM hits h
              GROUP BY ALL) x JOIN nq USING (query_id) WHERE c = nq GROUP BY ALL),
-    pf AS (SELECT p.*, nq.nq, ph.pf, {boost} AS boost FROM pfield p JOIN nq USING (query_id)
+    pf AS (SELECT p.*, nq.nq, nq.nw, ph.pf, {boost} AS boost FROM pfield p JOIN nq USING (query_id)
            LEFT JOIN ph USING (query_id, doc_id, field)),
     best AS (SELECT query_id, doc_id,
                max(CASE WHEN pf IS NOT NULL THEN boost * idf_sum * pf / (pf + norm) END) AS phrase,
                max(CASE WHEN matched = nq THEN boost * fs END) AS all_terms,
-               max(CASE WHEN matched >= CASE WHEN nq <= 1 THEN 1 WHEN nq = 2 THEN 2
-                                             ELSE greatest(2, nq // 2 + 1) END THEN boost * fs END) AS msm
+               max(CASE WHEN matched >= CASE WHEN nw <= 1 THEN 1 WHEN nw = 2 THEN 2
+                                             ELSE greatest(2, nw // 2 + 1) END THEN boost * fs END) AS msm
              FROM pf GROUP BY ALL),
     hit AS (SELECT *, coalesce(phrase * {PHRASE_BOOST_V}, 0.0) + coalesce(all_terms * {AND_BOOST_V}, 0.0)
                       + coalesce(msm * {FUZZY_BOOST_V}, 0.0) AS text_score

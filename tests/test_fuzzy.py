@@ -91,3 +91,13 @@ def test_fuzzy_hits_match_brute_force(spark):
         got.setdefault(h["query_id"], set()).add(h["doc_id"])
     for p in PHRASES:
         assert got.get(p, set()) == brute(p), p
+
+
+def test_distance_on_all_short_strings(spark):
+    import itertools
+    words = ["".join(w) for n in range(1, 5) for w in itertools.product("ab", repeat=n)] + ["caramel", "abcramel", "acb", "cab", "abc"]
+    pairs = [(a, b) for a in words for b in words]
+    df = spark.createDataFrame(pairs, "a string, b string")
+    from larder.operators.bm25 import osa_distance
+    got = df.select("a", "b", osa_distance(F.col("a"), F.col("b")).alias("d")).collect()
+    assert all(r["d"] == osa(r["a"], r["b"]) for r in got)
