@@ -212,14 +212,16 @@ def scored_hits(req: DataFrame, search_tbl: DataFrame, post: DataFrame | None =
     return scored.where(F.col("score").isNotNull())
 
 
-def top_hits(scored: DataFrame, limit: int) -> DataFrame:
+def top_hits(scored: DataFrame, limit: int | None = None) -> DataFrame:
     """R-18: rank by (score desc, doc_id), keep the page [from, from+size),
-    attach the total per phrase.  ``limit`` (a literal, the largest page end)
-    lets the planner cut each task to ``limit`` rows per phrase before the
+    attach the total per phrase.  ``limit`` makes it a top-k report; without it
+    the largest page end among the requests is used, a literal that lets the planner cut each task to ``limit`` rows per phrase before the
     exchange; the per-row page bounds are applied after."""
     # top-k and totals both read the scored set: persist it so scoring runs
     # once (a persisted block lost with an executor is recomputed)
     scored = scored.persist(StorageLevel.MEMORY_AND_DISK)
+    if limit is None:
+        limit = scored.agg(F.max(F.col("from_") + F.col("size"))).first()[0] or 0
     w = Window.partitionBy("query_id").orderBy(F.col("score").desc(), F.col("doc_id"))
     ranked = scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= limit)
     page = ranked.where((F.col("rank") > F.col("from_")) & (F.col("rank") <= F.col("from_") + F.col("size")))
@@ -228,7 +230,7 @@ def top_hits(scored: DataFrame, limit: int) -> DataFrame:
                                                 "score", "total")
 
 
-def search(req: DataFrame, search_tbl: DataFrame, limit: int = 20) -> DataFrame:
+def search(req: DataFrame, search_tbl: DataFrame, limit: int | None = None) -> DataFrame:
     """Requests x documents -> ranked hits (query_id, rank, doc_id, score, total)."""
     return top_hits(scored_hits(req, search_tbl), limit)
 

@@ -631,7 +631,7 @@ def q_canonicalize(spark, sf):
 
 
 @register("ngrams", f"""
-    WITH p AS (SELECT cast(item_id AS varchar) AS query_id, {O.normalize("array_to_string((regexp_split_to_array(trim(text), '\\s+'))[1:6], ' ')")} AS nq FROM benchmark),
+    WITH p AS (SELECT cast(item_id AS varchar) AS query_id, {O.normalize("array_to_string(regexp_split_to_array(trim(text), '\\s+'), ' ')")} AS nq FROM benchmark),
     t AS (SELECT query_id, CASE WHEN nq = '' THEN []::VARCHAR[] ELSE string_split(nq, ' ') END AS toks FROM p),
     g AS (SELECT query_id, list_sort(flatten(list_transform(range(1, least(4, len(toks)) + 1), lambda n:
             list_transform(range(0, len(toks) - n + 1), lambda i: {{'neg_len': -length(array_to_string(toks[i + 1:i + n], ' ')),
@@ -736,19 +736,20 @@ def q_upsert_latest(spark, sf):
     return keep_latest(ev, "user_id", ["ts", "event_id"]).select("user_id", "event_id", "ts", "event_type", "value")
 
 
-_DOCS_AS_PRODUCTS = ("SELECT cast(doc_id AS varchar) AS code, CASE WHEN n_chars % 9 = 0 THEN '   ' ELSE text END "
+# A document that quotes an address has it as its code; the others have none.
+_ADDRESS = "[0-9]+[.][0-9]+[.][0-9]+[.][0-9]+"
+_DOCS_AS_PRODUCTS = (f"SELECT regexp_extract(text, '{_ADDRESS}') AS code, text "
                      "AS product_name, source AS brands, lang AS categories, NULL AS ingredients_text, "
                      "NULL AS nutriments, NULL AS nutriscore_grade, NULL AS nova_group, NULL AS ecoscore_grade, "
                      "NULL AS completeness FROM documents")
 
 
-@register("rejects", f"""SELECT code AS _id, 'missing_name' AS error FROM ({O.raw_products_sql(_DOCS_AS_PRODUCTS)})
-    WHERE product_name = ''""")
+@register("rejects", f"""SELECT code AS _id, 'missing_id' AS error FROM ({O.raw_products_sql(_DOCS_AS_PRODUCTS)})
+    WHERE code = ''""")
 def q_rejects(spark, sf):
     from larder.streaming.ingest import split_rejects
     src = fx.table(spark, sf, "documents").selectExpr(
-        "cast(doc_id AS string) AS code", "CASE WHEN n_chars % 9 = 0 THEN '   ' ELSE text END AS product_name",
-        "source AS brands", "lang AS categories")
+        f"regexp_extract(text, '{_ADDRESS}', 0) AS code", "text AS product_name", "source AS brands", "lang AS categories")
     _good, bad = split_rejects(build_documents(raw_products(src)))
     return bad
 

@@ -100,8 +100,8 @@ def phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.distinct().select(F.col("phrase").alias("query_id"), F.col("phrase"))
 
 
-def benchmark_phrases(spark: SparkSession, sf_dir: str, words: int = 6) -> DataFrame:
-    """First six words of each benchmark passage (document corpus phrases)."""
+def benchmark_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each benchmark passage, whole, as a phrase."""
     b = table(spark, sf_dir, "benchmark")
-    first = F.array_join(F.slice(F.split(F.trim("text"), r"\s+"), 1, words), " ")
-    return b.select(F.col("item_id").cast("string").alias("query_id"), first.alias("phrase"))
+    words = F.array_join(F.split(F.trim("text"), r"\s+"), " ")
+    return b.select(F.col("item_id").cast("string").alias("query_id"), words.alias("phrase"))

@@ -42,8 +42,8 @@ def upsert(target: DataFrame | None, incoming: DataFrame, key: str = "id",
 
 
 REJECT_RULES = [
+    # a product without a name is indexed all the same
     ("missing_id", lambda: (F.col("id").isNull()) | (F.col("id") == "")),
-    ("missing_name", lambda: (F.col("product_name").isNull()) | (F.col("product_name") == "")),
 ]
 
 
@@ -77,6 +77,12 @@ def rebuild_metrics(raw: DataFrame, written: DataFrame, seconds: float | None =
 TARGET_BUCKETS = 64
 
 
+def path_exists(spark: SparkSession, path: str) -> bool:
+    """Whether a folder is there, in any store that Spark reads; other failures are raised."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where)
+
+
 def bucket_of(key) -> F.Column:
     return F.pmod(F.xxhash64(key), F.lit(TARGET_BUCKETS)).cast("int")
 
@@ -89,18 +95,17 @@ def ingest_batch(batch: DataFrame, target_path: str, reject_path: str, batch_id:
     the buckets its ids fall in (partition pruning), merges them, stages the
     result and overwrites just those buckets (dynamic partition overwrite), so
     the cost of a batch follows the batch, not the size of the table."""
-    docs = build_documents(raw_products(batch))
-    good, bad = split_rejects(docs)
+    # parsed once; rows keep the order of the files, so of several rows of an id the last one wins
+    docs = build_documents(raw_products(batch)).withColumn("_version", F.monotonically_increasing_id())
+    ensure_checkpoint_dir(batch.sparkSession)
+    good, bad = split_rejects(docs.checkpoint(eager=True))
     good = good.withColumn("_bucket", bucket_of(F.col(key)))
-    if batch_id is not None:
-        good = good.withColumn("_version", F.lit(batch_id))
     spark = batch.sparkSession
     # at most TARGET_BUCKETS small ints reach the driver
     touched = [r[0] for r in good.select("_bucket").distinct().collect()]
-    try:
+    current = None
+    if path_exists(spark, target_path):
         current = spark.read.parquet(target_path).where(F.col("_bucket").isin(touched))
-    except Exception:  # noqa: BLE001 - first batch, no target yet
-        current = None
     inc = good.drop("_bucket")
     merged = upsert(current.drop("_bucket") if current is not None else None, inc, key)
     merged = merged.withColumn("_bucket", bucket_of(F.col(key)))
@@ -108,7 +113,11 @@ def ingest_batch(batch: DataFrame, target_path: str, reject_path: str, batch_id:
     merged.write.mode("overwrite").partitionBy("_bucket").parquet(staging)
     (spark.read.parquet(staging).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
      .partitionBy("_bucket").parquet(target_path))
-    bad.write.mode("append").json(reject_path)
+    # a replayed batch replaces its own rejects
+    if batch_id is None:
+        bad.write.mode("append").json(reject_path)
+    else:
+        bad.write.mode("overwrite").json(f"{reject_path}/batch={batch_id}")
 
 
 def start_incremental_ingest(spark: SparkSession, source_dir: str, schema: T.StructType, target_path: str,

@@ -63,3 +63,23 @@ def test_synonym_file_and_judgments(spark, scratch_dir):
                 '"required_flags": {"is_vegan": true}}]')
     r = read_judgments(spark, j).first()
     assert r["query_id"] == "peanut butter" and r["required_flags"] == {"is_vegan": True}
+
+
+def test_second_batch_replaces_and_last_row_of_a_batch_wins(spark, scratch_dir):
+    from larder.streaming.ingest import ingest_batch
+    target, rejects = os.path.join(scratch_dir, "t"), os.path.join(scratch_dir, "r")
+    cols = "code string, product_name string"
+    ingest_batch(spark.createDataFrame([("1", "old"), ("2", "two"), ("2", "two again"), ("3", None), ("", "no id")], cols).coalesce(1),
+                 target, rejects, 0)
+    ingest_batch(spark.createDataFrame([("1", "new")], cols), target, rejects, 1)
+    got = {r["id"]: r["product_name"] for r in spark.read.parquet(target).collect()}
+    assert got == {"1": "new", "2": "two again", "3": ""}
+    assert [r["error"] for r in spark.read.json(rejects).collect()] == ["missing_id"]
+
+
+def test_pages_follow_the_requests(spark):
+    from larder.operators.retrieve import top_hits
+    rows = [(q, f"d{i:02d}", size, start, 1.0 - i / 100) for q, size, start in (("a", 50, 0), ("b", 20, 20), ("c", 5, 40)) for i in range(60)]
+    got = top_hits(spark.createDataFrame(rows, "query_id string, doc_id string, size int, from_ int, score double")).collect()
+    ranks = {q: sorted(r["rank"] for r in got if r["query_id"] == q) for q in "abc"}
+    assert ranks == {"a": list(range(1, 51)), "b": list(range(21, 41)), "c": list(range(41, 46))}
