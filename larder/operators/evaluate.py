@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from larder.session import ensure_checkpoint_dir
 from larder.fixed_values import EVAL_K, FLAG_NAMES, NUTRIENT_FIELD_MAP
 
 # Judgment layouts (FIXTURES §4), with required_flags as a map.
@@ -177,6 +178,9 @@ def exact_order_stats(df: DataFrame, group: str, value: str, fractions: dict[str
     parts = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     s = (df.select(group, value).where(F.col(value).isNotNull())
          .repartitionByRange(parts, group, value).withColumn("_pid", F.spark_partition_id()))
+    # read by two branches: both must see the same sampled bounds
+    ensure_checkpoint_dir(spark)
+    s = s.checkpoint(eager=True)
     w_local = Window.partitionBy("_pid", group).orderBy(value)
     s = s.withColumn("_local", F.row_number().over(w_local) - 1)
     counts = s.groupBy("_pid", group).agg(F.count(F.lit(1)).alias("_c"))

@@ -88,7 +88,9 @@ def derive_requests(ann: DataFrame, dictionary: DataFrame, overrides: DataFrame
     from_ = F.col("pagination.from")
     return df.select(
         "query_id", "intent", final_text.alias("text"), text_after.alias("parsed_query"),
-        brand_f.alias("brand_f"), cat_f.alias("category_f"), ing_f.alias("ingredients_f"),
+        # an empty value is no filter
+        *[F.nullif(F.trim(c), F.lit("")).alias(n)
+          for c, n in ((brand_f, "brand_f"), (cat_f, "category_f"), (ing_f, "ingredients_f"))],
         flag_struct.alias("flag_filters"), "numeric_filters", "modifiers",
         size.alias("size"), from_.alias("from_"),
         F.when(size > 0, F.floor(from_ / size) + 1).otherwise(F.lit(1)).cast("int").alias("page"),

@@ -24,14 +24,15 @@ def compare_ids(docs: DataFrame, requests: DataFrame) -> DataFrame:
 def browse_requests(values: DataFrame, kind: str = "brand", size: int = DEFAULT_PAGE_SIZE) -> DataFrame:
     """L-4: ``values(query_id, value)`` -> filter-only retrieval requests
     (empty text plus an explicit brand / category / ingredient filter)."""
-    size = max(1, min(100, size))
+    if not 1 <= size <= 100:
+        raise ValueError("size must be between 1 and 100")
     flags = "struct<" + ",".join(f"{f}:boolean" for f in (
         "is_organic", "is_vegan", "is_vegetarian", "is_palm_oil_free", "is_high_protein", "is_low_sugar",
         "is_low_sodium", "is_gluten_free", "is_lactose_free")) + ">"
     cols = {"brand": "brand_f", "category": "category_f", "ingredients": "ingredients_f"}
     out = values.select(
         "query_id", F.lit("").alias("text"),
-        *[(F.col("value") if cols[kind] == c else F.lit(None).cast("string")).alias(c)
+        *[(F.nullif(F.trim("value"), F.lit("")) if cols[kind] == c else F.lit(None).cast("string")).alias(c)
           for c in ("brand_f", "category_f", "ingredients_f")],
         F.lit(None).cast(flags).alias("flag_filters"),
         F.array().cast("array<struct<nutrient:string,operator:string,value:double,unit:string,"
