@@ -122,15 +122,19 @@ def grade_structured(product_name, brand, search_text, flags, nutrition, rel) ->
     graded = (F.when(hard, 0).when(nut_ok == F.lit(False), 0)
               .when(has_kw, F.when(in_name, 3).when(anywhere, 2).when(partial, 1).otherwise(0))
               .otherwise(no_kw))
-    return F.when(rel.isNull(), F.lit(None)).otherwise(graded).cast("int")
+    parts = [rel[f] for f in ("required_any", "required_all", "optional", "excluded", "excluded_scope", "required_flags", "nutrition",
+                              "brand", "group_scope")]
+    # a judgment that states nothing grades nothing
+    return F.when(rel.isNotNull() & F.greatest(*[p.isNotNull() for p in parts]), graded).cast("int")
 
 
 # --------------------------------------------------------------- metrics
 def query_metrics(graded: DataFrame, judged: DataFrame, k: int = EVAL_K, grade_col: str = "grade",
                   binary: bool = False, compat_mrr: bool = False) -> DataFrame:
     """E-8 .. E-12 per judged query: p5, p10, ndcg, mrr.  ``graded`` has
-    (query_id, rank, grade) for the top-k hits; queries without hits score 0.
-    ``binary`` uses gain 1 for grade >= 2 (E-10); ``compat_mrr`` scores rank r
+    (query_id, rank, grade) for the top-k hits; queries without graded hits
+    score 0.  ``binary`` uses gain 1 for grade >= 2 (E-10) and has NULL for
+    queries without graded hits; ``compat_mrr`` scores rank r
     as 1/(r+1) (E-12)."""
     g = graded.where(F.col(grade_col).isNotNull())
     if binary:
@@ -155,7 +159,7 @@ def query_metrics(graded: DataFrame, judged: DataFrame, k: int = EVAL_K, grade_c
                      (F.when(F.col("first_rel").isNull(), 0.0).otherwise(
                          1.0 / (F.col("first_rel") + (1 if compat_mrr else 0)))).alias("mrr"))
     out = judged.select("query_id", "type").join(per, "query_id", "left")
-    return out.select("query_id", "type", *[F.coalesce(F.col(c), F.lit(0.0)).alias(c)
+    return out.select("query_id", "type", *[(F.col(c) if binary else F.coalesce(F.col(c), F.lit(0.0))).alias(c)
                                             for c in ("p5", "p10", "ndcg", "mrr")])
 
 
@@ -164,8 +168,11 @@ def metrics_by_type(per_query: DataFrame, metrics=("p5", "p10", "ndcg", "mrr"))
     Sums run in integer micro-units, so the means do not depend on the order
     in which partial sums meet (6 decimals, half-up)."""
     micro = per_query.select("type", *[F.round(F.col(c) * 1000000).cast("bigint").alias(c) for c in metrics])
-    m = micro.rollup("type").agg(F.count(F.lit(1)).alias("n"), *[F.sum(c).alias(c) for c in metrics])
-    return m.select("type", "n", *[(F.floor(F.col(c) / F.col("n") + 0.5) / 1000000).alias(c) for c in metrics])
+    m = micro.rollup("type").agg(F.count(F.lit(1)).alias("n"), *[F.sum(c).alias(c) for c in metrics],
+                                  *[F.count(c).alias(f"_n_{c}") for c in metrics])
+    # a NULL metric is left out of its mean
+    return m.select("type", "n", *[(F.floor(F.col(c) / F.nullif(F.col(f"_n_{c}"), F.lit(0)) + 0.5) / 1000000).alias(c)
+                                   for c in metrics])
 
 
 def exact_order_stats(df: DataFrame, group: str, value: str, fractions: dict[str, float],

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from larder.fixed_values import AUTOCOMPLETE_SIZE, DEFAULT_PAGE_SIZE, EDGE_NGRAM_MAX
-from larder.functions.text import autocomplete_clean
+from larder.functions.text import analyzed_terms, autocomplete_clean, edge_ngrams
 
 
 def lookup_by_id(docs: DataFrame, ids: DataFrame) -> DataFrame:
@@ -67,6 +67,34 @@ def autocomplete_prefix(docs: DataFrame, queries: DataFrame, k: int = AUTOCOMPLE
         "query_id", F.col("rank").cast("long").alias("rank"), "name")
 
 
+def autocomplete_terms(docs: DataFrame, queries: DataFrame, k: int = AUTOCOMPLETE_SIZE) -> DataFrame:
+    """L-7: the words of a query meet the edge n-grams (2 to EDGE_NGRAM_MAX
+    characters) of the words in name and search text, the last word as a prefix
+    of one.  A document scores the query words matched in its better field; top
+    k by (score, name, id).  ``queries(query_id, query)``.
+
+    Query words are few and join the n-grams of the distinct words; only the
+    words that match go on to the documents."""
+    q = queries.select("query_id", analyzed_terms(F.col("query")).alias("w")).select(
+        "query_id", F.posexplode("w").alias("i", "term"), F.size("w").alias("n"))
+    q = q.select("query_id", "term", (F.col("i") == F.col("n") - 1).alias("is_last")).where(
+        (F.length("term") <= EDGE_NGRAM_MAX) & (F.col("is_last") | (F.length("term") >= 2))).distinct()
+    named = docs.where(F.col("product_name") != "")
+    fields = F.array(*[F.struct(F.lit(f).alias("field"), F.array_distinct(analyzed_terms(F.col(f))).alias("words"))
+                       for f in ("product_name", "search_text")])
+    post = (named.select(F.col("id").alias("doc_id"), F.explode(fields).alias("f"))
+            .select("doc_id", "f.field", F.explode("f.words").alias("word")).where(F.length("word") >= 2))
+    vocabulary = post.select("word").distinct()
+    keys = vocabulary.select("word", F.explode(edge_ngrams(F.col("word"), 1)).alias("term"))
+    hits = q.join(keys, "term").join(post, "word").select("query_id", "doc_id", "field", "term", "is_last").distinct()
+    score = (hits.groupBy("query_id", "doc_id", "field").agg(F.count(F.lit(1)).alias("n"))
+             .groupBy("query_id", "doc_id").agg(F.max("n").alias("score")))
+    rows = score.join(named.select(F.col("id").alias("doc_id"), F.col("product_name").alias("name")), "doc_id")
+    w = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "name", "doc_id")
+    return rows.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select(
+        "query_id", F.col("rank").cast("long").alias("rank"), "doc_id", "name", "score")
+
+
 def doc_count(docs: DataFrame) -> DataFrame:
     """L-10."""
     return docs.agg(F.count(F.lit(1)).alias("documents"))

@@ -470,8 +470,8 @@ def _metrics_sql(graded_sql: str, binary: bool, compat: bool) -> str:
             CASE WHEN first_rel IS NULL THEN 0.0 ELSE 1.0 / (first_rel + {1 if compat else 0}) END AS mrr
           FROM per),
     j AS ({CLASSIC_JUDGMENTS_SQL})
-    SELECT j.query_id, j.type, round(coalesce(p5, 0.0), 6) AS p5, round(coalesce(p10, 0.0), 6) AS p10,
-           round(coalesce(ndcg, 0.0), 6) AS ndcg, round(coalesce(mrr, 0.0), 6) AS mrr
+    SELECT j.query_id, j.type, {", ".join(f"round({m if binary else f'coalesce({m}, 0.0)'}, 6) AS {m}"
+                                           for m in ("p5", "p10", "ndcg", "mrr"))}
     FROM j LEFT JOIN m ON m.query_id = j.query_id
     """
 
@@ -535,6 +535,18 @@ def q_metrics_by_type(spark, sf):
     return metrics_by_type(_metrics(spark, sf))
 
 
+@register("metrics_by_type_structured", f"""
+    SELECT type, count(*) AS n,
+      floor(sum(cast(round(p5 * 1000000) AS bigint)) / count(p5) + 0.5) / 1000000 AS p5,
+      floor(sum(cast(round(p10 * 1000000) AS bigint)) / count(p10) + 0.5) / 1000000 AS p10,
+      floor(sum(cast(round(ndcg * 1000000) AS bigint)) / count(ndcg) + 0.5) / 1000000 AS ndcg,
+      floor(sum(cast(round(mrr * 1000000) AS bigint)) / count(mrr) + 0.5) / 1000000 AS mrr
+    FROM ({_metrics_sql(GRADE_STRUCTURED_SQL, True, True)}) GROUP BY ROLLUP (type)""")
+def q_metrics_by_type_structured(spark, sf):
+    from larder.operators.evaluate import metrics_by_type
+    return metrics_by_type(_metrics(spark, sf, structured=True, binary=True, compat=True))
+
+
 @register("latency_percentiles", """
     WITH s AS (SELECT event_type, value, row_number() OVER (PARTITION BY event_type ORDER BY value) - 1 AS idx,
                       count(*) OVER (PARTITION BY event_type) AS n FROM events WHERE value IS NOT NULL)
@@ -609,6 +621,30 @@ def q_autocomplete_prefix(spark, sf):
     return autocomplete_prefix(docs(spark, sf), qs)
 
 
+_TYPED_SQL = "SELECT DISTINCT left(p_name, 4 + cast(p_size % 11 AS integer)) AS q FROM part"
+_WORDS = "list_filter(regexp_split_to_array(lower({c}), '[^\\p{{L}}\\p{{N}}_]+'), lambda t: t <> '')"
+
+
+@register("autocomplete_terms", f"""
+    WITH q AS (SELECT q AS query_id, {_WORDS.format(c="q")} AS w FROM ({_TYPED_SQL})),
+    d AS (SELECT id AS doc_id, product_name AS name, {_WORDS.format(c="product_name")} AS a, {_WORDS.format(c="search_text")} AS b
+          FROM ({O.docs_sql()}) WHERE product_name <> ''),
+    t AS (SELECT query_id, w[i] AS term, i = len(w) AS is_last FROM (SELECT query_id, w, unnest(range(1, len(w) + 1)) AS i FROM q)),
+    v AS (SELECT DISTINCT doc_id, 'a' AS field, x FROM (SELECT doc_id, unnest(a) AS x FROM d)
+          UNION ALL SELECT DISTINCT doc_id, 'b', x FROM (SELECT doc_id, unnest(b) AS x FROM d)),
+    m AS (SELECT DISTINCT query_id, doc_id, field, term, is_last FROM t JOIN v ON starts_with(x, term) AND length(x) >= 2
+          AND length(term) <= 20 AND (is_last OR length(term) >= 2)),
+    s AS (SELECT query_id, doc_id, max(n) AS score FROM (SELECT query_id, doc_id, field, count(*) AS n FROM m GROUP BY ALL) GROUP BY ALL),
+    r AS (SELECT s.*, name, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, name, doc_id) AS rank
+          FROM s JOIN d USING (doc_id))
+    SELECT query_id, rank, doc_id, name, score FROM r WHERE rank <= 5""")
+def q_autocomplete_terms(spark, sf):
+    from larder.operators.lookup import autocomplete_terms
+    qs = fx.table(spark, sf, "part").select(F.expr("left(p_name, 4 + cast(p_size % 11 AS int))").alias("query")).distinct().select(
+        F.col("query").alias("query_id"), "query")
+    return autocomplete_terms(docs(spark, sf), qs)
+
+
 @register("doc_count", f"SELECT count(*) AS documents FROM ({O.docs_sql()})")
 def q_doc_count(spark, sf):
     from larder.operators.lookup import doc_count

@@ -31,10 +31,16 @@ def test_query_metrics_match_brute_force(spark):
                for r in query_metrics(g, j, binary=binary, compat_mrr=compat).collect()}
         for q, _t in judged:
             grades = [x[2] for x in sorted((d for d in data if d[0] == q), key=lambda d: d[1])]
+            if binary and not grades:  # nothing graded, nothing measured
+                assert got[q] == (None,) * 4
+                continue
             want = brute(grades, binary=binary, compat=compat)
             assert all(abs(a - b) < 1e-9 for a, b in zip(got[q], want)), (q, got[q], want)
     by_type = metrics_by_type(query_metrics(g, j)).collect()
     assert {r["type"] for r in by_type} == {None, "t0", "t1", "t2"}
+    rows = [("t", 1.0, None), ("t", 0.5, None), ("t", None, None)]
+    means = metrics_by_type(spark.createDataFrame(rows, "type string, p5 double, ndcg double"), ("p5", "ndcg")).first()
+    assert (means["n"], means["p5"], means["ndcg"]) == (3, 0.75, None)
 
 
 def test_exact_order_stats_with_hot_group(spark):
