@@ -57,14 +57,21 @@ def name_prefixes(docs: DataFrame, max_len: int = EDGE_NGRAM_MAX) -> DataFrame:
 def autocomplete_prefix(docs: DataFrame, queries: DataFrame, k: int = AUTOCOMPLETE_SIZE,
                         max_len: int = EDGE_NGRAM_MAX) -> DataFrame:
     """L-8/L-9: distinct names whose lower-case form starts with the cleaned,
-    lower-cased query; top k by name.  ``queries(query_id, query)``."""
+    lower-cased query; top k by name.  ``queries(query_id, query)``.
+
+    A prefix of up to ``max_len`` characters is a key itself, so it needs the
+    first k names of its key only: each task cuts its rows to k a key before the
+    exchange, and a one-letter prefix carries k rows, not all its names."""
     q = queries.select("query_id", F.lower(autocomplete_clean(F.col("query"))).alias("prefix")).where(
         F.col("prefix") != "")
     q = q.withColumn("key", F.substring("prefix", 1, max_len))
-    hits = q.join(name_prefixes(docs, max_len), "key").where(F.lower("name").startswith(F.col("prefix")))
-    w = Window.partitionBy("query_id").orderBy("name")
-    return hits.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select(
-        "query_id", F.col("rank").cast("long").alias("rank"), "name")
+    keys = name_prefixes(docs, max_len)
+    first = keys.withColumn("rank", F.row_number().over(Window.partitionBy("key").orderBy("name"))).where(F.col("rank") <= k)
+    short = q.where(F.length("prefix") <= max_len).join(first, "key").select("query_id", "rank", "name")
+    longer = (q.where(F.length("prefix") > max_len).join(keys.where(F.length("key") == max_len), "key")
+              .where(F.lower("name").startswith(F.col("prefix")))
+              .withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("name"))).where(F.col("rank") <= k))
+    return short.unionByName(longer.select("query_id", "rank", "name")).withColumn("rank", F.col("rank").cast("long"))
 
 
 def autocomplete_terms(docs: DataFrame, queries: DataFrame, k: int = AUTOCOMPLETE_SIZE) -> DataFrame:

@@ -16,7 +16,14 @@ def read_judgments(spark: SparkSession, path: str, structured: bool = False) ->
     """S-15: a JSON array file of judgments, read with an explicit nested
     schema (never inferred); the query text doubles as query_id."""
     schema = STRUCTURED_FILE_SCHEMA if structured else CLASSIC_FILE_SCHEMA
-    df = spark.read.schema(schema).option("multiLine", True).json(path)
+    # an exclusion is a term, or an object with a term and a scope: both are read as text
+    entry = "struct<term:string,scope:string>"
+    df = spark.read.schema(schema.replace(f"excluded:array<{entry}>", "excluded:array<string>")).option("multiLine", True).json(path)
+    if structured:
+        df = df.withColumn("relevance", F.when(F.col("relevance").isNotNull(), F.col("relevance").withField(
+            "excluded", F.transform("relevance.excluded", lambda e: F.when(
+                e.startswith("{"), F.from_json(e, entry)).otherwise(
+                F.struct(e.alias("term"), F.lit(None).cast("string").alias("scope")))))))
     return df.select(F.col("query").alias("query_id"), "*")
 
 

@@ -93,8 +93,8 @@ def ingest_batch(batch: DataFrame, target_path: str, reject_path: str, batch_id:
 
     The target is partitioned by a hash bucket of the id.  A batch reads only
     the buckets its ids fall in (partition pruning), merges them, stages the
-    result and overwrites just those buckets (dynamic partition overwrite), so
-    the cost of a batch follows the batch, not the size of the table."""
+    result and overwrites just those buckets (dynamic partition overwrite).
+    A batch of many random ids touches every bucket and so rewrites the table."""
     # parsed once; rows keep the order of the files, so of several rows of an id the last one wins
     docs = build_documents(raw_products(batch)).withColumn("_version", F.monotonically_increasing_id())
     ensure_checkpoint_dir(batch.sparkSession)

@@ -83,3 +83,14 @@ def test_pages_follow_the_requests(spark):
     got = top_hits(spark.createDataFrame(rows, "query_id string, doc_id string, size int, from_ int, score double")).collect()
     ranks = {q: sorted(r["rank"] for r in got if r["query_id"] == q) for q in "abc"}
     assert ranks == {"a": list(range(1, 51)), "b": list(range(21, 41)), "c": list(range(41, 46))}
+
+
+def test_exclusions_as_terms_and_as_objects(spark, scratch_dir):
+    from larder.sources.judgments import read_judgments
+    p = os.path.join(scratch_dir, "s.json")
+    with open(p, "w", encoding="utf-8") as f:
+        f.write('[{"query": "nut milk", "type": "t", "relevance": {"required_any": [["milk"]], '
+                '"excluded": ["nut", {"term": "soy", "scope": "name"}, {"term": "oat"}]}}, {"query": "x", "type": "t"}]')
+    got = {r["query"]: r["relevance"] for r in read_judgments(spark, p, structured=True).collect()}
+    assert [(e["term"], e["scope"]) for e in got["nut milk"]["excluded"]] == [("nut", None), ("soy", "name"), ("oat", None)]
+    assert got["x"] is None
