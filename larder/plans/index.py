@@ -69,7 +69,8 @@ def bucketed_table(spark: SparkSession, df: DataFrame, key: str, buckets: int, n
     exchange."""
     table = f"larder_{name}_{uuid.uuid4().hex[:12]}"
     path = os.path.join(ensure_checkpoint_dir(spark), "tables", table)
-    (df.write.mode("overwrite").bucketBy(buckets, key).sortBy(key).option("path", path).saveAsTable(table))
+    # one task writes a bucket, so a bucket is one sorted file
+    (df.repartition(buckets, key).write.mode("overwrite").bucketBy(buckets, key).sortBy(key).option("path", path).saveAsTable(table))
     return spark.table(table)
 
 
