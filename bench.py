@@ -40,7 +40,7 @@ def main():
     from larder.operators.annotate import annotate
     from larder.operators.dictionary import build_dictionary
     from larder.operators.filters import derive_requests
-    from larder.operators.retrieve import scored_hits, top_hits
+    from larder.operators.retrieve import search
     from larder.plans import catalog as C
     from larder.plans import fixtures as fx
     from larder.plans.index import build_index
@@ -64,7 +64,7 @@ def main():
 
     def run_search():
         req = derive_requests(ann, vol.dictionary)
-        return top_hits(scored_hits(req, vol.search, vol.postings, vol.vgrams), 10).collect()
+        return search(req, vol.search, 10, vol.postings, vol.vgrams).collect()
 
     hits = timed("search_tiered", run_search)
     timed("index_numeric", lambda: C.index(spark, sf_dir))

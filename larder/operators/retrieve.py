@@ -230,9 +230,18 @@ def top_hits(scored: DataFrame, limit: int | None = None) -> DataFrame:
                                                 "score", "total")
 
 
-def search(req: DataFrame, search_tbl: DataFrame, limit: int | None = None) -> DataFrame:
-    """Requests x documents -> ranked hits (query_id, rank, doc_id, score, total)."""
-    return top_hits(scored_hits(req, search_tbl), limit)
+def search(req: DataFrame, search_tbl: DataFrame, limit: int | None = None, post: DataFrame | None = None,
+           vgrams: DataFrame | None = None) -> DataFrame:
+    """Requests x documents -> ranked hits (query_id, rank, doc_id, score, total).
+
+    Requests that differ in their id alone are ranked once, by the smallest
+    id, and share its hits."""
+    key = F.sha2(F.to_json(F.struct(*REQUEST_COLS[1:]), {"ignoreNullFields": "false"}), 256)
+    req = req.select(*REQUEST_COLS, key.alias("_key")).checkpoint(eager=True)
+    first = req.groupBy("_key").agg(F.min("query_id").alias("query_id"))
+    hits = top_hits(scored_hits(req.join(first, ["_key", "query_id"]), search_tbl, post, vgrams), limit)
+    ids = req.select("_key", F.col("query_id").alias("_id")).join(first, "_key").select("query_id", "_id")
+    return hits.join(ids, "query_id").select(F.col("_id").alias("query_id"), "rank", "doc_id", "score", "total")
 
 
 def explain_records(ann: DataFrame, req: DataFrame, scored: DataFrame) -> DataFrame:

@@ -259,10 +259,12 @@ def _search_oracle(phrase_exprs, k=10, src_sql=None):
 
 
 def _search(spark, sf, phrase_exprs, k=10):
-    from larder.operators.retrieve import scored_hits, top_hits
-    ix = index(spark, sf)
-    req = requests(spark, sf, phrase_set(spark, sf, phrase_exprs))
-    return top_hits(scored_hits(req, ix.search, ix.postings, ix.vgrams), k)
+    return _ranked(index(spark, sf), requests(spark, sf, phrase_set(spark, sf, phrase_exprs)), k)
+
+
+def _ranked(ix, req, k=None):
+    from larder.operators.retrieve import search
+    return search(req, ix.search, k, ix.postings, ix.vgrams)
 
 
 @register("search_tiered", _search_oracle(SEARCH_PHRASES))
@@ -294,6 +296,7 @@ def classic_judgments(spark, sf) -> DataFrame:
     part = fx.table(spark, sf, "part")
     names = part.select("p_name").distinct()
     brands = part.select(F.lower("p_brand").alias("b")).distinct()
+    brand = F.regexp_replace("b", "#", "")
     words = F.split("p_name", " ")
     empty = F.array().cast("array<string>")
     no_flags = F.create_map().cast("map<string,boolean>")
@@ -313,7 +316,7 @@ def classic_judgments(spark, sf) -> DataFrame:
                           F.lit(None), no_flags,
                           F.struct(F.lit("calories").alias("nutrient"), F.lit("lte").alias("operator"),
                                    F.lit(200.0).alias("value"))))
-    d = brands.select(*row(F.concat(F.lit("by brand "), "b"), "brand", empty, empty, F.col("b"), no_flags, no_nut))
+    d = brands.select(*row(F.concat(F.lit("by brand "), "b"), "brand", empty, empty, brand, no_flags, no_nut))
     return a.unionByName(b).unionByName(c).unionByName(d)
 
 
@@ -346,7 +349,7 @@ UNION ALL
 SELECT p_name || ' under 200 calories', 'nutrition_numeric', {_SPLIT}, []::VARCHAR[], NULL,
        []::STRUCT(k VARCHAR, v BOOLEAN)[], 'calories', 'lte', 200.0 FROM (SELECT DISTINCT p_name FROM part)
 UNION ALL
-SELECT 'by brand ' || b, 'brand', []::VARCHAR[], []::VARCHAR[], b, []::STRUCT(k VARCHAR, v BOOLEAN)[],
+SELECT 'by brand ' || b, 'brand', []::VARCHAR[], []::VARCHAR[], replace(b, '#', ''), []::STRUCT(k VARCHAR, v BOOLEAN)[],
        NULL, NULL, NULL FROM (SELECT DISTINCT lower(p_brand) AS b FROM part)
 """
 
@@ -588,19 +591,29 @@ def q_compare_ids(spark, sf):
     return compare_ids(docs(spark, sf), req).select("request_id", "pos", "id", "product_name")
 
 
-@register("browse_brand", O.ranked_sql(O.scored_sql(
-    "SELECT b AS query_id, '' AS text, b AS brand_f, NULL::VARCHAR AS category_f, NULL::VARCHAR AS ingredients_f, "
-    + ", ".join(f"NULL::BOOLEAN AS {f}" for f in FLAG_NAMES)
-    + ", []::STRUCT(nutrient VARCHAR, operator VARCHAR, value DOUBLE, unit VARCHAR, comparison_basis VARCHAR)[] "
-      "AS numeric_filters, []::VARCHAR[] AS modifiers FROM (SELECT DISTINCT lower(p_brand) AS b FROM part)",
-    O.search_docs_sql()), 20))
-def q_browse_brand(spark, sf):
+def _browse_sql(kind: str, values: str) -> str:
+    cols = ", ".join((f"v AS {c}" if c == kind else f"NULL::VARCHAR AS {c}") for c in ("brand_f", "category_f", "ingredients_f"))
+    return O.ranked_sql(O.scored_sql(
+        f"SELECT v AS query_id, '' AS text, {cols}, " + ", ".join(f"NULL::BOOLEAN AS {f}" for f in FLAG_NAMES)
+        + ", []::STRUCT(nutrient VARCHAR, operator VARCHAR, value DOUBLE, unit VARCHAR, comparison_basis VARCHAR)[] "
+        f"AS numeric_filters, []::VARCHAR[] AS modifiers FROM (SELECT DISTINCT {values} AS v FROM part)",
+        O.search_docs_sql()), 20)
+
+
+def _browse(spark, sf, kind, values):
     from larder.operators.lookup import browse_requests
-    from larder.operators.retrieve import scored_hits, top_hits
-    ix = index(spark, sf)
-    vals = fx.table(spark, sf, "part").select(F.lower("p_brand").alias("value")).distinct().select(
-        F.col("value").alias("query_id"), "value")
-    return top_hits(scored_hits(browse_requests(vals, "brand", 20), ix.search, ix.postings, ix.vgrams), 20)
+    vals = fx.table(spark, sf, "part").selectExpr(f"{values} AS query_id", f"{values} AS value").distinct()
+    return _ranked(index(spark, sf), browse_requests(vals, kind, 20))
+
+
+for _name, _kind, _col, _values in (("browse_brand", "brand", "brand_f", "replace(lower(p_brand), '#', '')"),
+                                    ("browse_category", "category", "category_f", "lower(p_type)"),
+                                    ("browse_ingredients", "ingredients", "ingredients_f", "p_name")):
+    def _mk_browse(kind, values):
+        def fn(spark, sf):
+            return _browse(spark, sf, kind, values)
+        return fn
+    register(_name, _browse_sql(_col, _values))(_mk_browse(_kind, _values))
 
 
 _PREFIX_SQL = "SELECT DISTINCT left(p_name, 1 + cast(p_size % 6 AS integer)) AS q FROM part"
@@ -825,11 +838,27 @@ def q_search_filter_only(spark, sf):
 def q_search_paged(spark, sf):
     from larder.operators.annotate import annotate
     from larder.operators.filters import derive_requests
-    from larder.operators.retrieve import scored_hits, top_hits
     ix = index(spark, sf)
     req = derive_requests(annotate(phrase_set(spark, sf, SEARCH_PHRASES), ix.dictionary, size=10, from_=10),
                           ix.dictionary)
-    return top_hits(scored_hits(req, ix.search, ix.postings, ix.vgrams), 20)
+    return _ranked(ix, req)
+
+
+@register("search_paged_mixed", f"""SELECT * FROM ({_search_oracle(SEARCH_PHRASES, k=90)})
+    WHERE rank > 20 * (length(query_id) % 3)
+      AND rank <= 20 * (length(query_id) % 3) + CASE length(query_id) % 4 WHEN 0 THEN 5 WHEN 1 THEN 20 ELSE 50 END""")
+def q_search_paged_mixed(spark, sf):
+    """R-18/D-11: page sizes 5, 20 and 50 and offsets 0, 20 and 40 in one table of requests."""
+    req = requests(spark, sf, phrase_set(spark, sf, SEARCH_PHRASES))
+    req = req.withColumn("from_", F.expr("20 * (length(query_id) % 3)")).withColumn(
+        "size", F.expr("CASE length(query_id) % 4 WHEN 0 THEN 5 WHEN 1 THEN 20 ELSE 50 END"))
+    return _ranked(index(spark, sf), req)
+
+
+@register("search_modifiers", _search_oracle(MOD_PHRASES))
+def q_search_modifiers(spark, sf):
+    """R-6: phrases whose modifier occurs in names."""
+    return _search(spark, sf, MOD_PHRASES)
 
 
 def _facet_sql():
@@ -920,7 +949,6 @@ _OVERRIDES_SQL = ("SELECT p_name AS query_id, NULL::VARCHAR AS o_brand, lower(mi
     _OVERRIDES_SQL), O.search_docs_sql()), 10))
 def q_search_overrides(spark, sf):
     """L-5: phrases plus explicit filters (category, organic) per request."""
-    from larder.operators.retrieve import scored_hits, top_hits
     ix = index(spark, sf)
     part = fx.table(spark, sf, "part")
     ph = part.select(F.col("p_name").alias("query_id"), F.col("p_name").alias("phrase")).distinct()
@@ -928,8 +956,45 @@ def q_search_overrides(spark, sf):
                                     F.when(F.min("p_size") % 3 == 0, F.lit(True)).alias("organic")).select(
         F.col("p_name").alias("query_id"), F.lit(None).cast("string").alias("brand"), "category",
         F.lit(None).cast("string").alias("ingredients"), "organic")
-    req = requests(spark, sf, ph, ov)
-    return top_hits(scored_hits(req, ix.search, ix.postings, ix.vgrams), 10)
+    return _ranked(ix, requests(spark, sf, ph, ov), 10)
+
+
+def _overrides(columns: dict[str, str], flags: dict[str, str]) -> tuple[list[str], str]:
+    """Select lists of explicit filters: for Spark, and for DuckDB (``o_`` names)."""
+    from larder.fixed_values import FILTER_KEYS
+    values = {k: columns.get(k, "cast(NULL AS varchar(99))") for k in ("brand", "category", "ingredients")}
+    values |= {k: flags.get(k, "cast(NULL AS boolean)") for k in FILTER_KEYS}
+    return [f"{v} AS {k}" for k, v in values.items()], ", ".join(f"{v} AS o_{k}" for k, v in values.items())
+
+
+# every fourth request has an empty brand, which is no filter
+_TEXT_OVERRIDES = _overrides({"brand": "CASE WHEN min(p_size) % 4 = 0 THEN '' ELSE replace(lower(min(p_brand)), '#', '') END",
+                              "ingredients": "CASE WHEN min(p_size) % 2 = 0 THEN 'Probiotic' END"}, {})
+_SIGNATURES = _overrides({}, {"vegan": "CASE WHEN p_size % 2 = 0 THEN true END", "organic": "CASE WHEN p_size % 5 = 1 THEN false END",
+                              "palm_oil": "CASE WHEN p_size % 3 = 0 THEN false END",
+                              "low_sugar": "CASE WHEN p_size % 7 = 3 THEN true END"})
+
+
+@register("override_filters", O.ranked_sql(O.scored_sql(O.requests_sql(
+    O.annotate_sql("SELECT DISTINCT p_name AS query_id, p_name AS phrase FROM part", _DICT_SQL), _DICT_SQL,
+    f"SELECT p_name AS query_id, {_TEXT_OVERRIDES[1]} FROM part GROUP BY p_name"), O.search_docs_sql()), 20))
+def q_override_filters(spark, sf):
+    """D-1/D-9: explicit brand and ingredient filters, some of them empty."""
+    part = fx.table(spark, sf, "part")
+    ph = part.selectExpr("p_name AS query_id", "p_name AS phrase").distinct()
+    ov = part.groupBy(F.col("p_name").alias("query_id")).agg(*[F.expr(e) for e in _TEXT_OVERRIDES[0]])
+    return _ranked(index(spark, sf), requests(spark, sf, ph, ov))
+
+
+@register("search_signature", O.ranked_sql(O.scored_sql(O.requests_sql(
+    O.annotate_sql("SELECT DISTINCT concat('flags ', p_size) AS query_id, '' AS phrase FROM part", _DICT_SQL), _DICT_SQL,
+    f"SELECT DISTINCT concat('flags ', p_size) AS query_id, {_SIGNATURES[1]} FROM part"), O.search_docs_sql()), 20))
+def q_search_signature(spark, sf):
+    """P-10: requests with flags only, or with no condition at all."""
+    part = fx.table(spark, sf, "part")
+    ph = part.selectExpr("concat('flags ', p_size) AS query_id", "'' AS phrase").distinct()
+    ov = part.selectExpr("concat('flags ', p_size) AS query_id", *_SIGNATURES[0]).distinct()
+    return _ranked(index(spark, sf), requests(spark, sf, ph, ov))
 
 
 @register("evidence", f"""

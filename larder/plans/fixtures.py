@@ -15,7 +15,7 @@ PRODUCT_EXPRS = {
     "code": "lpad(cast({key} AS varchar(20)), 13, '0')",
     "product_name": ("CASE WHEN p_partkey % 3 = 0 THEN concat('[{{\"lang\": \"fr\", \"text\": \"pièce ', p_name, "
                      "'\"}} {{\"lang\": \"en\", \"text\": \"', p_name, '\"}}]') ELSE p_name END"),
-    "brands": "CASE WHEN p_partkey % 7 = 0 THEN NULL ELSE p_brand END",
+    "brands": "CASE WHEN p_partkey % 7 = 0 THEN NULL ELSE replace(p_brand, '#', '') END",
     "categories": ("concat(p_type, ', ', CASE p_partkey % 8 WHEN 0 THEN 'Organic foods' WHEN 1 THEN 'Vegan' "
                    "WHEN 2 THEN 'Vegetarian' WHEN 3 THEN 'No sugar added' WHEN 4 THEN 'Low sodium' "
                    "WHEN 5 THEN 'Gluten-free' WHEN 6 THEN 'Dairy free' ELSE 'High protein' END)"),

@@ -402,11 +402,11 @@ def requests_sql(ann: str, dict_sql: str, overrides_sql: str | None = None) -> s
     SELECT query_id, intent,
       CASE WHEN intent IN ('brand_search', 'category_browse', 'ingredient_search') THEN ''
            WHEN promoted THEN remaining ELSE text_term END AS text,
-      brand_f,
-      CASE WHEN intent = 'category_browse' OR {oc or 'NULL'} IS NOT NULL
-           THEN ({kind_values('categories', oc)})[1] END AS category_f,
-      CASE WHEN intent = 'ingredient_search' OR {oi or 'NULL'} IS NOT NULL
-           THEN ({kind_values('ingredients', oi)})[1] END AS ingredients_f,
+      nullif(trim(brand_f), '') AS brand_f,
+      nullif(trim(CASE WHEN intent = 'category_browse' OR {oc or 'NULL'} IS NOT NULL
+           THEN ({kind_values('categories', oc)})[1] END), '') AS category_f,
+      nullif(trim(CASE WHEN intent = 'ingredient_search' OR {oi or 'NULL'} IS NOT NULL
+           THEN ({kind_values('ingredients', oi)})[1] END), '') AS ingredients_f,
       {flag_cols}, numeric_filters, modifiers
     FROM r
     """
