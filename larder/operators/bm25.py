@@ -1,14 +1,18 @@
 """Index-style ranking: analysed terms with positions, BM25 per field,
-best-fields combination, phrase / all-terms / minimum-should-match clauses
-(I-1 .. I-3, R-9 .. R-12, R-14 .. R-17).
-
-Terms are exact tokens, so every clause is an equi-join of query terms with
-the postings table; per-(query, doc, field) aggregates are bounded by the
-number of query terms.
+best-fields combination, phrase / all-terms / fuzzy minimum-should-match
+clauses (I-1 .. I-3, R-9 .. R-17).
+
+``text_index`` analyses the documents once and saves postings, document
+counts, field statistics and the neighbourhoods of the vocabulary; a search
+joins its terms to these tables and reads no document text but that of the
+filters.  Per-(query, document, field) aggregates are bounded by the number of
+query terms and the length of the field.
 """
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -18,6 +22,7 @@ from larder.fixed_values import (
     BM25_K1,
     COMPLETENESS_WEIGHT,
     FIELD_BOOSTS,
+    FLAG_NAMES,
     FUZZY_BOOST,
     MODIFIER_BOOST,
     PALM_OIL_FREE_BOOST,
@@ -25,6 +30,8 @@ from larder.fixed_values import (
     SYNONYM_PAIRS,
 )
 from larder.functions.text import analyzed_terms
+from larder.operators.retrieve import REQUEST_COLS, numeric_ok, top_hits
+from larder.session import ensure_checkpoint_dir
 
 # Field -> (document column, synonym expansion at index time).
 INDEX_FIELDS = {
@@ -34,16 +41,14 @@ INDEX_FIELDS = {
     "ingredients": ("ingredients", True),
     "search_text": ("search_text", True),
 }
+EMPTY = "array<string>"
 
 
 def field_terms(docs: DataFrame, fields: dict[str, str]) -> DataFrame:
     """(field, doc_id, pos, term) for each analysed term of each field."""
-    out = None
-    for field, col in fields.items():
-        t = docs.select(F.lit(field).alias("field"), F.col("id").alias("doc_id"),
-                        F.posexplode(analyzed_terms(F.col(col))).alias("pos", "term"))
-        out = t if out is None else out.unionByName(t)
-    return out
+    parts = F.array(*[F.struct(F.lit(f).alias("field"), analyzed_terms(F.col(c)).alias("terms")) for f, c in fields.items()])
+    return (docs.select(F.col("id").alias("doc_id"), F.explode(parts).alias("f"))
+            .select("f.field", "doc_id", F.posexplode("f.terms").alias("pos", "term")))
 
 
 def _partner(term) -> F.Column:
@@ -54,37 +59,46 @@ def _partner(term) -> F.Column:
 
 
 def positional_postings(docs: DataFrame) -> DataFrame:
-    """I-1/I-3: (field, term, doc_id, pos) with synonym partners injected at
-    the same position for the synonym-analysed fields."""
-    base = field_terms(docs, {f: c for f, (c, _s) in INDEX_FIELDS.items()})
-    syn_fields = [f for f, (_c, s) in INDEX_FIELDS.items() if s]
-    extra = base.where(F.col("field").isin(*syn_fields)).select(
-        "field", "doc_id", "pos", _partner(F.col("term")).alias("term")).where(F.col("term").isNotNull())
-    return base.unionByName(extra)
-
-
-def field_stats(docs: DataFrame) -> DataFrame:
+    """I-1/I-3: (field, term, doc_id, dl, tf, positions) with synonym partners
+    injected at the same position for the synonym-analysed fields; ``dl`` is the
+    number of terms of the field, partners not counted."""
+    parts = F.array(*[F.struct(F.lit(f).alias("field"), F.lit(s).alias("syn"), analyzed_terms(F.col(c)).alias("terms"))
+                      for f, (c, s) in INDEX_FIELDS.items()])
+    base = (docs.select(F.col("id").alias("doc_id"), F.explode(parts).alias("f"))
+            .select("doc_id", "f.field", "f.syn", F.size("f.terms").alias("dl"), F.posexplode("f.terms").alias("pos", "term")))
+    term = F.col("term")
+    both = F.array_compact(F.array(term, F.when(F.col("syn"), _partner(term))))
+    return (base.select("field", "doc_id", "dl", "pos", F.explode(both).alias("term"))
+            .groupBy("field", "term", "doc_id", "dl")
+            .agg(F.count(F.lit(1)).alias("tf"), F.sort_array(F.collect_list("pos")).alias("positions")))
+
+
+def field_stats(post: DataFrame) -> DataFrame:
     """(field, n_docs, avgdl): documents with the field and mean length in terms."""
-    out = None
-    for field, (col, _s) in INDEX_FIELDS.items():
-        n = F.size(analyzed_terms(F.col(col)))
-        t = docs.select(F.lit(field).alias("field"), n.alias("dl")).where(F.col("dl") > 0)
-        out = t if out is None else out.unionByName(t)
-    return out.groupBy("field").agg(F.count(F.lit(1)).alias("n_docs"), F.avg("dl").alias("avgdl"))
-
-
-def doc_lengths(docs: DataFrame) -> DataFrame:
-    out = None
-    for field, (col, _s) in INDEX_FIELDS.items():
-        t = docs.select(F.lit(field).alias("field"), F.col("id").alias("doc_id"),
-                        F.size(analyzed_terms(F.col(col))).alias("dl"))
-        out = t if out is None else out.unionByName(t)
-    return out
+    lengths = post.select("field", "doc_id", "dl").distinct()
+    return lengths.groupBy("field").agg(F.count(F.lit(1)).alias("n_docs"), F.avg("dl").alias("avgdl"))
 
 
 def term_stats(post: DataFrame) -> DataFrame:
     """(field, term, df)."""
-    return post.groupBy("field", "term").agg(F.countDistinct("doc_id").alias("df"))
+    return post.groupBy("field", "term").agg(F.count(F.lit(1)).alias("df"))
+
+
+@dataclass
+class TextIndex:
+    postings: DataFrame  # field, term, doc_id, dl, tf, positions
+    terms: DataFrame     # field, term, df
+    stats: DataFrame     # field, n_docs, avgdl
+    near: DataFrame      # key, vterm
+
+
+def text_index(docs: DataFrame) -> TextIndex:
+    """I-3: analyses ``docs`` once; every table is checkpointed in the shared folder."""
+    ensure_checkpoint_dir(docs.sparkSession)
+    post = positional_postings(docs).checkpoint(eager=True)
+    terms = term_stats(post).checkpoint(eager=True)
+    return TextIndex(post, terms, field_stats(post).checkpoint(eager=True),
+                     vocabulary_keys(terms.select("term").distinct()).checkpoint(eager=True))
 
 
 def tiered_minimum_should_match(n) -> F.Column:
@@ -92,70 +106,89 @@ def tiered_minimum_should_match(n) -> F.Column:
     return F.when(n <= 1, 1).when(n == 2, 2).otherwise(F.greatest(F.lit(2), F.floor(n / 2) + 1)).cast("int")
 
 
-def bm25_hits(req: DataFrame, docs: DataFrame, k1: float = BM25_K1, b: float = BM25_B) -> DataFrame:
-    """Text requests -> (query_id, doc_id, text_score, phrase, all_terms, msm_ok)
-    where text_score = 10 x best phrase + 5 x best all-terms + 0.5 x best
-    minimum-should-match field score, each best over fields of boost x BM25."""
-    post = positional_postings(docs)
-    stats = field_stats(docs)
-    dfs = term_stats(post)
-    dl = doc_lengths(docs)
-    q = req.where(F.col("text") != "").select(
-        "query_id", F.size(F.split(F.trim("text"), r"\s+")).alias("nw"),
-        F.posexplode(analyzed_terms(F.col("text"))).alias("qpos", "term"))
+def clause_scores(req: DataFrame, index: TextIndex, k1: float = BM25_K1, b: float = BM25_B) -> DataFrame:
+    """Text requests -> (query_id, doc_id, phrase, all_terms, fuzzy): the best
+    field's boost x BM25 for each clause, NULL where it doesn't match.
+
+    * ``phrase``: all terms at neighbouring positions;
+    * ``all_terms``: every term as it is;
+    * ``fuzzy`` (R-11 .. R-13): at least the minimum of terms, each within its
+      edit distance; of a term's expansions the best one counts."""
     # the minimum counts the words of the text, which may hold several terms
-    nq = q.groupBy("query_id").agg(F.count(F.lit(1)).alias("nq"), F.first("nw").alias("nw"))
-    # per (query, doc, field, term): tf and positions
-    hits = q.join(post, "term")
-    tf = hits.groupBy("query_id", "doc_id", "field", "term", "qpos").agg(
-        F.count(F.lit(1)).alias("tf"))
+    q = req.where(F.col("text") != "").select(
+        "query_id", F.size(F.split(F.trim("text"), r"\s+")).alias("nw"), analyzed_terms(F.col("text")).alias("terms"))
+    q = q.select("query_id", "nw", F.size("terms").alias("nq"), F.posexplode("terms").alias("qpos", "term"))
+    q = q.join(fuzzy_expansions(q, index.near), "term").withColumn("exact", F.col("term") == F.col("vterm"))
+    q = q.drop("term").withColumnRenamed("vterm", "term")
+    idf = F.log(1 + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    q = q.join(index.terms, "term").join(index.stats, "field").select(
+        "query_id", "nw", "nq", "qpos", "term", "exact", "field", "avgdl", idf.alias("idf"))
+    hits = q.join(index.postings, ["field", "term"]).withColumn("norm", k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
+    hits = hits.withColumn("s", F.col("idf") * F.col("tf") / (F.col("tf") + F.col("norm")))
+    # one exchange serves the three aggregates below
+    hits = hits.repartition("query_id", "doc_id")
+
+    def exact(c):
+        return F.max(F.when(F.col("exact"), F.col(c)))
+
+    per_pos = hits.groupBy("query_id", "doc_id", "field", "nw", "nq", "qpos").agg(
+        F.max("s").alias("any_s"), exact("s").alias("s"), exact("idf").alias("idf"), exact("positions").alias("positions"),
+        F.max("norm").alias("norm"))
+    starts = F.transform("positions", lambda p: p - F.col("qpos"))
+    per_field = per_pos.groupBy("query_id", "doc_id", "field", "nw", "nq").agg(
+        F.sum("any_s").alias("any_s"), F.count(F.lit(1)).alias("any_n"), F.sum("s").alias("s"), F.count("s").alias("n"),
+        F.sum("idf").alias("idf"), F.max("norm").alias("norm"), F.collect_list(starts).alias("starts"))
+    common = F.aggregate(F.slice("starts", 2, F.greatest(F.size("starts") - 1, F.lit(0))), F.get("starts", 0),
+                         lambda acc, s: F.array_intersect(acc, s))
+    per_field = per_field.withColumn("pf", F.when(F.col("n") == F.col("nq"), F.size(common)).otherwise(0))
     boosts = F.create_map(*[x for f, v in FIELD_BOOSTS.items() for x in (F.lit(f), F.lit(v))])
-    scored = (tf.join(F.broadcast(stats), "field").join(dfs, ["field", "term"]).join(dl, ["field", "doc_id"])
-              .withColumn("idf", F.log(1 + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5)))
-              .withColumn("norm", k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
-              .withColumn("s", F.col("idf") * F.col("tf") / (F.col("tf") + F.col("norm"))))
-    per_field = scored.groupBy("query_id", "doc_id", "field").agg(
-        F.sum("s").alias("fs"), F.countDistinct("qpos").alias("matched"), F.sum("idf").alias("idf_sum"),
-        F.first("norm").alias("norm"))
-    per_field = per_field.join(nq, "query_id").withColumn("boost", F.element_at(boosts, F.col("field")))
-    # phrase occurrences: positions aligned as pos - qpos, all query terms present
-    ph = (hits.select("query_id", "doc_id", "field", (F.col("pos") - F.col("qpos")).alias("start"), "qpos")
-          .groupBy("query_id", "doc_id", "field", "start").agg(F.countDistinct("qpos").alias("c"))
-          .join(nq, "query_id").where(F.col("c") == F.col("nq"))
-          .groupBy("query_id", "doc_id", "field").agg(F.count(F.lit(1)).alias("pf")))
-    pf = per_field.join(ph, ["query_id", "doc_id", "field"], "left")
-    phrase_s = F.when(F.col("pf").isNotNull(),
-                      F.col("boost") * F.col("idf_sum") * F.col("pf") / (F.col("pf") + F.col("norm")))
-    and_s = F.when(F.col("matched") == F.col("nq"), F.col("boost") * F.col("fs"))
-    msm_s = F.when(F.col("matched") >= tiered_minimum_should_match(F.col("nw")), F.col("boost") * F.col("fs"))
-    best = pf.groupBy("query_id", "doc_id").agg(
-        F.max(phrase_s).alias("phrase"), F.max(and_s).alias("all_terms"), F.max(msm_s).alias("msm"))
-    total = (F.coalesce(F.col("phrase") * PHRASE_BOOST, F.lit(0.0))
-             + F.coalesce(F.col("all_terms") * AND_MATCH_BOOST, F.lit(0.0))
-             + F.coalesce(F.col("msm") * FUZZY_BOOST, F.lit(0.0)))
-    matched = F.col("phrase").isNotNull() | F.col("all_terms").isNotNull() | F.col("msm").isNotNull()
-    return best.where(matched).select("query_id", "doc_id", total.alias("text_score"),
-                                      F.col("phrase").isNotNull().alias("phrase_match"),
-                                      F.col("all_terms").isNotNull().alias("all_terms_match"))
-
-
-def bm25_search(req: DataFrame, docs: DataFrame, search_tbl: DataFrame, limit: int | None = None,
+    boost = F.element_at(boosts, F.col("field"))
+    return per_field.groupBy("query_id", "doc_id").agg(
+        F.max(F.when(F.col("pf") > 0, boost * F.col("idf") * F.col("pf") / (F.col("pf") + F.col("norm")))).alias("phrase"),
+        F.max(F.when(F.col("n") == F.col("nq"), boost * F.col("s"))).alias("all_terms"),
+        F.max(F.when(F.col("any_n") >= tiered_minimum_should_match(F.col("nw")), boost * F.col("any_s"))).alias("fuzzy"))
+
+
+def _holds_terms(field: str, text: str, wanted: str) -> F.Column:
+    """Whether each term of the filter is a term of the field (or, in fields
+    with synonyms, the partner of one); a filter without terms holds nowhere."""
+    have, want = analyzed_terms(F.col(text)), analyzed_terms(F.col(wanted))
+    partner = INDEX_FIELDS[field][1]
+    each = F.forall(want, lambda t: F.array_contains(have, t) | (
+        F.coalesce(F.array_contains(have, _partner(t)), F.lit(False)) if partner else F.lit(False)))
+    return F.col(wanted).isNull() | ((F.size(want) > 0) & each)
+
+
+def term_filters_ok() -> F.Column:
+    """P-1 .. P-8 of the index: brand, category and ingredient filters by terms
+    in any order, flags and numbers as in the tiered search."""
+    ok = (_holds_terms("brand", "brand_l", "brand_f") & _holds_terms("category", "cat_l", "category_f")
+          & _holds_terms("ingredients", "ing_l", "ingredients_f"))
+    for f in FLAG_NAMES:
+        want = F.col(f"flag_filters.{f}")
+        ok = ok & (want.isNull() | (F.col(f"flags.{f}") == want))
+    return ok & numeric_ok(F.col("numeric_filters"), F.col("nutrition"))
+
+
+def bm25_search(req: DataFrame, index: TextIndex, search_tbl: DataFrame, limit: int | None = None,
                 clause: str | None = None) -> DataFrame:
-    """Filtered BM25 ranking of text requests; ``clause`` = 'phrase' or 'and'
-    keeps only documents matching that clause."""
-    from larder.operators.retrieve import REQUEST_COLS, filters_ok, top_hits
-    req = req.select(*REQUEST_COLS)
-    h = bm25_hits(req, docs)
-    if clause == "phrase":
-        h = h.where("phrase_match")
-    elif clause == "and":
-        h = h.where("all_terms_match")
-    rows = h.join(req, "query_id").join(search_tbl, "doc_id").where(filters_ok())
+    """Filtered BM25 ranking of text requests (R-9 .. R-17): 10 x phrase + 5 x
+    all terms + 0.5 x fuzzy, plus modifiers in the name, the palm-oil-free flag
+    and completeness.  ``clause`` = 'phrase', 'and' or 'fuzzy' keeps the
+    documents that match that clause."""
+    req = req.select(*REQUEST_COLS).checkpoint(eager=True)
+    h = clause_scores(req, index)
+    column = {"phrase": "phrase", "and": "all_terms", "fuzzy": "fuzzy"}
+    kept = F.col(column[clause]).isNotNull() if clause else F.coalesce("phrase", "all_terms", "fuzzy").isNotNull()
+    text_score = sum((F.coalesce(F.col(c) * w, F.lit(0.0)) for c, w in (
+        ("phrase", PHRASE_BOOST), ("all_terms", AND_MATCH_BOOST), ("fuzzy", FUZZY_BOOST))), F.lit(0.0))
+    rows = h.where(kept).join(req, "query_id").join(search_tbl, "doc_id").where(term_filters_ok())
     mods = F.aggregate(F.col("modifiers"), F.lit(0.0), lambda acc, m: acc + F.when(
         F.exists(analyzed_terms(F.col("name_l")), lambda t: t == F.lower(m)), F.lit(MODIFIER_BOOST)).otherwise(0.0))
     palm = F.when(F.col("flag_filters.is_palm_oil_free") & F.col("flags.is_palm_oil_free"),
                   F.lit(PALM_OIL_FREE_BOOST)).otherwise(F.lit(0.0))
-    score = F.col("text_score") + mods + palm + F.col("completeness") * COMPLETENESS_WEIGHT
+    score = text_score + mods + palm + F.col("completeness") * COMPLETENESS_WEIGHT
+    # sums of a row meet in any order: rounding makes equal scores equal, so that ties go by id
     return top_hits(rows.select("query_id", "doc_id", "size", "from_", F.round(score, 6).alias("score")), limit)
 
 
@@ -213,54 +246,53 @@ def osa_within(a, b, k) -> F.Column:
     return osa_distance(a, b) <= k
 
 
-def fuzzy_expansions(qterms: DataFrame, vocab: DataFrame) -> DataFrame:
-    """(term, vterm) pairs with OSA(term, vterm) <= AUTO(term): both sides
-    expand into their delete neighbourhoods and meet on an equi-join; every
-    pair is then verified exactly.  No cap on expansions."""
+# Vocabulary terms up to this length are found by deletions, longer ones by segments.
+DELETION_MAX_LEN = 16
+SEGMENTS = 5
+
+
+def _segment_keys(length, word, shifts, n) -> F.Column:
+    """Keys (length, segment, text) of the segments of a word of ``length``, read from ``word`` (of ``n`` characters)
+    at their places moved by each of ``shifts``."""
+    def at(i, shift):
+        start, stop = F.floor(length * i / SEGMENTS), F.floor(length * (i + 1) / SEGMENTS)
+        return F.when((start + shift >= 0) & (stop + shift <= n), F.concat_ws(
+            ":", length.cast("string"), i.cast("string"), F.substring(word, (start + shift + 1).cast("int"), (stop - start).cast("int"))))
+    return F.flatten(F.transform(F.sequence(F.lit(0), F.lit(SEGMENTS - 1)), lambda i: F.array_compact(
+        F.transform(shifts, lambda d: at(i, d)))))
+
+
+def vocabulary_keys(vocab: DataFrame) -> DataFrame:
+    """(key, vterm): the keys by which query terms find a term.  Terms up to
+    ``DELETION_MAX_LEN`` have their delete neighbourhood, as deep as any query
+    term of a near length may go; longer ones have five segments, of which two
+    edits (a swap touches two at most) leave one whole, moved by two at most."""
+    t = F.col("term")
+    n = F.length(t)
+    keys = (F.when(n <= 1, F.array(t)).when(n <= 3, deletions(t, 1)).when(n <= DELETION_MAX_LEN, deletions(t, 2))
+            .otherwise(_segment_keys(n, t, F.array(F.lit(0)), n)))
+    return vocab.select(F.explode(keys).alias("key"), t.alias("vterm"))
+
+
+def fuzzy_expansions(qterms: DataFrame, near: DataFrame) -> DataFrame:
+    """(term, vterm) pairs with OSA(term, vterm) <= AUTO(term): the query terms'
+    keys join ``near`` (``vocabulary_keys``), then every pair is verified
+    exactly.  No cap on expansions."""
     q = qterms.select("term").distinct().withColumn("k", auto_fuzziness(F.col("term")))
-    qd = q.select("term", "k", F.explode(deletions(F.col("term"))).alias("key"))
-    vd = vocab.select(F.col("term").alias("vterm")).distinct().select(
-        "vterm", F.explode(deletions(F.col("vterm"))).alias("key"))
-    pairs = qd.join(vd, "key").select("term", "k", "vterm").distinct()
+    t, k = F.col("term"), F.col("k")
+    n = F.length(t)
+    none = F.array().cast(EMPTY)
+    short = (F.when(n - k > DELETION_MAX_LEN, none).when(k == 0, F.array(t)).when(k == 1, deletions(t, 1))
+             .otherwise(deletions(t, 2)))
+    long = F.when(n + k > DELETION_MAX_LEN, F.flatten(F.transform(
+        F.sequence(F.greatest(n - k, F.lit(DELETION_MAX_LEN + 1)), n + k),
+        lambda length: _segment_keys(length, t, F.sequence(-k, k), n)))).otherwise(none)
+    pairs = q.select("term", "k", F.explode(F.array_distinct(F.concat(short, long))).alias("key")).join(near, "key")
+    pairs = pairs.select("term", "k", "vterm").distinct()
     return pairs.where((F.abs(F.length("term") - F.length("vterm")) <= F.col("k"))
                        & osa_within(F.col("term"), F.col("vterm"), F.col("k"))).select("term", "vterm")
 
 
-def fuzzy_hits(req: DataFrame, docs: DataFrame, k1: float = BM25_K1, b: float = BM25_B) -> DataFrame:
-    """R-11 with R-13: (query_id, doc_id, fuzzy_score) for documents where at
-    least the tiered minimum of query terms match some field term within the
-    AUTO edit distance; per query position the best-scoring expansion counts,
-    best field x boost, times the fuzzy boost."""
-    post = positional_postings(docs)
-    stats = field_stats(docs)
-    dfs = term_stats(post)
-    dl = doc_lengths(docs)
-    q = req.where(F.col("text") != "").select(
-        "query_id", F.size(F.split(F.trim("text"), r"\s+")).alias("nw"),
-        F.posexplode(analyzed_terms(F.col("text"))).alias("qpos", "term"))
-    nq = q.groupBy("query_id").agg(F.count(F.lit(1)).alias("nq"), F.first("nw").alias("nw"))
-    exp = fuzzy_expansions(q, post.select("term"))
-    hits = q.join(exp, "term").join(post.withColumnRenamed("term", "vterm"), "vterm")
-    tf = hits.groupBy("query_id", "doc_id", "field", "qpos", "vterm").agg(F.count(F.lit(1)).alias("tf"))
-    boosts = F.create_map(*[x for f, v in FIELD_BOOSTS.items() for x in (F.lit(f), F.lit(v))])
-    scored = (tf.join(F.broadcast(stats), "field")
-              .join(dfs.withColumnRenamed("term", "vterm"), ["field", "vterm"]).join(dl, ["field", "doc_id"])
-              .withColumn("s", F.log(1 + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-                          * F.col("tf") / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))))
-    per_pos = scored.groupBy("query_id", "doc_id", "field", "qpos").agg(F.max("s").alias("s"))
-    per_field = per_pos.groupBy("query_id", "doc_id", "field").agg(
-        F.sum("s").alias("fs"), F.count(F.lit(1)).alias("matched")).join(nq, "query_id")
-    ok = per_field.where(F.col("matched") >= tiered_minimum_should_match(F.col("nw")))
-    best = ok.groupBy("query_id", "doc_id").agg(F.max(F.element_at(boosts, F.col("field")) * F.col("fs")).alias(
-        "fuzzy"))
-    return best.select("query_id", "doc_id", (F.col("fuzzy") * FUZZY_BOOST).alias("fuzzy_score"))
-
-
-def fuzzy_search(req: DataFrame, docs: DataFrame, search_tbl: DataFrame, limit: int | None = None) -> DataFrame:
-    """Ranking by the fuzzy minimum-should-match clause alone (R-11/R-12/R-13),
-    with the same filters and completeness."""
-    from larder.operators.retrieve import REQUEST_COLS, filters_ok, top_hits
-    req = req.select(*REQUEST_COLS)
-    rows = fuzzy_hits(req, docs).join(req, "query_id").join(search_tbl, "doc_id").where(filters_ok())
-    score = F.col("fuzzy_score") + F.col("completeness") * COMPLETENESS_WEIGHT
-    return top_hits(rows.select("query_id", "doc_id", "size", "from_", F.round(score, 6).alias("score")), limit)
+def fuzzy_search(req: DataFrame, index: TextIndex, search_tbl: DataFrame, limit: int | None = None) -> DataFrame:
+    """The documents that match the fuzzy clause, in the order of ``bm25_search``."""
+    return bm25_search(req, index, search_tbl, limit, "fuzzy")

@@ -745,9 +745,10 @@ def q_term_df(spark, sf):
 # ----------------------------------------------------------------- BM25 path
 def _bm25(spark, sf, phrase_exprs, clause=None, k=10):
     from larder.operators.bm25 import bm25_search
+    from larder.plans.index import shared_text_index
     ix = index(spark, sf)
-    req = requests(spark, sf, phrase_set(spark, sf, phrase_exprs)).checkpoint(eager=True)
-    return bm25_search(req, ix.docs, ix.search, k, clause)
+    req = requests(spark, sf, phrase_set(spark, sf, phrase_exprs))
+    return bm25_search(req, shared_text_index(ix), ix.search, k, clause)
 
 
 def _bm25_oracle(phrase_exprs, clause=None, k=10):
@@ -925,14 +926,16 @@ FUZZY_PHRASES = ["concat(p_name, 's')", "concat(substring(p_name, 2), ' ', lower
                  "concat(replace(p_name, 'e', 'a'), ' widgte')"]
 
 
-@register("search_fuzzy")
+@register("search_fuzzy", _bm25_oracle(FUZZY_PHRASES, "fuzzy"))
 def q_search_fuzzy(spark, sf):
-    """Rows-only: fuzzy (AUTO edit distance) clause; checked against brute
-    force in tests/test_fuzzy.py."""
-    from larder.operators.bm25 import fuzzy_search
-    ix = index(spark, sf)
-    req = requests(spark, sf, phrase_set(spark, sf, FUZZY_PHRASES)).checkpoint(eager=True)
-    return fuzzy_search(req, ix.docs, ix.search, 10)
+    """R-11 .. R-13: mistyped phrases."""
+    return _bm25(spark, sf, FUZZY_PHRASES, "fuzzy")
+
+
+@register("search_bm25_boosts", _bm25_oracle(MOD_PHRASES + PALM_PHRASES))
+def q_search_bm25_boosts(spark, sf):
+    """R-16/R-17: modifiers that occur in names, and products without palm oil."""
+    return _bm25(spark, sf, MOD_PHRASES + PALM_PHRASES)
 
 
 # ----------------------------------------------------------------- L-5 overrides
@@ -1034,3 +1037,24 @@ def q_explain(spark, sf):
                       F.size("numeric_filters").cast("long").alias("n_numeric"),
                       F.size("modifiers").cast("long").alias("n_modifiers"),
                       "size", "page", "total_results")
+
+
+# filters by terms: the words of the filter may come in any order, but whole
+_TERM_FILTERS = _overrides({"brand": "CASE WHEN min(p_size) % 3 = 0 THEN replace(lower(min(p_brand)), '#', '') "
+                                     "WHEN min(p_size) % 3 = 1 THEN 'brand1' END",
+                            "category": "CASE WHEN min(p_size) % 2 = 0 THEN concat('foods ', lower(min(p_type))) END",
+                            "ingredients": "CASE WHEN min(p_size) % 5 = 0 THEN 'lecithin soy' END"}, {})
+
+
+@register("filter_brand_tokens", O.bm25_sql(O.requests_sql(
+    O.annotate_sql("SELECT DISTINCT p_name AS query_id, p_name AS phrase FROM part", _DICT_SQL), _DICT_SQL,
+    f"SELECT p_name AS query_id, {_TERM_FILTERS[1]} FROM part GROUP BY p_name"), O.search_docs_sql(), None, 20))
+def q_filter_brand_tokens(spark, sf):
+    """P-1 .. P-3 in the index: brand, category and ingredient filters by terms."""
+    from larder.operators.bm25 import bm25_search
+    from larder.plans.index import shared_text_index
+    ix = index(spark, sf)
+    part = fx.table(spark, sf, "part")
+    ph = part.selectExpr("p_name AS query_id", "p_name AS phrase").distinct()
+    ov = part.groupBy(F.col("p_name").alias("query_id")).agg(*[F.expr(e) for e in _TERM_FILTERS[0]])
+    return bm25_search(requests(spark, sf, ph, ov), shared_text_index(ix), ix.search)

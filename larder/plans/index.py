@@ -15,6 +15,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from larder.operators.bm25 import TextIndex, text_index
 from larder.operators.dictionary import build_dictionary
 from larder.operators.enrich import build_documents, search_table
 from larder.operators.retrieve import postings, vocabulary_grams
@@ -30,6 +31,7 @@ class CatalogIndex:
     postings: DataFrame
     vgrams: DataFrame
     dictionary: DataFrame
+    text: TextIndex | None = None
 
 
 def build_index(spark: SparkSession, products: DataFrame, materialize: bool = True,
@@ -83,3 +85,10 @@ def shared_index(spark: SparkSession, key: str, products_fn) -> CatalogIndex:
     if k not in _CACHE:
         _CACHE[k] = build_index(spark, products_fn())
     return _CACHE[k]
+
+
+def shared_text_index(ix: CatalogIndex) -> TextIndex:
+    """The positional index of the documents, built when first asked for and kept with ``ix``."""
+    if ix.text is None:
+        ix.text = text_index(ix.docs)
+    return ix.text

@@ -495,6 +495,17 @@ def _terms(x: str) -> str:
     return f"list_filter(regexp_split_to_array(lower(coalesce({x}, '')), '[^\\p{{L}}\\p{{N}}_]+'), lambda t: t <> '')"
 
 
+def osa(a: str, b: str) -> str:
+    """Edit distance with swaps of neighbours, no part edited twice, row by row."""
+    cost = f"CASE WHEN {a}[i] = {b}[j] THEN 0 ELSE 1 END"
+    swap = (f"CASE WHEN i > 1 AND j > 1 AND {a}[i] = {b}[j - 1] AND {a}[i - 1] = {b}[j] THEN st.older[j - 1] + 1 "
+            "ELSE 1000000 END")
+    row = (f"list_reduce(range(1, length({b}) + 1), lambda done, j: list_append(done, least(st.last[j + 1] + 1, "
+           f"done[j] + 1, st.last[j] + {cost}, {swap})), [i])")
+    return (f"list_reduce(range(1, length({a}) + 1), lambda st, i: {{'last': {row}, 'older': st.last}}, "
+            f"{{'last': range(0, length({b}) + 1), 'older': range(0, length({b}) + 1)}}).last[length({b}) + 1]")
+
+
 def bm25_sql(req_sql: str, docs: str, clause: str | None = None, k: int = 10) -> str:
     from larder.fixed_values import FIELD_BOOSTS, FLAG_NAMES
     fields = {"product_name": ("product_name", True), "brand": ("brand", False), "category": ("category", True),
@@ -508,8 +519,15 @@ def bm25_sql(req_sql: str, docs: str, clause: str | None = None, k: int = 10) ->
     dls = " UNION ALL ".join(f"SELECT '{f}' AS field, id AS doc_id, len({_terms(c)}) AS dl FROM d"
                              for f, (c, _s) in fields.items())
     boost = "CASE field " + " ".join(f"WHEN '{f}' THEN {v}" for f, v in FIELD_BOOSTS.items()) + " END"
-    keep = {"phrase": "AND phrase IS NOT NULL", "and": "AND all_terms IS NOT NULL"}.get(clause, "")
+    keep = {"phrase": "AND phrase IS NOT NULL", "and": "AND all_terms IS NOT NULL", "fuzzy": "AND msm IS NOT NULL"}.get(clause, "")
     flag_ok = " AND ".join(f"(r.{f} IS NULL OR d.{f} = r.{f})" for f in FLAG_NAMES)
+
+    def holds(wanted, text, syn):
+        w, h = _terms(wanted), _terms(text)
+        also = f" OR list_contains({h}, {partner.replace('term', 't')})" if syn else ""
+        return (f"({wanted} IS NULL OR (len({w}) > 0 AND "
+                f"len(list_filter({w}, lambda t: list_contains({h}, t){also})) = len({w})))")
+
     return f"""
     WITH req AS ({req_sql}), d AS ({docs}),
     b0 AS ({base}),
@@ -522,23 +540,30 @@ def bm25_sql(req_sql: str, docs: str, clause: str | None = None, k: int = 10) ->
                   len(regexp_split_to_array(trim(text), '\\s+')) AS nw
            FROM req WHERE text <> ''),
     nq AS (SELECT query_id, count(*) AS nq, any_value(nw) AS nw FROM qt GROUP BY query_id),
-    hits AS (SELECT qt.query_id, qt.qpos, post.* FROM qt JOIN post USING (term)),
-    tf AS (SELECT query_id, doc_id, field, term, qpos, count(*) AS tf FROM hits GROUP BY ALL),
+    qterm AS (SELECT DISTINCT term, CASE WHEN length(term) <= 2 THEN 0 WHEN length(term) <= 5 THEN 1 ELSE 2 END AS k FROM qt),
+    ex AS (SELECT q.term, v.term AS vterm FROM qterm q JOIN (SELECT DISTINCT term FROM post) v
+           ON abs(length(q.term) - length(v.term)) <= q.k WHERE {osa('q.term', 'v.term')} <= q.k),
+    hits AS (SELECT qt.query_id, qt.qpos, qt.term = ex.vterm AS exact, post.* FROM qt JOIN ex USING (term)
+             JOIN post ON post.term = ex.vterm),
+    tf AS (SELECT query_id, doc_id, field, term, qpos, exact, count(*) AS tf FROM hits GROUP BY ALL),
     sc AS (SELECT tf.*, ln(1 + (n_docs - df + 0.5) / (df + 0.5)) AS idf,
                   {BM25_K1} * (1 - {BM25_B} + {BM25_B} * dl.dl / avgdl) AS norm
            FROM tf JOIN stats USING (field) JOIN dfs USING (field, term) JOIN dl USING (field, doc_id)),
-    pfield AS (SELECT query_id, doc_id, field, sum(idf * tf / (tf + norm)) AS fs, count(DISTINCT qpos) AS matched,
-                      sum(idf) AS idf_sum, any_value(norm) AS norm FROM sc GROUP BY ALL),
+    ppos AS (SELECT query_id, doc_id, field, qpos, max(idf * tf / (tf + norm)) AS any_s,
+                    max(CASE WHEN exact THEN idf * tf / (tf + norm) END) AS s, max(CASE WHEN exact THEN idf END) AS idf,
+                    any_value(norm) AS norm FROM sc GROUP BY ALL),
+    pfield AS (SELECT query_id, doc_id, field, sum(s) AS fs, count(s) AS matched, sum(any_s) AS any_s, count(*) AS any_n,
+                      sum(idf) AS idf_sum, any_value(norm) AS norm FROM ppos GROUP BY ALL),
     ph AS (SELECT query_id, doc_id, field, count(*) AS pf FROM (
-             SELECT h.query_id, doc_id, field, pos - qpos AS start, count(DISTINCT qpos) AS c FROM hits h
+             SELECT h.query_id, doc_id, field, pos - qpos AS start, count(DISTINCT qpos) AS c FROM hits h WHERE exact
              GROUP BY ALL) x JOIN nq USING (query_id) WHERE c = nq GROUP BY ALL),
     pf AS (SELECT p.*, nq.nq, nq.nw, ph.pf, {boost} AS boost FROM pfield p JOIN nq USING (query_id)
            LEFT JOIN ph USING (query_id, doc_id, field)),
     best AS (SELECT query_id, doc_id,
                max(CASE WHEN pf IS NOT NULL THEN boost * idf_sum * pf / (pf + norm) END) AS phrase,
                max(CASE WHEN matched = nq THEN boost * fs END) AS all_terms,
-               max(CASE WHEN matched >= CASE WHEN nw <= 1 THEN 1 WHEN nw = 2 THEN 2
-                                             ELSE greatest(2, nw // 2 + 1) END THEN boost * fs END) AS msm
+               max(CASE WHEN any_n >= CASE WHEN nw <= 1 THEN 1 WHEN nw = 2 THEN 2
+                                           ELSE greatest(2, nw // 2 + 1) END THEN boost * any_s END) AS msm
              FROM pf GROUP BY ALL),
     hit AS (SELECT *, coalesce(phrase * {PHRASE_BOOST_V}, 0.0) + coalesce(all_terms * {AND_BOOST_V}, 0.0)
                       + coalesce(msm * {FUZZY_BOOST_V}, 0.0) AS text_score
@@ -550,9 +575,8 @@ def bm25_sql(req_sql: str, docs: str, clause: str | None = None, k: int = 10) ->
               + CASE WHEN r.is_palm_oil_free AND d.is_palm_oil_free THEN {PALM_BOOST_V} ELSE 0.0 END
               + d.completeness * 0.15, 6) AS score
           FROM hit JOIN req r USING (query_id) JOIN d ON d.id = hit.doc_id
-          WHERE (r.brand_f IS NULL OR contains(d.brand_l, lower(r.brand_f)))
-            AND (r.category_f IS NULL OR contains(d.cat_l, lower(r.category_f)))
-            AND (r.ingredients_f IS NULL OR contains(d.ing_l, lower(r.ingredients_f)))
+          WHERE {holds('r.brand_f', 'd.brand_l', False)} AND {holds('r.category_f', 'd.cat_l', True)}
+            AND {holds('r.ingredients_f', 'd.ing_l', True)}
             AND {flag_ok}
             AND coalesce(list_bool_and(list_transform(r.numeric_filters, lambda nf: coalesce(CASE
                   WHEN nf.operator = 'gte' THEN (list_filter(d.nuts, lambda e: e.k = {nutrient_key('nf.nutrient')})[1].p) >= nf.value

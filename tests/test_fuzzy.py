@@ -5,7 +5,7 @@ import re
 from pyspark.sql import functions as F
 
 from larder.operators.annotate import annotate
-from larder.operators.bm25 import deletions, fuzzy_search, osa_within
+from larder.operators.bm25 import bm25_search, deletions, fuzzy_expansions, fuzzy_search, osa_within, text_index, vocabulary_keys
 from larder.operators.enrich import build_documents, search_table
 from larder.operators.filters import derive_requests
 from larder.sources.products import raw_products
@@ -85,12 +85,41 @@ def test_fuzzy_hits_match_brute_force(spark):
                                   "in_ingredients boolean")
     ph = spark.createDataFrame([(p, p) for p in PHRASES], "query_id string, phrase string")
     req = derive_requests(annotate(ph, d), d)
-    hits = fuzzy_search(req, docs, st, 100).collect()
+    index = text_index(docs)
+    hits = fuzzy_search(req, index, st, 100).collect()
     got = {}
     for h in hits:
         got.setdefault(h["query_id"], set()).add(h["doc_id"])
     for p in PHRASES:
         assert got.get(p, set()) == brute(p), p
+    # the fuzzy clause is part of the ranking
+    ranked = bm25_search(req, index, st, 100).collect()
+    assert {(h["query_id"], h["doc_id"]) for h in hits} <= {(h["query_id"], h["doc_id"]) for h in ranked}
+    assert any(h["query_id"] == "oat mlik drink" and h["doc_id"] == "4" for h in ranked)
+
+
+def test_expansions_of_long_and_short_words(spark):
+    import random
+    rnd = random.Random(5)
+    words = ["".join(rnd.choice("abcdef") for _ in range(n)) for n in (1, 2, 3, 5, 6, 8, 15, 16, 17, 18, 24, 60) for _ in range(3)]
+    vocab = set(words)
+    for w in words:
+        for _ in range(6):
+            v = list(w)
+            for _ in range(rnd.randint(1, 3)):
+                at, kind = rnd.randrange(len(v) + 1), rnd.randrange(4)
+                if kind == 0:
+                    v.insert(at, rnd.choice("abcdef"))
+                elif kind == 1 and at < len(v):
+                    del v[at]
+                elif kind == 2 and at < len(v):
+                    v[at] = rnd.choice("abcdef")
+                elif at + 1 < len(v):
+                    v[at], v[at + 1] = v[at + 1], v[at]
+            vocab.add("".join(v) or "a")
+    near = vocabulary_keys(spark.createDataFrame([(v,) for v in vocab], "term string"))
+    got = {tuple(r) for r in fuzzy_expansions(spark.createDataFrame([(w,) for w in words], "term string"), near).collect()}
+    assert got == {(w, v) for w in set(words) for v in vocab if abs(len(w) - len(v)) <= auto(w) and osa(w, v) <= auto(w)}
 
 
 def test_distance_on_all_short_strings(spark):
