@@ -242,12 +242,17 @@ def verify_constraints(hits: DataFrame, docs: DataFrame, cases: DataFrame) -> Da
                       F.coalesce("passed", F.lit(True)).alias("passed"))
 
 
-def evidence_records(annotations: DataFrame, graded: DataFrame, per_query: DataFrame) -> DataFrame:
-    """E-15: one nested record per phrase: annotation, hits (at most k per
-    phrase, so the collected list is bounded) with grades, and metrics."""
-    hits = graded.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct(
-        "rank", "doc_id", "grade"))).alias("hits"))
-    return (annotations.join(hits, "query_id", "left").join(per_query.drop("type"), "query_id", "left"))
+def evidence_records(annotations: DataFrame, hits: DataFrame, classic: DataFrame, structured: DataFrame | None = None) -> DataFrame:
+    """E-15: one nested record per phrase: the columns of ``annotations``, the
+    ``hits`` (query_id, rank and any further columns, such as both grades, name,
+    brand, category and flags; at most k per phrase, so the collected list is
+    bounded) and the metrics of one or both graders."""
+    cols = ["rank"] + [c for c in hits.columns if c not in ("query_id", "rank")]
+    out = annotations.join(hits.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct(*cols))).alias("hits")), "query_id", "left")
+    for name, metrics in (("metrics_classic", classic), ("metrics_structured", structured)):
+        if metrics is not None:
+            out = out.join(metrics.select("query_id", F.struct("p5", "p10", "ndcg", "mrr").alias(name)), "query_id", "left")
+    return out
 
 
 def write_evidence(records: DataFrame, path: str) -> None:

@@ -354,10 +354,10 @@ SELECT 'by brand ' || b, 'brand', []::VARCHAR[], []::VARCHAR[], replace(b, '#',
 """
 
 
-def eval_hits(spark, sf, k=10):
+def eval_hits(spark, sf, k=10, phrases=SEARCH_PHRASES):
     """Top-k hits of the search phrases joined to the product fields."""
-    hits = _search(spark, sf, SEARCH_PHRASES, k)
-    d = docs(spark, sf).select(F.col("id").alias("doc_id"), "product_name", "brand", "search_text",
+    hits = _search(spark, sf, phrases, k)
+    d = index(spark, sf).docs.select(F.col("id").alias("doc_id"), "product_name", "brand", "category", "search_text",
                                F.col("attributes.flags").alias("flags"),
                                F.col("attributes.nutrition").alias("nutrition"))
     return hits.join(d, "doc_id")
@@ -380,11 +380,11 @@ def graded_structured(spark, sf):
         F.col("relevance")).alias("grade"))
 
 
-def _hits_docs_sql():
-    hits = _search_oracle(SEARCH_PHRASES)
+def _hits_docs_sql(phrases=SEARCH_PHRASES):
+    hits = _search_oracle(phrases)
     return f"""
     WITH h AS ({hits}), d AS ({O.search_docs_sql()})
-    SELECT h.query_id, h.rank, h.doc_id, lower(coalesce(d.product_name, '')) AS name,
+    SELECT h.query_id, h.rank, h.total, h.doc_id, lower(coalesce(d.product_name, '')) AS name,
            lower(coalesce(d.brand, '')) AS brand, lower(coalesce(d.search_text, '')) AS text, d.*
     EXCLUDE (product_name, brand, search_text)
     FROM h JOIN d ON d.id = h.doc_id
@@ -1000,21 +1000,109 @@ def q_search_signature(spark, sf):
     return _ranked(index(spark, sf), requests(spark, sf, ph, ov))
 
 
+# Judgments that use every part of the structured layout: by the length of the name a list of alternatives, words that
+# must all occur, optional words with a required flag, exclusions with and without a scope, name scopes, or nothing.
+_RICH_PHRASES = ["concat('organic ', p_name)", "concat(p_name, ' under 200 calories')"]
+_W1, _W2 = "split_part(p_name, ' ', 1)", "split_part(p_name, ' ', 2)"
+
+
+def _rich_rows(list_of) -> str:
+    k = "length(p_name) % 6"
+    any_ = (f"CASE {k} WHEN 1 THEN {list_of(list_of(_W1), list_of(_W2))} WHEN 3 THEN {list_of(list_of(_W1, _W2))} "
+            f"WHEN 5 THEN {list_of(list_of(_W1, chr(39) + 'frozen' + chr(39)))} END")
+    words = f"CASE {k} WHEN 0 THEN {list_of(_W1, _W2)} WHEN 5 THEN {list_of(_W2)} END"
+    excluded = f"CASE {k} WHEN 3 THEN {list_of(chr(39) + 'fresh' + chr(39))} WHEN 5 THEN {list_of(chr(39) + 'palm' + chr(39))} END"
+    return " UNION ALL ".join(f"""SELECT {e} AS query_id, {any_} AS any_, {words} AS words,
+        CASE {k} WHEN 2 THEN {list_of(_W1)} END AS optional, {excluded} AS excluded,
+        CASE {k} WHEN 3 THEN 'name' END AS excluded_scope, CASE {k} WHEN 2 THEN true END AS organic,
+        CASE WHEN {k} IN ({nutrition}) THEN 200.0E0 END AS calories, CASE {k} WHEN 1 THEN 'name' WHEN 5 THEN 'name' END AS scope
+        FROM (SELECT DISTINCT p_name FROM part) AS n{i}""" for i, (e, nutrition) in enumerate(zip(_RICH_PHRASES, ("-1", "0, 2"))))
+
+
+def rich_judgments(spark, sf) -> DataFrame:
+    part = fx.table(spark, sf, "part")
+    rows = spark.sql(_rich_rows(lambda *x: f"array({', '.join(x)})").replace("FROM part", "FROM {part}"), part=part)
+    none = F.lit(None)
+    rel = F.struct(
+        F.col("any_").alias("required_any"), F.col("words").alias("required_all"), "optional",
+        F.transform("excluded", lambda t: F.struct(t.alias("term"), none.cast("string").alias("scope"))).alias("excluded"),
+        "excluded_scope", F.when(F.col("organic"), F.create_map(F.lit("is_organic"), F.lit(True))).alias("required_flags"),
+        F.when(F.col("calories").isNotNull(), F.struct(F.lit("calories").alias("nutrient"), F.lit("lte").alias("operator"),
+                                                       F.col("calories").alias("value"))).alias("nutrition"),
+        none.cast("string").alias("brand"), F.col("scope").alias("group_scope"))
+    return rows.select("query_id", rel.alias("relevance"))
+
+
+def _all_in(hay: str, words: str) -> str:
+    return f"len(list_filter({words}, lambda t: {_tp(hay, 't')})) = len({words})"
+
+
+_WIDE = "CASE WHEN j.scope = 'name' THEN name ELSE text END"
+_CALORIES = "list_filter(hd.nuts, lambda e: e.k = 'energy-kcal')[1]"
+GRADE_RICH_SQL = f"""
+WITH hd AS ({_hits_docs_sql(_RICH_PHRASES)}), j AS ({_rich_rows(lambda *x: f"[{', '.join(x)}]")}),
+g AS (SELECT hd.query_id, rank, doc_id, j.*  EXCLUDE (query_id),
+    coalesce(len(list_filter(excluded, lambda x: {_tp('name', 'x')} OR (coalesce(excluded_scope, 'all') <> 'name'
+             AND {_tp('text', 'x')}))) > 0, false) AS is_excluded,
+    is_organic, coalesce({_CALORIES}.p, {_CALORIES}.v) AS kcal,
+    coalesce(len(list_filter(any_, lambda g: {_all_in('name', 'g')})) > 0, false) AS in_name,
+    coalesce(len(list_filter(any_, lambda g: {_all_in(_WIDE, 'g')})) > 0, false)
+      OR coalesce({_all_in(_WIDE, 'words')}, false) AS anywhere,
+    coalesce(len(list_filter(any_, lambda g: len(list_filter(g, lambda t: {_tp(_WIDE, 't')})) > 0)) > 0, false) AS partial,
+    coalesce({_all_in('name', 'optional')}, false) AS optional_ok
+  FROM hd JOIN j ON j.query_id = hd.query_id)
+SELECT query_id, rank, doc_id,
+  CASE WHEN any_ IS NULL AND words IS NULL AND optional IS NULL AND excluded IS NULL AND organic IS NULL AND calories IS NULL
+            AND scope IS NULL THEN NULL
+       WHEN is_excluded OR (organic AND NOT is_organic) THEN 0
+       WHEN calories IS NOT NULL AND NOT coalesce(kcal <= calories, false) THEN 0
+       WHEN any_ IS NOT NULL OR words IS NOT NULL
+         THEN CASE WHEN in_name THEN 3 WHEN anywhere THEN 2 WHEN partial THEN 1 ELSE 0 END
+       WHEN (organic OR calories IS NOT NULL) AND optional_ok THEN 3 ELSE 2 END AS grade
+FROM g
+"""
+
+
+@register("grade_structured_rich", GRADE_RICH_SQL)
+def q_grade_structured_rich(spark, sf):
+    """E-6/E-7: optional and required words, exclusions and name scopes; a judgment without content grades nothing."""
+    from larder.operators.evaluate import grade_structured
+    h = eval_hits(spark, sf, phrases=_RICH_PHRASES).join(rich_judgments(spark, sf), "query_id")
+    return h.select("query_id", "rank", "doc_id", grade_structured(
+        F.col("product_name"), F.col("brand"), F.col("search_text"), F.col("flags"), F.col("nutrition"),
+        F.col("relevance")).alias("grade"))
+
+
 @register("evidence", f"""
     WITH a AS ({O.annotate_sql(phrase_set_sql(SEARCH_PHRASES), _DICT_SQL)}),
-    g AS ({GRADE_CLASSIC_SQL}),
-    h AS (SELECT query_id, string_agg(doc_id || ':' || grade, '|' ORDER BY rank) AS hits FROM g GROUP BY query_id),
-    m AS ({_metrics_sql(GRADE_CLASSIC_SQL, False, False)})
-    SELECT a.query_id, a.intent, a.cq AS text_term, coalesce(h.hits, '') AS hits, m.p5, m.ndcg, m.mrr
-    FROM a LEFT JOIN h USING (query_id) LEFT JOIN m USING (query_id)""")
+    hd AS ({_hits_docs_sql()}), c AS ({GRADE_CLASSIC_SQL}), s AS ({GRADE_STRUCTURED_SQL}),
+    h AS (SELECT hd.query_id, any_value(hd.total) AS total, string_agg(concat_ws(':', hd.doc_id, name, hd.brand, hd.category,
+            hd.is_organic, c.grade, s.grade), '|' ORDER BY hd.rank) AS hits
+          FROM hd JOIN c USING (query_id, rank, doc_id) JOIN s USING (query_id, rank, doc_id) GROUP BY hd.query_id),
+    mc AS ({_metrics_sql(GRADE_CLASSIC_SQL, False, False)}), ms AS ({_metrics_sql(GRADE_STRUCTURED_SQL, True, True)})
+    SELECT a.query_id, a.intent, a.cq AS text_term, coalesce(h.total, 0) AS total, coalesce(h.hits, '') AS hits,
+           mc.p5, mc.p10, mc.ndcg, mc.mrr, ms.p5 AS s_p5, ms.p10 AS s_p10, ms.ndcg AS s_ndcg, ms.mrr AS s_mrr
+    FROM a LEFT JOIN h USING (query_id) LEFT JOIN mc USING (query_id) LEFT JOIN ms USING (query_id)""")
 def q_evidence(spark, sf):
-    from larder.operators.evaluate import evidence_records
-    ann = annotations(spark, sf, phrase_set(spark, sf, SEARCH_PHRASES)).select("query_id", "intent", "text_term")
-    rec = evidence_records(ann, graded_classic(spark, sf), _metrics(spark, sf))
-    hits = F.array_join(F.transform(F.coalesce("hits", F.array().cast(
-        "array<struct<rank:int,doc_id:string,grade:int>>")), lambda h: F.concat(h["doc_id"], F.lit(":"),
-                                                                                 h["grade"].cast("string"))), "|")
-    return rec.select("query_id", "intent", "text_term", hits.alias("hits"), "p5", "ndcg", "mrr")
+    from larder.operators.evaluate import evidence_records, grade_classic, grade_structured
+    ann = annotations(spark, sf, phrase_set(spark, sf, SEARCH_PHRASES)).select("query_id", "intent", "text_term", "filters")
+    fields = [F.col(c) for c in ("product_name", "brand", "search_text", "flags")]
+    judged = classic_judgments(spark, sf)
+    judged = judged.select("query_id", F.struct(*judged.columns).alias("item")).join(
+        structured_judgments(spark, sf).select("query_id", "relevance"), "query_id")
+    graded = eval_hits(spark, sf).join(judged, "query_id")
+    hits = graded.select("query_id", "rank", "doc_id", "score", "total", "product_name", "brand", "category", "flags",
+                         grade_classic(*fields, F.col("item")).alias("classic_grade"),
+                         grade_structured(*fields, F.col("nutrition"), F.col("relevance")).alias("structured_grade"))
+    rec = evidence_records(ann, hits, _metrics(spark, sf), _metrics(spark, sf, structured=True, binary=True, compat=True))
+    text = F.array_join(F.transform(F.coalesce("hits", F.array()), lambda h: F.concat_ws(
+        ":", h["doc_id"], F.lower(F.coalesce(h["product_name"], F.lit(""))), F.lower(F.coalesce(h["brand"], F.lit(""))),
+        h["category"], h["flags"]["is_organic"].cast("string"), h["classic_grade"].cast("string"),
+        h["structured_grade"].cast("string"))), "|")
+    total = F.coalesce(F.get(F.col("hits"), 0)["total"], F.lit(0)).alias("total")
+    return rec.select("query_id", "intent", "text_term", total, text.alias("hits"),
+                      *[F.col(f"metrics_classic.{m}") for m in ("p5", "p10", "ndcg", "mrr")],
+                      *[F.col(f"metrics_structured.{m}").alias(f"s_{m}") for m in ("p5", "p10", "ndcg", "mrr")])
 
 
 @register("explain", f"""
@@ -1058,3 +1146,42 @@ def q_filter_brand_tokens(spark, sf):
     ph = part.selectExpr("p_name AS query_id", "p_name AS phrase").distinct()
     ov = part.groupBy(F.col("p_name").alias("query_id")).agg(*[F.expr(e) for e in _TERM_FILTERS[0]])
     return bm25_search(requests(spark, sf, ph, ov), shared_text_index(ix), ix.search)
+
+
+# ----------------------------------------------------------------- real text
+# documents as the indexed texts, whole benchmark passages as phrases
+_PASSAGE = "lower(array_to_string(regexp_split_to_array(trim(text), '\\s+'), ' '))"
+_TEXT_DOCS_SQL = ("SELECT cast(doc_id AS varchar) AS id, nullif(text, '') AS product_name, NULL::VARCHAR AS brand, NULL::VARCHAR AS category, "
+                  "NULL::VARCHAR AS ingredients, coalesce(text, '') AS search_text, lower(coalesce(text, '')) AS name_l, '' AS brand_l, "
+                  "'' AS cat_l, '' AS ing_l, 0.0 AS completeness, []::STRUCT(k VARCHAR, p DOUBLE, v DOUBLE)[] AS nuts, "
+                  + ", ".join(f"false AS {f}" for f in FLAG_NAMES) + " FROM documents")
+_PASSAGE_REQUESTS_SQL = (f"SELECT cast(item_id AS varchar) AS query_id, {_PASSAGE} AS text, NULL::VARCHAR AS brand_f, "
+                         "NULL::VARCHAR AS category_f, NULL::VARCHAR AS ingredients_f, "
+                         + ", ".join(f"NULL::BOOLEAN AS {f}" for f in FLAG_NAMES)
+                         + ", []::STRUCT(nutrient VARCHAR, operator VARCHAR, value DOUBLE, unit VARCHAR, comparison_basis VARCHAR)[] "
+                         "AS numeric_filters, []::VARCHAR[] AS modifiers FROM benchmark")
+
+
+def text_documents(spark, sf) -> DataFrame:
+    src = fx.table(spark, sf, "documents").selectExpr(
+        "cast(doc_id AS string) AS code", "text AS product_name",
+        *[f"cast(NULL AS string) AS {c}" for c in ("brands", "categories", "ingredients_text", "nutriscore_grade", "nova_group", "ecoscore_grade")],
+        "cast(NULL AS map<string,struct<value:double,per_100g:double,unit:string>>) AS nutriments", "0.0D AS completeness")
+    return build_documents(src)
+
+
+def passage_requests(spark, sf) -> DataFrame:
+    from larder.operators.lookup import browse_requests
+    b = fx.benchmark_phrases(spark, sf)
+    # an empty value is no filter: a request by its text alone
+    return browse_requests(b.select("query_id", F.lit("").alias("value"))).drop("text").join(
+        b.select("query_id", F.lower("phrase").alias("text")), "query_id")
+
+
+@register("search_documents", O.bm25_sql(_PASSAGE_REQUESTS_SQL, _TEXT_DOCS_SQL, None, 20))
+def q_search_documents(spark, sf):
+    """BM25 with the fuzzy clause on prose: each benchmark passage, whole, against whole documents."""
+    from larder.operators.bm25 import bm25_search, text_index
+    from larder.operators.enrich import search_table
+    texts = text_documents(spark, sf)
+    return bm25_search(passage_requests(spark, sf), text_index(texts), search_table(texts))

@@ -542,7 +542,9 @@ def bm25_sql(req_sql: str, docs: str, clause: str | None = None, k: int = 10) ->
     nq AS (SELECT query_id, count(*) AS nq, any_value(nw) AS nw FROM qt GROUP BY query_id),
     qterm AS (SELECT DISTINCT term, CASE WHEN length(term) <= 2 THEN 0 WHEN length(term) <= 5 THEN 1 ELSE 2 END AS k FROM qt),
     ex AS (SELECT q.term, v.term AS vterm FROM qterm q JOIN (SELECT DISTINCT term FROM post) v
-           ON abs(length(q.term) - length(v.term)) <= q.k WHERE {osa('q.term', 'v.term')} <= q.k),
+           ON abs(length(q.term) - length(v.term)) <= q.k
+           WHERE CASE WHEN damerau_levenshtein(q.term, v.term) <= q.k  -- counts bytes, so it cuts plain letters only
+             * CASE WHEN strlen(q.term) = length(q.term) AND strlen(v.term) = length(v.term) THEN 1 ELSE 4 END THEN {osa('q.term', 'v.term')} <= q.k END),
     hits AS (SELECT qt.query_id, qt.qpos, qt.term = ex.vterm AS exact, post.* FROM qt JOIN ex USING (term)
              JOIN post ON post.term = ex.vterm),
     tf AS (SELECT query_id, doc_id, field, term, qpos, exact, count(*) AS tf FROM hits GROUP BY ALL),

@@ -130,3 +130,6 @@ def test_distance_on_all_short_strings(spark):
     from larder.operators.bm25 import osa_distance
     got = df.select("a", "b", osa_distance(F.col("a"), F.col("b")).alias("d")).collect()
     assert all(r["d"] == osa(r["a"], r["b"]) for r in got)
+    for k in (1, 2):
+        got = df.select("a", "b", osa_within(F.col("a"), F.col("b"), F.lit(k)).alias("near")).collect()
+        assert all(r["near"] == (osa(r["a"], r["b"]) <= k) for r in got)
