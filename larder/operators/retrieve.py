@@ -10,8 +10,9 @@ Plan shape (no phrase x document cross join anywhere):
    it is a substring of one of the field's words, so keys are matched against
    the distinct vocabulary (small next to the documents) through an
    equi-join on a character gram of the key, then verified with ``contains``.
-3. *Words -> documents* through the postings table (word, doc_id).  Hot words
-   are the skew case; AQE splits those partitions.
+3. *Words -> documents* through the postings table (word, doc_id, mask).  The
+   mask tells the fields, so the token part of the score is an aggregate of
+   numbers.  Hot words are the skew case; AQE splits those partitions.
 4. Requests with neither text nor a text filter (flags / numeric / nothing)
    go through a *signature* path: distinct filter signatures expand to the
    compatible 9-bit flag vectors, which equi-join the documents' flag vector.
@@ -44,11 +45,23 @@ TOKEN_WEIGHTS = [("name_c", 3.0), ("brand_c", 2.0), ("cat_c", 1.5), ("ing_c", 1.
 
 
 # ------------------------------------------------------------------ index side
+# Scored fields in the order of their weights: bit i of a posting is set when the field holds the word.
+IN_LOWER_TEXT = 1 << len(TOKEN_WEIGHTS)
+# Tokens of one block of a text fit the bits of a long.
+BLOCK_TOKENS = 60
+
+
 def postings(search_tbl: DataFrame) -> DataFrame:
-    """(word, doc_id) for every distinct whitespace word of the lower-cased
-    search text (which contains every other searchable field)."""
-    words = F.array_distinct(F.split("text_l", WORD_SPLIT))
-    return (search_tbl.select("doc_id", F.explode(words).alias("word")).where(F.col("word") != ""))
+    """(word, doc_id, mask) for every distinct whitespace word of a document:
+    which canonical fields hold it, and (``IN_LOWER_TEXT``) whether the
+    lower-cased search text, which contains every other field, does."""
+    def of(field, bit):
+        return F.transform(F.array_distinct(F.split(field, WORD_SPLIT)), lambda w: F.struct(w.alias("word"), F.lit(bit).alias("bit")))
+
+    words = F.flatten(F.array(*[of(c, 1 << i) for i, (c, _w) in enumerate(TOKEN_WEIGHTS)], of("text_l", IN_LOWER_TEXT)))
+    return (search_tbl.select("doc_id", F.explode(words).alias("w")).select("doc_id", "w.word", "w.bit")
+            .where(F.col("word") != "").groupBy("doc_id", "word").agg(F.bit_or("bit").alias("mask"))
+            .select("word", "doc_id", "mask"))
 
 
 def vocabulary_grams(post: DataFrame) -> DataFrame:
@@ -69,36 +82,63 @@ def _first_word(v) -> F.Column:
 
 
 def candidate_keys(req: DataFrame) -> DataFrame:
-    """(query_id, key) rows for requests answered through the postings."""
+    """(query_id, tok, key, own) rows for requests answered through the
+    postings: each token by its number, under its own key and those of its
+    synonyms; keys that choose documents but score nothing have ``tok`` -1."""
     text = F.col("text")
     toks = _tokens(text)
-    variants = F.array_distinct(F.flatten(F.transform(toks, lambda t: synonym_variants(t))))
+    own = F.flatten(F.transform(toks, lambda t, i: F.transform(synonym_variants(t), lambda v: F.struct(
+        i.alias("tok"), v.alias("key"), (v == t).alias("own")))))
+
+    def plain(keys):
+        return F.transform(keys, lambda k: F.struct(F.lit(-1).alias("tok"), k.alias("key"), F.lit(False).alias("own")))
+
     single = F.filter(F.split(text, " "), lambda t: F.length(t) == 1)
-    keys = (F.when(text != "", F.when(F.size(toks) > 0, variants).otherwise(single))
-            .when(F.col("brand_f").isNotNull(), F.array(_first_word("brand_f")))
-            .when(F.col("category_f").isNotNull(), F.array(_first_word("category_f")))
-            .when(F.col("ingredients_f").isNotNull(), F.array(_first_word("ingredients_f"))))
-    return req.select("query_id", F.explode(keys).alias("key")).where(F.col("key").isNotNull()).distinct()
+    keys = (F.when(text != "", F.when(F.size(toks) > 0, own).otherwise(plain(single)))
+            .when(F.col("brand_f").isNotNull(), plain(F.array(_first_word("brand_f"))))
+            .when(F.col("category_f").isNotNull(), plain(F.array(_first_word("category_f"))))
+            .when(F.col("ingredients_f").isNotNull(), plain(F.array(_first_word("ingredients_f")))))
+    return req.select("query_id", F.explode(keys).alias("k")).select("query_id", "k.*").where(
+        F.col("key").isNotNull()).distinct()
 
 
-# (query_id, word) matches above this many rows are joined by shuffle instead
+# (query_id, tok, word) matches above this many rows are joined by shuffle instead
 # of broadcast.
 MATCH_BROADCAST_ROWS = 2_000_000
 
 
 def postings_candidates(req: DataFrame, post: DataFrame, vgrams: DataFrame) -> DataFrame:
-    """(query_id, doc_id): documents holding some key as a substring of a word.
-
-    The (query, word) match table is small next to the postings (phrases x
-    matching vocabulary words).  When its size check passes it is broadcast,
-    so the postings stay in their doc_id partitioning and the ``distinct``
-    below needs no exchange; otherwise both sides shuffle on the word."""
+    """(query_id, doc_id, n_match, tok_score): documents holding some key as a
+    substring of a word, with the number of tokens that a canonical field
+    contains and the sum of their best field weights.
+
+    A token is contained in a field iff one of the field's words contains it,
+    so both follow from the postings' masks: no text is read here.  The (query,
+    word) match table is small next to the postings (phrases x matching
+    vocabulary words).  When its size check passes it is broadcast, so the
+    postings stay in their doc_id partitioning and the aggregates below need no
+    exchange; otherwise both sides shuffle on the word."""
     from larder.operators.joins import broadcast_if_small
     keys = candidate_keys(req).withColumn("gram", F.substring("key", 1, 3))
     words = (keys.join(vgrams, "gram").where(F.col("word").contains(F.col("key")))
-             .select("query_id", "word").distinct())
+             .groupBy("query_id", "tok", "word").agg(F.max("own").alias("own"))
+             .groupBy("query_id", F.floor(F.col("tok") / BLOCK_TOKENS).alias("block"), "word")
+             .agg(F.coalesce(F.bit_or(F.when(F.col("own"), F.expr(f"shiftleft(1L, pmod(tok, {BLOCK_TOKENS}))"))),
+                             F.lit(0).cast("long")).alias("toks")))
     words = broadcast_if_small(words.checkpoint(eager=True), MATCH_BROADCAST_ROWS)
-    return post.join(words, "word").select("query_id", "doc_id").distinct()
+    held = [F.bit_or(F.when(F.col("mask").bitwiseAND(1 << i) != 0, F.col("toks")).otherwise(F.lit(0).cast("long"))).alias(f"_f{i}")
+            for i in range(len(TOKEN_WEIGHTS))]
+    per_block = post.join(words, "word").groupBy("query_id", "doc_id", "block").agg(
+        F.max(F.col("mask").bitwiseAND(IN_LOWER_TEXT)).alias("cand"), *held)
+    # a token counts in the first of its fields, which weighs most
+    seen, score = F.lit(0).cast("long"), F.lit(0.0)
+    for i, (_c, weight) in enumerate(TOKEN_WEIGHTS):
+        new = F.col(f"_f{i}").bitwiseAND(F.bitwise_not(seen))
+        score = score + F.bit_count(new) * F.lit(weight)
+        seen = seen.bitwiseOR(F.col(f"_f{i}"))
+    return (per_block.groupBy("query_id", "doc_id").agg(
+        F.max("cand").alias("cand"), F.sum(F.bit_count(seen)).alias("n_match"), F.sum(score).alias("tok_score"))
+        .where(F.col("cand") != 0).drop("cand"))
 
 
 def _flag_bits(flags) -> F.Column:
@@ -123,7 +163,7 @@ def signature_candidates(req: DataFrame, search_tbl: DataFrame) -> DataFrame:
         F.sequence(F.lit(0), F.lit((1 << len(FLAG_NAMES)) - 1)),
         lambda v: (v.bitwiseAND(F.col("mask")) == F.col("want")))).alias("fvec"))
     docs = search_tbl.select("doc_id", _flag_bits(F.col("flags")).alias("fvec"))
-    return vec.join(docs, "fvec").select("query_id", "doc_id")
+    return vec.join(docs, "fvec").select("query_id", "doc_id", F.lit(0).cast("long").alias("n_match"), F.lit(0.0).alias("tok_score"))
 
 
 # ------------------------------------------------------------------- scoring
@@ -142,7 +182,7 @@ def numeric_ok(numeric_filters, nutrition) -> F.Column:
                 .when(nf["operator"] == "gte", actual >= nf["value"])
                 .when(nf["operator"] == "lte", actual <= nf["value"])
                 .otherwise(F.lit(True)))
-    return F.forall(numeric_filters, one)
+    return (F.size(numeric_filters) == 0) | F.forall(numeric_filters, one)
 
 
 def filters_ok() -> F.Column:
@@ -157,36 +197,29 @@ def filters_ok() -> F.Column:
 
 
 def with_tiered_score(df: DataFrame, out: str = "score") -> DataFrame:
-    """R-2 .. R-7 in the same addition order as the sequential scorer; NULL
-    means "not a hit" (text present and nothing matched).  Computed in staged
-    projections so the per-token array is evaluated once per row (Catalyst
-    keeps projections apart when merging would repeat a costly expression)."""
-    q = F.col("_q")
-    df = df.withColumn("_q", F.lower(F.col("text")))
-    df = df.withColumn("_toks", _tokens(q)).withColumn(
-        "_phrase", F.when(F.col("name_c").contains(q), TIER_PHRASE["product_name"])
-        .when(F.col("brand_c").contains(q), TIER_PHRASE["brand"])
-        .when(F.col("cat_c").contains(q), TIER_PHRASE["category"])
-        .when(F.col("text_c").contains(q), TIER_PHRASE["search_text"])
-        .otherwise(F.lit(0.0)))
-    df = df.withColumn("_best", F.transform("_toks", lambda t: F.coalesce(F.greatest(*[
-        F.when(F.col(c).contains(t), F.lit(w)) for c, w in TOKEN_WEIGHTS]), F.lit(0.0))))
-    best = F.col("_best")
-    n_tok = F.size("_toks")
-    df = df.withColumn("_s0", F.aggregate(best, F.col("_phrase"), lambda acc, b: acc + b * TOKEN_MULTIPLIER)
-                       + F.when((n_tok > 0) & (F.size(F.filter(best, lambda b: b > 0)) == n_tok),
-                                F.lit(ALL_TOKENS_BONUS)).otherwise(F.lit(0.0)))
-    s0 = F.col("_s0")
-    df = df.withColumn("_s1", F.when(q == "", F.lit(1.0)).when(s0 > 0, s0))
-    df = df.withColumn(out, F.aggregate(F.col("modifiers"), F.col("_s1"), lambda acc, m: acc + F.when(
-        F.col("name_c").contains(F.lower(m)), F.lit(MODIFIER_NAME_BONUS)).otherwise(F.lit(0.0)))
-        + F.col("completeness") * COMPLETENESS_WEIGHT)
-    return df.drop("_q", "_toks", "_phrase", "_best", "_s0", "_s1")
+    """R-2 .. R-7 from ``n_match`` and ``tok_score``; NULL means "not a hit"
+    (text present and nothing matched).  A field that contains the whole text
+    contains each of its tokens, so the texts of a document are searched only
+    where every token matched."""
+    q = F.lower(F.col("text"))
+    every = F.col("n_match") == F.size(_tokens(q))
+    phrase = F.when(every & (q != ""), F.when(F.col("name_c").contains(q), TIER_PHRASE["product_name"])
+                    .when(F.col("brand_c").contains(q), TIER_PHRASE["brand"])
+                    .when(F.col("cat_c").contains(q), TIER_PHRASE["category"])
+                    .when(F.col("text_c").contains(q), TIER_PHRASE["search_text"])).otherwise(F.lit(0.0))
+    phrase = F.coalesce(phrase, F.lit(0.0))
+    s0 = phrase + F.col("tok_score") * TOKEN_MULTIPLIER + F.when(every & (F.col("n_match") > 0), F.lit(ALL_TOKENS_BONUS)).otherwise(
+        F.lit(0.0))
+    df = df.withColumn("_s0", s0)
+    mods = F.when(F.size("modifiers") == 0, F.lit(0.0)).otherwise(F.aggregate(F.col("modifiers"), F.lit(0.0), lambda acc, m: acc + F.when(
+        F.col("name_c").contains(F.lower(m)), F.lit(MODIFIER_NAME_BONUS)).otherwise(F.lit(0.0))))
+    first = F.when(F.col("text") == "", F.lit(1.0)).when(F.col("_s0") > 0, F.col("_s0"))
+    return df.withColumn(out, first + mods + F.col("completeness") * COMPLETENESS_WEIGHT).drop("_s0")
 
 
 REQUEST_COLS = ["query_id", "text", "brand_f", "category_f", "ingredients_f", "flag_filters", "numeric_filters",
                 "modifiers", "size", "from_"]
-DOC_COLS = ["doc_id", "name_c", "brand_c", "cat_c", "ing_c", "text_c", "brand_l", "cat_l", "ing_l", "flags",
+DOC_COLS = ["doc_id", "name_c", "brand_c", "cat_c", "text_c", "brand_l", "cat_l", "ing_l", "flags",
             "nutrition", "completeness"]
 
 
@@ -205,7 +238,7 @@ def scored_hits(req: DataFrame, search_tbl: DataFrame, post: DataFrame | None =
     cands = postings_candidates(req, post, vgrams).unionByName(signature_candidates(req, search_tbl))
     rows = cands.join(req, "query_id").join(search_tbl.select(*DOC_COLS), "doc_id").where(filters_ok())
     rows = rows.select("query_id", "doc_id", "size", "from_", "text", "modifiers", "completeness",
-                       "name_c", "brand_c", "cat_c", "ing_c", "text_c")
+                       "n_match", "tok_score", "name_c", "brand_c", "cat_c", "text_c")
     scored = with_tiered_score(rows, "_raw")
     scored = evaluate_once(scored, "score", F.round("_raw", 6)).select("query_id", "doc_id", "size", "from_",
                                                                        "score")
