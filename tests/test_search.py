@@ -62,3 +62,16 @@ def test_shuffle_fallback_equals_broadcast(spark, monkeypatch):
     monkeypatch.setattr(R, "MATCH_BROADCAST_ROWS", 0)  # force the shuffle join
     got = sorted(tuple(r) for r in run(spark, phrases).collect())
     assert got == want
+
+
+def test_text_of_many_tokens_counts_each_of_them(spark):
+    """More tokens than a block holds, one of them twice, one missing from the second product."""
+    words = [f"w{chr(97 + i // 26)}{chr(97 + i % 26)}q" for i in range(130)]
+    text = " ".join(words + words[:1])
+    rows = [("1", text, "", "", "", "", "0.5"), ("2", "", "", "", text.replace(words[70], "zz"), "", "0.5"), ("3", "zz", "", "", "", "", "0.5")]
+    st = search_table(build_documents(raw_products(spark.createDataFrame(rows, COLS))))
+    d = spark.createDataFrame([], "term string, kind string, priority int, in_categories boolean, in_ingredients boolean")
+    req = derive_requests(annotate(spark.createDataFrame([("q", text), ("same", text)], "query_id string, phrase string"), d), d)
+    got = {(h["query_id"], h["doc_id"]): h["score"] for h in search(req, st).collect()}
+    first, second = 30 + 131 * 6 + 5 + 0.075, round(130 * 2.4 + 0.075, 6)
+    assert got == {(q, i): s for q in ("q", "same") for i, s in (("1", first), ("2", second))}
