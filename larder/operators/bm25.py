@@ -177,6 +177,8 @@ def bm25_search(req: DataFrame, index: TextIndex, search_tbl: DataFrame, limit:
     and completeness.  ``clause`` = 'phrase', 'and' or 'fuzzy' keeps the
     documents that match that clause."""
     req = req.select(*REQUEST_COLS).checkpoint(eager=True)
+    if limit is None:
+        limit = req.agg(F.max(F.col("from_") + F.col("size"))).first()[0] or 0
     h = clause_scores(req, index)
     column = {"phrase": "phrase", "and": "all_terms", "fuzzy": "fuzzy"}
     kept = F.col(column[clause]).isNotNull() if clause else F.coalesce("phrase", "all_terms", "fuzzy").isNotNull()
@@ -189,7 +191,7 @@ def bm25_search(req: DataFrame, index: TextIndex, search_tbl: DataFrame, limit:
                   F.lit(PALM_OIL_FREE_BOOST)).otherwise(F.lit(0.0))
     score = text_score + mods + palm + F.col("completeness") * COMPLETENESS_WEIGHT
     # sums of a row meet in any order: rounding makes equal scores equal, so that ties go by id
-    return top_hits(rows.select("query_id", "doc_id", "size", "from_", F.round(score, 6).alias("score")), limit)
+    return top_hits(rows.select("query_id", "doc_id", "size", "from_", F.round(score, 6).alias("score")), limit, settle=True)
 
 
 # ------------------------------------------------------------------ R-13 fuzzy

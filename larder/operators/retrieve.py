@@ -245,11 +245,13 @@ def scored_hits(req: DataFrame, search_tbl: DataFrame, post: DataFrame | None =
     return scored.where(F.col("score").isNotNull())
 
 
-def top_hits(scored: DataFrame, limit: int | None = None) -> DataFrame:
+def top_hits(scored: DataFrame, limit: int | None = None, settle: bool = False) -> DataFrame:
     """R-18: rank by (score desc, doc_id), keep the page [from, from+size),
     attach the total per phrase.  ``limit`` makes it a top-k report; without it
-    the largest page end among the requests is used, a literal that lets the planner cut each task to ``limit`` rows per phrase before the
-    exchange; the per-row page bounds are applied after."""
+    the largest page end among the requests is used, a literal that lets the
+    planner cut each task to ``limit`` rows per phrase before the exchange; the
+    per-row page bounds are applied after.  ``settle`` computes the hits at
+    once, writes them to the shared folder and releases the scored set."""
     # top-k and totals both read the scored set: persist it so scoring runs
     # once (a persisted block lost with an executor is recomputed)
     scored = scored.persist(StorageLevel.MEMORY_AND_DISK)
@@ -259,12 +261,16 @@ def top_hits(scored: DataFrame, limit: int | None = None) -> DataFrame:
     ranked = scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= limit)
     page = ranked.where((F.col("rank") > F.col("from_")) & (F.col("rank") <= F.col("from_") + F.col("size")))
     totals = scored.groupBy("query_id").agg(F.count(F.lit(1)).alias("total"))
-    return page.join(totals, "query_id").select("query_id", F.col("rank").cast("long").alias("rank"), "doc_id",
+    hits = page.join(totals, "query_id").select("query_id", F.col("rank").cast("long").alias("rank"), "doc_id",
                                                 "score", "total")
+    if settle:
+        hits = hits.checkpoint(eager=True)
+        scored.unpersist()
+    return hits
 
 
 def search(req: DataFrame, search_tbl: DataFrame, limit: int | None = None, post: DataFrame | None = None,
-           vgrams: DataFrame | None = None) -> DataFrame:
+           vgrams: DataFrame | None = None, settle: bool = False) -> DataFrame:
     """Requests x documents -> ranked hits (query_id, rank, doc_id, score, total).
 
     Requests that differ in their id alone are ranked once, by the smallest
@@ -272,7 +278,9 @@ def search(req: DataFrame, search_tbl: DataFrame, limit: int | None = None, post
     key = F.sha2(F.to_json(F.struct(*REQUEST_COLS[1:]), {"ignoreNullFields": "false"}), 256)
     req = req.select(*REQUEST_COLS, key.alias("_key")).checkpoint(eager=True)
     first = req.groupBy("_key").agg(F.min("query_id").alias("query_id"))
-    hits = top_hits(scored_hits(req.join(first, ["_key", "query_id"]), search_tbl, post, vgrams), limit)
+    if limit is None:
+        limit = req.agg(F.max(F.col("from_") + F.col("size"))).first()[0] or 0
+    hits = top_hits(scored_hits(req.join(first, ["_key", "query_id"]), search_tbl, post, vgrams), limit, settle)
     ids = req.select("_key", F.col("query_id").alias("_id")).join(first, "_key").select("query_id", "_id")
     return hits.join(ids, "query_id").select(F.col("_id").alias("query_id"), "rank", "doc_id", "score", "total")
 

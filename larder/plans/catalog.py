@@ -264,7 +264,7 @@ def _search(spark, sf, phrase_exprs, k=10):
 
 def _ranked(ix, req, k=None):
     from larder.operators.retrieve import search
-    return search(req, ix.search, k, ix.postings, ix.vgrams)
+    return search(req, ix.search, k, ix.postings, ix.vgrams, settle=True)
 
 
 @register("search_tiered", _search_oracle(SEARCH_PHRASES))
