@@ -4,7 +4,10 @@ Tokens are runs of letters or digits of the lower-cased text.  A mask of
 ``1`` and ``0`` is laid on every token position of both sides; the tokens under
 its ones are hashed, those under its zeros may differ.  Seeds of benchmark
 items and documents are joined on (mask, hash); each hit names an item, a
-document and a diagonal (document position minus item position).  Around each
+document and a diagonal (document position minus item position).  Every
+alignment with ``min_share`` of an item's tokens equal has a least number of
+hits (``least_hits`` counts it over all placements of the unequal tokens);
+diagonals with fewer are dropped before texts are read again.  Around each
 hit the whole item is laid on the document along the diagonal and the equal
 tokens are counted one by one, so a substituted token costs one token, not the
 match, and hash collisions don't count.  An item is found where at least
@@ -15,8 +18,8 @@ of them (their number is counted), by shuffle beyond it.  Seeds of documents
 don't travel in the first case; only hits do, and documents without a hit drop
 out before their tokens are compared.
 
-Defined cases: null and empty texts contain nothing; an item shorter than the
-masks is never reported; items that share a text are each reported; a null id
+Defined cases: null and empty texts contain nothing; items of one or two tokens
+have a mask of their own length, an item without tokens is never reported; items that share a text are each reported; a null id
 is reported as null; rows that share an id are one document in the report, at
 the best of their matches; other columns are ignored by ``find_leaks`` and kept
 by ``remove_leaks``; an empty table on either side gives no leak.
@@ -24,13 +27,16 @@ by ``remove_leaks``; an empty table on either side gives no leak.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from larder.llm.common import cut, id_back, keyed
 
-#: Span 12, weight 8: any two substitutions among 12 neighbouring tokens leave most placements intact.
-MASKS = ("110101100111", "111001011011")
+#: Tokens without a seed of these: two equal ones are followed by two unequal ones, so at most half and one are equal.
+MASKS = ("111", "1101", "1011")
+SHORT_MASKS = ("1", "11")  # for items of so many tokens
 MIN_SHARE = 0.7
 MAX_BROADCAST = 1_000_000
 
@@ -39,22 +45,48 @@ def token_array(text):
     return F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda t: t != "")
 
 
+def least_hits(longest: int, min_share: float, masks: tuple[str, ...] = MASKS) -> list[int]:
+    """Entry n: the least number of seeds left on the diagonal of an item of n
+    tokens, however its unequal tokens lie, while ``min_share`` are equal."""
+    span = max(map(len, masks))
+    # (the last tokens, equal ones so far): least number of seeds
+    states, out = {("", 0): 0}, [0]
+    for n in range(1, longest + 1):
+        after: dict[tuple[str, int], int] = {}
+        for (tail, equal), hits in states.items():
+            for bit in "01":
+                seen = tail + bit
+                more = sum(len(seen) >= len(m) and all(x <= y for x, y in zip(m, seen[-len(m):])) for m in masks)
+                key = (seen[-(span - 1):], equal + int(bit))
+                after[key] = min(after.get(key, hits + more), hits + more)
+        states = after
+        out.append(min(hits for (_, equal), hits in states.items() if equal >= n * min_share))
+    return out
+
+
+def _needed(masks: tuple[str, ...], min_share: float) -> list[int]:
+    """Hits needed by items of n tokens, the last entry also by longer ones: cut in
+    blocks of 30 to 59 tokens, a long item has a block with ``min_share`` equal."""
+    least = least_hits(59, min_share, masks)
+    return [max(1, n) for n in [*least[:30], min(least[30:])]]
+
+
 def _seeds(hashes, masks: tuple[str, ...]):
-    """Array of (mask, position, hash) over an array of token hashes."""
-    span = len(masks[0])
+    """Array of the masks' seeds, null beyond the end, for each position of an array of token hashes."""
+    shortest = min(map(len, masks))
 
     def at(i):
-        return F.array(*[F.xxhash64(F.lit(m), *[F.get(hashes, i + k) for k, c in enumerate(mask) if c == "1"])
-                         for m, mask in enumerate(masks)])
+        return F.array(*[F.when(i + len(mask) <= F.size(hashes), F.xxhash64(
+            F.lit(int(mask, 2)), *[F.get(hashes, i + k) for k, c in enumerate(mask) if c == "1"])) for mask in masks])
 
-    positions = F.when(F.size(hashes) >= span, F.sequence(F.lit(0), F.size(hashes) - span))
+    positions = F.when(F.size(hashes) >= shortest, F.sequence(F.lit(0), F.size(hashes) - shortest))
     return F.transform(F.coalesce(positions, F.array().cast("array<int>")), at)
 
 
 def _exploded(rows: DataFrame, keep: list[str], masks: tuple[str, ...]) -> DataFrame:
     hashed = rows.select(*keep, F.transform("tokens", lambda t: F.xxhash64(t)).alias("hashes"))
     placed = hashed.select(*keep, F.posexplode(_seeds(F.col("hashes"), masks)).alias("pos", "seeds"))
-    return placed.select(*keep, "pos", F.explode("seeds").alias("seed"))
+    return placed.select(*keep, "pos", F.explode("seeds").alias("seed")).where("seed IS NOT NULL")
 
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text",
@@ -72,12 +104,20 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
 def _matches(docs, benchmark, id_col, text_col, item_col, item_text_col, masks, min_share, max_broadcast) -> DataFrame:
     items = benchmark.select(F.col(f"`{item_col}`").alias("item_id"),
                              token_array(F.coalesce(F.col(f"`{item_text_col}`").cast("string"), F.lit(""))).alias("tokens"))
-    seeds = cut(_exploded(items, ["item_id"], masks).select("item_id", F.col("pos").alias("item_pos"), "seed").distinct())
+    items = items.withColumn("n", F.size("tokens"))
+    placed, kinds = _exploded(items, ["item_id", "n"], masks), masks
+    lengths = {r["n"] for r in items.where(F.col("n").between(1, len(SHORT_MASKS))).select("n").distinct().collect()}
+    for mask in (m for m in SHORT_MASKS if len(m) in lengths):
+        placed, kinds = placed.unionByName(_exploded(items.where(F.col("n") == len(mask)), ["item_id", "n"], (mask,))), (*kinds, mask)
+    seeds = cut(placed.select("item_id", "n", F.col("pos").alias("item_pos"), "seed").distinct())
     if seeds.count() <= max_broadcast:
         seeds = F.broadcast(seeds)
     rows = keyed(docs, id_col, text_col)
-    places = _exploded(rows.select("did", "th", token_array(F.col("text")).alias("tokens")), ["did", "th"], masks)
-    hits = (places.join(seeds, "seed").select("did", "th", "item_id", (F.col("pos") - F.col("item_pos")).alias("diagonal"))
+    places = _exploded(rows.select("did", "th", token_array(F.col("text")).alias("tokens")), ["did", "th"], kinds)
+    needed = _needed(masks, min_share)
+    enough = F.get(F.array(*map(F.lit, needed)), F.least(F.col("n"), F.lit(len(needed) - 1)))
+    hits = (places.join(seeds, "seed").select("did", "th", "item_id", "n", (F.col("pos") - F.col("item_pos")).alias("diagonal"))
+            .groupBy("did", "th", "item_id", "n", "diagonal").count().where(F.col("count") >= enough)
             .groupBy("did", "th").agg(F.collect_set(F.struct("item_id", "diagonal")).alias("hits")))
     whole = items.select("item_id", F.col("tokens").alias("item"))
     # equal rows repeat a comparison at most; the hits of a row are few

@@ -277,6 +277,40 @@ def test_decontaminate(spark):
     assert decontaminate.find_leaks(df, bench.limit(0)).count() == 0
 
 
+def test_least_hits_against_every_placement():
+    masks = [[k for k, c in enumerate(m) if c == "1"] for m in decontaminate.MASKS]
+    counted = decontaminate.least_hits(14, 0.7)
+    for n in range(1, 15):
+        least = min(sum(all(p + k < n and same[p + k] for k in m) for m in masks for p in range(n))
+                    for same in itertools.product((0, 1), repeat=n) if sum(same) >= 0.7 * n)
+        assert counted[n] == least and (least or n < 3)
+    assert min(decontaminate.least_hits(59, 0.7)[3:]) > 0
+
+
+def test_decontaminate_finds_all_at_its_threshold(spark):
+    rnd = random.Random(17)
+    sentence = lambda n: [f"w{rnd.randint(0, 3000)}" for _ in range(n)]
+    items = [(n, sentence(n)) for n in [*range(1, 30), 40, 59, 75]]
+    rows = []
+    for n, w in items:
+        spread = list(range(3, n, 4))
+        for gone in (range(0), spread, spread[:n * 3 // 10], *(rnd.sample(range(n), n * 3 // 10) for _ in range(6))):
+            t = ["changed" if k in gone else x for k, x in enumerate(w)]
+            rows.append((len(rows), " ".join(sentence(rnd.randint(0, 9)) + t + sentence(rnd.randint(0, 9)))))
+    bench = spark.createDataFrame([(i, " ".join(w)) for i, w in items], "item_id long, text string")
+    want = {}
+    for d, t in rows:
+        doc = token_list(t)
+        for i, w in items:
+            best = max((sum(0 <= g + k < len(doc) and doc[g + k] == x for k, x in enumerate(w)), -g) for g in range(-len(w) + 1, len(doc)))
+            if best[0] >= 0.7 * len(w):
+                want[d, i] = best
+    assert len(want) >= len(rows) - 29 and {i for _, i in want} == {i for i, _ in items}
+    for limit in (1_000_000, 0):
+        got = decontaminate.find_leaks(spark.createDataFrame(rows, "doc_id long, text string"), bench, max_broadcast=limit).collect()
+        assert {(r.doc_id, r.item_id): (r.n_equal, -r.position) for r in got} == want
+
+
 def test_native_plans(spark):
     df = table(spark, make_rows(8))
     bench = spark.createDataFrame([(1, "a b cé dd E the of a b cé dd E the of")], "item_id long, text string")
