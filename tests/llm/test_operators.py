@@ -311,6 +311,31 @@ def test_decontaminate_finds_all_at_its_threshold(spark):
         assert {(r.doc_id, r.item_id): (r.n_equal, -r.position) for r in got} == want
 
 
+def test_decontaminate_parts_and_breaks(spark):
+    rnd = random.Random(23)
+    sentence = lambda n: [f"w{rnd.randint(0, 3000)}" for _ in range(n)]
+    items = [(n, sentence(n)) for n in (5, 6, 8, 11, 15, 20, 25, 59, 200)]
+    whole = dict(items)
+    cases = [(59, whole[59][:41], 41), (59, whole[59][23:36], 13), (200, whole[200][50:150], 100), (59, whole[59][:8], None), (25, whole[25][:9], None)]
+    for n, w in items[:-1]:
+        for at in range(1, n):
+            cases += [(n, w[:at] + ["inserted"] + w[at:], n - 1), (n, w[:at] + ["one", "more"] + w[at:], n - 1)]
+            if n > 6:
+                cases.append((n, w[:at] + w[at + 1:], n - 2))
+    changed = ["x" if k in (4, 9, 14) else t for k, t in enumerate(whole[20])]
+    cases.append((20, changed[:11] + ["inserted"] + changed[11:], 16))
+    rows = [(i, " ".join(sentence(5) + t + sentence(5))) for i, (_, t, _) in enumerate(cases)]
+    bench = spark.createDataFrame([(i, " ".join(w)) for i, w in items], "item_id long, text string")
+    got = {r.doc_id: r for r in decontaminate.find_leaks(spark.createDataFrame(rows, "doc_id long, text string"), bench).collect()}
+    for i, (n, t, want) in enumerate(cases):
+        if want is None:
+            assert i not in got, (n, t)
+        else:  # on one diagonal if that makes the share, else on both sides of the break
+            r = got[i]
+            assert r.item_id == n and min(want, -(-7 * n // 10)) <= r.n_equal <= max(want, n - 1), (n, t, r)
+    assert len(got) == len(cases) - 2
+
+
 def test_native_plans(spark):
     df = table(spark, make_rows(8))
     bench = spark.createDataFrame([(1, "a b cé dd E the of a b cé dd E the of")], "item_id long, text string")
