@@ -30,8 +30,8 @@ don't travel in the first case; only hits do, and documents without a hit drop
 out before their tokens are compared.
 
 Defined cases: null and empty texts contain nothing; items of one or two tokens
-have a mask of their own length, an item without tokens is never reported; items that share a text are each reported; a null id
-is reported as null; rows that share an id are one document in the report, at
+have a mask of their own length, an item without tokens is never reported; items that share a text are each reported; a null id,
+of a document or an item, is reported as null; rows that share an id are one document in the report, at
 the best of their matches; other columns are ignored by ``find_leaks`` and kept
 by ``remove_leaks``; an empty table on either side gives no leak.
 """
@@ -120,27 +120,28 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
 def _matches(docs, benchmark, id_col, text_col, item_col, item_text_col, masks, min_share, max_broadcast, stretch) -> DataFrame:
     items = benchmark.select(F.col(f"`{item_col}`").alias("item_id"),
                              token_array(F.coalesce(F.col(f"`{item_text_col}`").cast("string"), F.lit(""))).alias("tokens"))
-    items = items.withColumn("n", F.size("tokens"))
-    placed, kinds = _exploded(items, ["item_id", "n"], masks), masks
+    # rows of items are told apart by a hash of id and tokens: ids can be null or repeat
+    items = items.withColumn("key", F.xxhash64("item_id", F.isnull("item_id"), "tokens")).withColumn("n", F.size("tokens")).distinct()
+    placed, kinds = _exploded(items, ["key", "n"], masks), masks
     lengths = {r["n"] for r in items.where(F.col("n").between(1, len(SHORT_MASKS))).select("n").distinct().collect()}
     for mask in (m for m in SHORT_MASKS if len(m) in lengths):
-        placed, kinds = placed.unionByName(_exploded(items.where(F.col("n") == len(mask)), ["item_id", "n"], (mask,))), (*kinds, mask)
-    seeds = cut(placed.select("item_id", "n", F.col("pos").alias("item_pos"), "seed").distinct())
+        placed, kinds = placed.unionByName(_exploded(items.where(F.col("n") == len(mask)), ["key", "n"], (mask,))), (*kinds, mask)
+    seeds = cut(placed.select("key", "n", F.col("pos").alias("item_pos"), "seed").distinct())
     if seeds.count() <= max_broadcast:
         seeds = F.broadcast(seeds)
     rows = keyed(docs, id_col, text_col)
     places = _exploded(rows.select("did", "th", token_array(F.col("text")).alias("tokens")), ["did", "th"], kinds)
     needed = _needed(masks, min_share, stretch)
     enough = F.get(F.array(*map(F.lit, needed)), F.least(F.col("n"), F.lit(len(needed) - 1)))
-    hits = (places.join(seeds, "seed").select("did", "th", "item_id", "n", (F.col("pos") - F.col("item_pos")).alias("diagonal"))
-            .groupBy("did", "th", "item_id", "n", "diagonal").count()
-            .withColumn("near", F.sum("count").over(Window.partitionBy("did", "th", "item_id", "n").orderBy("diagonal").rangeBetween(-BAND, BAND)))
+    hits = (places.join(seeds, "seed").select("did", "th", "key", "n", (F.col("pos") - F.col("item_pos")).alias("diagonal"))
+            .groupBy("did", "th", "key", "n", "diagonal").count()
+            .withColumn("near", F.sum("count").over(Window.partitionBy("did", "th", "key", "n").orderBy("diagonal").rangeBetween(-BAND, BAND)))
             .where(F.col("near") >= enough)
-            .groupBy("did", "th").agg(F.collect_set(F.struct("item_id", "diagonal")).alias("hits")))
-    whole = items.select("item_id", F.col("tokens").alias("item"))
+            .groupBy("did", "th").agg(F.collect_set(F.struct("key", "diagonal")).alias("hits")))
+    whole = items.select("key", "item_id", F.col("tokens").alias("item"))
     # equal rows repeat a comparison at most; the hits of a row are few
     near = (rows.join(cut(hits), ["did", "th"]).select("did", "th", token_array(F.col("text")).alias("tokens"), F.explode("hits").alias("hit"))
-            .select("did", "th", "hit.item_id", "hit.diagonal", "tokens").join(whole, "item_id"))
+            .select("did", "th", "hit.key", "hit.diagonal", "tokens").join(whole, "key"))
     share = F.size("item") * min_share
     laid = near.withColumn("same", F.transform("item", lambda x, i: _same(x, i + F.col("diagonal"))))
     judged = laid.select(

@@ -336,6 +336,15 @@ def test_decontaminate_parts_and_breaks(spark):
     assert len(got) == len(cases) - 2
 
 
+def test_decontaminate_null_item_id(spark):
+    one, two = (" ".join(f"{c}{k}" for k in range(20)) for c in "ab")
+    docs = spark.createDataFrame([(1, f"x {one} y"), (2, two), (3, "x y")], "doc_id long, text string")
+    bench = spark.createDataFrame([(None, one), (None, two), (7, two), (7, two)], "item_id long, text string")
+    got = decontaminate.find_leaks(docs, bench).collect()
+    assert sorted((r.doc_id, r.item_id or 0, r.n_equal, r.position) for r in got) == [(1, 0, 20, 1), (2, 0, 20, 0), (2, 7, 20, 0)]
+    assert [r.doc_id for r in decontaminate.remove_leaks(docs, bench).collect()] == [3]
+
+
 def test_native_plans(spark):
     df = table(spark, make_rows(8))
     bench = spark.createDataFrame([(1, "a b cé dd E the of a b cé dd E the of")], "item_id long, text string")
