@@ -1,9 +1,12 @@
 """License scan by sentence rules, in DataFrame functions only.
 
-A text is cut into sentences at line feeds and after . ! ? ; before white
-space, and each sentence is normalised (lower case, every run of other signs
-than a-z and 0-9 is one space).  A normalised sentence that is known has an
-identifier; the identifiers of a text, in order, are matched against ordered
+A text is cut into lines at line feeds and after . ! ? ; before white space,
+and each line is normalised (lower case, every run of other signs than a-z and
+0-9 is one space).  A sentence is a line or several of them, as licenses are
+hard-wrapped, with indentation and comment signs: it goes over single line
+feeds, not over a stop or a line without letters and digits.  A normalised
+sentence that is known has an identifier, the longest one first where several
+begin with a line; the identifiers of a text, in order, are matched against ordered
 rules: a rule names a license and the sequence of identifiers that states it,
 unknown sentences in between left out.  Rules are tried in order, longer
 statements first; identifiers that a rule has used are not used again, and what
@@ -12,6 +15,8 @@ no rule uses is reported.
 Nothing is shuffled and nothing joined: sentences and rules are fixed tables of
 this module, held as literals.
 
+``n_sentences`` counts the lines.
+
 Defined cases: a null or empty text has no sentence and no license; repeated
 rows and ids each give a row; a null id is returned as null; other columns are
 ignored; an empty table gives an empty result.
@@ -19,6 +24,8 @@ ignored; an empty table gives an empty result.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -90,7 +97,24 @@ RULES = [
     ("CC-BY-SA-4.0", "CC-BY-SA-4-REF"),
     ("CC-BY-4.0", "CC-BY-4-REF"),
 ]
+# What the statement in SQL doesn't have.
+_ENDORSE = ("may be used to endorse or promote products derived from this software without specific prior written permission")
+ALL_SENTENCES = SENTENCES | {
+    f"neither the name of the copyright holder nor the names of its contributors {_ENDORSE}": "BSD-ENDORSE",
+    f"the name of the author {_ENDORSE.replace('may be', 'may not be')}": "BSD-ENDORSE",
+}
+ALL_RULES = [r for rule in RULES for r in (
+    [("BSD-3-Clause", "BSD-GRANT BSD-SOURCE BSD-BINARY BSD-ENDORSE"), rule] if rule[0] == "BSD-2-Clause" else [rule])]
+#: The holder's name in the third condition of BSD-3-Clause, 12 words at most, as (before, after).
+HOLDER = ("neither the name of", f"nor the names of its contributors {_ENDORSE}")
 BREAK = r"\n|[.!?;][ \t\r\n]+|[.!?;]+\z"
+# A stop, or a line without letters and digits, ends a sentence (\x01); another line feed ends a line (\x02).
+STOP = r"[.!?;][ \t\r\n]+|[.!?;]+\z|\n[^a-z0-9\n]*\n[^a-z0-9]*"
+
+
+def _wrapped(sentence: str) -> str:
+    """Pattern of a normalised sentence whose words may stand on several lines."""
+    return "[ \x02]".join(map(re.escape, sentence.split()))
 
 
 def _padded(ids: str) -> str:
@@ -98,18 +122,27 @@ def _padded(ids: str) -> str:
     return "".join(f"<{i}>" for i in ids.split())
 
 
-def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sentences: dict[str, str] = SENTENCES,
-                  rules: list[tuple[str, str]] = RULES) -> DataFrame:
+def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sentences: dict[str, str] = ALL_SENTENCES,
+                  rules: list[tuple[str, str]] = ALL_RULES) -> DataFrame:
     """One row for each row of ``docs``: ``doc_id, n_sentences, sentence_ids,
     licenses, unused_ids``; lists are joined by one space, ``licenses`` in the
     order of the rules that matched, each once."""
     text = F.lower(F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")))
     known = F.create_map(*[F.lit(v) for pair in sentences.items() for v in pair])
-    clean = F.transform(F.split(text, BREAK), lambda s: F.btrim(F.regexp_replace(s, "[^a-z0-9]+", " ")))
-    # only the identifiers go on from here; a sentence is looked up once
-    rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.filter(clean, lambda s: s != "").alias("clean"))
-    found = rows.select("doc_id", F.size("clean").alias("n_sentences"), F.filter(
-        F.transform("clean", lambda s: F.try_element_at(known, s)), lambda i: i.isNotNull()).alias("ids"))
+    text = F.translate(text, "\x01\x02", "  ")
+    marked = F.translate(F.regexp_replace(text, STOP, "\x01"), "\n", "\x02")
+    clean = F.regexp_replace(F.regexp_replace(marked, "[^a-z0-9\x01\x02]+", " "), " ?([\x01\x02]) ?", "$1")
+    # each line stands between two marks
+    lines = F.concat(F.lit("\x02"), F.replace(F.btrim(clean), F.lit("\x01"), F.lit("\x02\x01\x02")), F.lit("\x02"))
+    before, after = HOLDER
+    holder = f"\x02{_wrapped(before)}[ \x02](?:[a-z0-9]+[ \x02]){{1,12}}?{_wrapped(after)}(?=\x02)"
+    sought = "|".join(map(_wrapped, sorted(sentences, key=len, reverse=True))) or "(?!)"
+    # only the identifiers go on from here
+    rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), lines.alias("lines"))
+    seen = F.regexp_extract_all(F.regexp_replace("lines", holder, f"\x02{before} the copyright holder {after}"),
+                                F.lit(f"\x02({sought})(?=\x02)"), F.lit(1))
+    found = rows.select("doc_id", F.size(F.filter(F.split("lines", "[\x01\x02]+"), lambda s: s != "")).alias("n_sentences"),
+                        F.transform(seen, lambda s: F.element_at(known, F.translate(s, "\x02", " "))).alias("ids"))
     rest = F.concat_ws("", F.transform("ids", lambda i: F.concat(F.lit("<"), i, F.lit(">"))))
     out = found.withColumn("rest", rest).withColumn("hits", F.array().cast("array<string>"))
     for name, sequence in rules:

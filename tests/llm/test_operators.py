@@ -370,6 +370,86 @@ def test_license_scan(spark):
     assert license_scan.scan_licenses(table(spark, [])).count() == 0
 
 
+MIT = """Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR
+IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY,
+FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE
+AUTHORS BE LIABLE.
+"""
+GPL3 = """This program is free software: you can redistribute it and/or modify
+it under the terms of the GNU General Public License as published by
+the Free Software Foundation, either version 3 of the License, or
+(at your option) any later version.
+
+This program is distributed in the hope that it will be useful,
+but WITHOUT ANY WARRANTY; without even the implied warranty of
+MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the
+GNU General Public License for more details.
+
+You should have received a copy of the GNU General Public License
+along with this program.  If not, see <https://www.gnu.org/licenses/>.
+"""
+GPL2 = GPL3.replace("software:", "software;").replace("Foundation, either version 3", "Foundation; either version 2")
+BSD2 = """Copyright (c) 2020, A. Holder
+All rights reserved.
+
+Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this
+   list of conditions and the following disclaimer.
+2. Redistributions in binary form must reproduce the above copyright notice,
+   this list of conditions and the following disclaimer in the documentation
+   and/or other materials provided with the distribution.
+"""
+BSD3 = BSD2 + """
+3. Neither the name of the copyright holder nor the names of its
+   contributors may be used to endorse or promote products derived from
+   this software without specific prior written permission.
+"""
+APACHE = """Licensed under the Apache License, Version 2.0 (the "License");
+you may not use this file except in compliance with the License.
+You may obtain a copy of the License at
+
+    http://www.apache.org/licenses/LICENSE-2.0
+
+Unless required by applicable law or agreed to in writing, software
+distributed under the License is distributed on an "AS IS" BASIS,
+WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.
+See the License for the specific language governing permissions and
+limitations under the License.
+"""
+
+
+def test_license_scan_of_wrapped_texts(spark):
+    texts = {"MIT": MIT, "GPL-3.0-or-later": GPL3, "GPL-2.0-or-later": GPL2, "BSD-2-Clause": BSD2, "BSD-3-Clause": BSD3, "Apache-2.0": APACHE}
+    rows, want = [], []
+    for name, text in texts.items():
+        one_line = re.sub(r"\n(?=.)", " ", text.replace("\n\n", "\r\r")).replace("\r\r", "\n\n")
+        forms = [text, text.replace("\n", "\r\n"), one_line, *("\n".join(f"{sign}{line}" for line in text.split("\n")) for sign in ("# ", " * ", "//  "))]
+        for form in ["MIT License\n" * (name == "MIT") + text, *forms]:
+            rows.append((len(rows), f"int x;\n\n{form}\n\nint y"))
+            want.append(name)
+    for holder in ("Some Organisation", "the <organization>", "the\n   University"):
+        rows.append((len(rows), BSD3.replace("the copyright holder", holder)))
+        want.append("BSD-3-Clause")
+    rows += [(len(rows), "This program is free software\n\nyou can redistribute it"), (len(rows) + 1, MIT.replace("copies of", "copies.\nof").replace("copies or", "or"))]
+    want += ["", ""]
+    got = {r.doc_id: r for r in license_scan.scan_licenses(table(spark, rows)).collect()}
+    assert [got[i].licenses for i in range(len(rows))] == want
+    assert got[len(rows) - 1].unused_ids == "MIT-WARRANTY"
+    assert got[0].n_sentences == len([x for x in re.split(r"\n|[.!?;][ \t\r\n]+|[.!?;]+\Z", rows[0][1].lower()) if re.search("[a-z0-9]", x)])
+
+
 # ------------------------------------------------------------------ 7
 def brute_simhash(text, shingle=4):
     words = WORD.findall("".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or ""))
