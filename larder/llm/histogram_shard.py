@@ -7,7 +7,8 @@ row for each probe and task), and each cut keeps the bracket between the two
 probes around its target.  Brackets shrink to the least and largest key in
 them, so a run of equal keys is isolated at once.  A cut is settled when the
 bytes below it are within ``tolerance`` of a shard of the target, or when its
-bracket holds one key.  Then the rows are exchanged once, by their piece.
+bracket holds one key.  Only keys and sizes are probed.  Then the rows, with
+all their columns, are exchanged once, by their piece.
 
 Equal texts share a hash, so they lie together in the order; a group is cut
 only where keeping it whole would miss the tolerance, and then between ids.
@@ -18,7 +19,7 @@ make its first slot.
 
 Defined cases: a null text has no bytes (size 16); a null id sorts last and is
 returned as null; rows with one key (equal id and text) stay together; other
-columns are ignored; an empty table gives an empty result.
+columns go along; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -29,11 +30,12 @@ from collections.abc import Iterator
 from operator import itemgetter
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from larder.llm.common import NULL_ID, column, cut, id_back
+from larder.llm.common import NULL_ID, column, cut
 
 SHARDS, OVERHEAD = 40, 16
 TOLERANCE, PROBES, PIECE_BYTES, MAX_ROUNDS = 0.002, 32, 1 << 30, 80
@@ -50,9 +52,9 @@ def _halves(keys: list[int]) -> tuple[np.ndarray, np.ndarray]:
             np.array([(k & ((1 << 64) - 1)) - _BIAS for k in keys], np.int64))
 
 
-def _below(h: np.ndarray, did: np.ndarray, ph: np.ndarray, pd: np.ndarray) -> np.ndarray:
+def _below(h: np.ndarray, did: np.ndarray, ph: np.ndarray, pdid: np.ndarray) -> np.ndarray:
     """Number of probes at or below each row's key."""
-    order = np.lexsort((np.r_[np.zeros(len(ph)), np.ones(len(h))], np.r_[pd, did], np.r_[ph, h]))
+    order = np.lexsort((np.r_[np.zeros(len(ph)), np.ones(len(h))], np.r_[pdid, did], np.r_[ph, h]))
     seen = np.cumsum(order < len(ph))
     out = np.empty(len(order), np.int64)
     out[order] = seen
@@ -61,12 +63,12 @@ def _below(h: np.ndarray, did: np.ndarray, ph: np.ndarray, pd: np.ndarray) -> np
 
 def _histogram(rows: DataFrame, probes: list[int]) -> dict[int, tuple]:
     """For each gap between probes that has rows: bytes, rows, least key, largest key."""
-    ph, pd = _halves(probes)
+    ph, pdid = _halves(probes)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             h, did, size = column(batch, "h"), column(batch, "did"), column(batch, "size")
-            gap = _below(h, did, ph, pd)
+            gap = _below(h, did, ph, pdid)
             order = np.lexsort((did, h))
             g = gap[order]
             at = np.flatnonzero(np.r_[True, g[1:] != g[:-1]]) if len(g) else np.empty(0, np.int64)
@@ -125,30 +127,46 @@ def find_cuts(rows: DataFrame, parts: int, tolerance: float = TOLERANCE, probes_
     raise RuntimeError("cuts did not settle")
 
 
-def shard(docs: DataFrame, shards: int = SHARDS, id_col: str = "doc_id", text_col: str = "text", overhead: int = OVERHEAD,
-          tolerance: float = TOLERANCE, piece_bytes: int = PIECE_BYTES) -> DataFrame:
-    """One row for each row of ``docs``: ``doc_id, size, text_crc32, shard,
-    slot``; ``size`` is the text's bytes and ``overhead``, ``slot`` the row's
-    place in its shard, from 0 without gaps."""
+def shard_rows(docs: DataFrame, shards: int = SHARDS, id_col: str = "doc_id", text_col: str = "text", overhead: int = OVERHEAD,
+               tolerance: float = TOLERANCE, piece_bytes: int = PIECE_BYTES) -> DataFrame:
+    """``docs``, all columns, and ``shard, slot``: the rows of a piece of a
+    shard lie in one partition in their order; ``slot`` is the row's place in its
+    shard, from 0 without gaps.  Columns of ``docs`` with these names are replaced."""
+    names = [c for c in docs.columns if c not in ("shard", "slot")]
     text = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))
-    rows = cut(docs.select(F.xxhash64(text).alias("h"), F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(NULL_ID)).alias("did"),
-                           (F.octet_length(text) + overhead).cast("long").alias("size"),
-                           F.crc32(text.cast("binary")).alias("crc")))
+    h, did = F.xxhash64(text).alias("h"), F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(NULL_ID)).alias("did")
+    rows = cut(docs.select(h, did, (F.octet_length(text) + overhead).cast("long").alias("size")))
     total = rows.agg(F.sum("size")).first()[0] or 0
     each = max(1, -(-total // (shards * piece_bytes)))
     cuts = find_cuts(rows, shards * each, tolerance)
-    ph, pd = _halves([c[0] for c in cuts])
+    ph, pdid = _halves([c[0] for c in cuts])
     first = [0] + [c[2] for c in cuts]
     base = np.array([first[p] - first[p - p % each] for p in range(len(first))], np.int64)
 
-    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            piece = _below(column(batch, "h"), column(batch, "did"), ph, pd)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(piece.astype(np.int32)), pa.array(base[piece])],
-                                             names=[*batch.schema.names, "piece", "base"])
+    @F.pandas_udf("piece int, base long")
+    def place(h: pd.Series, did: pd.Series) -> pd.DataFrame:
+        piece = _below(h.to_numpy(), did.to_numpy(), ph, pdid)
+        return pd.DataFrame({"piece": piece.astype(np.int32), "base": base[piece]})
 
-    placed = rows.mapInArrow(place, "h long, did long, size long, crc long, piece int, base long")
-    order = Window.partitionBy("piece").orderBy("h", "did", "crc", "size")
+    # only the key goes to Python; the whole row goes through the exchange of the window
+    whole = docs.select(*[F.col(f"`{c}`").alias(f"_row{i}") for i, c in enumerate(names)], h, did)
+    placed = whole.withColumn("at", place("h", "did")).select(
+        *[f"_row{i}" for i in range(len(names))], "h", "did", "at.piece", "at.base")
+    order = Window.partitionBy("piece").orderBy("h", "did", f"_row{names.index(text_col)}")
     return placed.select(
-        id_back().alias("doc_id"), "size", F.col("crc").alias("text_crc32"), F.floor(F.col("piece") / each).cast("int").alias("shard"),
+        *[F.col(f"_row{i}").alias(c) for i, c in enumerate(names)], F.floor(F.col("piece") / each).cast("int").alias("shard"),
         (F.col("base") + F.row_number().over(order) - 1).alias("slot"))
+
+
+def digests(sharded: DataFrame, id_col: str = "doc_id", text_col: str = "text", overhead: int = OVERHEAD) -> DataFrame:
+    """``doc_id, size, text_crc32, shard, slot`` of sharded rows; ``size`` is the text's bytes and ``overhead``."""
+    text = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))
+    return sharded.select(
+        F.col(f"`{id_col}`").cast("long").alias("doc_id"), (F.octet_length(text) + overhead).cast("long").alias("size"),
+        F.crc32(text.cast("binary")).alias("text_crc32"), "shard", "slot")
+
+
+def shard(docs: DataFrame, shards: int = SHARDS, id_col: str = "doc_id", text_col: str = "text", overhead: int = OVERHEAD,
+          tolerance: float = TOLERANCE, piece_bytes: int = PIECE_BYTES) -> DataFrame:
+    """``digests`` of ``shard_rows``: one row for each row of ``docs``."""
+    return digests(shard_rows(docs, shards, id_col, text_col, overhead, tolerance, piece_bytes), id_col, text_col, overhead)

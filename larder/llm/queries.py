@@ -38,7 +38,7 @@ def op2_spotsigs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_histogram_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return histogram_shard.shard(_read(spark, sf_dir, "documents")).select(
+    return histogram_shard.digests(histogram_shard.shard_rows(_read(spark, sf_dir, "documents"))).select(
         "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 

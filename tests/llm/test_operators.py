@@ -228,6 +228,24 @@ def test_histogram_shard(spark):
     assert [(r.slot, r.size) for r in alone] == [(0, 16)]
 
 
+def test_histogram_shard_moves_whole_rows(spark):
+    rnd = random.Random(8)
+    rows = [(i, "x" * rnd.randint(0, 400) + str(rnd.randint(0, 900))) for i in range(400)] + [(None, None), (None, ""), (3, "other")]
+    df = table(spark, rows)
+    out = histogram_shard.shard_rows(df, shards=5, tolerance=0.01)
+    assert out.columns == [*df.columns, "shard", "slot"]
+    got = out.withColumn("partition", F.spark_partition_id()).collect()
+    assert sorted(map(repr, (tuple(r)[:len(df.columns)] for r in got))) == sorted(map(repr, map(tuple, df.collect())))
+    assert len({(r.shard, r.partition) for r in got}) == len({r.shard for r in got}) == 5
+    for s in range(5):
+        assert [r.slot for r in got if r.shard == s] == list(range(sum(r.shard == s for r in got)))
+    plan = histogram_shard.digests(out)._jdf.queryExecution().executedPlan().toString()
+    above, below = plan.split("Exchange hashpartitioning", 1)
+    assert "crc32" in above and "octet_length" in above and "crc32" not in below and "hashpartitioning" not in below
+    assert "_row1" in above.split("Window", 1)[1]  # the text
+    assert len(histogram_shard.shard_rows(out, shards=5).columns) == len(out.columns)
+
+
 # ------------------------------------------------------------------ 4
 def token_list(text):
     return [t for t in re.split(r"[\W_]+", (text or "").lower()) if t]
