@@ -32,9 +32,9 @@ def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_spotsigs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    done = spotsigs.edited_fingerprints(_read(spark, sf_dir, "documents"))
+    done = spotsigs.with_classes(_read(spark, sf_dir, "documents"))
     return done.select("doc_id", "n_chars", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"), "fingerprint",
-                       "edited_fingerprint", "near_edited", "near_next", "length", "edited_length")
+                       "edited_fingerprint", "near_edited", "near_next", "length", "edited_length", "class_id", "n_links")
 
 
 def op3_histogram_shard(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -204,16 +204,32 @@ def similar_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     likeness ``threshold`` or more, and the links of the row's fingerprint to
     other fingerprints."""
     rows = cut(fingerprint(docs, id_col, text_col, anchors, chain))
+    return rows.join(_classes(rows, threshold), "fingerprint").select(
+        id_back().alias("doc_id"), F.nullif(F.col("class_low"), F.lit(NULL_ID)).alias("class_id"), "n_links")
+
+
+def with_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD,
+                 anchors: list[str] = ANCHORS, chain: int = CHAIN) -> DataFrame:
+    """``edited_fingerprints`` with ``class_id, n_links`` of ``similar_classes`` over all rows."""
+    classes = _classes(cut(fingerprint(docs, id_col, text_col, anchors, chain)), threshold)
+    return edited_fingerprints(docs, id_col, text_col, anchors, chain).join(classes, "fingerprint").withColumn(
+        "class_id", F.nullif(F.col("class_low"), F.lit(NULL_ID))).drop("class_low")
+
+
+def _classes(rows: DataFrame, threshold: float) -> DataFrame:
+    """``fingerprint, class_low, n_links`` of each fingerprint of the table ``did, fingerprint, length``."""
     sets = cut(rows.groupBy("fingerprint").agg(F.min("did").alias("low"), F.first("length").alias("n"))
                .withColumn("node", F.xxhash64("fingerprint")))
     full = sets.where("n > 0")
     # partners have lengths within the threshold: the own or the next partition on a logarithmic scale
     scale = -math.log(threshold) if threshold < 1 else 1e-9
     full = full.withColumn("slot", F.floor(F.log(F.col("n")) / scale))
-    sig = F.expr("transform(sequence(0, cast(n as int) - 1), i -> substring(fingerprint, i * 8 + 1, 8))")
+    sig = F.regexp_extract_all("fingerprint", F.lit(".{8}"), F.lit(0))  # one pass; a substring counts from the start
     words = full.select("node", "n", "slot", F.explode(sig).alias("sig"))
-    df = words.groupBy("sig").count()
-    rank = F.row_number().over(Window.partitionBy("node").orderBy("count", "sig"))
+    # signatures of one set are its rarest and find no partner: they take the first ranks, but don't travel
+    df = words.groupBy("sig").count().where("count > 1")
+    own = Window.partitionBy("node")
+    rank = F.row_number().over(own.orderBy("count", "sig")) + F.col("n") - F.count("*").over(own)
     keep = F.col("n") - F.ceil(F.col("n") * threshold) + 1
     rare = words.join(df, "sig").withColumn("r", rank).where(F.col("r") <= keep).select("node", "n", "slot", "sig")
     left = rare.select(F.col("node").alias("a"), F.col("n").alias("na"), "sig", F.explode(F.array("slot", F.col("slot") + 1)).alias("slot"))
@@ -234,7 +250,5 @@ def similar_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     degree = pairs.select(F.explode(F.array("u", "v")).alias("node")).groupBy("node").agg(F.count("*").alias("n_links"))
     roots = components(pairs)
     low = roots.join(sets, "node").groupBy("root").agg(F.min("low").alias("class_low"))
-    classes = (sets.join(roots.join(low, "root").select("node", "class_low"), "node", "left").join(degree, "node", "left")
+    return (sets.join(roots.join(low, "root").select("node", "class_low"), "node", "left").join(degree, "node", "left")
                .select("fingerprint", F.coalesce("class_low", "low").alias("class_low"), F.coalesce("n_links", F.lit(0)).alias("n_links")))
-    return rows.join(classes, "fingerprint").select(
-        id_back().alias("doc_id"), F.nullif(F.col("class_low"), F.lit(NULL_ID)).alias("class_id"), "n_links")

@@ -198,6 +198,16 @@ def test_spotsigs_classes_against_brute_force(spark):
     assert spotsigs.similar_classes(table(spark, [])).count() == 0
 
 
+def test_op2_returns_classes(spark):
+    from larder.llm import queries
+
+    sf = "/root/testdata/sf0.001"
+    out = queries.op2_spotsigs(spark, sf).collect()
+    want = spotsigs.similar_classes(spark.read.parquet(f"{sf}/documents.parquet")).collect()
+    assert sorted((r.doc_id, r.class_id, r.n_links) for r in out) == sorted(map(tuple, want))
+    assert any(r.class_id != r.doc_id for r in out)
+
+
 # ------------------------------------------------------------------ 3
 def test_histogram_shard(spark):
     rnd = random.Random(6)
