@@ -157,9 +157,13 @@ SPACE[[9, 10, 11, 12, 13, 32]] = True
 def tokens(data: np.ndarray, offs: np.ndarray, gap: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Start and end of every maximal run of bytes outside ``gap`` (a token
     never crosses a row) and the token offsets of the rows."""
-    if not len(data):
+    return ink_runs(~gap[data], offs)
+
+
+def ink_runs(ink: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``tokens`` of the bytes that are marked in ``ink``."""
+    if not len(ink):
         return np.empty(0, np.int64), np.empty(0, np.int64), np.zeros(len(offs), np.int64)
-    ink = ~gap[data]
     first = offs[:-1][offs[1:] > offs[:-1]]
     begin = ink.copy()
     begin[1:] &= ~ink[:-1]

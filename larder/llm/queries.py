@@ -3,14 +3,15 @@ production parameters, to the whole table and derives the result's columns."""
 
 from __future__ import annotations
 
+import string
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import public_tokenizers
-from larder.llm import (byte_bpe, decontaminate, histogram_shard, license_scan, quality, simhash, spotsigs, substring_dedup,
-                        suffix_dedup, token_output)
+from larder.llm import (byte_bpe, decontaminate, histogram_shard, license_scan, merkle, quality, simhash, spelling, spotsigs,
+                        stream_dedup, substring_dedup, suffix_dedup, token_output)
 from larder.llm.common import ship_package
 
 END_ID = 2
@@ -80,6 +81,24 @@ def op10_bit_planes(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "start", F.floor(F.octet_length("ids") / 4).alias("n_tokens"), F.crc32("ids").alias("ids_crc32"))
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lowered = F.translate("text", string.ascii_uppercase, string.ascii_lowercase)
+    tampered = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0
+    done = merkle.manifest(merkle.leaves(_read(spark, sf_dir, "documents"), tamper=(tampered, "text", lowered)))
+    return done.select(F.col("id").alias("doc_id"), "leaf", "subroot", "root", F.col("proof").alias("proof_sha256"),
+                       F.col("folded").alias("folded_root"), (F.col("folded") == F.col("root")).alias("verified"))
+
+
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.group_variants(_read(spark, sf_dir, "documents"))
+
+
+def op13_stream_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship_package(spark)
+    done = stream_dedup.stream_dedup(spark, f"{sf_dir}/documents.parquet")
+    return done.select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("sha")).alias("text_sha256"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -116,10 +135,18 @@ SELECT n.doc_id, n::BIGINT AS n_bytes, coalesce(gone, 0)::BIGINT AS n_removed, c
        sha256(unhex(CASE WHEN gone IS NULL THEN x ELSE kept || substr(x, 2 * stop::BIGINT + 1) END)) AS kept_sha256
 FROM n LEFT JOIN k USING (doc_id)
 """
+OP13_SQL = r"""
+WITH d AS (SELECT doc_id, length(coalesce(text, '')) AS n, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g') AS body FROM documents)
+SELECT doc_id, first_value(doc_id) OVER w AS keep_id, count(*) OVER (PARTITION BY body) AS group_size, row_number() OVER w = 1 AS kept,
+       sha256(body) AS text_sha256
+FROM d WINDOW w AS (PARTITION BY body ORDER BY n DESC, doc_id)
+"""
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_substring_dedup, op2_spotsigs, op3_histogram_shard, op4_decontaminate, op5_suffix_dedup,
-                            op6_license_scan, op7_simhash, op8_quality, op9_byte_bpe, op10_bit_planes, pipeline)}
+                            op6_license_scan, op7_simhash, op8_quality, op9_byte_bpe, op10_bit_planes, op11_merkle_manifest, op12_spelling_variants,
+                            op13_stream_dedup, pipeline)}
 ORACLES: dict[str, str] = {
     "op1_substring_dedup": OP1_SQL, "op4_decontaminate": decontaminate.oracle_sql(), "op5_suffix_dedup": OP5_SQL,
-    "op6_license_scan": license_scan.oracle_sql()}
+    "op6_license_scan": license_scan.oracle_sql(), "op11_merkle_manifest": merkle.oracle_sql(),
+    "op12_spelling_variants": spelling.oracle_sql(), "op13_stream_dedup": OP13_SQL}
