@@ -66,7 +66,11 @@ def to_double(c) -> Column:
     """C-5: number or numeric text -> double, anything else (and NaN) -> NULL.
     The cast alone would also take the suffixes of typed literals ('5d', '1f')."""
     c = col_(c)
-    return F.when(~F.coalesce(c.try_cast("string").rlike(r"[0-9.][dDfF]\s*$"), F.lit(False)), null_nan(c.try_cast("double")))
+    return F.when(~_typed_literal(c.try_cast("string")), null_nan(c.try_cast("double")))
+
+
+def _typed_literal(text: Column) -> Column:
+    return F.coalesce(text.rlike(r"[0-9.][dDfF]\s*$"), F.lit(False))
 
 
 def safe_float(c) -> Column:
@@ -141,17 +145,19 @@ def _nutrient(value, per_100g, unit) -> Column:
 def _json_entries(obj: Column) -> Column:
     """C-12: map<string,variant> -> nutrition map (numbers, strings and
     booleans stay distinguishable through the VARIANT type)."""
+    def number(x, path):
+        return F.when(~_typed_literal(F.try_variant_get(x, path, "string")), null_nan(F.try_variant_get(x, path, "double")))
+
     def entry(_k, x):
         kind = F.schema_of_variant(x)
         is_obj = kind.startswith("OBJECT")
         has_per = F.try_variant_get(x, "$.per_100g", "variant").isNotNull()
-        per = F.when(has_per, F.try_variant_get(x, "$.per_100g", "double")).otherwise(
-            F.try_variant_get(x, "$['100g']", "double"))
+        per = F.when(has_per, number(x, "$.per_100g")).otherwise(number(x, "$['100g']"))
         unit = F.try_variant_get(x, "$.unit", "string")
         scalar = null_nan(F.try_variant_get(x, "$", "double"))
         return F.when(is_obj, F.struct(
-            null_nan(F.try_variant_get(x, "$.value", "double")).alias("value"),
-            null_nan(per).alias("per_100g"),
+            number(x, "$.value").alias("value"),
+            per.alias("per_100g"),
             F.when(unit != "", unit).alias("unit"),
             F.lit(True).alias("keep"),
         )).otherwise(F.struct(
@@ -189,7 +195,7 @@ def _json_nutriments(text: Column) -> Column:
 
 def _list_number(b: Column, pattern: str) -> Column:
     raw = F.regexp_replace(F.regexp_extract(b, pattern, 1), r"""^['"]+|['"]+$""", "")
-    num = F.when(~F.lower(raw).isin("nan", "none", "null"), null_nan(raw.try_cast("double")))
+    num = F.when(~F.lower(raw).isin("nan", "none", "null"), to_double(raw))
     return F.when(b.rlike(pattern), num)
 
 

@@ -93,3 +93,10 @@ def test_repeated_keys_and_infinity_lose_no_entry(spark):
 def test_numeric_text(spark, text, want):
     df = spark.createDataFrame([(text,)], "s string")
     assert df.select(P.to_double(F.col("s"))).first()[0] == want
+
+
+@pytest.mark.parametrize("raw", ['{"fat": {"value": "5d", "per_100g": "1f"}, "salt": {"value": "2.5", "100g": " 3 "}}',
+                                 "[{'name': 'fat', 'value': 5d, '100g': '1f'} {'name': 'salt', 'value': 2.5, '100g': '3'}]"])
+def test_suffixes_of_typed_literals_are_no_numbers_in_nutriments(spark, raw):
+    got = parse_one(spark, raw)
+    assert got["fat"][:2] == (None, None) and got["salt"][:2] == (2.5, 3.0)
