@@ -2,7 +2,7 @@
 
 A stream of raw product files runs through exactly the batch transform
 (``raw_products`` -> ``build_documents``) inside ``foreachBatch``; each
-micro-batch is upserted into the target table by id (keep latest) and rows
+micro-batch is appended to the target table as changes by id and rows
 that cannot be indexed go to a reject sink.  The streaming checkpoint lives
 under the shared ``spark.checkpoint.dir``.
 """
@@ -18,6 +18,7 @@ from pyspark.sql import types as T
 from larder.operators.enrich import build_documents
 from larder.session import ensure_checkpoint_dir
 from larder.sources.products import raw_products
+from larder.streaming import table
 
 
 def keep_latest(df: DataFrame, key: str, order_cols: list[str]) -> DataFrame:
@@ -74,45 +75,20 @@ def rebuild_metrics(raw: DataFrame, written: DataFrame, seconds: float | None =
     return out
 
 
-TARGET_BUCKETS = 64
-
-
-def path_exists(spark: SparkSession, path: str) -> bool:
-    """Whether a folder is there, in any store that Spark reads; other failures are raised."""
-    where = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where)
-
-
-def bucket_of(key) -> F.Column:
-    return F.pmod(F.xxhash64(key), F.lit(TARGET_BUCKETS)).cast("int")
-
-
 def ingest_batch(batch: DataFrame, target_path: str, reject_path: str, batch_id: int | None = None,
-                 key: str = "id") -> None:
+                 key: str = "id", name: str = "ingest") -> None:
     """One micro-batch (or one batch job): parse, build, upsert, reject.
 
-    The target is partitioned by a hash bucket of the id.  A batch reads only
-    the buckets its ids fall in (partition pruning), merges them, stages the
-    result and overwrites just those buckets (dynamic partition overwrite).
-    A batch of many random ids touches every bucket and so rewrites the table."""
+    The batch is appended to the target as one version (``streaming.table``), so it
+    writes its own rows only, whatever ids they have; the target is compacted when its changes outgrow
+    its base.  Read it with ``table.read_table``."""
     # parsed once; rows keep the order of the files, so of several rows of an id the last one wins
     docs = build_documents(raw_products(batch)).withColumn("_version", F.monotonically_increasing_id())
-    ensure_checkpoint_dir(batch.sparkSession)
-    good, bad = split_rejects(docs.checkpoint(eager=True))
-    good = good.withColumn("_bucket", bucket_of(F.col(key)))
     spark = batch.sparkSession
-    # at most TARGET_BUCKETS small ints reach the driver
-    touched = [r[0] for r in good.select("_bucket").distinct().collect()]
-    current = None
-    if path_exists(spark, target_path):
-        current = spark.read.parquet(target_path).where(F.col("_bucket").isin(touched))
-    inc = good.drop("_bucket")
-    merged = upsert(current.drop("_bucket") if current is not None else None, inc, key)
-    merged = merged.withColumn("_bucket", bucket_of(F.col(key)))
-    staging = f"{target_path}_staging"
-    merged.write.mode("overwrite").partitionBy("_bucket").parquet(staging)
-    (spark.read.parquet(staging).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-     .partitionBy("_bucket").parquet(target_path))
+    ensure_checkpoint_dir(spark)
+    good, bad = split_rejects(docs.checkpoint(eager=True))
+    table.write_changes(upsert(None, good, key), target_path, None if batch_id is None else f"{name}.{batch_id}")
+    table.compact_if_due(spark, target_path, key)
     # a replayed batch replaces its own rejects
     if batch_id is None:
         bad.write.mode("append").json(reject_path)
@@ -127,5 +103,5 @@ def start_incremental_ingest(spark: SparkSession, source_dir: str, schema: T.Str
     stream = (spark.readStream.schema(schema).option("maxFilesPerTrigger", max_files_per_trigger)
               .parquet(source_dir))
     return (stream.writeStream.option("checkpointLocation", ckpt)
-            .foreachBatch(lambda df, bid: ingest_batch(df, target_path, reject_path, bid))
+            .foreachBatch(lambda df, bid: ingest_batch(df, target_path, reject_path, bid, name=name))
             .trigger(availableNow=True).start())

@@ -9,6 +9,7 @@ from larder.operators.enrich import build_documents
 from larder.plans import fixtures as fx
 from larder.sources.products import raw_products
 from larder.streaming.ingest import keep_latest, start_incremental_ingest
+from larder.streaming.table import read_table
 
 from .conftest import SF
 
@@ -22,7 +23,7 @@ def test_stream_ingest_equals_batch(spark, scratch_dir):
     target, rejects = os.path.join(scratch_dir, "docs"), os.path.join(scratch_dir, "rejects")
     q = start_incremental_ingest(spark, src_dir, spark.read.parquet(src_dir).schema, target, rejects, name="t1")
     q.awaitTermination(300)
-    streamed = spark.read.parquet(target).drop("_bucket")
+    streamed = read_table(spark, target)
     batch = build_documents(raw_products(src))
     cols = ["id", "product_name", "brand", "category", "ingredients", "search_text"]
     assert streamed.count() == batch.count()
@@ -72,7 +73,7 @@ def test_second_batch_replaces_and_last_row_of_a_batch_wins(spark, scratch_dir):
     ingest_batch(spark.createDataFrame([("1", "old"), ("2", "two"), ("2", "two again"), ("3", None), ("", "no id")], cols).coalesce(1),
                  target, rejects, 0)
     ingest_batch(spark.createDataFrame([("1", "new")], cols), target, rejects, 1)
-    got = {r["id"]: r["product_name"] for r in spark.read.parquet(target).collect()}
+    got = {r["id"]: r["product_name"] for r in read_table(spark, target).collect()}
     assert got == {"1": "new", "2": "two again", "3": ""}
     assert [r["error"] for r in spark.read.json(rejects).collect()] == ["missing_id"]
 
