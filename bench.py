@@ -64,7 +64,7 @@ def main():
 
     def run_search():
         req = derive_requests(ann, vol.dictionary)
-        return search(req, vol.search, 10, vol.postings, vol.vgrams, settle=True).collect()
+        return search(req, vol.search, 10, vol.postings, vol.vgrams, vol.counts).collect()
 
     hits = timed("search_tiered", run_search)
     timed("index_numeric", lambda: C.index(spark, sf_dir))

@@ -15,11 +15,16 @@ _NOT_WORD_SPACE_HYPHEN = rf"[^\p{{L}}\p{{N}}_{_WS_CLASS[1:-1]}\-]"
 _NOT_WORD_SPACE_HYPHEN_DOT = rf"[^\p{{L}}\p{{N}}_{_WS_CLASS[1:-1]}\-\.]"
 
 
-def normalize_phrase(c) -> Column:
+# Punctuation of numbers: '.' and '/' between digits, '<', '<=', '>' and '>=' before one.
+_NOT_WORD_SPACE_HYPHEN_NUMERIC = (rf"(?!(?<=\d)[./](?=\d)|[<>](?=\s*=?\s*\d)|(?<=[<>])=(?=\s*\d)){_NOT_WORD_SPACE_HYPHEN}")
+
+
+def normalize_phrase(c, keep_numeric_punct: bool = False) -> Column:
     """Q-1: lower-case, drop everything but word chars, whitespace and '-',
-    collapse whitespace, trim."""
+    collapse whitespace, trim.  ``keep_numeric_punct`` keeps '2.5', '1/2' and
+    '< 5' as they are, for the bounds and quantities of Q-10 and Q-11."""
     c = F.lower(F.coalesce(col_(c), F.lit("")))
-    return collapse_ws(F.regexp_replace(c, _NOT_WORD_SPACE_HYPHEN, ""))
+    return collapse_ws(F.regexp_replace(c, _NOT_WORD_SPACE_HYPHEN_NUMERIC if keep_numeric_punct else _NOT_WORD_SPACE_HYPHEN, ""))
 
 
 def autocomplete_clean(c) -> Column:

@@ -26,6 +26,7 @@ from larder.fixed_values import (
     NORMALIZATION_STEPS,
     NUMERIC_PATTERNS,
     RECIPE_QTY_PATTERN,
+    SYNONYM_PAIRS,
 )
 from larder.functions.parse import collapse_ws
 from larder.functions.text import canonicalize, ngrams, normalize_phrase, tokenize
@@ -47,14 +48,21 @@ def _num_str(c):
     return c.cast("string")
 
 
-def normalized_query(phrase) -> F.Column:
+def normalized_query(phrase, keep_numeric_punct: bool = False, pairs=SYNONYM_PAIRS) -> F.Column:
     """Q-1 then Q-8."""
-    return canonicalize(normalize_phrase(phrase))
+    return canonicalize(normalize_phrase(phrase, keep_numeric_punct), pairs)
 
 
-def extract_constraints(df: DataFrame, text_col: str = "normalized_query") -> DataFrame:
+def _with_comparators(pattern: str) -> str:
+    """A sign that stands after a space has no word boundary before it."""
+    return pattern.replace(r"\b(?:", r"(?:(?=[<>])|\b(?![<>]))(?:", 1)
+
+
+def extract_constraints(df: DataFrame, text_col: str = "normalized_query", keep_numeric_punct: bool = False) -> DataFrame:
     """Q-9 .. Q-14 on ``text_col``; adds modifiers, numeric_filters,
-    recipe_quantities, filter_<key> columns, explanations and cleaned_query."""
+    recipe_quantities, filter_<key> columns, explanations and cleaned_query.
+    With ``keep_numeric_punct`` the signs of Q-10 match wherever they stand, and
+    a fraction is read whole, not from its last digits on."""
     t = F.col(text_col)
     mods = F.array_distinct(F.regexp_extract_all(t, F.lit(U + MODIFIER_PATTERN), 0))
     df = df.withColumn("modifiers", mods).withColumn(
@@ -64,7 +72,7 @@ def extract_constraints(df: DataFrame, text_col: str = "normalized_query") -> Da
 
     # Q-10 numeric bounds: all lte matches, then gte on the reduced text.
     for pattern, op in NUMERIC_PATTERNS:
-        p = F.lit(U + pattern)
+        p = F.lit(U + (_with_comparators(pattern) if keep_numeric_punct else pattern))
         whole = F.regexp_extract_all("_t", p, 0)
         vals = F.regexp_extract_all("_t", p, 1)
         units = F.regexp_extract_all("_t", p, 2)
@@ -84,7 +92,7 @@ def extract_constraints(df: DataFrame, text_col: str = "normalized_query") -> Da
         df = df.withColumn("_t", F.aggregate("_m", F.col("_t"), lambda acc, m: F.trim(F.replace(acc, m, F.lit(" ")))))
 
     # Q-11 recipe quantities.
-    p = F.lit(U + RECIPE_QTY_PATTERN)
+    p = F.lit(U + (r"(?<![./\d])" if keep_numeric_punct else "") + RECIPE_QTY_PATTERN)
     whole = F.regexp_extract_all("_t", p, 0)
     nums = F.regexp_extract_all("_t", p, 1)
     units = F.regexp_extract_all("_t", p, 2)
@@ -197,11 +205,11 @@ def match_entities(df: DataFrame, dictionary: DataFrame, text_col: str = "cleane
 
 
 def annotate(phrases: DataFrame, dictionary: DataFrame, size: int = DEFAULT_PAGE_SIZE, from_: int = 0,
-             phrase_col: str = "phrase") -> DataFrame:
-    """Q-20: full annotation of a phrase table."""
+             phrase_col: str = "phrase", keep_numeric_punct: bool = False, pairs=SYNONYM_PAIRS) -> DataFrame:
+    """Q-20: full annotation of a phrase table.  ``pairs`` are the synonyms (S-17: ``sources.judgments.synonym_pairs``)."""
     df = phrases.withColumn("original_query", F.col(phrase_col)).withColumn(
-        "normalized_query", normalized_query(F.col(phrase_col)))
-    df = extract_constraints(df)
+        "normalized_query", normalized_query(F.col(phrase_col), keep_numeric_punct, pairs))
+    df = extract_constraints(df, keep_numeric_punct=keep_numeric_punct)
     df = df.withColumn("intent", detect_intent("cleaned_query"))
     df = match_entities(df, dictionary)
     expl_brand = F.when(F.col("intent") == "brand_search", explicit_brand("cleaned_query"))

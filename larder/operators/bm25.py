@@ -7,13 +7,20 @@ counts, field statistics and the neighbourhoods of the vocabulary; a search
 joins its terms to these tables and reads no document text but that of the
 filters.  Per-(query, document, field) aggregates are bounded by the number of
 query terms and the length of the field.
+
+A long text needs many of its terms in one field (R-12), so most of its
+postings are never joined: with ``need`` of ``n`` positions required, a field
+that matches holds at least ``j`` of any ``n - need + j`` of them.  The rarest
+ones, by the postings of their expansions, are counted first, as bits; only the
+documents that reach ``j`` meet the common terms.  The total counts every match,
+so maxima of scores could skip nothing further.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from larder.fixed_values import (
@@ -30,6 +37,7 @@ from larder.fixed_values import (
     SYNONYM_PAIRS,
 )
 from larder.functions.text import analyzed_terms
+from larder.operators.joins import broadcast_if_small
 from larder.operators.retrieve import REQUEST_COLS, numeric_ok, top_hits
 from larder.session import ensure_checkpoint_dir
 
@@ -51,14 +59,14 @@ def field_terms(docs: DataFrame, fields: dict[str, str]) -> DataFrame:
             .select("f.field", "doc_id", F.posexplode("f.terms").alias("pos", "term")))
 
 
-def _partner(term) -> F.Column:
+def _partner(term, pairs) -> F.Column:
     out = F.lit(None).cast("string")
-    for a, b in SYNONYM_PAIRS:
+    for a, b in pairs:
         out = F.when(term == a, F.lit(b)).when(term == b, F.lit(a)).otherwise(out)
     return out
 
 
-def positional_postings(docs: DataFrame) -> DataFrame:
+def positional_postings(docs: DataFrame, pairs=SYNONYM_PAIRS) -> DataFrame:
     """I-1/I-3: (field, term, doc_id, dl, tf, positions) with synonym partners
     injected at the same position for the synonym-analysed fields; ``dl`` is the
     number of terms of the field, partners not counted."""
@@ -67,7 +75,7 @@ def positional_postings(docs: DataFrame) -> DataFrame:
     base = (docs.select(F.col("id").alias("doc_id"), F.explode(parts).alias("f"))
             .select("doc_id", "f.field", "f.syn", F.size("f.terms").alias("dl"), F.posexplode("f.terms").alias("pos", "term")))
     term = F.col("term")
-    both = F.array_compact(F.array(term, F.when(F.col("syn"), _partner(term))))
+    both = F.array_compact(F.array(term, F.when(F.col("syn"), _partner(term, pairs))))
     return (base.select("field", "doc_id", "dl", "pos", F.explode(both).alias("term"))
             .groupBy("field", "term", "doc_id", "dl")
             .agg(F.count(F.lit(1)).alias("tf"), F.sort_array(F.collect_list("pos")).alias("positions")))
@@ -90,15 +98,73 @@ class TextIndex:
     terms: DataFrame     # field, term, df
     stats: DataFrame     # field, n_docs, avgdl
     near: DataFrame      # key, vterm
+    pairs: list = field(default_factory=lambda: SYNONYM_PAIRS)
 
 
-def text_index(docs: DataFrame) -> TextIndex:
-    """I-3: analyses ``docs`` once; every table is checkpointed in the shared folder."""
-    ensure_checkpoint_dir(docs.sparkSession)
-    post = positional_postings(docs).checkpoint(eager=True)
+def text_index(docs: DataFrame, buckets: int | None = None, pairs=SYNONYM_PAIRS) -> TextIndex:
+    """I-3: analyses ``docs`` once; every table is written in the shared folder, the postings bucketed by document."""
+    from larder.plans.index import bucketed_table
+    spark = docs.sparkSession
+    ensure_checkpoint_dir(spark)
+    post = bucketed_table(spark, positional_postings(docs, pairs), "doc_id", buckets or int(spark.conf.get("spark.sql.shuffle.partitions")),
+                          "terms")
     terms = term_stats(post).checkpoint(eager=True)
     return TextIndex(post, terms, field_stats(post).checkpoint(eager=True),
-                     vocabulary_keys(terms.select("term").distinct()).checkpoint(eager=True))
+                     vocabulary_keys(terms.select("term").distinct()).checkpoint(eager=True), pairs)
+
+
+# Rows of query terms above this many are joined by shuffle instead of broadcast (about 100 bytes each).
+TERM_BROADCAST_ROWS = 1_000_000
+# Texts that need fewer positions than this are joined to all their postings at once.
+PRUNE_NEED = 4
+_BITS = 60
+
+
+def _planned_terms(req: DataFrame, index: TextIndex) -> DataFrame:
+    """Query terms with their expansions in each field, without fields that can't match:
+    ``need`` positions are required, ``probed`` ones (the rarest) are counted first and ``reach`` of them required."""
+    # the minimum counts the words of the text, which may hold several terms
+    q = req.where(F.col("text") != "").select(
+        "query_id", F.size(F.split(F.trim("text"), r"\s+")).alias("nw"), analyzed_terms(F.col("text")).alias("terms"))
+    q = q.select("query_id", "nw", F.size("terms").alias("nq"), F.posexplode("terms").alias("qpos", "term"))
+    q = q.join(fuzzy_expansions(q, index.near), "term").withColumn("exact", F.col("term") == F.col("vterm"))
+    q = q.drop("term").withColumnRenamed("vterm", "term")
+    idf = F.log(1 + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    q = q.join(index.terms, "term").join(index.stats, "field").select(
+        "query_id", "nw", "nq", "qpos", "term", "exact", "field", "avgdl", idf.alias("idf"), "df").checkpoint(eager=True)
+    need = F.least(tiered_minimum_should_match(F.col("nw")), F.col("nq"))
+    per_field = Window.partitionBy("query_id", "field")
+    places = q.groupBy("query_id", "field", "nw", "nq", "qpos").agg(F.sum("df").alias("cost"))
+    places = places.withColumn("present", F.count(F.lit(1)).over(per_field)).withColumn("need", need).where("present >= need")
+    places = places.withColumn("place", F.row_number().over(per_field.orderBy("cost", "qpos")))
+    reach = F.floor(F.col("need") / 2).cast("int")
+    places = places.withColumn("reach", F.when(F.col("need") >= PRUNE_NEED, reach))
+    probed = F.col("place") <= F.col("present") - F.col("need") + F.col("reach")
+    return q.drop("df").join(places.select("query_id", "field", "qpos", "reach", F.coalesce(probed, F.lit(False)).alias("probed")),
+                             ["query_id", "field", "qpos"]).checkpoint(eager=True)
+
+
+def matching_postings(req: DataFrame, index: TextIndex) -> DataFrame:
+    """A row for each query term and posting that can count: all of them for short texts, those of the documents
+    that hold enough rare terms for long ones."""
+    q = _planned_terms(req, index)
+    cols = ["query_id", "nw", "nq", "qpos", "exact", "avgdl", "idf"]
+    few, many = q.where("reach IS NULL"), q.where("reach IS NOT NULL")
+    direct = index.postings.join(broadcast_if_small(few.select("field", "term", *cols), TERM_BROADCAST_ROWS), ["field", "term"])
+    # the postings are bucketed by document: with broadcast terms, nothing is exchanged up to the candidates
+    rare = broadcast_if_small(many.where("probed").select("field", "term", "query_id", "reach", "qpos"), TERM_BROADCAST_ROWS)
+    bits = index.postings.select("field", "term", "doc_id").join(rare, ["field", "term"]).groupBy(
+        "doc_id", "query_id", "field", "reach", F.floor(F.col("qpos") / _BITS).alias("block")).agg(
+        F.bit_or(F.expr(f"shiftleft(1L, qpos % {_BITS})")).alias("held"))
+    cands = bits.groupBy("doc_id", "query_id", "field", "reach").agg(F.sum(F.bit_count("held")).alias("n")).where("n >= reach")
+    wanted = broadcast_if_small(many.select("field", "term").distinct(), TERM_BROADCAST_ROWS)
+    theirs = index.postings.join(wanted, ["field", "term"], "left_semi").withColumnRenamed("field", "_field")
+    # by document alone, so that both sides keep their places
+    met = cands.select("doc_id", "query_id", "field").join(theirs, "doc_id").where(F.col("field") == F.col("_field")).drop("_field")
+    terms = broadcast_if_small(many.select("field", "term", *cols), TERM_BROADCAST_ROWS)
+    long = met.join(terms, ["query_id", "field", "term"])
+    out = ["query_id", "doc_id", "field", "nw", "nq", "qpos", "exact", "avgdl", "idf", "dl", "tf", "positions"]
+    return direct.select(*out).unionByName(long.select(*out))
 
 
 def tiered_minimum_should_match(n) -> F.Column:
@@ -114,16 +180,7 @@ def clause_scores(req: DataFrame, index: TextIndex, k1: float = BM25_K1, b: floa
     * ``all_terms``: every term as it is;
     * ``fuzzy`` (R-11 .. R-13): at least the minimum of terms, each within its
       edit distance; of a term's expansions the best one counts."""
-    # the minimum counts the words of the text, which may hold several terms
-    q = req.where(F.col("text") != "").select(
-        "query_id", F.size(F.split(F.trim("text"), r"\s+")).alias("nw"), analyzed_terms(F.col("text")).alias("terms"))
-    q = q.select("query_id", "nw", F.size("terms").alias("nq"), F.posexplode("terms").alias("qpos", "term"))
-    q = q.join(fuzzy_expansions(q, index.near), "term").withColumn("exact", F.col("term") == F.col("vterm"))
-    q = q.drop("term").withColumnRenamed("vterm", "term")
-    idf = F.log(1 + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    q = q.join(index.terms, "term").join(index.stats, "field").select(
-        "query_id", "nw", "nq", "qpos", "term", "exact", "field", "avgdl", idf.alias("idf"))
-    hits = q.join(index.postings, ["field", "term"]).withColumn("norm", k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
+    hits = matching_postings(req, index).withColumn("norm", k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
     hits = hits.withColumn("s", F.col("idf") * F.col("tf") / (F.col("tf") + F.col("norm")))
     # one exchange serves the three aggregates below
     hits = hits.repartition("query_id", "doc_id")
@@ -149,21 +206,21 @@ def clause_scores(req: DataFrame, index: TextIndex, k1: float = BM25_K1, b: floa
         F.max(F.when(F.col("any_n") >= tiered_minimum_should_match(F.col("nw")), boost * F.col("any_s"))).alias("fuzzy"))
 
 
-def _holds_terms(field: str, text: str, wanted: str) -> F.Column:
+def _holds_terms(field: str, text: str, wanted: str, pairs) -> F.Column:
     """Whether each term of the filter is a term of the field (or, in fields
     with synonyms, the partner of one); a filter without terms holds nowhere."""
     have, want = analyzed_terms(F.col(text)), analyzed_terms(F.col(wanted))
     partner = INDEX_FIELDS[field][1]
     each = F.forall(want, lambda t: F.array_contains(have, t) | (
-        F.coalesce(F.array_contains(have, _partner(t)), F.lit(False)) if partner else F.lit(False)))
+        F.coalesce(F.array_contains(have, _partner(t, pairs)), F.lit(False)) if partner else F.lit(False)))
     return F.col(wanted).isNull() | ((F.size(want) > 0) & each)
 
 
-def term_filters_ok() -> F.Column:
+def term_filters_ok(pairs=SYNONYM_PAIRS) -> F.Column:
     """P-1 .. P-8 of the index: brand, category and ingredient filters by terms
     in any order, flags and numbers as in the tiered search."""
-    ok = (_holds_terms("brand", "brand_l", "brand_f") & _holds_terms("category", "cat_l", "category_f")
-          & _holds_terms("ingredients", "ing_l", "ingredients_f"))
+    ok = (_holds_terms("brand", "brand_l", "brand_f", pairs) & _holds_terms("category", "cat_l", "category_f", pairs)
+          & _holds_terms("ingredients", "ing_l", "ingredients_f", pairs))
     for f in FLAG_NAMES:
         want = F.col(f"flag_filters.{f}")
         ok = ok & (want.isNull() | (F.col(f"flags.{f}") == want))
@@ -184,7 +241,7 @@ def bm25_search(req: DataFrame, index: TextIndex, search_tbl: DataFrame, limit:
     kept = F.col(column[clause]).isNotNull() if clause else F.coalesce("phrase", "all_terms", "fuzzy").isNotNull()
     text_score = sum((F.coalesce(F.col(c) * w, F.lit(0.0)) for c, w in (
         ("phrase", PHRASE_BOOST), ("all_terms", AND_MATCH_BOOST), ("fuzzy", FUZZY_BOOST))), F.lit(0.0))
-    rows = h.where(kept).join(req, "query_id").join(search_tbl, "doc_id").where(term_filters_ok())
+    rows = h.where(kept).join(req, "query_id").join(search_tbl, "doc_id").where(term_filters_ok(index.pairs))
     mods = F.aggregate(F.col("modifiers"), F.lit(0.0), lambda acc, m: acc + F.when(
         F.exists(analyzed_terms(F.col("name_l")), lambda t: t == F.lower(m)), F.lit(MODIFIER_BOOST)).otherwise(0.0))
     palm = F.when(F.col("flag_filters.is_palm_oil_free") & F.col("flags.is_palm_oil_free"),

@@ -94,7 +94,11 @@ def build_dictionary(spark: SparkSession, raw: DataFrame, top: dict | None = Non
     in_ingredients): one row per term with its
     highest-precedence kind (brands > categories > ingredients > allergens >
     sustainability > nutrition > countries)."""
-    built = dictionary_topk(raw, top).select("term", "kind")
+    return lookup_dictionary(spark, dictionary_topk(raw, top).select("term", "kind"))
+
+
+def lookup_dictionary(spark: SparkSession, built: DataFrame) -> DataFrame:
+    """``build_dictionary`` from its built terms (term, kind)."""
     # A-3: the always-included ingredients are added unconditionally; a term
     # already built as an ingredient collapses in the group-by below, which
     # equals adding only the missing ones and reads the top-N table once.
@@ -142,3 +146,23 @@ def write_dictionary(dictionary: DataFrame, path: str) -> None:
 def read_dictionary(spark: SparkSession, path: str) -> DataFrame:
     """S-14 source; terms lower-cased on load."""
     return spark.read.parquet(path).withColumn("term", F.lower("term"))
+
+
+def write_dictionary_json(built: DataFrame, path: str) -> None:
+    """S-14 sink, JSON layout: one object with a list of terms for each built kind, the most frequent first, then
+    the always-included ingredients that are missing.  ``built`` is ``dictionary_topk`` (at most ``DICTIONARY_TOP`` terms a kind)."""
+    rows = built.select("kind", "term", "rank").unionByName(
+        always_include(built.sparkSession, built).select("kind", "term", F.lit(1 << 40).cast("long").alias("rank")))
+    lists = rows.groupBy("kind").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "term"))), lambda x: x["term"]).alias("terms"))
+    one = lists.agg(*[F.coalesce(F.first(F.when(F.col("kind") == k, F.col("terms")), True), F.array().cast("array<string>")).alias(k)
+                      for k in ENTITY_KINDS[:3]])
+    one.coalesce(1).write.mode("overwrite").json(path)
+
+
+def read_dictionary_json(spark: SparkSession, path: str) -> DataFrame:
+    """S-14 source, JSON layout: the lookup dictionary; terms lower-cased on load, kinds that are absent empty."""
+    kinds = ENTITY_KINDS[:3]
+    one = spark.read.schema(", ".join(f"{k} array<string>" for k in kinds)).option("multiLine", True).json(path)
+    lists = F.array(*[F.struct(F.lit(k).alias("kind"), F.col(k).alias("terms")) for k in kinds])
+    built = one.select(F.explode(lists).alias("l")).select(F.explode("l.terms").alias("term"), F.col("l.kind").alias("kind"))
+    return lookup_dictionary(spark, built.select(F.lower("term").alias("term"), "kind").where("term IS NOT NULL").distinct())

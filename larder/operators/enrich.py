@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from larder.fixed_values import SYNONYM_PAIRS
 from larder.functions.flags import dietary_flags
 from larder.functions.text import canonicalize
 
@@ -54,7 +55,7 @@ def build_documents(raw: DataFrame, dataset_id: str = "default") -> DataFrame:
     )
 
 
-def search_table(docs: DataFrame) -> DataFrame:
+def search_table(docs: DataFrame, pairs=SYNONYM_PAIRS) -> DataFrame:
     """Columns the tiered scorer and the filters read, computed once per
     document instead of once per (phrase, document) pair:
 
@@ -71,7 +72,7 @@ def search_table(docs: DataFrame) -> DataFrame:
     cols = [F.col("id").alias("doc_id"), F.col("product_name"), F.col("brand"), F.col("category"),
             F.col("ingredients"), F.col("search_text")]
     cols += [v.alias(k) for k, v in low.items()]
-    cols += [canonicalize(v).alias(k[:-2] + "_c") for k, v in low.items()]
+    cols += [canonicalize(v, pairs).alias(k[:-2] + "_c") for k, v in low.items()]
     cols += [F.col("attributes.flags").alias("flags"), F.col("attributes.nutrition").alias("nutrition"),
              F.coalesce(F.col("metadata.completeness"), F.lit(0.0)).alias("completeness")]
     return docs.select(*cols)

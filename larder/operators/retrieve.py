@@ -9,16 +9,20 @@ Plan shape (no phrase x document cross join anywhere):
 2. *Key -> vocabulary words*: a space-free key is a substring of a field iff
    it is a substring of one of the field's words, so keys are matched against
    the distinct vocabulary (small next to the documents) through an
-   equi-join on a character gram of the key, then verified with ``contains``.
+   equi-join on the key's rarest character gram, then verified with ``contains``.
 3. *Words -> documents* through the postings table (word, doc_id, mask).  The
    mask tells the fields, so the token part of the score is an aggregate of
    numbers.  Hot words are the skew case; AQE splits those partitions.
-4. Requests with neither text nor a text filter (flags / numeric / nothing)
-   go through a *signature* path: distinct filter signatures expand to the
-   compatible 9-bit flag vectors, which equi-join the documents' flag vector.
-5. Score, filter, then top-k per phrase with ``row_number`` (planned as a
-   partial WindowGroupLimit before the exchange, so a hot phrase ships at most
-   k rows per task) and the total per phrase with a partial aggregate.
+4. Cores with neither text nor a text filter take every document that the
+   flags common to their requests allow: the compatible 9-bit flag vectors
+   equi-join the documents' flag vector.
+5. *Cores*: requests that differ only in flags, numeric bounds and paging share
+   a core, which is scored once.  Its documents fall into classes: equal in the
+   flags that some request asks for, and on the same side of every bound.  A
+   class keeps its count and its best documents (``row_number`` planned as a
+   partial WindowGroupLimit before the exchange), and a request adds up the
+   counts and merges the heads of the classes that it accepts.  So a bound or a
+   flag chooses classes; it isn't tested on each pair of request and document.
 """
 
 from __future__ import annotations
@@ -34,6 +38,7 @@ from larder.fixed_values import (
     FLAG_NAMES,
     MODIFIER_NAME_BONUS,
     NUTRIENT_FIELD_MAP,
+    SYNONYM_PAIRS,
     TIER_PHRASE,
     TOKEN_MULTIPLIER,
 )
@@ -72,6 +77,11 @@ def vocabulary_grams(post: DataFrame) -> DataFrame:
     return vocab.select(F.explode(g).alias("gram"), "word")
 
 
+def gram_counts(vgrams: DataFrame) -> DataFrame:
+    """(gram, n): how many vocabulary words hold each gram."""
+    return vgrams.groupBy("gram").agg(F.count(F.lit(1)).alias("n"))
+
+
 # ---------------------------------------------------------------- request side
 def _tokens(text) -> F.Column:
     return F.filter(F.split(text, " "), lambda t: F.length(t) > 1)
@@ -81,13 +91,13 @@ def _first_word(v) -> F.Column:
     return F.get(F.filter(F.split(F.lower(v), WORD_SPLIT), lambda t: t != ""), 0)
 
 
-def candidate_keys(req: DataFrame) -> DataFrame:
+def candidate_keys(req: DataFrame, pairs=SYNONYM_PAIRS) -> DataFrame:
     """(query_id, tok, key, own) rows for requests answered through the
     postings: each token by its number, under its own key and those of its
     synonyms; keys that choose documents but score nothing have ``tok`` -1."""
     text = F.col("text")
     toks = _tokens(text)
-    own = F.flatten(F.transform(toks, lambda t, i: F.transform(synonym_variants(t), lambda v: F.struct(
+    own = F.flatten(F.transform(toks, lambda t, i: F.transform(synonym_variants(t, pairs), lambda v: F.struct(
         i.alias("tok"), v.alias("key"), (v == t).alias("own")))))
 
     def plain(keys):
@@ -107,7 +117,18 @@ def candidate_keys(req: DataFrame) -> DataFrame:
 MATCH_BROADCAST_ROWS = 2_000_000
 
 
-def postings_candidates(req: DataFrame, post: DataFrame, vgrams: DataFrame) -> DataFrame:
+def matching_words(keys: DataFrame, vgrams: DataFrame, counts: DataFrame) -> DataFrame:
+    """(key, word): the vocabulary words that contain each of ``keys`` (key).
+    Of a key's grams the rarest is read; a key with a gram that no word holds
+    matches none.  ``contains`` tests the others on the word itself."""
+    each = keys.select("key", F.explode(grams("key", 3)).alias("gram")).join(counts, "gram", "left")
+    rarest = each.groupBy("key").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "gram")).alias("rare"))
+    rarest = rarest.where(F.col("rare.n") > 0).select("key", F.col("rare.gram").alias("gram"))
+    return rarest.join(vgrams, "gram").where(F.col("word").contains(F.col("key"))).select("key", "word")
+
+
+def postings_candidates(req: DataFrame, post: DataFrame, vgrams: DataFrame, counts: DataFrame | None = None,
+                        pairs=SYNONYM_PAIRS) -> DataFrame:
     """(query_id, doc_id, n_match, tok_score): documents holding some key as a
     substring of a word, with the number of tokens that a canonical field
     contains and the sum of their best field weights.
@@ -119,9 +140,9 @@ def postings_candidates(req: DataFrame, post: DataFrame, vgrams: DataFrame) -> D
     postings stay in their doc_id partitioning and the aggregates below need no
     exchange; otherwise both sides shuffle on the word."""
     from larder.operators.joins import broadcast_if_small
-    keys = candidate_keys(req).withColumn("gram", F.substring("key", 1, 3))
-    words = (keys.join(vgrams, "gram").where(F.col("word").contains(F.col("key")))
-             .groupBy("query_id", "tok", "word").agg(F.max("own").alias("own"))
+    keys = candidate_keys(req, pairs)
+    found = matching_words(keys.select("key").distinct(), vgrams, counts if counts is not None else gram_counts(vgrams))
+    words = (keys.join(found, "key").groupBy("query_id", "tok", "word").agg(F.max("own").alias("own"))
              .groupBy("query_id", F.floor(F.col("tok") / BLOCK_TOKENS).alias("block"), "word")
              .agg(F.coalesce(F.bit_or(F.when(F.col("own"), F.expr(f"shiftleft(1L, pmod(tok, {BLOCK_TOKENS}))"))),
                              F.lit(0).cast("long")).alias("toks")))
@@ -148,16 +169,22 @@ def _flag_bits(flags) -> F.Column:
     return out
 
 
-def signature_candidates(req: DataFrame, search_tbl: DataFrame) -> DataFrame:
-    """(query_id, doc_id) for requests with no text and no text filter."""
-    plain = req.where((F.col("text") == "") & F.col("brand_f").isNull() & F.col("category_f").isNull()
-                      & F.col("ingredients_f").isNull())
-    mask = F.lit(0)
-    want = F.lit(0)
+def _flag_masks() -> tuple[F.Column, F.Column]:
+    """Bits of the flags that a request asks for, and of those it wants true."""
+    mask = want = F.lit(0)
     for i, f in enumerate(FLAG_NAMES):
         v = F.col(f"flag_filters.{f}")
         mask = mask + F.when(v.isNotNull(), F.lit(1 << i)).otherwise(F.lit(0))
         want = want + F.when(v, F.lit(1 << i)).otherwise(F.lit(0))
+    return mask, want
+
+
+def signature_candidates(req: DataFrame, search_tbl: DataFrame, mask=None, want=None) -> DataFrame:
+    """(query_id, doc_id) for requests with no text and no text filter."""
+    plain = req.where((F.col("text") == "") & F.col("brand_f").isNull() & F.col("category_f").isNull()
+                      & F.col("ingredients_f").isNull())
+    if mask is None:
+        mask, want = _flag_masks()
     sig = plain.select("query_id", mask.alias("mask"), want.alias("want"))
     vec = sig.select("query_id", F.explode(F.filter(
         F.sequence(F.lit(0), F.lit((1 << len(FLAG_NAMES)) - 1)),
@@ -185,11 +212,17 @@ def numeric_ok(numeric_filters, nutrition) -> F.Column:
     return (F.size(numeric_filters) == 0) | F.forall(numeric_filters, one)
 
 
-def filters_ok() -> F.Column:
-    """P-1 .. P-6 over the joined (request, document) row."""
+def text_filters_ok() -> F.Column:
+    """P-1 .. P-3 over the joined (request, document) row."""
     ok = F.lit(True)
     for f, col in (("brand_f", "brand_l"), ("category_f", "cat_l"), ("ingredients_f", "ing_l")):
         ok = ok & (F.col(f).isNull() | F.col(col).contains(F.lower(F.col(f))))
+    return ok
+
+
+def filters_ok() -> F.Column:
+    """P-1 .. P-8 over the joined (request, document) row."""
+    ok = text_filters_ok()
     for f in FLAG_NAMES:
         want = F.col(f"flag_filters.{f}")
         ok = ok & (want.isNull() | (F.col(f"flags.{f}") == want))
@@ -224,7 +257,7 @@ DOC_COLS = ["doc_id", "name_c", "brand_c", "cat_c", "text_c", "brand_l", "cat_l"
 
 
 def scored_hits(req: DataFrame, search_tbl: DataFrame, post: DataFrame | None = None,
-                vgrams: DataFrame | None = None, materialize: bool = True) -> DataFrame:
+                vgrams: DataFrame | None = None, materialize: bool = True, counts: DataFrame | None = None) -> DataFrame:
     """Every (query_id, doc_id, score) that the tiered scorer keeps.
 
     The request table feeds three branches (postings keys, signature path,
@@ -235,7 +268,7 @@ def scored_hits(req: DataFrame, search_tbl: DataFrame, post: DataFrame | None =
         req = req.checkpoint(eager=True)
     post = post if post is not None else postings(search_tbl)
     vgrams = vgrams if vgrams is not None else vocabulary_grams(post)
-    cands = postings_candidates(req, post, vgrams).unionByName(signature_candidates(req, search_tbl))
+    cands = postings_candidates(req, post, vgrams, counts).unionByName(signature_candidates(req, search_tbl))
     rows = cands.join(req, "query_id").join(search_tbl.select(*DOC_COLS), "doc_id").where(filters_ok())
     rows = rows.select("query_id", "doc_id", "size", "from_", "text", "modifiers", "completeness",
                        "n_match", "tok_score", "name_c", "brand_c", "cat_c", "text_c")
@@ -269,20 +302,132 @@ def top_hits(scored: DataFrame, limit: int | None = None, settle: bool = False)
     return hits
 
 
+# --------------------------------------------------------------------- cores
+CORE_COLS = ["text", "brand_f", "category_f", "ingredients_f", "modifiers"]
+
+
+def _row_key(cols: list[str]) -> F.Column:
+    return F.sha2(F.to_json(F.struct(*cols), {"ignoreNullFields": "false"}), 256)
+
+
+def with_core(req: DataFrame) -> DataFrame:
+    """Requests with ``core`` (what they share but flags, bounds and paging), ``mask, want`` (flag bits) and
+    ``limits``: their numeric filters on the mapped nutrient."""
+    mask, want = _flag_masks()
+    limits = F.transform("numeric_filters", lambda nf: F.struct(
+        F.coalesce(F.try_element_at(nutrient_map(), nf["nutrient"]), nf["nutrient"]).alias("nutrient"),
+        F.coalesce(nf["comparison_basis"] == "per_100g", F.lit(False)).alias("per_100g"),
+        nf["operator"].alias("operator"), nf["value"].alias("value")))
+    return req.select("*", _row_key(CORE_COLS).alias("core"), mask.alias("mask"), want.alias("want"), limits.alias("limits"))
+
+
+def core_requests(req: DataFrame) -> DataFrame:
+    """One request for each core of ``with_core``, named by it in ``query_id``:
+
+    * ``asked``: the flags that some request asks for; ``must``, ``must_not``:
+      those that all ask for with the same value;
+    * ``keys``: for each nutrient with a bound its distinct bounds, whether all
+      requests have one (a missing value then fails all), and the loosest lower
+      and upper bounds (null where some request has none): no request of the
+      core accepts a document outside."""
+    flags = req.groupBy("core", *CORE_COLS).agg(
+        F.count(F.lit(1)).alias("n"), F.bit_or("mask").alias("asked"), F.bit_and("want").alias("must"),
+        F.bit_and(F.col("mask").bitwiseAND(F.bitwise_not("want"))).alias("must_not"))
+    one = req.select("core", "query_id", F.explode("limits").alias("l")).select("core", "query_id", "l.*")
+    own = one.groupBy("core", "query_id", "nutrient", "per_100g").agg(
+        F.collect_set("value").alias("values"), F.max(F.when(F.col("operator") == "gte", F.col("value"))).alias("low"),
+        F.min(F.when(F.col("operator") == "lte", F.col("value"))).alias("high"))
+    per_key = own.groupBy("core", "nutrient", "per_100g").agg(
+        F.sort_array(F.array_distinct(F.flatten(F.collect_set("values")))).alias("bounds"), F.count(F.lit(1)).alias("asked_by"),
+        F.count("low").alias("n_low"), F.min("low").alias("low"), F.count("high").alias("n_high"), F.max("high").alias("high"))
+    loosest = flags.select("core", "n").join(per_key, "core").select("core", F.struct(
+        "nutrient", "per_100g", "bounds", (F.col("asked_by") == F.col("n")).alias("needed"),
+        F.when(F.col("n_low") == F.col("n"), F.col("low")).alias("low"),
+        F.when(F.col("n_high") == F.col("n"), F.col("high")).alias("high")).alias("key"))
+    keys = loosest.groupBy("core").agg(F.sort_array(F.collect_list("key")).alias("keys"))
+    none = F.array().cast(dict(keys.dtypes)["keys"])
+    return flags.join(keys, "core", "left").select(
+        F.col("core").alias("query_id"), *CORE_COLS, "asked", "must", "must_not", F.coalesce("keys", none).alias("keys"))
+
+
+def _amount(key) -> F.Column:
+    entry = F.try_element_at(F.col("nutrition"), key["nutrient"])
+    return F.when(key["per_100g"], entry["per_100g"]).otherwise(entry["value"])
+
+
+def _side(bounds, v) -> F.Column:
+    """Where a value lies among sorted bounds: 2i before the i-th (from 0), 2i + 1 on it, -1 if missing."""
+    below = F.size(F.filter(bounds, lambda b: b < v))
+    return F.when(v.isNotNull(), below * 2 + F.array_contains(bounds, v).cast("int")).otherwise(-1)
+
+
+def core_hits(cores: DataFrame, search_tbl: DataFrame, post: DataFrame, vgrams: DataFrame, counts: DataFrame | None = None,
+              pairs=SYNONYM_PAIRS) -> DataFrame:
+    """Every (core, doc_id, score, flag_bits, sides, amounts) of ``core_requests`` that the tiered scorer keeps and some
+    request of the core may accept."""
+    mask = F.col("must").bitwiseOR(F.col("must_not"))
+    cands = postings_candidates(cores, post, vgrams, counts, pairs).unionByName(signature_candidates(cores, search_tbl, mask, F.col("must")))
+    inside = F.forall("keys", lambda k: (~k["needed"] | _amount(k).isNotNull())
+                      & F.coalesce(_amount(k) >= k["low"], F.lit(True)) & F.coalesce(_amount(k) <= k["high"], F.lit(True)))
+    rows = cands.join(cores, "query_id").join(search_tbl.select(*DOC_COLS), "doc_id")
+    rows = rows.where(text_filters_ok() & (_flag_bits(F.col("flags")).bitwiseAND(mask) == F.col("must"))
+                      & ((F.size("keys") == 0) | inside))
+    rows = rows.select("query_id", "doc_id", "text", "modifiers", "completeness", "n_match", "tok_score", "name_c", "brand_c", "cat_c",
+                       "text_c", "keys", _flag_bits(F.col("flags")).bitwiseAND(F.col("asked")).alias("flag_bits"),
+                       F.transform("keys", _amount).alias("amounts"))
+    scored = evaluate_once(with_tiered_score(rows, "_raw"), "score", F.round("_raw", 6)).where(F.col("score").isNotNull())
+    sides = F.transform("keys", lambda k, i: _side(k["bounds"], F.get("amounts", i)))
+    return scored.select(F.col("query_id").alias("core"), "doc_id", "score", "flag_bits", sides.alias("sides"), "amounts")
+
+
+def _accepts() -> F.Column:
+    """Whether a request accepts a class: its flags, and its bounds on the amounts of any document of the class."""
+    def holds(f):
+        at = F.array_position(F.transform("keys", lambda k: F.struct(k["nutrient"], k["per_100g"])), F.struct(f["nutrient"], f["per_100g"]))
+        v = F.get("amounts", at.cast("int") - 1)
+        return F.coalesce(F.when(f["operator"] == "gte", v >= f["value"]).when(f["operator"] == "lte", v <= f["value"])
+                          .otherwise(v.isNotNull()), F.lit(False))
+    return (F.col("flag_bits").bitwiseAND(F.col("mask")) == F.col("want")) & ((F.size("limits") == 0) | F.forall("limits", holds))
+
+
 def search(req: DataFrame, search_tbl: DataFrame, limit: int | None = None, post: DataFrame | None = None,
-           vgrams: DataFrame | None = None, settle: bool = False) -> DataFrame:
-    """Requests x documents -> ranked hits (query_id, rank, doc_id, score, total).
+           vgrams: DataFrame | None = None, counts: DataFrame | None = None, empty_pages: bool = False,
+           pairs=SYNONYM_PAIRS) -> DataFrame:
+    """Requests x documents -> ranked hits (query_id, rank, doc_id, score, total),
+    written to the shared folder.  ``limit`` makes it a top-k report; without it
+    each request gets its page.  With ``empty_pages`` a request without hits on
+    its page has one row: its total, and null for the rest.
 
     Requests that differ in their id alone are ranked once, by the smallest
-    id, and share its hits."""
-    key = F.sha2(F.to_json(F.struct(*REQUEST_COLS[1:]), {"ignoreNullFields": "false"}), 256)
-    req = req.select(*REQUEST_COLS, key.alias("_key")).checkpoint(eager=True)
+    id, and share its hits.  ``pairs`` are the synonyms of the search table."""
+    req = req.select(*REQUEST_COLS, _row_key(REQUEST_COLS[1:]).alias("_key")).checkpoint(eager=True)
     first = req.groupBy("_key").agg(F.min("query_id").alias("query_id"))
     if limit is None:
         limit = req.agg(F.max(F.col("from_") + F.col("size"))).first()[0] or 0
-    hits = top_hits(scored_hits(req.join(first, ["_key", "query_id"]), search_tbl, post, vgrams), limit, settle)
+    own = with_core(req.join(first, ["_key", "query_id"])).checkpoint(eager=True)
+    cores = core_requests(own).checkpoint(eager=True)
+    post = post if post is not None else postings(search_tbl)
+    vgrams = vgrams if vgrams is not None else vocabulary_grams(post)
+    # counts and heads both read the scored set: scoring runs once (a persisted block lost with an executor is recomputed)
+    scored = core_hits(cores, search_tbl, post, vgrams, counts, pairs).persist(StorageLevel.MEMORY_AND_DISK)
+    in_class = ["core", "flag_bits", "sides"]
+    order = [F.col("score").desc(), F.col("doc_id")]
+    best = F.row_number().over(Window.partitionBy(*in_class).orderBy(*order))
+    heads = scored.withColumn("place", best).where(F.col("place") <= limit).select(*in_class, "doc_id", "score").checkpoint(eager=True)
+    classes = scored.groupBy(*in_class).agg(F.count(F.lit(1)).alias("n"), F.first("amounts").alias("amounts")).checkpoint(eager=True)
+    scored.unpersist()
+    asking = own.join(cores.select(F.col("query_id").alias("core"), "keys"), "core")
+    chosen = asking.join(classes, "core").where(_accepts()).select("query_id", "size", "from_", *in_class, "n")
+    totals = own.select("query_id").join(chosen.groupBy("query_id").agg(F.sum("n").alias("total")), "query_id", "left").select(
+        "query_id", F.coalesce("total", F.lit(0)).alias("total"))
+    merged = chosen.select("query_id", "size", "from_", *in_class).join(heads, in_class)
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(*order))
+    ranked = merged.withColumn("rank", rank).where(F.col("rank") <= limit)
+    page = ranked.where((F.col("rank") > F.col("from_")) & (F.col("rank") <= F.col("from_") + F.col("size")))
+    hits = totals.join(page.select("query_id", F.col("rank").cast("long").alias("rank"), "doc_id", "score"), "query_id",
+                       "left" if empty_pages else "inner")
     ids = req.select("_key", F.col("query_id").alias("_id")).join(first, "_key").select("query_id", "_id")
-    return hits.join(ids, "query_id").select(F.col("_id").alias("query_id"), "rank", "doc_id", "score", "total")
+    return hits.join(ids, "query_id").select(F.col("_id").alias("query_id"), "rank", "doc_id", "score", "total").checkpoint(eager=True)
 
 
 def explain_records(ann: DataFrame, req: DataFrame, scored: DataFrame) -> DataFrame:

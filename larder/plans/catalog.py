@@ -253,18 +253,18 @@ def q_dietary_filters(spark, sf):
     return flat_annotations(annotations(spark, sf, phrase_set(spark, sf, PALM_PHRASES)))
 
 
-def _search_oracle(phrase_exprs, k=10, src_sql=None):
+def _search_oracle(phrase_exprs, k=20, src_sql=None):
     req = O.requests_sql(O.annotate_sql(phrase_set_sql(phrase_exprs), _DICT_SQL), _DICT_SQL)
     return O.ranked_sql(O.scored_sql(req, O.search_docs_sql(src_sql)), k)
 
 
-def _search(spark, sf, phrase_exprs, k=10):
+def _search(spark, sf, phrase_exprs, k=None):
     return _ranked(index(spark, sf), requests(spark, sf, phrase_set(spark, sf, phrase_exprs)), k)
 
 
-def _ranked(ix, req, k=None):
+def _ranked(ix, req, k=None, empty_pages=False):
     from larder.operators.retrieve import search
-    return search(req, ix.search, k, ix.postings, ix.vgrams, settle=True)
+    return search(req, ix.search, k, ix.postings, ix.vgrams, ix.counts, empty_pages)
 
 
 @register("search_tiered", _search_oracle(SEARCH_PHRASES))
@@ -381,7 +381,7 @@ def graded_structured(spark, sf):
 
 
 def _hits_docs_sql(phrases=SEARCH_PHRASES):
-    hits = _search_oracle(phrases)
+    hits = _search_oracle(phrases, 10)
     return f"""
     WITH h AS ({hits}), d AS ({O.search_docs_sql()})
     SELECT h.query_id, h.rank, h.total, h.doc_id, lower(coalesce(d.product_name, '')) AS name,
@@ -718,8 +718,8 @@ def q_edge_ngrams(spark, sf):
     return w.where(F.length("word") >= 2).select("word", F.explode(edge_ngrams(F.col("word"))).alias("prefix"))
 
 
-_FIELDS = {"product_name": "product_name", "category": "category", "ingredients": "ingredients",
-           "search_text": "search_text"}
+_FIELDS = {"product_name": "product_name", "brand": "brand", "category": "category", "ingredients": "ingredients",
+           "search_text": "search_text", "semantic_document": "semantic_document"}
 
 
 @register("postings_tf", "WITH d AS (" + O.docs_sql() + ") " + " UNION ALL ".join(
@@ -743,7 +743,7 @@ def q_term_df(spark, sf):
 
 
 # ----------------------------------------------------------------- BM25 path
-def _bm25(spark, sf, phrase_exprs, clause=None, k=10):
+def _bm25(spark, sf, phrase_exprs, clause=None, k=None):
     from larder.operators.bm25 import bm25_search
     from larder.plans.index import shared_text_index
     ix = index(spark, sf)
@@ -751,7 +751,7 @@ def _bm25(spark, sf, phrase_exprs, clause=None, k=10):
     return bm25_search(req, shared_text_index(ix), ix.search, k, clause)
 
 
-def _bm25_oracle(phrase_exprs, clause=None, k=10):
+def _bm25_oracle(phrase_exprs, clause=None, k=20):
     req = O.requests_sql(O.annotate_sql(phrase_set_sql(phrase_exprs), _DICT_SQL), _DICT_SQL)
     return O.bm25_sql(req, O.search_docs_sql(), clause, k)
 
@@ -889,7 +889,7 @@ VERIFY_CASES = [
 
 
 @register("verify_constraints", f"""
-    WITH h AS ({_search_oracle([e for _c, e in VERIFY_CASES])}), d AS ({O.search_docs_sql()}),
+    WITH h AS ({_search_oracle([e for _c, e in VERIFY_CASES], 10)}), d AS ({O.search_docs_sql()}),
     cases AS ({' UNION ALL '.join(f"SELECT DISTINCT {e} AS query_id, '{c}' AS check_kind, "
                                    f"string_split(p_name, ' ')[-1] AS needle FROM part" for c, e in VERIFY_CASES)}),
     chk AS (
@@ -918,7 +918,7 @@ def q_verify_constraints(spark, sf):
         c = part.selectExpr(f"{expr} AS query_id", f"'{kind}' AS check_kind",
                             "element_at(split(p_name, ' '), -1) AS needle").distinct()
         cases = c if cases is None else cases.unionByName(c)
-    hits = _search(spark, sf, [e for _c, e in VERIFY_CASES])
+    hits = _search(spark, sf, [e for _c, e in VERIFY_CASES], 10)
     return verify_constraints(hits, docs(spark, sf), cases)
 
 
@@ -949,7 +949,7 @@ _OVERRIDES_SQL = ("SELECT p_name AS query_id, NULL::VARCHAR AS o_brand, lower(mi
 
 @register("search_overrides", O.ranked_sql(O.scored_sql(O.requests_sql(
     O.annotate_sql("SELECT DISTINCT p_name AS query_id, p_name AS phrase FROM part", _DICT_SQL), _DICT_SQL,
-    _OVERRIDES_SQL), O.search_docs_sql()), 10))
+    _OVERRIDES_SQL), O.search_docs_sql()), 20))
 def q_search_overrides(spark, sf):
     """L-5: phrases plus explicit filters (category, organic) per request."""
     ix = index(spark, sf)
@@ -959,7 +959,7 @@ def q_search_overrides(spark, sf):
                                     F.when(F.min("p_size") % 3 == 0, F.lit(True)).alias("organic")).select(
         F.col("p_name").alias("query_id"), F.lit(None).cast("string").alias("brand"), "category",
         F.lit(None).cast("string").alias("ingredients"), "organic")
-    return _ranked(ix, requests(spark, sf, ph, ov), 10)
+    return _ranked(ix, requests(spark, sf, ph, ov))
 
 
 def _overrides(columns: dict[str, str], flags: dict[str, str]) -> tuple[list[str], str]:
@@ -1120,7 +1120,7 @@ def q_explain(spark, sf):
     ix = index(spark, sf)
     ann = annotate(phrase_set(spark, sf, SEARCH_PHRASES), ix.dictionary).checkpoint(eager=True)
     req = derive_requests(ann, ix.dictionary).checkpoint(eager=True)
-    rec = explain_records(ann, req, scored_hits(req, ix.search, ix.postings, ix.vgrams))
+    rec = explain_records(ann, req, scored_hits(req, ix.search, ix.postings, ix.vgrams, counts=ix.counts))
     return rec.select("query_id", "intent", "query_text", "brand_f", "category_f",
                       F.size("numeric_filters").cast("long").alias("n_numeric"),
                       F.size("modifiers").cast("long").alias("n_modifiers"),
@@ -1185,3 +1185,6 @@ def q_search_documents(spark, sf):
     from larder.operators.enrich import search_table
     texts = text_documents(spark, sf)
     return bm25_search(passage_requests(spark, sf), text_index(texts), search_table(texts))
+
+
+from larder.plans import catalog_io  # noqa: E402,F401  registers its queries

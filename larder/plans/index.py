@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from larder.operators.bm25 import TextIndex, text_index
 from larder.operators.dictionary import build_dictionary
 from larder.operators.enrich import build_documents, search_table
-from larder.operators.retrieve import postings, vocabulary_grams
+from larder.operators.retrieve import gram_counts, postings, vocabulary_grams
 from larder.session import ensure_checkpoint_dir
 from larder.sources.products import raw_products
 
@@ -30,6 +30,7 @@ class CatalogIndex:
     search: DataFrame
     postings: DataFrame
     vgrams: DataFrame
+    counts: DataFrame
     dictionary: DataFrame
     text: TextIndex | None = None
 
@@ -60,7 +61,10 @@ def build_index(spark: SparkSession, products: DataFrame, materialize: bool = Tr
         dictionary = dictionary.checkpoint(eager=True)
         post = bucketed_table(spark, post, "doc_id", n, "postings")
         vg = vg.checkpoint(eager=True)
-    return CatalogIndex(raw, docs, st, post, vg, dictionary)
+    counts = gram_counts(vg)
+    if materialize:
+        counts = counts.checkpoint(eager=True)
+    return CatalogIndex(raw, docs, st, post, vg, counts, dictionary)
 
 
 def bucketed_table(spark: SparkSession, df: DataFrame, key: str, buckets: int, name: str) -> DataFrame:

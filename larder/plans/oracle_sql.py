@@ -541,13 +541,27 @@ def bm25_sql(req_sql: str, docs: str, clause: str | None = None, k: int = 10) ->
            FROM req WHERE text <> ''),
     nq AS (SELECT query_id, count(*) AS nq, any_value(nw) AS nw FROM qt GROUP BY query_id),
     qterm AS (SELECT DISTINCT term, CASE WHEN length(term) <= 2 THEN 0 WHEN length(term) <= 5 THEN 1 ELSE 2 END AS k FROM qt),
-    ex AS (SELECT q.term, v.term AS vterm FROM qterm q JOIN (SELECT DISTINCT term FROM post) v
-           ON abs(length(q.term) - length(v.term)) <= q.k
-           WHERE CASE WHEN damerau_levenshtein(q.term, v.term) <= q.k  -- counts bytes, so it cuts plain letters only
+    vt AS (SELECT DISTINCT term FROM post),
+    -- terms within k edits have a text in common after at most k deletions from each
+    v1 AS (SELECT term, term AS d FROM vt UNION SELECT term, substr(term, 1, i - 1) || substr(term, i + 1)
+           FROM (SELECT term, unnest(range(1, length(term) + 1)) AS i FROM vt)),
+    v2 AS (SELECT term, d FROM v1 UNION SELECT term, substr(d, 1, i - 1) || substr(d, i + 1)
+           FROM (SELECT term, d, unnest(range(1, length(d) + 1)) AS i FROM v1 WHERE d <> term)),
+    q1 AS (SELECT term, k, term AS d FROM qterm UNION SELECT term, k, substr(term, 1, i - 1) || substr(term, i + 1)
+           FROM (SELECT term, k, unnest(range(1, length(term) + 1)) AS i FROM qterm WHERE k >= 1)),
+    q2 AS (SELECT term, k, d FROM q1 UNION SELECT term, k, substr(d, 1, i - 1) || substr(d, i + 1)
+           FROM (SELECT term, k, d, unnest(range(1, length(d) + 1)) AS i FROM q1 WHERE d <> term AND k >= 2)),
+    ex AS (SELECT q.term, v.term AS vterm FROM (SELECT DISTINCT q2.term, q2.k, v2.term AS near FROM q2 JOIN v2 USING (d)) q
+           JOIN vt v ON v.term = q.near
+           WHERE abs(length(q.term) - length(v.term)) <= q.k AND CASE WHEN damerau_levenshtein(q.term, v.term) <= q.k  -- counts bytes, so it cuts plain letters only
              * CASE WHEN strlen(q.term) = length(q.term) AND strlen(v.term) = length(v.term) THEN 1 ELSE 4 END THEN {osa('q.term', 'v.term')} <= q.k END),
-    hits AS (SELECT qt.query_id, qt.qpos, qt.term = ex.vterm AS exact, post.* FROM qt JOIN ex USING (term)
-             JOIN post ON post.term = ex.vterm),
-    tf AS (SELECT query_id, doc_id, field, term, qpos, exact, count(*) AS tf FROM hits GROUP BY ALL),
+    tfs AS MATERIALIZED (SELECT field, doc_id, term, count(*) AS tf FROM post GROUP BY ALL),
+    need AS (SELECT query_id, least(nq, CASE WHEN nw <= 1 THEN 1 WHEN nw = 2 THEN 2 ELSE greatest(2, nw // 2 + 1) END) AS need FROM nq),
+    qx AS MATERIALIZED (SELECT query_id, qpos, qt.term = vterm AS exact, vterm AS term FROM qt JOIN ex USING (term)),
+    enough AS MATERIALIZED (SELECT query_id, doc_id, field FROM qx JOIN tfs USING (term) JOIN need USING (query_id)
+               GROUP BY query_id, doc_id, field HAVING count(DISTINCT qpos) >= any_value(need)),
+    tf AS (SELECT query_id, doc_id, field, term, qpos, exact, tf FROM enough JOIN qx USING (query_id) JOIN tfs USING (doc_id, field, term)),
+    hits AS (SELECT query_id, doc_id, field, qpos, pos FROM tf JOIN post USING (doc_id, field, term) WHERE exact),
     sc AS (SELECT tf.*, ln(1 + (n_docs - df + 0.5) / (df + 0.5)) AS idf,
                   {BM25_K1} * (1 - {BM25_B} + {BM25_B} * dl.dl / avgdl) AS norm
            FROM tf JOIN stats USING (field) JOIN dfs USING (field, term) JOIN dl USING (field, doc_id)),
@@ -557,8 +571,7 @@ def bm25_sql(req_sql: str, docs: str, clause: str | None = None, k: int = 10) ->
     pfield AS (SELECT query_id, doc_id, field, sum(s) AS fs, count(s) AS matched, sum(any_s) AS any_s, count(*) AS any_n,
                       sum(idf) AS idf_sum, any_value(norm) AS norm FROM ppos GROUP BY ALL),
     ph AS (SELECT query_id, doc_id, field, count(*) AS pf FROM (
-             SELECT h.query_id, doc_id, field, pos - qpos AS start, count(DISTINCT qpos) AS c FROM hits h WHERE exact
-             GROUP BY ALL) x JOIN nq USING (query_id) WHERE c = nq GROUP BY ALL),
+             SELECT h.query_id, doc_id, field, pos - qpos AS start, count(DISTINCT qpos) AS c FROM hits h GROUP BY ALL) x JOIN nq USING (query_id) WHERE c = nq GROUP BY ALL),
     pf AS (SELECT p.*, nq.nq, nq.nw, ph.pf, {boost} AS boost FROM pfield p JOIN nq USING (query_id)
            LEFT JOIN ph USING (query_id, doc_id, field)),
     best AS (SELECT query_id, doc_id,

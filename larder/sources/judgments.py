@@ -38,6 +38,17 @@ def read_synonym_pairs(spark: SparkSession, path: str) -> DataFrame:
     return parts.where(F.size("p") == 2).select(F.col("p")[0].alias("canonical"), F.col("p")[1].alias("variant"))
 
 
+MAX_SYNONYM_PAIRS = 10_000
+
+
+def synonym_pairs(spark: SparkSession, path: str) -> list[tuple[str, str]]:
+    """S-17 for the text functions, which take the pairs as a parameter: a file of ``MAX_SYNONYM_PAIRS`` pairs at most."""
+    rows = read_synonym_pairs(spark, path).distinct().limit(MAX_SYNONYM_PAIRS + 1).collect()
+    if len(rows) > MAX_SYNONYM_PAIRS:
+        raise ValueError(f"more than {MAX_SYNONYM_PAIRS} synonym pairs")
+    return sorted(tuple(r) for r in rows)
+
+
 def canonical_map(pairs: DataFrame) -> DataFrame:
     """Q-5: both members of a pair map to the pair's head."""
     return pairs.select(F.explode(F.array("canonical", "variant")).alias("term"), "canonical")

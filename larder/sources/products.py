@@ -90,16 +90,26 @@ def raw_products(df: DataFrame) -> DataFrame:
                     "nutriscore_grade", "nova_group", "ecoscore_grade", "completeness")
 
 
-def read_parquet_products(spark: SparkSession, path: str) -> DataFrame:
+def first_rows(df: DataFrame, limit: int | None) -> DataFrame:
+    """S-5: the first ``limit`` rows by code, chosen before anything is parsed: each task keeps ``limit`` rows at most."""
+    if limit is None:
+        return df
+    r = resolve_columns(df)
+    types = dict(r.dtypes)
+    plain = [c for c in r.columns if not types[c].startswith("map")]
+    return r.orderBy(P.safe_str("code", r.schema["code"].dataType), *plain).limit(limit)
+
+
+def read_parquet_products(spark: SparkSession, path: str, limit: int | None = None) -> DataFrame:
     """S-1 on a Parquet path."""
-    return raw_products(spark.read.parquet(path))
+    return raw_products(first_rows(spark.read.parquet(path), limit))
 
 
-def read_csv_products(spark: SparkSession, path: str) -> DataFrame:
+def read_csv_products(spark: SparkSession, path: str, limit: int | None = None) -> DataFrame:
     """S-2 / S-3: CSV with an explicit schema (never inferred)."""
     df = (spark.read.schema(CSV_SCHEMA).option("header", True).option("multiLine", True)
           .option("escape", '"').csv(path))
-    return raw_products(df)
+    return raw_products(first_rows(df, limit))
 
 
 def first_existing(spark: SparkSession, paths: Iterable[str]) -> str:
@@ -120,10 +130,7 @@ def products_source(spark: SparkSession, paths: Iterable[str], limit: int | None
     """S-4 + S-5: read the first existing source; optional row limit (ordered by
     code so that the chosen rows are deterministic)."""
     p = first_existing(spark, paths)
-    df = read_csv_products(spark, p) if p.lower().endswith(".csv") else read_parquet_products(spark, p)
-    if limit is not None:
-        df = df.orderBy("code").limit(limit)
-    return df
+    return (read_csv_products if p.lower().endswith(".csv") else read_parquet_products)(spark, p, limit)
 
 
 def write_documents(docs: DataFrame, path: str, json_encoded: bool = False, mode: str = "overwrite") -> None:
