@@ -2,7 +2,7 @@
 
 Rows are addressed by ``(did, th)``: ``did`` is the id with null mapped to the
 largest 64-bit integer (a null id sorts after all others) and ``th`` is a
-32-bit hash of the text, so rows that repeat an id with another text stay
+64-bit hash of the text, so rows that repeat an id with another text stay
 apart and equal rows share one result.
 """
 
@@ -14,11 +14,13 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 NULL_ID = (1 << 63) - 1
 CHUNK_BYTES = 2 << 20
+LONG_TOKEN = 64
 _BASE = 0x9E3779B97F4A7C15
 _MASK = (1 << 64) - 1
 
@@ -50,7 +52,7 @@ def keyed(docs: DataFrame, id_col: str, text_col: str, also: list[str] | None =
     text = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))
     return docs.select(
         F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(NULL_ID)).alias("did"),
-        F.shiftright(F.xxhash64(text), 32).cast("int").alias("th"), text.alias("text"), *(also or []))
+        F.xxhash64(text).alias("th"), text.alias("text"), *(also or []))
 
 
 def id_back(name: str = "did"):
@@ -130,6 +132,22 @@ def span_hash(sums: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarra
     return fmix((sums[end] - sums[start]) * powers(len(sums))[1][start] + (end - start).astype(np.uint64))
 
 
+def bytes_hash(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """XXH3 of the bytes in [start, end).  Powers modulo 2**64 tell sequences apart that are short; some of 1,024
+    values and more (Thue-Morse words) have one sum under every base."""
+    view = memoryview(data.tobytes())
+    return np.fromiter((xxhash.xxh3_64_intdigest(view[a:b]) for a, b in zip(start.tolist(), end.tolist())), np.uint64, len(start))
+
+
+def token_hash(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Hash of each token: of short ones from prefix sums, of long ones from their bytes."""
+    out = span_hash(prefix(BYTE_VALUES[data]), start, end)
+    long = np.flatnonzero(end - start > LONG_TOKEN)
+    if len(long):
+        out[long] = bytes_hash(data, start[long], end[long])
+    return out
+
+
 def gram_hash(sums: np.ndarray, q: int) -> np.ndarray:
     """Hash of every run of q values."""
     n = len(sums) - q

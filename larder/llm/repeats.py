@@ -35,7 +35,7 @@ HOT_RUNS = 20_000
 
 Units = Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]
 
-RUN_SCHEMA = "did long, th int, start int, n int"
+RUN_SCHEMA = "did long, th long, start int, n int"
 PACKED = pa.schema([("bucket", pa.int32()), ("known", pa.bool_()), ("keys", pa.binary()), ("counts", pa.binary()),
                     ("did", pa.binary()), ("th", pa.binary()), ("start", pa.binary()), ("n", pa.binary())])
 PACKED_DDL = ("bucket int, known boolean, keys binary, counts binary, did binary, th binary, start binary, n binary")
@@ -103,7 +103,7 @@ def unpack(table: pa.Table, known: bool, **kinds) -> dict[str, np.ndarray]:
     return {k: np.frombuffer(b"".join(rows[k].to_pylist()), t) for k, t in kinds.items()}
 
 
-RUN_KINDS = {"did": np.int64, "th": np.int32, "start": np.int32, "n": np.int32}
+RUN_KINDS = {"did": np.int64, "th": np.int64, "start": np.int32, "n": np.int32}
 
 
 def shared_runs(docs: DataFrame, units: Units, length: int, q: int, buckets: int, hot: int, within: bool) -> DataFrame:
@@ -121,7 +121,7 @@ def shared_runs(docs: DataFrame, units: Units, length: int, q: int, buckets: int
                 if not len(key):
                     continue
                 _, first, inverse, count = np.unique(key, return_index=True, return_inverse=True, return_counts=True)
-                cols = {"did": did[lo + row], "th": th[lo + row].astype(np.int32),
+                cols = {"did": did[lo + row], "th": th[lo + row],
                         "start": start.astype(np.int32), "n": n.astype(np.int32)}
                 first.sort()
                 entry = pack((key[first] % np.uint64(buckets)).astype(np.int32), False, keys=key[first],
@@ -132,7 +132,7 @@ def shared_runs(docs: DataFrame, units: Units, length: int, q: int, buckets: int
                 if known is not None:
                     yield known
 
-    out_schema = pa.schema([("hot_key", pa.int64()), ("did", pa.int64()), ("th", pa.int32()), ("start", pa.int32()),
+    out_schema = pa.schema([("hot_key", pa.int64()), ("did", pa.int64()), ("th", pa.int64()), ("start", pa.int32()),
                             ("n", pa.int32())])
 
     def count_keys(table: pa.Table) -> pa.Table:
@@ -145,7 +145,7 @@ def shared_runs(docs: DataFrame, units: Units, length: int, q: int, buckets: int
         hot_keys = keys[total > hot].astype(np.int64)
         none, zeros = pa.nulls(len(back) + len(seen["did"]), pa.int64()), np.zeros(len(hot_keys), np.int64)
         cols = [pa.chunked_array([none, pa.array(hot_keys)], pa.int64())]
-        for k, t in (("did", np.int64), ("th", np.int32), ("start", np.int32), ("n", np.int32)):
+        for k, t in (("did", np.int64), ("th", np.int64), ("start", np.int32), ("n", np.int32)):
             cols.append(pa.array(np.concatenate([new[k][back], seen[k], zeros.astype(t)])))
         return pa.table(cols, schema=out_schema)
 
@@ -184,7 +184,7 @@ def repeated_windows(docs: DataFrame, units: Units, length: int, q: int, compare
                 want = (np.repeat(np.arange(hi - lo, dtype=np.int64), np.diff(coff[lo:hi + 1])) << 32) | chosen[coff[lo]:coff[hi]]
                 pick = np.isin((row << 32) | start, want)
                 if pick.any():
-                    yield from compare_map(data, sums, uoff, did[lo:hi], th[lo:hi].astype(np.int32), key[pick], row[pick],
+                    yield from compare_map(data, sums, uoff, did[lo:hi], th[lo:hi], key[pick], row[pick],
                                            start[pick], n[pick], hot_keys.value, buckets)
 
     gone = (texts.join(lists, ["did", "th"]).select("did", "th", "text", "starts").mapInArrow(scan, PACKED_DDL)

@@ -74,7 +74,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             fp = np.concatenate(fp).view(np.int64) if fp else np.empty(0, np.int64)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(fp)], names=["did", "th", "fp"])
 
-    return keyed(docs, id_col, text_col).mapInArrow(scan, "did long, th int, fp long")
+    return keyed(docs, id_col, text_col).mapInArrow(scan, "did long, th long, fp long")
 
 
 def _signed(v: int) -> int:

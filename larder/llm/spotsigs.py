@@ -32,8 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from larder.llm.common import (BYTE_VALUES, CHUNK_BYTES, NULL_ID, chunks, cut, fmix, id_back, keyed, prefix,
-                               span_hash, text_bytes, tokens, utf8)
+from larder.llm.common import CHUNK_BYTES, NULL_ID, chunks, cut, fmix, id_back, keyed, text_bytes, token_hash, tokens, utf8
 from larder.llm.components import components
 
 CHAIN, THRESHOLD = 3, 0.8
@@ -59,7 +58,7 @@ def anchor_hashes(words: list[str]) -> np.ndarray:
     out = []
     for w in sorted(set(words)):
         b = LOWER[np.frombuffer(w.encode(), np.uint8)]
-        out.append(span_hash(prefix(BYTE_VALUES[b]), np.array([0]), np.array([len(b)]))[0])
+        out.append(token_hash(b, np.array([0]), np.array([len(b)]))[0])
     return np.sort(np.array(out, np.uint64))
 
 
@@ -69,7 +68,7 @@ def signatures(data: np.ndarray, offs: np.ndarray, anchors: np.ndarray, chain: i
     rows = len(offs) - 1
     if not len(s):
         return np.empty(0, np.uint32), np.zeros(rows + 1, np.int64)
-    h = span_hash(prefix(BYTE_VALUES[LOWER[data]]), s, e)
+    h = token_hash(LOWER[data], s, e)
     row = np.repeat(np.arange(rows), np.diff(toff))
     common = anchors[np.minimum(np.searchsorted(anchors, h), len(anchors) - 1)] == h
     content = np.flatnonzero(~common)
@@ -126,7 +125,7 @@ def fingerprint(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                     [batch.column(0).slice(lo, hi - lo), batch.column(1).slice(lo, hi - lo), pa.array(np.diff(at)),
                      pa.array([_hex(sig[a:b]) for a, b in zip(at[:-1], at[1:])])], names=["did", "th", "length", "fingerprint"])
 
-    return keyed(docs, id_col, text_col).mapInArrow(scan, "did long, th int, length long, fingerprint string")
+    return keyed(docs, id_col, text_col).mapInArrow(scan, "did long, th long, length long, fingerprint string")
 
 
 def in_order_with_next(docs: DataFrame, part_bytes: int = PART_BYTES) -> tuple[DataFrame, int]:
@@ -149,7 +148,7 @@ def in_order_with_next(docs: DataFrame, part_bytes: int = PART_BYTES) -> tuple[D
     firsts = (rows.groupBy("part").agg(F.max(F.struct("did", "th")).alias("f")).collect())  # one row a slice
     order = sorted(firsts, key=lambda r: r["part"])
     heads = rows.sparkSession.createDataFrame(
-        [(order[i - 1]["part"], r["f"]["did"], r["f"]["th"]) for i, r in enumerate(order)], "into int, did long, th int")
+        [(order[i - 1]["part"], r["f"]["did"], r["f"]["th"]) for i, r in enumerate(order)], "into int, did long, th long")
     extra = (rows.drop("part").join(F.broadcast(heads), ["did", "th"]).dropDuplicates(["into"])
              .select("did", "th", "text", F.col("into").alias("part"), F.lit(True).alias("extra")))
     return rows.withColumn("extra", F.lit(False)).unionByName(extra), len(order)

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from larder.llm.common import CHUNK_BYTES, NULL_ID, chunks, utf8, join_runs, keyed, prefix, ranges, span_hash, tokens, BYTE_VALUES
+from larder.llm.common import CHUNK_BYTES, NULL_ID, chunks, utf8, join_runs, keyed, ranges, span_hash, token_hash, tokens
 from larder.llm.repeats import (BUCKET_BYTES, HOT_RUNS, RUN_KINDS, pack, removed_mask, repeated_windows, rows_of,
                                 runs_table, unpack)
 
@@ -40,7 +40,7 @@ RESULT = "doc_id long, n_words long, spans array<struct<start:int,end:int>>, kep
 
 def word_units(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     s, e, woff = tokens(data, offs)
-    return span_hash(prefix(BYTE_VALUES[data]), s, e), woff
+    return token_hash(data, s, e), woff
 
 
 def _by_hash(h, did, removed_from):
@@ -71,7 +71,7 @@ def compare_map(data, sums, uoff, did, th, key, row, start, n, hot, buckets, wid
 
 def compare_reduce(table: pa.Table) -> pa.Table:
     seen = unpack(table, True, **RUN_KINDS)
-    new = unpack(table, False, keys=np.uint64, did=np.int64, th=np.int32, start=np.int32)
+    new = unpack(table, False, keys=np.uint64, did=np.int64, th=np.int64, start=np.int32)
     gone = _by_hash(new["keys"], new["did"], np.zeros(len(new["did"]), bool)) if len(new["did"]) else np.zeros(0, bool)
     return runs_table(tuple(seen.values()), join_runs(new["did"][gone], new["th"][gone], new["start"][gone]))
 

@@ -34,7 +34,7 @@ import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import DataFrame
 
-from larder.llm.common import BYTE_VALUES, NULL_ID, fmix, gram_hash, keyed, prefix, ranges, span_hash
+from larder.llm.common import BYTE_VALUES, NULL_ID, bytes_hash, fmix, gram_hash, keyed, prefix, ranges
 from larder.llm.repeats import (BUCKET_BYTES, HOT_RUNS, RUN_KINDS, join_runs, pack, removed_mask, repeated_windows,
                                 rows_of, runs_table, unpack)
 
@@ -76,7 +76,7 @@ def compare_map(data, sums, uoff, did, th, key, row, start, n, hot, buckets, len
     else:
         heat = is_hot
     unit = uoff[row] + start
-    h = span_hash(sums, unit, unit + n + length - 1)
+    h = bytes_hash(data, unit, unit + n + length - 1)
     rdid, rth = did[row], th[row]
     gone = _earlier_known(h, rdid, rth, start)
     if gone.any():
@@ -161,7 +161,7 @@ def _settle(text, key, did, th, start, n, length, q):
     # runs whose whole text starts earlier are settled; a run that is then alone
     # under its key repeats nothing, unless its own q-gram recurs in it
     sums = prefix(BYTE_VALUES[text])
-    later = _earlier_known(fmix(key) + span_hash(sums, base[:-1], base[1:]), did, th, start)
+    later = _earlier_known(fmix(key) + bytes_hash(text, base[:-1], base[1:]), did, th, start)
     yield did[later], th[later], start[later], n[later]
     _, inverse = np.unique(key, return_inverse=True)
     alone = np.bincount(inverse[~later], minlength=len(key))[inverse] == 1
