@@ -11,6 +11,8 @@ a collect):
   search_tiered  all derived phrases ranked against the volume documents
   index_numeric  index of the part products
   search_numeric numeric-constraint phrases against the part products
+  index_text     positional index of the part products
+  search_bm25    all derived phrases ranked by BM25 against the part products
   evaluate       grading + P@k / NDCG / MRR over the search hits
 """
 
@@ -67,8 +69,12 @@ def main():
         return search(req, vol.search, 10, vol.postings, vol.vgrams, vol.counts).collect()
 
     hits = timed("search_tiered", run_search)
+    from larder.operators.bm25 import bm25_search, text_index
     timed("index_numeric", lambda: C.index(spark, sf_dir))
     timed("search_numeric", lambda: C.q_filter_numeric(spark, sf_dir).count())
+    part = C.index(spark, sf_dir)
+    text = timed("index_text", lambda: text_index(part.docs))
+    timed("search_bm25", lambda: bm25_search(derive_requests(ann, part.dictionary), text, part.search).collect())
     if "eval_metrics" in C.QUERIES:
         timed("evaluate", lambda: C.QUERIES["eval_metrics"](spark, sf_dir).collect())
     total = round(sum(times.values()), 3)

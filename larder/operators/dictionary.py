@@ -51,25 +51,29 @@ def clean_piece(c) -> F.Column:
     return F.when(usable(s), s)
 
 
-def term_counts(raw: DataFrame) -> DataFrame:
+def term_counts(raw: DataFrame, order: list[str] | None = None) -> DataFrame:
     """Per (kind, term) frequency over comma pieces of brands / categories /
-    ingredients.  Partial aggregation happens before the shuffle."""
+    ingredients.  Partial aggregation happens before the shuffle.  ``order``
+    names columns that order the rows; then ``first`` is where the term is first seen."""
+    at = F.struct(*[F.col(c) for c in order]) if order else F.lit(None).cast("int")
     src = raw.select(
-        F.posexplode(F.array(F.col("brands"), F.col("categories"), F.col("ingredients_text"))).alias("k", "v"))
+        at.alias("at"), F.posexplode(F.array(F.col("brands"), F.col("categories"), F.col("ingredients_text"))).alias("k", "v"))
     kinds = F.element_at(F.array(*[F.lit(k) for k in ENTITY_KINDS[:3]]), F.col("k") + 1)
-    pieces = src.select(kinds.alias("kind"), F.explode(F.split(F.coalesce("v", F.lit("")), ",")).alias("piece"))
+    pieces = src.select("at", kinds.alias("kind"), F.posexplode(F.split(F.coalesce("v", F.lit("")), ",")).alias("place", "piece"))
     # cleaned once per piece, then tested (the test reads it three times)
-    cleaned = evaluate_once(pieces, "term", clean_text("piece")).select("kind", "term")
-    return (cleaned.where(usable("term")).groupBy("kind", "term").agg(F.count(F.lit(1)).alias("n")))
+    cleaned = evaluate_once(pieces, "term", clean_text("piece")).select("kind", "term", "at", "place")
+    aggs = [F.count(F.lit(1)).alias("n")] + ([F.min(F.struct("at", "place")).alias("first")] if order else [])
+    return cleaned.where(usable("term")).groupBy("kind", "term").agg(*aggs)
 
 
-def dictionary_topk(raw: DataFrame, top: dict | None = None) -> DataFrame:
-    """A-2: top-N terms per kind by frequency (ties by term).  ``row_number <= N``
+def dictionary_topk(raw: DataFrame, top: dict | None = None, order: list[str] | None = None) -> DataFrame:
+    """A-2: top-N terms per kind by frequency; ties go to the term that is first
+    seen in the rows' ``order``, or without one by term.  ``row_number <= N``
     plans as a partial WindowGroupLimit before the exchange, so each task ships
     at most N rows per kind."""
     top = top or DICTIONARY_TOP
-    counts = term_counts(raw)
-    w = Window.partitionBy("kind").orderBy(F.col("n").desc(), F.col("term"))
+    counts = term_counts(raw, order)
+    w = Window.partitionBy("kind").orderBy(F.col("n").desc(), F.col("first" if order else "term"))
     limit = max(top.values())
     ranked = counts.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= limit)
     cap = F.element_at(F.create_map(*[x for k, v in top.items() for x in (F.lit(k), F.lit(v))]), F.col("kind"))
@@ -148,7 +152,7 @@ def read_dictionary(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path).withColumn("term", F.lower("term"))
 
 
-def write_dictionary_json(built: DataFrame, path: str) -> None:
+def write_dictionary_json(built: DataFrame, path: str, source: str = "") -> None:
     """S-14 sink, JSON layout: one object with a list of terms for each built kind, the most frequent first, then
     the always-included ingredients that are missing.  ``built`` is ``dictionary_topk`` (at most ``DICTIONARY_TOP`` terms a kind)."""
     rows = built.select("kind", "term", "rank").unionByName(
@@ -156,6 +160,7 @@ def write_dictionary_json(built: DataFrame, path: str) -> None:
     lists = rows.groupBy("kind").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "term"))), lambda x: x["term"]).alias("terms"))
     one = lists.agg(*[F.coalesce(F.first(F.when(F.col("kind") == k, F.col("terms")), True), F.array().cast("array<string>")).alias(k)
                       for k in ENTITY_KINDS[:3]])
+    one = one.select(F.lit(source).alias("source"), "*")
     one.coalesce(1).write.mode("overwrite").json(path)
 
 

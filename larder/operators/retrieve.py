@@ -303,7 +303,13 @@ def top_hits(scored: DataFrame, limit: int | None = None, settle: bool = False)
 
 
 # --------------------------------------------------------------------- cores
-CORE_COLS = ["text", "brand_f", "category_f", "ingredients_f", "modifiers"]
+CURSOR = {"after_score": "double", "after_id": "string"}
+CORE_COLS = ["text", "brand_f", "category_f", "ingredients_f", "modifiers", *CURSOR]
+
+
+def with_cursor(req: DataFrame) -> DataFrame:
+    """Requests with the columns of a cursor, null where they have none."""
+    return req.withColumns({c: F.col(c).cast(t) if c in req.columns else F.lit(None).cast(t) for c, t in CURSOR.items()})
 
 
 def _row_key(cols: list[str]) -> F.Column:
@@ -311,9 +317,10 @@ def _row_key(cols: list[str]) -> F.Column:
 
 
 def with_core(req: DataFrame) -> DataFrame:
-    """Requests with ``core`` (what they share but flags, bounds and paging), ``mask, want`` (flag bits) and
+    """Requests with ``core`` (what they share but flags, bounds and page sizes), ``mask, want`` (flag bits) and
     ``limits``: their numeric filters on the mapped nutrient."""
     mask, want = _flag_masks()
+    req = with_cursor(req)
     limits = F.transform("numeric_filters", lambda nf: F.struct(
         F.coalesce(F.try_element_at(nutrient_map(), nf["nutrient"]), nf["nutrient"]).alias("nutrient"),
         F.coalesce(nf["comparison_basis"] == "per_100g", F.lit(False)).alias("per_100g"),
@@ -363,8 +370,8 @@ def _side(bounds, v) -> F.Column:
 
 def core_hits(cores: DataFrame, search_tbl: DataFrame, post: DataFrame, vgrams: DataFrame, counts: DataFrame | None = None,
               pairs=SYNONYM_PAIRS) -> DataFrame:
-    """Every (core, doc_id, score, flag_bits, sides, amounts) of ``core_requests`` that the tiered scorer keeps and some
-    request of the core may accept."""
+    """Every (core, doc_id, score, ahead, flag_bits, sides, amounts) of ``core_requests`` that the tiered scorer keeps and some
+    request of the core may accept; ``ahead`` marks those up to the cursor."""
     mask = F.col("must").bitwiseOR(F.col("must_not"))
     cands = postings_candidates(cores, post, vgrams, counts, pairs).unionByName(signature_candidates(cores, search_tbl, mask, F.col("must")))
     inside = F.forall("keys", lambda k: (~k["needed"] | _amount(k).isNotNull())
@@ -373,11 +380,13 @@ def core_hits(cores: DataFrame, search_tbl: DataFrame, post: DataFrame, vgrams:
     rows = rows.where(text_filters_ok() & (_flag_bits(F.col("flags")).bitwiseAND(mask) == F.col("must"))
                       & ((F.size("keys") == 0) | inside))
     rows = rows.select("query_id", "doc_id", "text", "modifiers", "completeness", "n_match", "tok_score", "name_c", "brand_c", "cat_c",
-                       "text_c", "keys", _flag_bits(F.col("flags")).bitwiseAND(F.col("asked")).alias("flag_bits"),
+                       "text_c", "keys", *CURSOR, _flag_bits(F.col("flags")).bitwiseAND(F.col("asked")).alias("flag_bits"),
                        F.transform("keys", _amount).alias("amounts"))
     scored = evaluate_once(with_tiered_score(rows, "_raw"), "score", F.round("_raw", 6)).where(F.col("score").isNotNull())
     sides = F.transform("keys", lambda k, i: _side(k["bounds"], F.get("amounts", i)))
-    return scored.select(F.col("query_id").alias("core"), "doc_id", "score", "flag_bits", sides.alias("sides"), "amounts")
+    ahead = (F.col("score") > F.col("after_score")) | ((F.col("score") == F.col("after_score")) & (F.col("doc_id") <= F.col("after_id")))
+    return scored.select(F.col("query_id").alias("core"), "doc_id", "score", F.coalesce(ahead, F.lit(False)).alias("ahead"),
+                         "flag_bits", sides.alias("sides"), "amounts")
 
 
 def _accepts() -> F.Column:
@@ -396,11 +405,14 @@ def search(req: DataFrame, search_tbl: DataFrame, limit: int | None = None, post
     """Requests x documents -> ranked hits (query_id, rank, doc_id, score, total),
     written to the shared folder.  ``limit`` makes it a top-k report; without it
     each request gets its page.  With ``empty_pages`` a request without hits on
-    its page has one row: its total, and null for the rest.
+    its page has one row: its total, and null for the rest.  A deep page is
+    asked for by the last hit before it (``after_score``, ``after_id``) instead
+    of ``from_``: then only the counts of the hits before it are kept.
 
     Requests that differ in their id alone are ranked once, by the smallest
     id, and share its hits.  ``pairs`` are the synonyms of the search table."""
-    req = req.select(*REQUEST_COLS, _row_key(REQUEST_COLS[1:]).alias("_key")).checkpoint(eager=True)
+    columns = [*REQUEST_COLS, *CURSOR]
+    req = with_cursor(req).select(*columns, _row_key(columns[1:]).alias("_key")).checkpoint(eager=True)
     first = req.groupBy("_key").agg(F.min("query_id").alias("query_id"))
     if limit is None:
         limit = req.agg(F.max(F.col("from_") + F.col("size"))).first()[0] or 0
@@ -413,19 +425,19 @@ def search(req: DataFrame, search_tbl: DataFrame, limit: int | None = None, post
     in_class = ["core", "flag_bits", "sides"]
     order = [F.col("score").desc(), F.col("doc_id")]
     best = F.row_number().over(Window.partitionBy(*in_class).orderBy(*order))
-    heads = scored.withColumn("place", best).where(F.col("place") <= limit).select(*in_class, "doc_id", "score").checkpoint(eager=True)
-    classes = scored.groupBy(*in_class).agg(F.count(F.lit(1)).alias("n"), F.first("amounts").alias("amounts")).checkpoint(eager=True)
+    heads = scored.where("NOT ahead").withColumn("place", best).where(F.col("place") <= limit).select(*in_class, "doc_id", "score").checkpoint(eager=True)
+    classes = scored.groupBy(*in_class).agg(F.count(F.lit(1)).alias("n"), F.count_if("ahead").alias("n_ahead"), F.first("amounts").alias("amounts")).checkpoint(eager=True)
     scored.unpersist()
     asking = own.join(cores.select(F.col("query_id").alias("core"), "keys"), "core")
-    chosen = asking.join(classes, "core").where(_accepts()).select("query_id", "size", "from_", *in_class, "n")
-    totals = own.select("query_id").join(chosen.groupBy("query_id").agg(F.sum("n").alias("total")), "query_id", "left").select(
-        "query_id", F.coalesce("total", F.lit(0)).alias("total"))
+    chosen = asking.join(classes, "core").where(_accepts()).select("query_id", "size", "from_", *in_class, "n", "n_ahead")
+    sums = chosen.groupBy("query_id").agg(F.sum("n").alias("total"), F.sum("n_ahead").alias("before"))
+    totals = own.select("query_id").join(sums, "query_id", "left").select("query_id", F.coalesce("total", F.lit(0)).alias("total"), "before")
     merged = chosen.select("query_id", "size", "from_", *in_class).join(heads, in_class)
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(*order))
     ranked = merged.withColumn("rank", rank).where(F.col("rank") <= limit)
     page = ranked.where((F.col("rank") > F.col("from_")) & (F.col("rank") <= F.col("from_") + F.col("size")))
     hits = totals.join(page.select("query_id", F.col("rank").cast("long").alias("rank"), "doc_id", "score"), "query_id",
-                       "left" if empty_pages else "inner")
+                       "left" if empty_pages else "inner").withColumn("rank", F.col("rank") + F.col("before"))
     ids = req.select("_key", F.col("query_id").alias("_id")).join(first, "_key").select("query_id", "_id")
     return hits.join(ids, "query_id").select(F.col("_id").alias("query_id"), "rank", "doc_id", "score", "total").checkpoint(eager=True)
 

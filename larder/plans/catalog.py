@@ -222,10 +222,10 @@ def flat_annotations_sql(ann: str) -> str:
 _DICT_SQL = O.dictionary_sql()
 
 
-@register("dictionary_topk", O.dictionary_topk_sql())
+@register("dictionary_topk", O.dictionary_topk_sql(by_code=True))
 def q_dictionary_topk(spark, sf):
     from larder.operators.dictionary import dictionary_topk
-    return dictionary_topk(raw(spark, sf))
+    return dictionary_topk(raw(spark, sf), order=["code"])
 
 
 @register("dictionary_always_include", _DICT_SQL)

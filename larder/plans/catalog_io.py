@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from larder.fixed_values import DICTIONARY_TOP, FLAG_NAMES
 from larder.plans import fixtures as fx
 from larder.plans import oracle_sql as O
-from larder.plans.catalog import (BM25_PHRASES, SEARCH_PHRASES, _DICT_SQL, _bm25_oracle, _ranked, dictionary_df, docs, flat_annotations,
+from larder.plans.catalog import (BM25_PHRASES, SEARCH_PHRASES, _DICT_SQL, _bm25_oracle, _ranked, _search_oracle, dictionary_df, docs, flat_annotations,
                                   flat_annotations_sql, index, phrase_set, phrase_set_sql, r6, raw, register, requests)
 from larder.session import ensure_checkpoint_dir
 
@@ -138,6 +138,15 @@ def q_search_past_end(spark, sf):
     return _ranked(index(spark, sf), req, empty_pages=True)
 
 
+@register("search_cursor", f"SELECT * FROM ({_search_oracle(SEARCH_PHRASES, k=40)}) WHERE rank > 20")
+def q_search_cursor(spark, sf):
+    """R-18/D-11: the second page of each request, asked for by the last hit of its first page."""
+    req = requests(spark, sf, phrase_set(spark, sf, SEARCH_PHRASES))
+    last = _ranked(index(spark, sf), req).where("rank = 20").select(
+        "query_id", F.col("score").alias("after_score"), F.col("doc_id").alias("after_id"))
+    return _ranked(index(spark, sf), req.join(last, "query_id"))
+
+
 # ----------------------------------------------------------------- Q-10 / Q-11
 # the same phrases, once with punctuation and once with the words and values it stands for
 _PUNCT = ["concat(p_name, ' < ', p_size, '.5g sugars')", "concat(p_name, ' >= ', p_size, ' kcal')", "concat('1/4 cup ', p_name)",

@@ -226,18 +226,20 @@ def clean_piece(x: str) -> str:
     return (f"CASE WHEN {s} = '' OR length({s}) > 48 OR {s} IN ('null', 'none', 'nan') THEN NULL ELSE {s} END")
 
 
-def dictionary_topk_sql(raw_sql: str | None = None) -> str:
+def dictionary_topk_sql(raw_sql: str | None = None, by_code: bool = False) -> str:
+    """Ties by term, or by the first row (of ``code``) and piece that hold it."""
     rp = raw_products_sql(raw_sql)
     caps = " ".join(f"WHEN {q(k)} THEN {v}" for k, v in DICTIONARY_TOP.items())
     return f"""
     WITH rp AS ({rp}),
     pieces AS (
-      SELECT 'brands' AS kind, unnest(string_split(brands, ',')) AS piece FROM rp
-      UNION ALL SELECT 'categories', unnest(string_split(categories, ',')) FROM rp
-      UNION ALL SELECT 'ingredients', unnest(string_split(ingredients_text, ',')) FROM rp),
-    cleaned AS (SELECT kind, {clean_piece('piece')} AS term FROM pieces),
-    counts AS (SELECT kind, term, count(*) AS n FROM cleaned WHERE term IS NOT NULL GROUP BY kind, term),
-    ranked AS (SELECT *, row_number() OVER (PARTITION BY kind ORDER BY n DESC, term) AS rank FROM counts)
+      SELECT 'brands' AS kind, code, unnest(string_split(brands, ',')) AS piece, generate_subscripts(string_split(brands, ','), 1) AS i FROM rp
+      UNION ALL SELECT 'categories', code, unnest(string_split(categories, ',')), generate_subscripts(string_split(categories, ','), 1) FROM rp
+      UNION ALL SELECT 'ingredients', code, unnest(string_split(ingredients_text, ',')),
+             generate_subscripts(string_split(ingredients_text, ','), 1) FROM rp),
+    cleaned AS (SELECT kind, code, i, {clean_piece('piece')} AS term FROM pieces),
+    counts AS (SELECT kind, term, count(*) AS n, min({{'code': code, 'i': i}}) AS first FROM cleaned WHERE term IS NOT NULL GROUP BY kind, term),
+    ranked AS (SELECT *, row_number() OVER (PARTITION BY kind ORDER BY n DESC, {'first' if by_code else 'term'}) AS rank FROM counts)
     SELECT kind, term, n, rank FROM ranked WHERE rank <= CASE kind {caps} END
     """
 

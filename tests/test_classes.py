@@ -199,3 +199,15 @@ def test_synonym_file_takes_effect(spark, scratch_dir):
     assert found(pairs) == {"1", "2"} and found([]) == {"2"}
     both = {r["doc_id"] for r in bm25.bm25_search(ask(pairs), bm25.text_index(docs, pairs=pairs), search_table(docs, pairs)).collect()}
     assert both == {"1", "2"}
+
+
+def test_pages_by_cursor_equal_pages_by_offset(spark):
+    st = search_table(products(spark, 4)).checkpoint(eager=True)
+    req = make_requests(spark, PHRASES, ((7, 0),)).checkpoint(eager=True)
+    key = lambda rows: sorted((r["query_id"], r["rank"], r["doc_id"], r["score"], r["total"]) for r in rows.collect())
+    page = R.search(req, st)
+    for n in (7, 14):
+        last = page.where(F.col("rank") == n).select("query_id", F.col("score").alias("after_score"), F.col("doc_id").alias("after_id"))
+        page = R.search(req.join(last, "query_id"), st)
+        want = R.search(req.join(last.select("query_id"), "query_id").withColumn("from_", F.lit(n)), st)
+        assert key(page) == key(want) and page.count() > 7
