@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 from larder.llm.common import NULL_ID, column, cut
 
 SHARDS, OVERHEAD = 40, 16
-TOLERANCE, PROBES, PIECE_BYTES, MAX_ROUNDS = 0.002, 32, 1 << 30, 80
+TOLERANCE, PROBES, PIECE_BYTES, MAX_ROUNDS = 0.002, 32, 256 << 20, 80
 _BIAS = 1 << 63
 
 
