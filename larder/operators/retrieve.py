@@ -399,6 +399,19 @@ def _accepts() -> F.Column:
     return (F.col("flag_bits").bitwiseAND(F.col("mask")) == F.col("want")) & ((F.size("limits") == 0) | F.forall("limits", holds))
 
 
+IN_CLASS = ["core", "flag_bits", "sides"]
+
+
+def _best_first() -> list:
+    return [F.col("score").desc(), F.col("doc_id")]
+
+
+def class_heads(scored: DataFrame, limit: int) -> DataFrame:
+    """The first ``limit`` documents of each class after the cursor."""
+    best = F.row_number().over(Window.partitionBy(*IN_CLASS).orderBy(*_best_first()))
+    return scored.where("NOT ahead").withColumn("place", best).where(F.col("place") <= limit).select(*IN_CLASS, "doc_id", "score")
+
+
 def search(req: DataFrame, search_tbl: DataFrame, limit: int | None = None, post: DataFrame | None = None,
            vgrams: DataFrame | None = None, counts: DataFrame | None = None, empty_pages: bool = False,
            pairs=SYNONYM_PAIRS) -> DataFrame:
@@ -422,18 +435,15 @@ def search(req: DataFrame, search_tbl: DataFrame, limit: int | None = None, post
     vgrams = vgrams if vgrams is not None else vocabulary_grams(post)
     # counts and heads both read the scored set: scoring runs once (a persisted block lost with an executor is recomputed)
     scored = core_hits(cores, search_tbl, post, vgrams, counts, pairs).persist(StorageLevel.MEMORY_AND_DISK)
-    in_class = ["core", "flag_bits", "sides"]
-    order = [F.col("score").desc(), F.col("doc_id")]
-    best = F.row_number().over(Window.partitionBy(*in_class).orderBy(*order))
-    heads = scored.where("NOT ahead").withColumn("place", best).where(F.col("place") <= limit).select(*in_class, "doc_id", "score").checkpoint(eager=True)
-    classes = scored.groupBy(*in_class).agg(F.count(F.lit(1)).alias("n"), F.count_if("ahead").alias("n_ahead"), F.first("amounts").alias("amounts")).checkpoint(eager=True)
+    heads = class_heads(scored, limit).checkpoint(eager=True)
+    classes = scored.groupBy(*IN_CLASS).agg(F.count(F.lit(1)).alias("n"), F.count_if("ahead").alias("n_ahead"), F.first("amounts").alias("amounts")).checkpoint(eager=True)
     scored.unpersist()
     asking = own.join(cores.select(F.col("query_id").alias("core"), "keys"), "core")
-    chosen = asking.join(classes, "core").where(_accepts()).select("query_id", "size", "from_", *in_class, "n", "n_ahead")
+    chosen = asking.join(classes, "core").where(_accepts()).select("query_id", "size", "from_", *IN_CLASS, "n", "n_ahead")
     sums = chosen.groupBy("query_id").agg(F.sum("n").alias("total"), F.sum("n_ahead").alias("before"))
     totals = own.select("query_id").join(sums, "query_id", "left").select("query_id", F.coalesce("total", F.lit(0)).alias("total"), "before")
-    merged = chosen.select("query_id", "size", "from_", *in_class).join(heads, in_class)
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(*order))
+    merged = chosen.select("query_id", "size", "from_", *IN_CLASS).join(heads, IN_CLASS)
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(*_best_first()))
     ranked = merged.withColumn("rank", rank).where(F.col("rank") <= limit)
     page = ranked.where((F.col("rank") > F.col("from_")) & (F.col("rank") <= F.col("from_") + F.col("size")))
     hits = totals.join(page.select("query_id", F.col("rank").cast("long").alias("rank"), "doc_id", "score"), "query_id",

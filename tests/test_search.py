@@ -48,11 +48,16 @@ def test_properties(spark):
 
 
 def test_plan_has_partial_topk_and_no_cartesian(spark):
-    hits = run(spark, ["peanut butter"])
-    plan = hits._jdf.queryExecution().executedPlan().toString()
+    from larder.operators import retrieve as R
+    st = search_table(build_documents(raw_products(spark.createDataFrame(PRODUCTS, COLS))))
+    d = spark.createDataFrame([], "term string, kind string, priority int, in_categories boolean, in_ingredients boolean")
+    req = derive_requests(annotate(spark.createDataFrame([("q", "peanut butter")], "query_id string, phrase string"), d), d)
+    post = R.postings(st)
+    cores = R.core_requests(R.with_core(req.select(*R.REQUEST_COLS)).checkpoint(eager=True)).checkpoint(eager=True)
+    heads = R.class_heads(R.core_hits(cores, st, post, R.vocabulary_grams(post)), 10)
+    plan = heads._jdf.queryExecution().executedPlan().toString()
     assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
-    assert "WindowGroupLimit" in hits._jdf.queryExecution().optimizedPlan().toString()
-
+    assert "WindowGroupLimit" in heads._jdf.queryExecution().optimizedPlan().toString()
 
 
 def test_shuffle_fallback_equals_broadcast(spark, monkeypatch):
