@@ -123,6 +123,11 @@ def compact_if_due(spark: SparkSession, path: str, key: str = "id", share: float
     return None
 
 
+def table_exists(spark: SparkSession, path: str) -> bool:
+    fs, where = _folder(spark, path)
+    return bool(fs.exists(where))
+
+
 def drop_table(spark: SparkSession, path: str) -> bool:
     """S-13: removes the table; False if there was none."""
     fs, where = _folder(spark, path)
