@@ -40,8 +40,8 @@ def test_an_index_of_prose_takes_less_room_than_its_texts(spark):
     was = folder_bytes(at)
     index = bm25.text_index(docs)
     taken, text = folder_bytes(at) - was, sum(len(r[1]) for r in rows)
-    # before: a row for each field, term and document, and the vocabulary in checkpoints
-    assert taken < text
+    # before, a row for each field, term and document and the vocabulary in checkpoints: 0.94 of the texts
+    assert taken * 2 < text
     assert index.texts.select(F.size("lists").alias("n")).distinct().collect() == [(1,)]
     assert sorted(map(tuple, index.postings.select("field", "term", "doc_id").collect())) == sorted(
         {(f, t, r[0]) for r in rows for f in ("product_name", "search_text") for t in r[1].split()})
